@@ -311,7 +311,7 @@ def write_manifest(spark: SparkSession, path: str, manifest: Manifest) -> None:
     )
 
 
-def write_segment(index: FrameIndex, path: str, manifest: Manifest, segment: int) -> None:
+def write_segment(index: TextIndex, path: str, manifest: Manifest, segment: int) -> None:
     """Write the rows of ``index`` as one segment.
 
     Postings move once, by bucket and document hash: a term in a third of all

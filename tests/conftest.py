@@ -12,6 +12,8 @@ from rankweave.session import local_session  # noqa: E402
 def spark():
     session = local_session(4, 2)
     session.sparkContext.setLogLevel("ERROR")
+    # Fixtures are tiny: compiling their plans costs more than interpreting them.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
 
