@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.operators.analyze import dictionary_version
-from rankweave.operators.text_index import StoredIndex, TextIndex, write_manifest, write_segment
+from rankweave.operators.text_index import Manifest, StoredIndex, TextIndex, write_manifest, write_segment
 from rankweave.operators.text_search import _idf, term_impacts
 
 
@@ -16,19 +16,27 @@ def _stored(index: TextIndex) -> StoredIndex:
     return index
 
 
-def append_segment(index: StoredIndex, rows: DataFrame, batch: str | None = None) -> StoredIndex:
+def _next_segment(manifest: Manifest) -> int:
+    """A number above all live ones; segments of a failed attempt are written over."""
+    return max([0, *manifest.segments]) + 1
+
+
+def append_segment(
+    index: StoredIndex, rows: DataFrame, batch: tuple[str, int] | None = None
+) -> StoredIndex:
     """Add new documents as a segment of their own.
 
-    With ``batch`` a batch already added is passed over, so a stream may repeat it.
+    ``batch`` is the name of a stream and the number of its batch; numbers only grow,
+    so a batch not above the last one added is a repetition and is passed over.
     Document frequencies are counted from postings, so nothing has to be adjusted.
     """
     index = _stored(index)
     manifest = index.manifest
-    if batch is not None and batch in manifest.batches:
+    if batch is not None and batch[1] <= manifest.batches.get(batch[0], -1):
         return index
-    segment = max([0, *manifest.segments, *manifest.batches.values()]) + 1
+    segment = _next_segment(manifest)
     write_segment(index.frame_index(rows), index.path, manifest, segment)
-    batches = manifest.batches if batch is None else {**manifest.batches, batch: segment}
+    batches = manifest.batches if batch is None else {**manifest.batches, batch[0]: batch[1]}
     following = manifest.next(segments=[*manifest.segments, segment], batches=batches)
     write_manifest(index.spark, index.path, following)
     source = index.source.unionByName(rows.select(*index.source.columns)) if index.source is not None else None
@@ -53,10 +61,9 @@ def compact(index: StoredIndex) -> StoredIndex:
     """Bring the segments into one and drop dead documents; no text is read."""
     index = _stored(index)
     manifest = index.manifest
-    segment = max([0, *manifest.segments, *manifest.batches.values()]) + 1
+    segment = _next_segment(manifest)
     write_segment(index, index.path, manifest, segment)
-    batches = {k: segment for k in manifest.batches}
-    following = manifest.next(segments=[segment], tombstones=[], batches=batches)
+    following = manifest.next(segments=[segment], tombstones=[])
     write_manifest(index.spark, index.path, following)
     return StoredIndex(index.spark, index.path, following, index.source, index.dictionary)
 
@@ -66,14 +73,13 @@ def reindex(index: StoredIndex, df: DataFrame, dictionary: DataFrame | None = No
     index = _stored(index)
     manifest = index.manifest
     words = dictionary if dictionary is not None else index.dictionary
-    segment = max([0, *manifest.segments, *manifest.batches.values()]) + 1
+    segment = _next_segment(manifest)
     write_segment(index.frame_index(df, words), index.path, manifest, segment)
     stamp = {}
     if index.analyzer == "words":
         now = dictionary_version(words).first()
         stamp = {"dictionary_version": now["version"], "dictionary_fingerprint": now["fingerprint"]}
-    batches = {k: segment for k in manifest.batches}
-    following = manifest.next(segments=[segment], tombstones=[], batches=batches, **stamp)
+    following = manifest.next(segments=[segment], tombstones=[], **stamp)
     write_manifest(index.spark, index.path, following)
     return StoredIndex(index.spark, index.path, following, df, words)
 

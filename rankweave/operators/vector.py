@@ -53,7 +53,7 @@ def _block_top(
             (queries**2).sum(axis=1)[:, None] + (base**2).sum(axis=1)[None, :] - 2.0 * (queries @ base.T)
         )
         found = np.sqrt(np.maximum(square, 0.0))
-    found = np.round(found, PLACES)
+    found = np.round(found, PLACES) + 0.0
     order = np.argsort(ids, kind="stable")
     ids, found = ids[order], found[:, order]
     best = np.argsort(found, axis=1, kind="stable")[:, :k]

@@ -38,7 +38,7 @@ def stream_into_index(stream: DataFrame, spark: SparkSession, path: str, name: s
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        append_segment(StoredIndex.open(spark, path), batch, batch=f"{name}/{number}")
+        append_segment(StoredIndex.open(spark, path), batch, batch=(name, number))
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return _start(writer, once)
