@@ -410,7 +410,7 @@ def classify_stats(spark, folder):
 
 def row_filter_rows(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "n_chars", "lang")
-    kept = predicates.row_filter(docs, "the row is long to write", length_scorer, threshold=0.011)
+    kept = predicates.row_filter(docs, "the row is long to write", length_scorer, threshold=0.0102)
     return kept.select("doc_id", "n_chars", "lang")
 
 
@@ -707,7 +707,7 @@ SELECT 'by-length' AS model, count(*) AS n_rows, count(*) AS n_answered, sum(len
     "yes_no": "SELECT doc_id, round(least(1.0::DOUBLE, length(text) / 4000), 6) AS number FROM documents",
     "row_filter": """
 SELECT doc_id, n_chars, lang FROM documents
-WHERE length('{"doc_id":' || doc_id || ',"n_chars":' || n_chars || ',"lang":"' || lang || '"}') / 4000 >= 0.011""",
+WHERE length('{"doc_id":' || doc_id || ',"n_chars":' || n_chars || ',"lang":"' || lang || '"}') / 4000 >= 0.0102""",
     "assert_tables": """
 WITH f AS (SELECT count(*) FILTER (o_orderstatus = 'F') AS n FROM orders),
 q AS (SELECT count(*) FILTER (l_quantity <= 0) AS z, count(*) FILTER (l_quantity <= 10) AS s FROM lineitem),
