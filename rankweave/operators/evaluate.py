@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.operators.analyze import tokenize
-from rankweave.session import durable, running_total
+from rankweave.operators.analyze import token_arrays
+from rankweave.session import broadcast_if_small, durable, running_total, spread
 
 
 def recall_at_k(hits: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
@@ -33,9 +33,9 @@ def recall_at_k(hits: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
         .join(found, "query_id", "left")
         .select(
             "query_id",
-            F.coalesce(
-                F.coalesce("found", F.lit(0)) / F.least(F.lit(k), F.col("n")), F.lit(math.nan)
-            ).alias("recall"),
+            F.when(F.col("n") > 0, F.coalesce("found", F.lit(0)) / F.least(F.lit(k), F.col("n")))
+            .otherwise(F.lit(math.nan))
+            .alias("recall"),
         )
     )
 
@@ -71,10 +71,9 @@ def rbo(rank_a: DataFrame, rank_b: DataFrame, p: float = 0.9, depth: int = 10) -
 
 def containment_truth(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, analyzer: str = "unicode") -> DataFrame:
     """(query_id, id): rows that hold the exact token of ``terms`` (query_id, term)."""
-    held = tokenize(df, id_col, text_col, analyzer).select("id", "term").distinct()
-    return held.join(F.broadcast(terms) if terms.limit(10_001).count() <= 10_000 else terms, "term").select(
-        "query_id", "id"
-    ).distinct()
+    arrays = token_arrays(spread(df.select(id_col, text_col), id_col), id_col, text_col, analyzer)
+    held = arrays.select("id", F.explode(F.array_distinct("tokens")).alias("term"))
+    return held.join(broadcast_if_small(terms.distinct()), "term").select("query_id", "id").distinct()
 
 
 def pick_terms_by_df(stats: DataFrame, lo: float, hi: float, k: int, min_df: int = 3) -> DataFrame:

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from rankweave.session import durable
 
-CHECKPOINT_EVERY = 3
-
-
 class Graph:
     """Vertices (id, label, ...) and edges (src, dst, label, ...)."""
 
@@ -76,16 +73,18 @@ def match_path(graph: Graph, hops: list[Hop], start: Column | str | None = None)
 def traverse(graph: Graph, start: DataFrame, max_depth: int, directed: bool = True) -> DataFrame:
     """(id, depth): every vertex within ``max_depth`` steps of the start ids.
 
-    Rounds of frontier against edges; a vertex is kept at its first depth. Lineage
-    is cut every few rounds through the shared checkpoint folder.
+    Rounds of frontier against edges; a vertex is kept at its first depth. Every
+    round is written to the shared checkpoint folder: the next one uses it twice, so
+    without that the work would double from round to round.
     """
     edges = graph.edges.select("src", "dst")
     if not directed:
-        edges = edges.union(edges.select("dst", "src")).distinct()
-    seen = start.select(F.col(start.columns[0]).alias("id")).distinct().withColumn("depth", F.lit(0))
+        edges = durable(edges.union(edges.select("dst", "src")).distinct())
+    ids = start.select(F.col(start.columns[0]).alias("id")).distinct()
+    seen = durable(ids.withColumn("depth", F.lit(0)))
     frontier = seen
     for step in range(1, max_depth + 1):
-        reached = (
+        reached = durable(
             frontier.select(F.col("id").alias("src"))
             .join(edges, "src")
             .select(F.col("dst").alias("id"))
@@ -93,14 +92,9 @@ def traverse(graph: Graph, start: DataFrame, max_depth: int, directed: bool = Tr
             .join(seen.select("id"), "id", "left_anti")
             .withColumn("depth", F.lit(step))
         )
-        seen = seen.unionByName(reached)
-        if step % CHECKPOINT_EVERY == 0 and step < max_depth:
-            seen = durable(seen)
-            frontier = seen.where(F.col("depth") == step)
-            if not frontier.limit(1).collect():
-                break
-        else:
-            frontier = reached
+        if not reached.limit(1).collect():
+            break
+        seen, frontier = seen.unionByName(reached), reached
     return seen
 
 

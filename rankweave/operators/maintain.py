@@ -16,6 +16,18 @@ def _stored(index: TextIndex) -> StoredIndex:
     return index
 
 
+def _writable(index: TextIndex) -> StoredIndex:
+    """The index if it is the current version: a change on an old one would be lost.
+
+    An index has one writer at a time; of two that meet, the second manifest fails.
+    """
+    index = _stored(index)
+    current = StoredIndex.open(index.spark, index.path).manifest.version
+    if current != index.manifest.version:
+        raise RuntimeError(f"index version {index.manifest.version} is not the current one ({current}): open it again")
+    return index
+
+
 def _next_segment(manifest: Manifest) -> int:
     """A number above all live ones; segments of a failed attempt are written over."""
     return max([0, *manifest.segments]) + 1
@@ -30,7 +42,7 @@ def append_segment(
     so a batch not above the last one added is a repetition and is passed over.
     Document frequencies are counted from postings, so nothing has to be adjusted.
     """
-    index = _stored(index)
+    index = _writable(index)
     manifest = index.manifest
     if batch is not None and batch[1] <= manifest.batches.get(batch[0], -1):
         return index
@@ -45,7 +57,7 @@ def append_segment(
 
 def delete_docs(index: StoredIndex, ids: DataFrame) -> StoredIndex:
     """Mark documents dead in the segments that hold them."""
-    index = _stored(index)
+    index = _writable(index)
     following = index.manifest.next(tombstones=[*index.manifest.tombstones, index.manifest.version + 1])
     wanted = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
     dead = index.stored_doc_stats().select("id", "segment").distinct().join(wanted, "id", "left_semi")
@@ -59,7 +71,7 @@ def delete_docs(index: StoredIndex, ids: DataFrame) -> StoredIndex:
 
 def compact(index: StoredIndex) -> StoredIndex:
     """Bring the segments into one and drop dead documents; no text is read."""
-    index = _stored(index)
+    index = _writable(index)
     manifest = index.manifest
     segment = _next_segment(manifest)
     write_segment(index, index.path, manifest, segment)
@@ -70,7 +82,7 @@ def compact(index: StoredIndex) -> StoredIndex:
 
 def reindex(index: StoredIndex, df: DataFrame, dictionary: DataFrame | None = None) -> StoredIndex:
     """Analyse the texts of ``df`` again, with the dictionary as it is now."""
-    index = _stored(index)
+    index = _writable(index)
     manifest = index.manifest
     words = dictionary if dictionary is not None else index.dictionary
     segment = _next_segment(manifest)

@@ -112,7 +112,7 @@ def json_schema_check(df: DataFrame, col: str, schema: dict) -> DataFrame:
     variant = F.try_parse_json(F.col(col))
     parsed = df.withColumn("__v", variant)
     v = F.col("__v")
-    rules = [("json", "$", v.isNull())] + [
+    rules = [("json", "$", v.isNull() & F.col(col).isNotNull())] + [
         (rule, path, v.isNotNull() & F.coalesce(broken, F.lit(False))) for rule, path, broken in _rules(v, schema, "$")
     ]
     listed = F.array(
@@ -127,8 +127,7 @@ def json_schema_check(df: DataFrame, col: str, schema: dict) -> DataFrame:
 def violation_summary(checked: DataFrame) -> DataFrame:
     """(rule, path, n_rows) over a checked table."""
     return (
-        checked.where("valid = false")
-        .select(F.inline("violations"))
+        checked.select(F.inline("violations"))
         .groupBy("rule", "path")
         .agg(F.count("*").alias("n_rows"))
     )

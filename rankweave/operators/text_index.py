@@ -214,6 +214,19 @@ class FrameIndex(TextIndex):
     def doc_stats(self) -> DataFrame:
         return self._long().select("id", "field", F.size("tokens").alias("len"))
 
+    def term_stats(self, terms: list[str] | None = None) -> DataFrame:
+        """(term, df) out of each document's distinct terms, positions not being needed."""
+        parts = None
+        for f in self.fields:
+            arrays = self._arrays(f)
+            parts = arrays if parts is None else parts.unionByName(arrays)
+        if self.multi_field:
+            parts = parts.groupBy("id").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+        held = F.array_distinct("tokens")
+        if terms is not None:
+            held = F.filter(held, lambda t: t.isin(*terms))
+        return parts.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
     def all_ids(self) -> DataFrame:
         return self.source.select(F.col(self.id_col).alias("id"))
 

@@ -9,7 +9,7 @@ from rankweave.functions.text import highlight, token_pattern
 from rankweave.operators.analyze import segment_runs
 from rankweave.operators.query import B, K1, Or, Query, Scope, analyze_query, analyze_text, plain_terms
 from rankweave.operators.text_index import FrameIndex, Leaf, TextIndex
-from rankweave.session import BROADCAST_ROWS, at_most
+from rankweave.session import BROADCAST_ROWS, at_most, broadcast_if_small, durable
 
 SNIPPET_MODES = ("none", "html", "ansi")
 # Terminal escapes of the ansi snippets.
@@ -336,7 +336,11 @@ def search_many(
         raise ValueError(f"snippet must be one of {SNIPPET_MODES}, got {snippet!r}")
     qterms = query_terms(queries, query_id, text, index.analyzer, index.dictionary)
     distinct = qterms.select("term").distinct()
-    weights = term_impacts(index, distinct)
+    weights = term_impacts(index, broadcast_if_small(distinct))
+    if isinstance(index, FrameIndex):
+        # Used for the frequencies and the scores: the texts are analysed once, and
+        # only the postings of the asked terms are kept.
+        weights = durable(weights)
     if prune:
         ranked = _search_pruned(index, weights, qterms, k, salts)
     else:
