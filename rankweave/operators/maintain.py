@@ -60,8 +60,10 @@ def delete_docs(index: StoredIndex, ids: DataFrame) -> StoredIndex:
     index = _writable(index)
     following = index.manifest.next(tombstones=[*index.manifest.tombstones, index.manifest.version + 1])
     wanted = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
-    dead = index.stored_doc_stats().select("id", "segment").distinct().join(wanted, "id", "left_semi")
-    dead.coalesce(8).write.mode("errorifexists").parquet(f"{index.path}/tombstones/version={following.version}")
+    # Only live documents are marked, so the totals of the dead can simply be added up.
+    live = index._live(index.stored_doc_stats())
+    dead = live.join(wanted, "id", "left_semi").select("id", "segment", "field", "len")
+    dead.write.mode("errorifexists").parquet(f"{index.path}/tombstones/version={following.version}")
     write_manifest(index.spark, index.path, following)
     source = index.source
     if source is not None:
@@ -104,7 +106,7 @@ def segment_info(index: TextIndex) -> DataFrame:
     if dead is None:
         marked = docs.withColumn("dead", F.lit(0))
     else:
-        marked = docs.join(dead.distinct().withColumn("dead", F.lit(1)), ["id", "segment"], "left")
+        marked = docs.join(dead.select("id", "segment").distinct().withColumn("dead", F.lit(1)), ["id", "segment"], "left")
     return marked.groupBy("segment").agg(
         F.count("*").alias("docs"),
         F.coalesce(F.sum("dead"), F.lit(0)).cast("long").alias("dead"),

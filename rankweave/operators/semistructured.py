@@ -34,8 +34,42 @@ def _text(value: object) -> Column:
     return F.to_json(F.parse_json(F.lit(json.dumps(value))))
 
 
-def _rules(v: Column, schema: dict, path: str) -> list[tuple[str, str, Column]]:
-    """(rule, path, broken) for every keyword of a schema, ``v`` being present."""
+class _Node:
+    """A place in the instance: its value, type and members as columns."""
+
+    def __init__(self, value: Column, kind: Column, members: Column) -> None:
+        self.value, self.kind, self.members = value, kind, members
+
+    def has(self, name: str) -> Column:
+        return F.coalesce(F.map_contains_key(self.members, F.lit(name)), F.lit(False))
+
+
+def _inline_node(value: Column) -> _Node:
+    return _Node(value, _kind(value), F.try_variant_get(value, "$", "map<string,variant>"))
+
+
+class _Stages:
+    """Columns to add step by step, so that a value is taken apart once and not per rule."""
+
+    def __init__(self) -> None:
+        self.steps: list[list[Column]] = []
+        self.count = 0
+
+    def node(self, value: Column) -> _Node:
+        n = self.count
+        self.count += 1
+        names = f"__v{n}", f"__k{n}", f"__m{n}"
+        self.steps.append([value.alias(names[0])])
+        held = _inline_node(F.col(names[0]))
+        self.steps.append([held.kind.alias(names[1]), held.members.alias(names[2])])
+        return _Node(*[F.col(name) for name in names])
+
+    def added(self) -> list[str]:
+        return [f"__{c}{n}" for n in range(self.count) for c in "vkm"]
+
+
+def _rules(node: _Node, schema: dict, path: str, child) -> list[tuple[str, str, Column]]:
+    """(rule, path, broken) for every keyword of a schema; ``child`` makes member nodes."""
     if schema is True or schema == {}:
         return []
     if not isinstance(schema, dict):
@@ -43,8 +77,8 @@ def _rules(v: Column, schema: dict, path: str) -> list[tuple[str, str, Column]]:
     unknown = set(schema) - set(KEYWORDS)
     if unknown:
         raise ValueError(f"schema keywords not supported at {path}: {sorted(unknown)}")
-    kind = _kind(v)
-    is_number = kind.isin("integer", "number")
+    v, kind = node.value, node.kind
+    is_number, is_text, is_object = kind.isin("integer", "number"), kind == "string", kind == "object"
     out: list[tuple[str, str, Column]] = []
     if "type" in schema:
         allowed = [schema["type"]] if isinstance(schema["type"], str) else list(schema["type"])
@@ -63,29 +97,28 @@ def _rules(v: Column, schema: dict, path: str) -> list[tuple[str, str, Column]]:
         out.append(("maximum", path, is_number & (number > F.lit(float(schema["maximum"])))))
     text = F.try_variant_get(v, "$", "string")
     if "minLength" in schema:
-        out.append(("minLength", path, (kind == "string") & (F.length(text) < schema["minLength"])))
+        out.append(("minLength", path, is_text & (F.length(text) < schema["minLength"])))
     if "maxLength" in schema:
-        out.append(("maxLength", path, (kind == "string") & (F.length(text) > schema["maxLength"])))
+        out.append(("maxLength", path, is_text & (F.length(text) > schema["maxLength"])))
     if "pattern" in schema:
-        out.append(("pattern", path, (kind == "string") & ~text.rlike(schema["pattern"])))
-    members = F.try_variant_get(v, "$", "map<string,variant>")
-    has = lambda name: F.coalesce(F.map_contains_key(members, F.lit(name)), F.lit(False))
-    is_object = kind == "object"
+        out.append(("pattern", path, is_text & ~text.rlike(schema["pattern"])))
     for name in schema.get("required", ()):
-        out.append(("required", f"{path}.{name}", is_object & ~has(name)))
+        out.append(("required", f"{path}.{name}", is_object & ~node.has(name)))
     properties = schema.get("properties", {})
     for name, inner in properties.items():
-        for rule, where, broken in _rules(F.element_at(members, F.lit(name)), inner, f"{path}.{name}"):
-            out.append((rule, where, is_object & has(name) & broken))
+        member = child(F.element_at(node.members, F.lit(name)))
+        for rule, where, broken in _rules(member, inner, f"{path}.{name}", child):
+            out.append((rule, where, is_object & node.has(name) & broken))
     if "additionalProperties" in schema:
         if schema["additionalProperties"] is False:
             known = F.array(*[F.lit(n) for n in properties]).cast("array<string>")
-            extra = F.size(F.array_except(F.map_keys(members), known)) > 0
+            extra = F.size(F.array_except(F.map_keys(node.members), known)) > 0
             out.append(("additionalProperties", path, is_object & extra))
         elif schema["additionalProperties"] is not True:
             raise ValueError(f"additionalProperties at {path} must be true or false")
     if "items" in schema:
-        for rule, where, _ in _rules(F.lit(None).cast("variant"), schema["items"], f"{path}[]"):
+        nothing = _inline_node(F.lit(None).cast("variant"))
+        for rule, where, _ in _rules(nothing, schema["items"], f"{path}[]", _inline_node):
             out.append((rule, where, (kind == "array") & _some_item(v, schema["items"], path, rule, where)))
     return out
 
@@ -95,7 +128,7 @@ def _some_item(v: Column, items: dict, path: str, rule: str, where: str) -> Colu
 
     def broken(x: Column) -> Column:
         out = F.lit(False)
-        for r, w, b in _rules(x, items, f"{path}[]"):
+        for r, w, b in _rules(_inline_node(x), items, f"{path}[]", _inline_node):
             if (r, w) == (rule, where):
                 out = out | F.coalesce(b, F.lit(False))
         return out
@@ -104,24 +137,30 @@ def _some_item(v: Column, items: dict, path: str, rule: str, where: str) -> Colu
 
 
 def json_schema_check(df: DataFrame, col: str, schema: dict) -> DataFrame:
-    """``df`` with ``valid`` and ``violations`` (array of rule and path).
+    """``df`` with ``violations`` (array of rule and path) and ``valid``.
 
     The schema becomes column predicates, so the check runs in the scan. Text that
     is no JSON breaks the rule 'json'; NULL is neither valid nor invalid.
     """
-    variant = F.try_parse_json(F.col(col))
-    parsed = df.withColumn("__v", variant)
-    v = F.col("__v")
-    rules = [("json", "$", v.isNull() & F.col(col).isNotNull())] + [
-        (rule, path, v.isNotNull() & F.coalesce(broken, F.lit(False))) for rule, path, broken in _rules(v, schema, "$")
+    stages = _Stages()
+    root = stages.node(F.try_parse_json(F.col(col)))
+    rules = [("json", "$", root.value.isNull() & F.col(col).isNotNull())] + [
+        (rule, path, root.value.isNotNull() & F.coalesce(broken, F.lit(False)))
+        for rule, path, broken in _rules(root, schema, "$", stages.node)
     ]
     listed = F.array(
         *[F.when(broken, F.struct(F.lit(rule).alias("rule"), F.lit(path).alias("path"))) for rule, path, broken in rules]
     )
-    checked = parsed.withColumn("violations", F.filter(listed, lambda x: x.isNotNull()))
-    return checked.withColumn(
-        "valid", F.when(F.col(col).isNotNull(), F.size("violations") == 0)
-    ).drop("__v")
+    out = df
+    for step in stages.steps:
+        out = out.select("*", *step)
+    out = out.select(*df.columns, F.filter(listed, lambda x: x.isNotNull()).alias("__found"))
+    # inline keeps a later filter on the result from repeating the check inside it
+    valid = F.when(F.col(col).isNotNull(), F.size("__found") == 0)
+    return out.select(
+        *df.columns,
+        F.inline(F.array(F.struct(F.col("__found").alias("violations"), valid.alias("valid")))),
+    )
 
 
 def violation_summary(checked: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ Tables of a stored index, below one path:
 
 * ``postings/segment=n/bucket=b`` - id, field, term, tf, len, positions
 * ``doc_stats/segment=n`` - id, field, len
-* ``tombstones/version=v`` - id
+* ``corpus/segment=n`` - field, n_docs, total_len
+* ``tombstones/version=v`` - id, segment, field, len
 * ``manifest/version=v`` - one JSON row; the highest version is the current one
 """
 
@@ -131,12 +132,19 @@ class TextIndex:
         """(id, field, len) of live documents."""
         raise NotImplementedError
 
-    def corpus(self) -> DataFrame:
-        """(field, n_docs, total_len) over live documents."""
-        return self.doc_stats().groupBy("field").agg(
+    @staticmethod
+    def totals(doc_stats: DataFrame) -> DataFrame:
+        return doc_stats.groupBy("field").agg(
             F.count("*").alias("n_docs"), F.sum("len").cast("long").alias("total_len")
         )
 
+    def corpus(self) -> DataFrame:
+        """(field, n_docs, total_len) over live documents."""
+        return self.totals(self.doc_stats())
+
+    def source_spark(self) -> SparkSession:
+        raise NotImplementedError
+
     def term_stats(self, terms: list[str] | None = None) -> DataFrame:
         """(term, df): documents with the term in any field."""
         found = self.postings(terms).select("id", "term")
@@ -194,6 +202,9 @@ class FrameIndex(TextIndex):
         self.analyzer, self.dictionary = analyzer, dictionary
         self.max_token_bytes = max_token_bytes
 
+    def source_spark(self) -> SparkSession:
+        return self.source.sparkSession
+
     def _arrays(self, name: str) -> DataFrame:
         wide = spread(self.source.select(self.id_col, name), self.id_col)
         arrays = token_arrays(wide, self.id_col, name, self.analyzer, self.dictionary)
@@ -283,6 +294,7 @@ class FrameIndex(TextIndex):
             version=1,
             analyzer=self.analyzer,
             id_col=self.id_col,
+            id_type=self.source.schema[self.id_col].dataType.simpleString(),
             weights=self.weights,
             buckets=buckets,
             splits=splits,
@@ -296,6 +308,17 @@ class FrameIndex(TextIndex):
         return StoredIndex(spark, path, manifest, self.source, self.dictionary)
 
 
+def table_schema(name: str, id_type: str, segment: bool = False) -> str:
+    """Columns of a stored table, so that no file has to be opened to learn them."""
+    columns = {
+        "postings": f"id {id_type}, field string, term string, tf int, len int, positions array<int>, bucket int",
+        "doc_stats": f"id {id_type}, field string, len int",
+        "corpus": "field string, n_docs long, total_len long",
+        "tombstones": f"id {id_type}, segment int, field string, len int",
+    }[name]
+    return columns + (", segment int" if segment else "")
+
+
 @dataclass(frozen=True)
 class Manifest:
     """What a reader must know; written last, so a reader sees whole versions only."""
@@ -303,6 +326,7 @@ class Manifest:
     version: int
     analyzer: str
     id_col: str
+    id_type: str
     weights: dict[str, float]
     buckets: int
     splits: int
@@ -341,7 +365,11 @@ def write_segment(index: TextIndex, path: str, manifest: Manifest, segment: int)
     laid_out.write.mode("overwrite").partitionBy("bucket").parquet(
         f"{path}/postings/segment={segment}"
     )
-    index.doc_stats().write.mode("overwrite").parquet(f"{path}/doc_stats/segment={segment}")
+    stats = f"{path}/doc_stats/segment={segment}"
+    index.doc_stats().write.mode("overwrite").parquet(stats)
+    # Summed up once, so that a search needs no look at the document lengths.
+    written = index.source_spark().read.schema(table_schema("doc_stats", manifest.id_type)).parquet(stats)
+    TextIndex.totals(written).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus/segment={segment}")
 
 
 class StoredIndex(TextIndex):
@@ -379,25 +407,38 @@ class StoredIndex(TextIndex):
     def _segments(self, table: str, segments: list[int] | None = None) -> DataFrame:
         """Rows of a table in the live segments, each with its segment number."""
         wanted = self.manifest.segments if segments is None else segments
-        rows = self.spark.read.option("basePath", f"{self.path}/{table}").parquet(
+        reader = self.spark.read.schema(table_schema(table, self.manifest.id_type, segment=True))
+        return reader.option("basePath", f"{self.path}/{table}").parquet(
             *[f"{self.path}/{table}/segment={s}" for s in wanted]
         )
-        return rows
 
     def tombstones(self) -> DataFrame | None:
-        """(id, segment) of deleted documents; None when nothing was deleted.
+        """(id, segment, field, len) of deleted documents; None when nothing was deleted.
 
         A deletion covers the segments that existed then, so an id may return later.
         """
         if not self.manifest.tombstones:
             return None
-        return self.spark.read.parquet(
+        rows = self.spark.read.schema(table_schema("tombstones", self.manifest.id_type)).parquet(
             *[f"{self.path}/tombstones/version={v}" for v in self.manifest.tombstones]
-        ).select("id", "segment")
+        )
+        return rows.where(F.col("segment").isin(*self.manifest.segments))
+
+    def source_spark(self) -> SparkSession:
+        return self.spark
+
+    def corpus(self) -> DataFrame:
+        """Totals of the segments less those of the deleted documents."""
+        sums = self._segments("corpus").select("field", "n_docs", "total_len")
+        dead = self.tombstones()
+        if dead is not None:
+            gone = dead.select("field", F.lit(-1).cast("long").alias("n_docs"), (-F.col("len")).cast("long").alias("total_len"))
+            sums = sums.unionByName(gone)
+        return sums.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
 
     def _live(self, rows: DataFrame) -> DataFrame:
         dead = self.tombstones()
-        return rows if dead is None else rows.join(dead, ["id", "segment"], "left_anti")
+        return rows if dead is None else rows.join(dead.select("id", "segment"), ["id", "segment"], "left_anti")
 
     def stored_postings(self, terms: list[str] | None = None) -> DataFrame:
         """Postings with dead documents, with the segment column."""

@@ -9,7 +9,7 @@ from rankweave.functions.text import highlight, token_pattern
 from rankweave.operators.analyze import segment_runs
 from rankweave.operators.query import B, K1, Or, Query, Scope, analyze_query, analyze_text, plain_terms
 from rankweave.operators.text_index import FrameIndex, Leaf, TextIndex
-from rankweave.session import BROADCAST_ROWS, at_most, broadcast_if_small, durable
+from rankweave.session import BROADCAST_ROWS, at_most, durable
 
 SNIPPET_MODES = ("none", "html", "ansi")
 # Terminal escapes of the ansi snippets.
@@ -19,7 +19,7 @@ SCORE_PLACES = 6
 
 
 def _spark(index: TextIndex):
-    return index.spark if hasattr(index, "spark") else index.source.sparkSession
+    return index.source_spark()
 
 
 def as_query(index: TextIndex, query: Query | str) -> Query | None:
@@ -307,10 +307,11 @@ def _top_per_query(scored: DataFrame, k: int) -> DataFrame:
 def _join_terms(weights: DataFrame, qterms: DataFrame, salts: int) -> DataFrame:
     """Postings with the queries that ask for their term.
 
-    A few queries are broadcast, after counting. Many are shuffled by term, the
-    postings of a hot term being spread over ``salts`` parts.
+    With ``salts`` 0 the query terms have been counted to be few and are broadcast.
+    Else both sides are shuffled by term, the postings of a hot term being spread
+    over ``salts`` parts.
     """
-    if at_most(qterms, BROADCAST_ROWS):
+    if not salts:
         return weights.join(F.broadcast(qterms), "term")
     salted = qterms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread_out = weights.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
@@ -335,8 +336,10 @@ def search_many(
     if snippet not in SNIPPET_MODES:
         raise ValueError(f"snippet must be one of {SNIPPET_MODES}, got {snippet!r}")
     qterms = query_terms(queries, query_id, text, index.analyzer, index.dictionary)
+    if at_most(qterms, BROADCAST_ROWS):
+        salts = 0
     distinct = qterms.select("term").distinct()
-    weights = term_impacts(index, broadcast_if_small(distinct))
+    weights = term_impacts(index, distinct if salts else F.broadcast(distinct))
     if isinstance(index, FrameIndex):
         # Used for the frequencies and the scores: the texts are analysed once, and
         # only the postings of the asked terms are kept.
@@ -399,7 +402,8 @@ def _search_pruned(index: TextIndex, weights: DataFrame, qterms: DataFrame, k: i
     bounds = _idf(
         index, weights.groupBy("term").agg(F.count("*").alias("df"), F.max("tfn").alias("top"))
     ).select("term", "df", "idf", (F.col("idf") * F.col("top")).alias("bound"))
-    plan = qterms.join(bounds, "term")
+    # One row per query and term, used by all the steps below.
+    plan = durable(qterms.join(bounds, "term"))
     rare = Window.partitionBy("query_id").orderBy("df", "term")
     before = F.coalesce(
         F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -425,7 +429,7 @@ def _search_pruned(index: TextIndex, weights: DataFrame, qterms: DataFrame, k: i
     )
     required = sorted_plan.where(~F.col("optional")).select("query_id", "term", "idf")
     optional = sorted_plan.where(F.col("optional")).select("query_id", "term", "idf")
-    main = (
+    main = durable(
         _join_terms(weights, required, salts)
         .groupBy("query_id", "id")
         .agg(F.sum(F.col("idf") * F.col("tfn")).alias("part"))
