@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.operators.analyze import dictionary_version
-from rankweave.operators.text_index import Manifest, StoredIndex, TextIndex, write_manifest, write_segment
+from rankweave.operators.text_index import (
+    Manifest, StoredIndex, TextIndex, table_schema, write_manifest, write_segment,
+)
 from rankweave.operators.text_search import _idf, term_impacts
 
 
@@ -47,9 +51,11 @@ def append_segment(
     if batch is not None and batch[1] <= manifest.batches.get(batch[0], -1):
         return index
     segment = _next_segment(manifest)
-    write_segment(index.frame_index(rows), index.path, manifest, segment)
+    totals = write_segment(index.frame_index(rows), index.path, manifest, segment)
     batches = manifest.batches if batch is None else {**manifest.batches, batch[0]: batch[1]}
-    following = manifest.next(segments=[*manifest.segments, segment], batches=batches)
+    following = manifest.next(
+        segments=[*manifest.segments, segment], batches=batches, totals={**manifest.totals, str(segment): totals}
+    )
     write_manifest(index.spark, index.path, following)
     source = index.source.unionByName(rows.select(*index.source.columns)) if index.source is not None else None
     return StoredIndex(index.spark, index.path, following, source, index.dictionary)
@@ -63,7 +69,18 @@ def delete_docs(index: StoredIndex, ids: DataFrame) -> StoredIndex:
     # Only live documents are marked, so the totals of the dead can simply be added up.
     live = index._live(index.stored_doc_stats())
     dead = live.join(wanted, "id", "left_semi").select("id", "segment", "field", "len")
-    dead.write.mode("errorifexists").parquet(f"{index.path}/tombstones/version={following.version}")
+    target = f"{index.path}/tombstones/version={following.version}"
+    dead.write.mode("overwrite").parquet(target)
+    # A row per live segment and field.
+    counted = index.spark.read.schema(table_schema("tombstones", following.id_type)).parquet(target).groupBy(
+        "segment", "field"
+    ).agg(F.count("*").alias("n"), F.sum("len").alias("len"))
+    gone = {s: dict(fields) for s, fields in following.dead.items()}
+    for row in counted.collect():
+        fields = gone.setdefault(str(row["segment"]), {})
+        n, length = fields.get(row["field"], (0, 0))
+        fields[row["field"]] = [n + row["n"], length + row["len"]]
+    following = replace(following, dead=gone)
     write_manifest(index.spark, index.path, following)
     source = index.source
     if source is not None:
@@ -76,8 +93,8 @@ def compact(index: StoredIndex) -> StoredIndex:
     index = _writable(index)
     manifest = index.manifest
     segment = _next_segment(manifest)
-    write_segment(index, index.path, manifest, segment)
-    following = manifest.next(segments=[segment], tombstones=[])
+    totals = {str(segment): write_segment(index, index.path, manifest, segment)}
+    following = manifest.next(segments=[segment], tombstones=[], totals=totals, dead={})
     write_manifest(index.spark, index.path, following)
     return StoredIndex(index.spark, index.path, following, index.source, index.dictionary)
 
@@ -88,12 +105,12 @@ def reindex(index: StoredIndex, df: DataFrame, dictionary: DataFrame | None = No
     manifest = index.manifest
     words = dictionary if dictionary is not None else index.dictionary
     segment = _next_segment(manifest)
-    write_segment(index.frame_index(df, words), index.path, manifest, segment)
+    totals = {str(segment): write_segment(index.frame_index(df, words), index.path, manifest, segment)}
     stamp = {}
     if index.analyzer == "words":
         now = dictionary_version(words).first()
         stamp = {"dictionary_version": now["version"], "dictionary_fingerprint": now["fingerprint"]}
-    following = manifest.next(segments=[segment], tombstones=[], **stamp)
+    following = manifest.next(segments=[segment], tombstones=[], totals=totals, dead={}, **stamp)
     write_manifest(index.spark, index.path, following)
     return StoredIndex(index.spark, index.path, following, df, words)
 

@@ -10,9 +10,9 @@ Tables of a stored index, below one path:
 
 * ``postings/segment=n/bucket=b`` - id, field, term, tf, len, positions
 * ``doc_stats/segment=n`` - id, field, len
-* ``corpus/segment=n`` - field, n_docs, total_len
 * ``tombstones/version=v`` - id, segment, field, len
-* ``manifest/version=v`` - one JSON row; the highest version is the current one
+* ``manifest/version=v`` - one JSON row; the highest version is the current one. It
+  also holds the document counts and total lengths, so a search needs no job for them.
 """
 
 from __future__ import annotations
@@ -142,6 +142,15 @@ class TextIndex:
         """(field, n_docs, total_len) over live documents."""
         return self.totals(self.doc_stats())
 
+    def n_docs(self) -> Column:
+        """Number of live documents, as a scalar."""
+        return self.corpus().select(F.coalesce(F.max("n_docs"), F.lit(0))).scalar()
+
+    def mean_len(self, name: str) -> Column:
+        """Mean length of a field over live documents, as a scalar."""
+        mine = self.corpus().where(F.col("field") == name)
+        return mine.select(F.max(F.col("total_len") / F.col("n_docs"))).scalar()
+
     def source_spark(self) -> SparkSession:
         raise NotImplementedError
 
@@ -303,7 +312,7 @@ class FrameIndex(TextIndex):
             dictionary_version=version["version"],
             dictionary_fingerprint=version["fingerprint"],
         )
-        write_segment(self, path, manifest, 1)
+        manifest = replace(manifest, totals={"1": write_segment(self, path, manifest, 1)})
         write_manifest(spark, path, manifest)
         return StoredIndex(spark, path, manifest, self.source, self.dictionary)
 
@@ -313,7 +322,6 @@ def table_schema(name: str, id_type: str, segment: bool = False) -> str:
     columns = {
         "postings": f"id {id_type}, field string, term string, tf int, len int, positions array<int>, bucket int",
         "doc_stats": f"id {id_type}, field string, len int",
-        "corpus": "field string, n_docs long, total_len long",
         "tombstones": f"id {id_type}, segment int, field string, len int",
     }[name]
     return columns + (", segment int" if segment else "")
@@ -335,6 +343,8 @@ class Manifest:
     dictionary_version: int | None = None
     dictionary_fingerprint: int | None = None
     tombstones: list[int] = field(default_factory=list)
+    totals: dict[str, dict[str, list[int]]] = field(default_factory=dict)
+    dead: dict[str, dict[str, list[int]]] = field(default_factory=dict)
     batches: dict[str, int] = field(default_factory=dict)
 
     def next(self, **changes) -> "Manifest":
@@ -348,8 +358,8 @@ def write_manifest(spark: SparkSession, path: str, manifest: Manifest) -> None:
     )
 
 
-def write_segment(index: TextIndex, path: str, manifest: Manifest, segment: int) -> None:
-    """Write the rows of ``index`` as one segment.
+def write_segment(index: TextIndex, path: str, manifest: Manifest, segment: int) -> dict[str, list[int]]:
+    """Write the rows of ``index`` as one segment; returns its totals by field.
 
     Postings move once, by bucket and document hash: a term in a third of all
     documents is spread over ``splits`` files of its bucket.
@@ -367,9 +377,9 @@ def write_segment(index: TextIndex, path: str, manifest: Manifest, segment: int)
     )
     stats = f"{path}/doc_stats/segment={segment}"
     index.doc_stats().write.mode("overwrite").parquet(stats)
-    # Summed up once, so that a search needs no look at the document lengths.
     written = index.source_spark().read.schema(table_schema("doc_stats", manifest.id_type)).parquet(stats)
-    TextIndex.totals(written).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus/segment={segment}")
+    # At most one row per field; an empty segment has none.
+    return {r["field"]: [r["n_docs"], r["total_len"]] for r in TextIndex.totals(written).collect()}
 
 
 class StoredIndex(TextIndex):
@@ -427,14 +437,21 @@ class StoredIndex(TextIndex):
     def source_spark(self) -> SparkSession:
         return self.spark
 
-    def corpus(self) -> DataFrame:
-        """Totals of the segments less those of the deleted documents."""
-        sums = self._segments("corpus").select("field", "n_docs", "total_len")
-        dead = self.tombstones()
-        if dead is not None:
-            gone = dead.select("field", F.lit(-1).cast("long").alias("n_docs"), (-F.col("len")).cast("long").alias("total_len"))
-            sums = sums.unionByName(gone)
-        return sums.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
+    def _live_totals(self, name: str) -> tuple[int, int]:
+        """(documents, tokens) of a field, out of the manifest."""
+        n = length = 0
+        for sign, kept in ((1, self.manifest.totals), (-1, self.manifest.dead)):
+            for segment in self.manifest.segments:
+                held = kept.get(str(segment), {}).get(name, (0, 0))
+                n, length = n + sign * held[0], length + sign * held[1]
+        return n, length
+
+    def n_docs(self) -> Column:
+        return F.lit(max(self._live_totals(f)[0] for f in self.fields)).cast("long")
+
+    def mean_len(self, name: str) -> Column:
+        n, length = self._live_totals(name)
+        return F.lit(length / n if n else 0.0)
 
     def _live(self, rows: DataFrame) -> DataFrame:
         dead = self.tombstones()
@@ -481,18 +498,9 @@ class StoredIndex(TextIndex):
         return self.postings(terms).groupBy("id").agg(*columns)
 
     def collection_row(self, candidates: DataFrame, present: list[Column]) -> DataFrame:
-        by_field = self.corpus()
-        n = by_field.select(F.max("n_docs")).scalar()
-        mean = [
-            by_field.where(F.col("field") == f)
-            .select(F.max(F.col("total_len") / F.col("n_docs")))
-            .scalar()
-            for f in self.fields
-        ]
+        means = [self.mean_len(f) for f in self.fields]
         return candidates.agg(_df_columns(present)).select(
-            n.alias("n"),
-            F.array(*mean).alias("avg"),
-            "df",
+            self.n_docs().alias("n"), F.array(*means).alias("avg"), "df"
         )
 
     def frame_index(self, rows: DataFrame, dictionary: DataFrame | None = None) -> FrameIndex:

@@ -131,7 +131,7 @@ def score_inspect(
     stops = set(stop_words or ())
     terms = [] if query is None else [t for t, counts in query.terms() if counts and t not in stops]
     terms = list(dict.fromkeys(terms))
-    n = index.corpus().select(F.max("n_docs")).scalar()
+    n = index.n_docs()
     frequency = index.term_stats(terms)
     out = frequency.select(
         "term",
@@ -281,10 +281,9 @@ def term_impacts(index: TextIndex, terms: DataFrame | None = None) -> DataFrame:
     postings = index.postings().select("id", "field", "term", "tf", "len")
     if terms is not None:
         postings = postings.join(terms, "term", "left_semi")
-    by_field = index.corpus()
     weighted = None
     for f in index.fields:
-        mean = by_field.where(F.col("field") == f).select(F.max(F.col("total_len") / F.col("n_docs"))).scalar()
+        mean = index.mean_len(f)
         part = index.weights[f] * F.col("tf") / ((1 - B) + B * F.when(mean > 0, F.col("len") / mean).otherwise(1.0))
         weighted = part if weighted is None else F.when(F.col("field") == f, part).otherwise(weighted)
     rows = postings.select("id", "term", weighted.alias("w"))
@@ -294,7 +293,7 @@ def term_impacts(index: TextIndex, terms: DataFrame | None = None) -> DataFrame:
 
 
 def _idf(index: TextIndex, frequency: DataFrame) -> DataFrame:
-    n = index.corpus().select(F.max("n_docs")).scalar()
+    n = index.n_docs()
     return frequency.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
