@@ -39,7 +39,7 @@ def tokens_of(text: Column, analyzer: str) -> Column:
 
 def group_tokens(tokens: Column) -> Column:
     """``array<struct<term, pos>>`` sorted by term, then position."""
-    return F.array_sort(
+    return F.sort_array(
         F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
     )
 

@@ -73,7 +73,7 @@ def term_groups(arrays: DataFrame, terms: list[str] | None = None) -> DataFrame:
     pairs = group_tokens(tokens)
     if terms is not None:
         marked = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-        pairs = F.array_sort(F.filter(marked, lambda e: e["term"].isin(*terms)))
+        pairs = F.sort_array(F.filter(marked, lambda e: e["term"].isin(*terms)))
     listed = arrays.select(*keep, F.size("tokens").alias("len"), pairs.alias("__pairs"))
     starts = F.filter(
         F.transform(
@@ -250,6 +250,10 @@ class FrameIndex(TextIndex):
     def all_ids(self) -> DataFrame:
         return self.source.select(F.col(self.id_col).alias("id"))
 
+    def n_docs(self) -> Column:
+        # A count without columns reads no text.
+        return self.source.select(F.count("*")).scalar()
+
     def candidates(self, leaves: list[Leaf], positions: bool) -> DataFrame:
         terms = [leaf.term for leaf in leaves]
         out = None
