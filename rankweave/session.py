@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,17 +29,23 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and working tables.
+    """The folder for checkpoints and working tables, which all executors share.
 
-    A cluster names a shared one in ``spark.checkpoint.dir``. Only where that is
-    unset (tests on one machine) a temporary folder is made, once per session.
+    It is the one that ``spark.checkpoint.dir`` names, else the context's checkpoint
+    folder. A machine-local temporary folder is taken only where driver and executors
+    are one process (tests); a cluster without a shared folder fails.
     """
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not root and context.getCheckpointDir() is not None:
+        root = context.getCheckpointDir()
     if not root:
         root = spark.conf.get("rankweave.fallback.dir", "") or ""
-        if not root:
-            root = tempfile.mkdtemp(prefix="rankweave-")
-            spark.conf.set("rankweave.fallback.dir", root)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="rankweave-")
+        spark.conf.set("rankweave.fallback.dir", root)
     return root.rstrip("/")
 
 
@@ -56,6 +63,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut the lineage through a Parquet table in the shared folder.
+
+    Unlike a checkpoint, later reads prune columns and push filters down.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no further than needed."""
     return df.limit(rows + 1).count() <= rows
