@@ -8,11 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from rankweave import plans
 from rankweave.sources import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = plans.all_queries(), plans.all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +36,8 @@ def plain(value):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) - set(ORACLES) == {"ivf_recall"}
 
 
