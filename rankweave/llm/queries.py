@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import secrets, sharding, urls
+from rankweave.llm import language, licenses, neardup, pieces, secrets, sharding, toxicity, urls
 from rankweave.sources import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -16,6 +16,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
+def _held_out(key: str = "doc_id"):
+    """Rows that no model may learn from."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(~_held_out()))
+    found = language.identify(docs, model)
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 RULES = [
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -31,6 +44,58 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and texts of every document."""
+    found = licenses.find_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["phrase"])
+
+    def labels(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    starts = F.transform(base, lambda s: s["first"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0)).alias("score"),
+    )
+
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The piece ids of every document, and whether they decode to its text again."""
+    docs = table(spark, sf_dir, "documents")
+    coded = pieces.encode(docs, MODEL, with_text=True)
+    return coded.select("doc_id", "ids", "n_pieces", "exact")
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, over two-word shingles."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~_held_out()).select("doc_id", "toxic")
+    model = toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        _held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of every document, base kinds counted and digested."""
     scanned = secrets.scan(table(spark, sf_dir, "documents"))
@@ -52,7 +117,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_language": op2_language,
     "op3_url_filters": op3_url_filters,
+    "op5_licenses": op5_licenses,
+    "op6_pieces": op6_pieces,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
 }
 
