@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import language, licenses, neardup, pieces, secrets, sharding, toxicity, urls
+from rankweave.llm import decontaminate, language, licenses, neardup, pieces, secrets, sharding, toxicity, urls
 from rankweave.sources import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -44,6 +44,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that every document holds; clean documents have no row."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and texts of every document."""
     found = licenses.find_licenses(table(spark, sf_dir, "documents"))
@@ -119,6 +125,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language": op2_language,
     "op3_url_filters": op3_url_filters,
+    "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
     "op6_pieces": op6_pieces,
     "op8_near_duplicates": op8_near_duplicates,

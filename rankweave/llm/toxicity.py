@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from rankweave.llm.common import map_texts
 
 # Bound of the labelled sample that the model is fitted on: whole texts of each class.
-TRAIN_DOCS = 6_000
+TRAIN_DOCS = 5_000
 SLOTS = 1 << 18
 EPOCHS = 60
+# Pull of the weights towards zero.
+SHRINK = 1e-6
+# Least chi-square of a word's presence and the label; the rest would be learnt by heart.
+TELLING = 20.0
 CACHE_WORDS = 400_000
 # Log odds of a sentence without any telling word, to begin with.
 START_BIAS = -6.0
@@ -93,7 +97,21 @@ def learn(
     return _fit(sample, {y: n / sum(sizes.values()) for y, n in sizes.items()}, epochs)
 
 
-def _fit(sample: pd.DataFrame, share: dict[int, float], epochs: int) -> Model:
+def _telling(document: np.ndarray, slots: np.ndarray, labels: np.ndarray, least: float) -> np.ndarray:
+    """Which slots occur in toxic and other documents at rates that differ beyond chance."""
+    pairs = np.unique(document * SLOTS + slots)
+    toxic = labels[pairs // SLOTS] == 1
+    with_toxic, with_clean = (np.bincount(pairs[t] % SLOTS, minlength=SLOTS) for t in (toxic, ~toxic))
+    n_toxic, n_clean = (labels == 1).sum(), (labels == 0).sum()
+    seen = with_toxic + with_clean
+    cross = with_toxic * (n_clean - with_clean) - with_clean * (n_toxic - with_toxic)
+    below = np.maximum(seen * (len(labels) - seen) * float(n_toxic) * n_clean, 1)
+    return len(labels) * cross.astype(float) ** 2 / below >= least
+
+
+def _fit(
+    sample: pd.DataFrame, share: dict[int, float], epochs: int = EPOCHS, shrink: float = SHRINK, telling: float = TELLING
+) -> Model:
     """Full-batch ascent of the weighted log likelihood of the document labels."""
     labels = sample["label"].to_numpy(float)
     weight = np.where(labels == 1, share[1] / max(labels.sum(), 1), share[0] / max((1 - labels).sum(), 1))
@@ -106,6 +124,8 @@ def _fit(sample: pd.DataFrame, share: dict[int, float], epochs: int) -> Model:
         document.append(np.full(len(kinds), number))
         at += len(kinds)
     slots, sentence, document = (np.concatenate(x) if x else np.zeros(0, int) for x in (slots, sentence, document))
+    kept = _telling(document[sentence], slots, labels, telling)[slots]
+    slots, sentence = slots[kept], sentence[kept]
     used, column = np.unique(slots, return_inverse=True)
     w, bias = np.zeros(len(used)), START_BIAS
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -115,7 +135,7 @@ def _fit(sample: pd.DataFrame, share: dict[int, float], epochs: int) -> Model:
         # d log L / dz: -sigmoid(z) if clean, sigmoid(z) * (1 - p) / p if toxic
         odds = np.where(labels == 1, 1 / np.expm1(np.clip(clean, 1e-9, 700)), -1.0) * weight
         slope = odds[document] / (1 + np.exp(-z))
-        g = np.bincount(column, slope[sentence], len(used)) - 2e-6 * w
+        g = np.bincount(column, slope[sentence], len(used)) - shrink * w
         gb = slope.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
