@@ -1,4 +1,8 @@
-"""Corpus preparation: documents through a row of operators of ``rankweave.llm``."""
+"""Corpus preparation: documents through five operators of ``rankweave.llm``.
+
+Each stage takes what its predecessor kept. All but the last return the columns of
+``documents``; the last returns the pieces of every document that is left.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +11,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import secrets
-from rankweave.session import work_path
+from rankweave.llm import decontaminate, language, neardup, pieces, secrets
+from rankweave.session import stored
 from rankweave.sources import table
 
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a main language stay; the model is learnt from their ``lang``."""
+    return language.keep_identified(docs, language.learn(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    return neardup.deduplicate(docs, width=5, percent=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``, edited ones included, stay."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced by a mark."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return secrets.redact(docs).withColumn("n_chars", size)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and n_pieces of every document."""
+    return pieces.encode(docs, MODEL)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
     ("secrets", mask_secrets),
+    ("pieces", encode_pieces),
 ]
 
-# No SQL: the stages learn models and walk through texts.
+# No SQL: the stages learn a model, compare sets and walk through texts.
 ORACLE_SQL: str | None = None
 
 
@@ -29,7 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = work_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import map_texts
-from rankweave.session import at_most, stored
+from rankweave.session import at_most, broadcast_if_small, stored
 
 WORD = re.compile(r"[^\W_]+")
 # Edits allowed for each hundred words of an item.
@@ -206,6 +206,13 @@ def leaks(
     )
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **names) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no item."""
+    found = leaks(docs, items, key, text, **names).select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__hash"))
+    return docs.join(broadcast_if_small(stored(found, "leaks")), same, "left_anti")
+
+
 def _items(items: DataFrame, item: str, text: str) -> DataFrame:
     """(item, words, base, keys) of every item that takes part."""
 

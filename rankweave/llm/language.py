@@ -228,6 +228,26 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     return map_texts(docs, [key], text, {"lang_pred": "string", "score": "double"}, start)
 
 
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.35) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a main language.
+
+    Rejected are texts that are ``und`` (null, or without a letter), and those of which no
+    language has the share ``least`` of the letters.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        labeller = Labeller(shared.value)
+
+        def choose(texts):
+            found = map(labeller.main, texts)
+            return [i for i, (name, share) in enumerate(found) if name != UNKNOWN and share >= least], []
+
+        return choose
+
+    return map_texts(docs, docs.columns, text, {}, start)
+
+
 def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang, start, end, letters): one row for each span of one language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -106,6 +106,25 @@ def near_duplicates(
     )
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each component.
+
+    Texts without words are in no component and stay. Of rows that repeat key and text,
+    any one stays.
+    """
+    found = stored(near_duplicates(docs, key, text, width, percent).where("first"), "first")
+    names = found.select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash"), "n_shingles")
+    repeats = names.where("n_shingles > 0").groupBy("__key", "__hash").count().where("count > 1").isEmpty()
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__hash"))
+    kept = docs.join(names.select("__key", "__hash").distinct(), same, "left_semi")
+    if repeats:
+        return kept
+    # Repeated rows of a text with words: the first of equal ones, found in two parts.
+    wordless = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = kept.where(~wordless).dropDuplicates([key, text])
+    return kept.where(wordless).unionByName(once)
+
+
 def _members(nodes: DataFrame) -> DataFrame:
     """(bucket, hi, hub): the nodes of each bucket that has several, and one of them.
 

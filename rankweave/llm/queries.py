@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontaminate, language, licenses, neardup, pieces, secrets, sharding, toxicity, urls
+from rankweave.llm import decontaminate, language, licenses, nearest, neardup, pieces, secrets, sharding, toxicity, urls
 from rankweave.sources import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -81,6 +81,12 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", "n_pieces", "exact")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors to every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, over two-word shingles."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
@@ -128,6 +134,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
     "op6_pieces": op6_pieces,
+    "op7_nearest": op7_nearest,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
