@@ -36,7 +36,7 @@ HASHES = BANDS * ROWS
 # Signature values compared before each decision, and the chosen miss probability.
 STEP, MISS = 36, 1e-5
 # Nodes of a block; two blocks meet in a task.
-BLOCK = 128
+BLOCK = 512
 # Columns of the indicator matrix that a task holds at once.
 COLUMNS = 4096
 
