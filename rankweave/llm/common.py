@@ -25,12 +25,13 @@ Rows = tuple[Sequence[int] | None, Sequence[Sequence]]
 
 
 def map_texts(
-    df: DataFrame, keys: list[str], text: str, fields: dict[str, str], start: Callable[[], Callable[[list[str | None]], Rows]]
+    df: DataFrame, keys: list[str], text: str, fields: dict[str, str], start: Callable[[], Callable[[list[str | None]], Rows | Iterator[Rows]]]
 ) -> DataFrame:
     """``keys`` and the columns that a function makes of the batches of ``text``.
 
-    ``start`` runs once in each task and gives the function. Keys stay in Arrow, so
-    nulls and large numbers pass through unchanged, whatever their type.
+    ``start`` runs once in each task and gives the function; where it returns an iterator,
+    each part becomes a batch of its own. Keys stay in Arrow, so nulls and large numbers
+    pass through unchanged, whatever their type.
     """
     names = [*keys, *fields]
     types = [ARROW[kind] for kind in fields.values()]
@@ -38,13 +39,14 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            at, columns = work(batch.column(len(keys)).to_pylist())
-            held = [batch.column(i) for i in range(len(keys))]
-            if at is not None:
-                rows = pa.array(at, pa.int64())
-                held = [h.take(rows) for h in held]
-            made = [pa.array(c, t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays(held + made, names)
+            whole = work(batch.column(len(keys)).to_pylist())
+            for at, columns in [whole] if isinstance(whole, tuple) else whole:
+                held = [batch.column(i) for i in range(len(keys))]
+                if at is not None:
+                    rows = pa.array(at, pa.int64())
+                    held = [h.take(rows) for h in held]
+                made = [pa.array(c, t) for c, t in zip(columns, types)]
+                yield pa.RecordBatch.from_arrays(held + made, names)
 
     schema = ", ".join(
         [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{k}` {t}" for k, t in fields.items()]

@@ -8,8 +8,10 @@ walks and samples make it near certain that a window close to an item has a key
 common with it. Candidates are verified by their exact edit distance.
 
 Windows are as long as the items, which are put into classes of similar length. The walk
-need not begin where no item can be: a window within the allowed distance of an item
-holds almost only words of items, so others are passed over, which loses nothing.
+need not begin where no item can be. With d edits a window of n words keeps n - d words
+of the item, and n - 1 - 2d of its pairs of neighbouring words, none of them more often than
+the item has it; windows with fewer words or pairs of any item are passed over, which
+loses nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ PERCENT = 20
 # Items with fewer words say nothing about contamination.
 LEAST_WORDS = 5
 # Walks, keys for each walk, and positions sampled for each key.
-WALKS, KEYS, SAMPLED = 24, 6, 3
+WALKS, KEYS, SAMPLED = 16, 4, 3
 # Steps of a walk for each word of a window: it should not walk out of the item.
 STEPS = 1.6
 # Ratio of the lengths of two neighbouring classes.
@@ -40,8 +42,8 @@ CLASS_RATIO = 1.12
 VOCABULARY = 500_000
 # Item keys up to this number are broadcast (about 40 bytes each).
 BROADCAST_KEYS = 1_000_000
-# Texts whose windows are held at once.
-TEXTS = 256
+# Texts, and windows, that are held at once.
+TEXTS, WINDOWS = 256, 2_048
 
 STRANGER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,6 +56,21 @@ def symbol(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
 
 
+def pair(stream: np.ndarray) -> np.ndarray:
+    """A code of each two neighbouring symbols."""
+    return (stream[:-1] ^ stream[:-1] >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93) + stream[1:]
+
+
+def pair_table(twos: list[tuple[list[str], int, list[int]]], bases: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted codes of pairs of words, the most times that an item has each, and in which classes."""
+    codes, inside = np.zeros(len(twos), np.uint64), np.zeros((len(twos), len(bases)), bool)
+    for i, (words, _, own) in enumerate(twos):
+        codes[i] = pair(np.array([symbol(w) for w in words], np.uint64))[0]
+        inside[i, [bases.index(b) for b in own]] = True
+    order = np.argsort(codes)
+    return codes[order], np.array([t for _, t, _ in twos], np.int64)[order], inside[order]
+
+
 def class_of(words: int) -> int:
     """Words of the windows that items of this many words are compared with."""
     base = float(LEAST_WORDS)
@@ -141,10 +158,17 @@ def leaks(
     coded = stored(_items(items, item, item_text), "items")
     bases = sorted(r["base"] for r in coded.select("base").distinct().collect())
     vocabulary = coded.select(F.explode(F.split("words", " ")).alias("w")).distinct()
-    known = None
+    known = neighbours = None
     if at_most(vocabulary, VOCABULARY):
         known = {r["w"]: symbol(r["w"]) for r in vocabulary.toLocalIterator()}
-    shared = spark.sparkContext.broadcast((known, bases))
+        words = F.split("words", " ")
+        twos = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.slice(words, i, 2))
+        # Of each pair, the most times that an item has it, and the classes of its items.
+        twos = coded.select("item", "words", "base", F.explode(twos).alias("two")).groupBy("item", "words", "base", "two").count()
+        twos = twos.groupBy("two").agg(F.max("count").alias("times"), F.collect_set("base").alias("bases"))
+        if at_most(twos, VOCABULARY):
+            neighbours = pair_table([(r["two"], r["times"], r["bases"]) for r in twos.toLocalIterator()], bases)
+    shared = spark.sparkContext.broadcast((known, neighbours, bases))
 
     read = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     windows = map_texts(
@@ -238,48 +262,82 @@ def _items(items: DataFrame, item: str, text: str) -> DataFrame:
     return map_texts(named, ["item"], "text", {"words": "string", "base": "int", "keys": "array<long>"}, start)
 
 
-def _windows(known: dict[str, int] | None, bases: list[int]):
-    """A function that gives the windows of texts in which an item may begin."""
+def _windows(known: dict[str, int] | None, neighbours: tuple | None, bases: list[int]):
+    """A function that gives the windows of texts in which an item may begin, part by part."""
     reach = {base: longest_of(base) for base in bases}
     gap = int(max(bases, default=1) * STEPS) + SAMPLED
 
     def work(texts):
-        at, columns = [], ([], [], [], [])
         for low in range(0, len(texts), TEXTS):
-            rows, found = _batch(texts[low : low + TEXTS], known, bases, reach, gap)
-            at += [low + r for r in rows]
-            for column, values in zip(columns, found):
-                column += values
-        return at, columns
+            words = [words_of(t) for t in texts[low : low + TEXTS]]
+            first = np.concatenate([[0], np.cumsum([len(w) + gap for w in words])])
+            stream = np.full(first[-1], STRANGER)
+            for begin, own in zip(first, words):
+                coded = [symbol(w) for w in own] if known is None else list(map(known.get, own, [int(STRANGER)] * len(own)))
+                stream[begin : begin + len(own)] = coded
+            pairs = None if neighbours is None else _paired(stream, *neighbours[:2])
+            for number, base in enumerate(bases):
+                mine = None if pairs is None else tuple(x[neighbours[2][pairs[2], number]] for x in pairs[:2])
+                starts = _starts(stream, mine, known is not None, base, edits(reach[base]), gap)
+                owner = np.searchsorted(first, starts, "right") - 1
+                inside = starts - first[owner] < first[owner + 1] - first[owner] - gap
+                starts, owner = starts[inside], owner[inside]
+                span = reach[base] + edits(reach[base])
+                # Equal windows of a text have equal keys and distances: the first stands for all.
+                seen: set[tuple[int, int]] = set()
+                for i in range(0, len(starts), WINDOWS):
+                    rows, places, regions = [], [], []
+                    for start, row in zip(starts[i : i + WINDOWS].tolist(), owner[i : i + WINDOWS].tolist()):
+                        at = start - int(first[row])
+                        region = " ".join(words[row][at : at + span])
+                        mark = (row, symbol(region))
+                        if mark not in seen:
+                            seen.add(mark)
+                            rows.append(row)
+                            places.append(at)
+                            regions.append(region)
+                    if rows:
+                        rows = np.array(rows)
+                        keys = walk_keys(stream, first[rows] + np.array(places), base).view(np.int64)
+                        yield rows + low, ([base] * len(places), places, regions, list(keys))
 
     return work
 
 
-def _batch(texts, known, bases, reach, gap):
-    words = [words_of(t) for t in texts]
-    lengths = np.array([len(w) for w in words])
-    first = np.concatenate([[0], np.cumsum(lengths + gap)])
-    stream = np.full(first[-1], STRANGER)
-    for begin, own in zip(first, words):
-        if known is None:
-            stream[begin : begin + len(own)] = [symbol(w) for w in own]
-        else:
-            stream[begin : begin + len(own)] = list(map(known.get, own, [int(STRANGER)] * len(own)))
-    native = np.concatenate([[0], np.cumsum(stream != STRANGER)])
-    rows, found = [], ([], [], [], [])
-    for base in bases:
-        begins = np.arange(len(stream) - gap)
-        enough = native[begins + base] - native[begins] >= base - edits(reach[base])
-        starts = begins if known is None else begins[enough]
-        owner = np.searchsorted(first, starts, "right") - 1
-        inside = starts - first[owner] < lengths[owner]
-        starts, owner = starts[inside], owner[inside]
-        if not len(starts):
-            continue
-        keys = walk_keys(stream, starts, base).view(np.int64)
-        span = reach[base] + edits(reach[base])
-        for start, row, key in zip((starts - first[owner]).tolist(), owner.tolist(), keys):
-            rows.append(row)
-            for column, value in zip(found, (base, start, " ".join(words[row][start : start + span]), key)):
-                column.append(value)
-    return rows, found
+def _starts(stream: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None, known: bool, base: int, most: int, gap: int) -> np.ndarray:
+    """The positions at which a window is within reach of some item, as far as counts tell."""
+    begins = np.arange(len(stream) - gap)
+    if not known:
+        return begins
+    ours = stream != STRANGER
+    sums = np.concatenate([[0], np.cumsum(ours)])
+    begins = begins[sums[begins + base] - sums[begins] >= base - most]
+    if pairs is not None:
+        # A pair at j counts in the windows that have it, but not its like of before.
+        at, before = pairs
+        low = np.maximum(np.maximum(before + 1, at - base + 2), 0)
+        size = len(stream) + 1
+        counts = np.cumsum(np.bincount(low, minlength=size) - np.bincount(at + 1, minlength=size))
+        begins = begins[counts[begins] >= base - 1 - 2 * most]
+    return begins
+
+
+def _paired(stream: np.ndarray, codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of items' pairs, for each that of the like that is one too many, and its number.
+
+    The like is the same pair's occurrence as many places before as an item may have it;
+    -1 where there is none.
+    """
+    ours = stream != STRANGER
+    at = np.flatnonzero(ours[:-1] & ours[1:])
+    if not len(codes) or not len(at):
+        return (np.zeros(0, np.int64),) * 3
+    number = np.minimum(np.searchsorted(codes, found := pair(stream)[at]), len(codes) - 1)
+    at, number = at[codes[number] == found], number[codes[number] == found]
+    order = np.argsort(number, kind="stable")
+    kind, place = number[order], at[order]
+    back = np.arange(len(order)) - times[kind]
+    same = (back >= 0) & (kind[np.maximum(back, 0)] == kind)
+    before = np.empty(len(order), np.int64)
+    before[order] = np.where(same, place[np.maximum(back, 0)], -1)
+    return at, before, number
