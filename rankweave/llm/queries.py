@@ -97,8 +97,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where(~_held_out()).select("doc_id", "toxic")
-    model = toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~_held_out()))
     scored = toxicity.score(docs, model)
     return scored.select(
         "doc_id",

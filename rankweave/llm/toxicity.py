@@ -66,22 +66,32 @@ def _noisy_or(logits: np.ndarray) -> float:
 
 
 def learn(
-    labelled: DataFrame, text: str = "text", label: str = "toxic", per_class: int = TRAIN_DOCS, epochs: int = EPOCHS
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    per_class: int = TRAIN_DOCS,
+    epochs: int = EPOCHS,
 ) -> Model:
-    """Fit on at most ``per_class`` whole texts of each class, drawn by a hash of the text.
+    """Fit on about ``per_class`` labelled whole texts of each class at most.
 
-    Rows without a text or a label of 0 or 1 take no part. Classes are weighted back to
-    their counted shares. The sample is turned into slots on the executors; the driver
-    gets some numbers for each of its distinct words, and fits full-batch (Adam).
+    The sample is drawn from ``labels`` by a hash of the key, and is then small enough to be
+    broadcast to the texts, which are not moved. Labels other than 0 and 1, null keys and
+    null texts take no part. Classes are weighted back to their counted shares. The sample
+    is turned into slots on the executors; the driver fits full-batch (Adam).
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where(
-        F.col("text").isNotNull() & F.col("label").isin(0, 1)
+    known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where(
+        F.col("id").isNotNull() & F.col("label").isin(0, 1)
     )
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model(np.zeros(SLOTS, np.float32), START_BIAS)
     draw = F.when(F.col("label") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < draw * (1 << 20))
+    # A third of all labels on one key would still be drawn whole, so repeats go first.
+    some = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < draw * (1 << 20)).distinct()
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    drawn = texts.join(F.broadcast(some), "id").select("text", "label")
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

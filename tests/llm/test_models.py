@@ -56,7 +56,7 @@ def test_nothing_to_learn_from(spark):
     none = language.learn(spark.createDataFrame([], "text string, lang string"))
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert language.identify(docs, none).first()["lang_pred"] == "und"
-    calm = toxicity.learn(spark.createDataFrame([("a", 0)], "text string, toxic int"))
+    calm = toxicity.learn(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
     assert toxicity.score(docs, calm).first()["score"] < 0.05
 
 
@@ -85,7 +85,7 @@ def test_sentences_are_found_from_document_labels(spark):
             said[i % 6] += " you vile fool"
         rows.append((i, ". ".join(said) + ".", int(i % 3 == 0)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.learn(docs)
+    model = toxicity.learn(docs.drop("toxic"), docs)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert all((got[i] > 0.5) == bool(y) for i, _, y in rows)
     spans = toxicity.locate(docs, model).collect()
