@@ -58,12 +58,16 @@ def token_pattern(terms: list[str]) -> str:
     return "(?iu)(" + "|".join(alternatives) + ")"
 
 
+def literal_replacement(text: str) -> str:
+    """``text`` as a regular expression's replacement that stands for itself."""
+    return text.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def highlight(text: Column, terms: list[str], begin: str = "<mark>", end: str = "</mark>") -> Column:
     """Wrap every whole token of ``text`` that is one of ``terms`` in the two tags."""
     if not terms:
         return text
-    tag = [t.replace("\\", "\\\\").replace("$", "\\$") for t in (begin, end)]
-    return F.regexp_replace(text, token_pattern(terms), f"{tag[0]}$1{tag[1]}")
+    return F.regexp_replace(text, token_pattern(terms), "$1".join(map(literal_replacement, (begin, end))))
 
 
 def split_bytes(term: Column, max_bytes: int) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,13 +46,20 @@ def distance(a: Column, b: Column, metric: str) -> Column:
 
 
 def check_vector(vector: Sequence[float], what: str = "query_vector") -> list[float]:
-    """A non-empty list of finite numbers."""
-    if len(vector) == 0:
-        raise ValueError(f"{what} must not be empty")
-    for value in vector:
-        if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
-            raise ValueError(f"{what} must hold finite numbers, got {value!r}")
-    return [float(v) for v in vector]
+    """The components as floats; at least one, and all of them finite numbers."""
+    held = list(vector)
+    wrong = [v for v in held if type(v) not in (int, float) and not isinstance(v, np.floating)]
+    wrong = wrong or [v for v in held if not np.isfinite(v)]
+    if wrong or not held:
+        raise ValueError(f"{what}: a vector of finite numbers is needed, found {wrong[0] if wrong else 'nothing'!r}")
+    return [float(v) for v in held]
+
+
+def same_size(vector: Column, size: Column | int) -> Column:
+    """``vector``, or an error where it has another number of components than ``size``."""
+    wanted = F.lit(size) if isinstance(size, int) else size
+    message = F.concat(F.lit("vector of "), F.size(vector), F.lit(" components, expected "), wanted)
+    return F.when(vector.isNull() | (F.size(vector) == wanted), vector).otherwise(F.raise_error(message))
 
 
 def literal(vector: Sequence[float]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.operators.analyze import token_arrays
-from rankweave.session import broadcast_if_small, durable, running_total, spread
+from rankweave.session import broadcast_if_small, durable, null_safe_join, running_total
 
 
 def recall_at_k(hits: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
@@ -71,7 +71,7 @@ def rbo(rank_a: DataFrame, rank_b: DataFrame, p: float = 0.9, depth: int = 10) -
 
 def containment_truth(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, analyzer: str = "unicode") -> DataFrame:
     """(query_id, id): rows that hold the exact token of ``terms`` (query_id, term)."""
-    arrays = token_arrays(spread(df.select(id_col, text_col), id_col), id_col, text_col, analyzer)
+    arrays = token_arrays(df.select(id_col, text_col), id_col, text_col, analyzer)
     held = arrays.select("id", F.explode(F.array_distinct("tokens")).alias("term"))
     return held.join(broadcast_if_small(terms.distinct()), "term").select("query_id", "id").distinct()
 
@@ -105,7 +105,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
     upto = running_total(counted, keys, [value], "__n", "__upto")
     size = counted.groupBy(*keys).agg(F.sum("__n").alias("__size"), F.min(value).alias("min"))
-    placed = upto.join(size, keys)
+    placed = null_safe_join(upto, size, keys)
     columns = []
     for name, p in points.items():
         at = (F.col("__size") - 1) * F.lit(p)

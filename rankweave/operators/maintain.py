@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankweave.operators.analyze import dictionary_version
 from rankweave.operators.text_index import (
-    Manifest, StoredIndex, TextIndex, table_schema, write_manifest, write_segment,
+    Manifest, StoredIndex, TextIndex, check_unique_ids, table_schema, write_manifest, write_segment,
 )
 from rankweave.operators.text_search import _idf, term_impacts
 
@@ -44,12 +44,18 @@ def append_segment(
 
     ``batch`` is the name of a stream and the number of its batch; numbers only grow,
     so a batch not above the last one added is a repetition and is passed over.
-    Document frequencies are counted from postings, so nothing has to be adjusted.
+    Document frequencies are counted from postings, so nothing has to be adjusted. An id
+    that is NULL, comes twice, or is live already is refused.
     """
     index = _writable(index)
     manifest = index.manifest
     if batch is not None and batch[1] <= manifest.batches.get(batch[0], -1):
         return index
+    check_unique_ids(rows, index.id_col)
+    given = rows.select(F.col(index.id_col).alias("id"))
+    held = index.doc_stats().join(given, "id", "left_semi").limit(1).collect()
+    if held:
+        raise ValueError(f"id {held[0]['id']!r} is in the index already: delete it first")
     segment = _next_segment(manifest)
     totals = write_segment(index.frame_index(rows), index.path, manifest, segment)
     batches = manifest.batches if batch is None else {**manifest.batches, batch[0]: batch[1]}
@@ -104,6 +110,7 @@ def reindex(index: StoredIndex, df: DataFrame, dictionary: DataFrame | None = No
     index = _writable(index)
     manifest = index.manifest
     words = dictionary if dictionary is not None else index.dictionary
+    check_unique_ids(df, index.id_col)
     segment = _next_segment(manifest)
     totals = {str(segment): write_segment(index.frame_index(df, words), index.path, manifest, segment)}
     stamp = {}

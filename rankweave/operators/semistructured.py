@@ -176,7 +176,8 @@ def xml_table(df: DataFrame, col: str, row_path: str, columns: dict[str, str]) -
     """One row per element at ``row_path`` with the given child elements or @attributes.
 
     ``row_path`` is /root/.../row; ``columns`` maps a child name, or @ and an
-    attribute name, to a type. The other columns of ``df`` come along.
+    attribute name, to a type. The other columns of ``df`` come along. A document that is
+    not well-formed is an error; a NULL one has no rows.
     """
     steps = [s for s in row_path.split("/") if s]
     if len(steps) < 2:
@@ -185,7 +186,7 @@ def xml_table(df: DataFrame, col: str, row_path: str, columns: dict[str, str]) -
     schema = f"`{steps[-1]}` array<struct<{fields.replace('` ', '`: ')}>>"
     for step in reversed(steps[1:-1]):
         schema = f"`{step}` struct<{schema.replace('` ', '`: ', 1)}>"
-    record = F.from_xml(F.col(col), schema, {"attributePrefix": "_"})
+    record = F.from_xml(F.col(col), schema, {"attributePrefix": "_", "mode": "FAILFAST"})
     others = [c for c in df.columns if c != col]
     rows = df.select(*others, record.alias("__x"))
     at = F.col("__x")

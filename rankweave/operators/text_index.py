@@ -18,40 +18,41 @@ Tables of a stored index, below one path:
 from __future__ import annotations
 
 import json
-import math
-import struct
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from rankweave.operators.analyze import check_analyzer, dictionary_version, split_long_in_arrays, token_arrays
-from rankweave.functions.text import group_tokens
-from rankweave.session import spread
+from rankweave.functions.text import group_tokens, tokens_of
 
 POSTING_COLUMNS = ["id", "field", "term", "tf", "len", "positions"]
 
 
+# Fixed values of the field syntax: how many fields, and characters their names exclude.
+FIELD_COUNT = range(2, 17)
+NAME_EXCLUDES = frozenset(",:")
+
+
 def check_field_weights(weights: dict[str, float]) -> dict[str, float]:
-    """Weights of 2 to 16 fields; each finite, positive and still so as a 32-bit float."""
-    if not isinstance(weights, dict):
-        raise ValueError("field_weights must map column names to weights")
-    if not 2 <= len(weights) <= 16:
-        raise ValueError(f"field_weights must name 2 to 16 fields, got {len(weights)}")
-    for name, weight in weights.items():
-        if not isinstance(name, str) or not name or set(name) & {",", ":"}:
-            raise ValueError(f"field name must be non-empty text without ',' or ':', got {name!r}")
-        problem = ValueError(f"weight of {name!r} must be a finite positive number, got {weight!r}")
-        if isinstance(weight, bool) or not isinstance(weight, (int, float)):
-            raise problem
-        try:
-            single = struct.unpack("<f", struct.pack("<f", float(weight)))[0]
-        except (OverflowError, struct.error):
-            raise problem from None
-        if not (math.isfinite(single) and single > 0):
-            raise problem
-    return {name: float(weight) for name, weight in weights.items()}
+    """The weights as floats, if they can be an index's.
+
+    Stored scores are single floats, so a weight has to be positive and finite there.
+    """
+    if not isinstance(weights, dict) or len(weights) not in FIELD_COUNT:
+        raise ValueError(f"field_weights is a dict of {FIELD_COUNT.start} to {FIELD_COUNT.stop - 1} columns, not {weights!r}")
+    unnamed = [n for n in weights if not (isinstance(n, str) and n and NAME_EXCLUDES.isdisjoint(n))]
+    if unnamed:
+        raise ValueError(f"not usable as field names: {unnamed}")
+    plain = {n: w for n, w in weights.items() if type(w) in (int, float)}
+    with np.errstate(over="ignore"):
+        held = {n: np.float32(min(w, 1e300)) for n, w in plain.items()}
+    wrong = [n for n in weights if n not in held or not 0 < held[n] < np.inf]
+    if wrong:
+        raise ValueError(f"weights have to be positive 32-bit numbers: {({n: weights[n] for n in wrong})!r}")
+    return {n: float(w) for n, w in plain.items()}
 
 
 def check_unique_ids(df: DataFrame, id_col: str) -> None:
@@ -128,6 +129,11 @@ class TextIndex:
         """Live postings, of the given terms or of all."""
         raise NotImplementedError
 
+    def postings_among(self, terms: DataFrame | None) -> DataFrame:
+        """Live postings of the terms of a table (term), or all."""
+        found = self.postings()
+        return found if terms is None else found.join(terms, "term", "left_semi")
+
     def doc_stats(self) -> DataFrame:
         """(id, field, len) of live documents."""
         raise NotImplementedError
@@ -215,8 +221,7 @@ class FrameIndex(TextIndex):
         return self.source.sparkSession
 
     def _arrays(self, name: str) -> DataFrame:
-        wide = spread(self.source.select(self.id_col, name), self.id_col)
-        arrays = token_arrays(wide, self.id_col, name, self.analyzer, self.dictionary)
+        arrays = token_arrays(self.source.select(self.id_col, name), self.id_col, name, self.analyzer, self.dictionary)
         if self.max_token_bytes:
             arrays = split_long_in_arrays(arrays, self.max_token_bytes)
         return arrays
@@ -256,23 +261,30 @@ class FrameIndex(TextIndex):
 
     def candidates(self, leaves: list[Leaf], positions: bool) -> DataFrame:
         terms = [leaf.term for leaf in leaves]
-        out = None
-        for f in self.fields:
-            arrays = self._arrays(f)
-            marked = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-            hits = (
-                F.filter(marked, lambda e: e["term"].isin(*terms))
-                if terms
-                else F.slice(marked, 1, 0)
-            )
+
+        def counted(tokens: str, f: str) -> list[Column]:
+            marked = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+            hits = F.filter(marked, lambda e: e["term"].isin(*terms)) if terms else F.slice(marked, 1, 0)
+            return [F.size(tokens).alias(f"len_{f}"), hits.alias(f"hits_{f}")]
+
+        if self.analyzer == "words":
+            # Segmentation works on a table of runs, so each field is a table of its own.
+            out = None
+            for f in self.fields:
+                one = self._arrays(f).select("id", F.inline(F.array(F.struct(*counted("tokens", f)))))
+                out = one if out is None else out.join(one, "id")
+        else:
+            wide = self.source.select(F.col(self.id_col).alias("id"), *[F.col(f).alias(f"text_{f}") for f in self.fields])
+            columns = []
+            for f in self.fields:
+                tokens = F.coalesce(tokens_of(F.col(f"text_{f}"), self.analyzer), F.array().cast("array<string>"))
+                wide = wide.withColumn("tokens", tokens)
+                if self.max_token_bytes:
+                    wide = split_long_in_arrays(wide, self.max_token_bytes)
+                wide = wide.withColumnRenamed("tokens", f"tokens_{f}")
+                columns += counted(f"tokens_{f}", f)
             # inline keeps later filters from repeating the tokenisation inside them
-            one = arrays.select(
-                "id",
-                F.inline(
-                    F.array(F.struct(F.size("tokens").alias(f"len_{f}"), hits.alias(f"hits_{f}")))
-                ),
-            )
-            out = one if out is None else out.join(one, "id")
+            out = wide.select("id", F.inline(F.array(F.struct(*columns))))
         columns = ["id"] + [F.col(f"len_{f}") for f in self.fields]
         for leaf in leaves:
             for f in self.fields:
@@ -474,6 +486,18 @@ class StoredIndex(TextIndex):
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         return self._live(self.stored_postings(terms)).select(*POSTING_COLUMNS)
 
+    def postings_among(self, terms: DataFrame | None) -> DataFrame:
+        """Postings of the terms of a table; only the folders that they are in are opened.
+
+        The folder numbers come to the driver first, at most one for each bucket.
+        """
+        if terms is None:
+            return self.postings()
+        number = F.pmod(F.xxhash64("term"), F.lit(self.manifest.buckets)).cast("int")
+        asked = [r["b"] for r in terms.select(number.alias("b")).distinct().collect()]
+        rows = self.stored_postings().where(F.col("bucket").isin(*asked)) if asked else self.stored_postings().limit(0)
+        return self._live(rows).select(*POSTING_COLUMNS).join(terms, "term", "left_semi")
+
     def stored_doc_stats(self) -> DataFrame:
         return self._segments("doc_stats")
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.functions.text import highlight, token_pattern
+from rankweave.functions.text import highlight, literal_replacement, token_pattern
 from rankweave.operators.analyze import segment_runs
 from rankweave.operators.query import B, K1, Or, Query, Scope, analyze_query, analyze_text, plain_terms
 from rankweave.operators.text_index import FrameIndex, Leaf, TextIndex
 from rankweave.session import BROADCAST_ROWS, at_most, durable
 
+# The modes that a caller can name.
 SNIPPET_MODES = ("none", "html", "ansi")
 # Terminal escapes of the ansi snippets.
 ANSI_TAGS = ("\x1b[1m", "\x1b[0m")
@@ -38,12 +39,17 @@ class _Plan:
         self.leaves = [Leaf(n, t) for n, t in enumerate(terms)]
         self.match = query.matches(self.scope)
         self.rows = index.candidates(self.leaves, query.needs_positions())
+        if query.matches_empty() and not isinstance(index, FrameIndex):
+            # Stored postings know nothing of documents without the terms.
+            found = self.rows
+            filled = [
+                F.coalesce(c, F.array().cast("array<int>") if c.startswith("pos_") else F.lit(0)).alias(c)
+                for c in found.columns
+                if c != "id"
+            ]
+            self.rows = index.all_ids().join(found, "id", "left").select("id", *filled)
 
     def matching(self) -> DataFrame:
-        if self.query.matches_empty() and not isinstance(self.index, FrameIndex):
-            # Stored postings know nothing of documents without the terms.
-            wrong = self.rows.where(~self.match).select("id")
-            return self.index.all_ids().join(wrong, "id", "left_anti")
         return self.rows.where(self.match)
 
     def stats(self) -> Column:
@@ -53,12 +59,8 @@ class _Plan:
 
     def scored(self, skip: frozenset = frozenset(), extra: list[Column] | None = None) -> DataFrame:
         matching = self.matching()
-        columns = [F.col("id")]
-        if any(f"tf_{leaf.number}_{f}" not in matching.columns for leaf in self.leaves for f in self.index.fields):
-            score = F.lit(0.0)
-        else:
-            score = self.query.score(self.scope, self.stats(), skip)
-        columns.append(F.round(score, SCORE_PLACES).alias("score"))
+        score = self.query.score(self.scope, self.stats(), skip) if self.leaves else F.lit(0.0)
+        columns = [F.col("id"), F.round(score, SCORE_PLACES).alias("score")]
         return matching.select(*columns, *(extra or []))
 
 
@@ -176,7 +178,7 @@ def _mark_words(
         marked = F.transform(
             words, lambda w: F.when(F.array_contains(wanted, w), F.concat(F.lit(tags[0]), w, F.lit(tags[1]))).otherwise(w)
         )
-        return F.coalesce(F.array_join(marked, ""), F.regexp_replace(p, latin, F.lit(f"{tags[0]}$1{tags[1]}")))
+        return F.coalesce(F.array_join(marked, ""), F.regexp_replace(p, latin, F.lit("$1".join(map(literal_replacement, tags)))))
 
     marked = [F.array_join(F.transform(F.col(n), piece), "") for n in pieces.values()]
     return rows.join(cut, "id", "left").withColumn("snippet", _best_field(index.fields, marked))
@@ -278,9 +280,7 @@ def term_impacts(index: TextIndex, terms: DataFrame | None = None) -> DataFrame:
     ``terms`` (term) restricts it. Lengths sit in the postings, so no join with
     the document table is needed.
     """
-    postings = index.postings().select("id", "field", "term", "tf", "len")
-    if terms is not None:
-        postings = postings.join(terms, "term", "left_semi")
+    postings = index.postings_among(terms).select("id", "field", "term", "tf", "len")
     weighted = None
     for f in index.fields:
         mean = index.mean_len(f)
@@ -367,7 +367,9 @@ def _many_snippets(index: TextIndex, hits: DataFrame, qterms: DataFrame, mode: s
     edge = r"[\p{L}\p{N}&&[^\p{IsHan}]]"
 
     def whole(term: Column) -> Column:
-        bounded = F.concat(F.lit(f"(?<!{edge})"), term, F.lit(f"(?!{edge})"))
+        # A term may hold any character, so it is quoted: \\Q ... \\E.
+        quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        bounded = F.concat(F.lit(f"(?<!{edge})"), quoted, F.lit(f"(?!{edge})"))
         return F.when(term.rlike(r"^\p{IsHan}+$"), term).otherwise(bounded)
 
     # The longest term first, so that a term is not cut short by another.
@@ -382,7 +384,7 @@ def _many_snippets(index: TextIndex, hits: DataFrame, qterms: DataFrame, mode: s
         keyed = joined.withColumn("doc", F.col("id")).withColumn("id", F.struct("query_id", "doc"))
         out = _mark_words(index, keyed, F.col("terms"), pattern, tags).withColumn("id", F.col("doc"))
     else:
-        marked = [F.regexp_replace(F.col(f), pattern, F.lit(f"{tags[0]}$1{tags[1]}")) for f in index.fields]
+        marked = [F.regexp_replace(F.col(f), pattern, F.lit("$1".join(map(literal_replacement, tags)))) for f in index.fields]
         out = joined.withColumn("snippet", _best_field(index.fields, marked))
     return out.select("query_id", "rank", "id", "score", "snippet")
 
@@ -451,7 +453,7 @@ def _search_pruned(index: TextIndex, weights: DataFrame, qterms: DataFrame, k: i
 
 
 def lexeme_filter(df: DataFrame, id_col: str, text_col: str, query: Query, analyzer: str = "unicode") -> DataFrame:
-    """Rows of ``df`` whose text matches, with all their columns, in their own scan."""
+    """Rows of ``df`` whose text matches, with all their columns."""
     index = FrameIndex(df, id_col, text_col, analyzer)
     return df.join(match(index, query).withColumnRenamed("id", id_col), id_col, "left_semi")
 

@@ -23,7 +23,7 @@ def _seconds(spark: SparkSession, width: str) -> int:
 
 
 def bucket_start(ts: Column, width: str, spark: SparkSession, origin: str = ORIGIN) -> Column:
-    """Start of the bucket of ``ts``; buckets count from ``origin``."""
+    """Start of the bucket of ``ts``; buckets count from ``origin``. Drops rows without a time."""
     return F.window(ts, width, startTime=_offset(spark, width, origin))["start"]
 
 
@@ -38,24 +38,33 @@ def time_bucket(
 ) -> DataFrame:
     """(bucket, *by, *aggs) over buckets of fixed width.
 
-    On a stream give a ``watermark``: a bucket is sent once it has passed.
+    Rows without a time are in a bucket of their own, NULL. On a stream give a
+    ``watermark``: a bucket is sent once it has passed, and such rows are in none.
     """
     rows = df.withWatermark(ts, watermark) if watermark else df
     window = F.window(ts, width, startTime=_offset(df.sparkSession, width, origin))
     grouped = rows.groupBy(window.alias("__w"), *(by or [])).agg(*aggs)
-    return grouped.select(F.col("__w.start").alias("bucket"), *[c for c in grouped.columns if c != "__w"])
+    out = grouped.select(F.col("__w.start").alias("bucket"), *[c for c in grouped.columns if c != "__w"])
+    if df.isStreaming:
+        return out
+    # A window passes over rows without a time; the scan for them prunes by statistics.
+    void = F.lit(None).cast(out.schema["bucket"].dataType).alias("bucket")
+    return out.unionByName(df.where(F.col(ts).isNull()).groupBy(void, *(by or [])).agg(*aggs))
 
 
-def write_chunked(df: DataFrame, ts: str, width: str, path: str, mode: str = "append") -> None:
-    """Write a table in one folder per time chunk.
+def write_chunked(df: DataFrame, ts: str, width: str, path: str, mode: str = "append", splits: int = 4) -> None:
+    """Write a table in one folder per time chunk; rows without a time have a folder too.
 
-    Rows move once, by chunk and a hash of the time, so that a busy chunk is
-    written by several tasks.
+    Rows move once, by chunk and a hash of the row, so that a busy chunk is written by
+    up to ``splits`` tasks.
     """
     start = F.date_format(bucket_start(F.col(ts), width, df.sparkSession), "yyyy-MM-dd HH_mm_ss")
-    split = F.pmod(F.xxhash64(ts), F.lit(4))
+    split = F.pmod(F.xxhash64(*df.columns), F.lit(splits))
+    void = df.where(F.col(ts).isNull()).withColumn(CHUNK, F.lit(None).cast("string"))
     (
-        df.withColumn(CHUNK, start)
+        df.where(F.col(ts).isNotNull())
+        .withColumn(CHUNK, start)
+        .unionByName(void)
         .repartition(F.col(CHUNK), split)
         .write.mode(mode)
         .partitionBy(CHUNK)

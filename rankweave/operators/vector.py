@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from rankweave.functions.vectors import METRICS, check_vector, distance, literal
-from rankweave.session import at_most, spread, work_path
+from rankweave.functions.vectors import METRICS, check_vector, distance, literal, norm, same_size
+from rankweave.session import work_path
 
 PLACES = 6
-# Query vectors one task holds at a time, and base vectors compared in one block.
+# Query vectors and base vectors that meet in one task, and queries compared at once.
 QUERY_BLOCK = 4_096
 BASE_BLOCK = 8_192
+AT_ONCE = 128
+# Rows kept beyond k before distances are measured again without cancellation.
+SPARE = 8
 
 
 def knn(
@@ -25,15 +28,16 @@ def knn(
 ) -> DataFrame:
     """(id, distance) of the ``k`` nearest rows; equal distances go by id.
 
-    Rows with no distance (NULL vectors, zero vectors under cosine) are left out.
-    Every task keeps its best ``k``, so no more than that is merged.
+    Rows with no distance (NULL vectors, zero vectors under cosine) are left out; a vector
+    of another size than the query's is an error. Every task keeps its best ``k``, so no
+    more than that is merged.
     """
     wanted = check_vector(query)
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
-    measured = spread(df.select(id_col, vec_col), id_col).select(
-        F.col(id_col).alias("id"),
-        F.round(distance(F.col(vec_col), literal(wanted), metric), PLACES).alias("distance"),
+    own = same_size(F.col(vec_col), len(wanted))
+    measured = df.select(
+        F.col(id_col).alias("id"), F.round(distance(own, literal(wanted), metric), PLACES).alias("distance")
     )
     # Filtering after the limit keeps the distance from being worked out twice.
     top = measured.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k)
@@ -43,30 +47,51 @@ def knn(
 def _block_top(
     ids: np.ndarray, base: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, metric: str
 ) -> pd.DataFrame:
-    """Best ``k`` base rows of one block for every query of one block."""
-    if metric == "cosine":
-        size = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(base, axis=1)[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            found = np.where(size > 0, 1.0 - (queries @ base.T) / size, np.inf)
-    else:
-        square = (
-            (queries**2).sum(axis=1)[:, None] + (base**2).sum(axis=1)[None, :] - 2.0 * (queries @ base.T)
-        )
-        found = np.sqrt(np.maximum(square, 0.0))
-    found = np.round(found, PLACES) + 0.0
+    """Best ``k`` base rows of one block for every query of one block.
+
+    Products find somewhat more than ``k`` rows; their distances are then worked out from
+    differences, as the products cancel for long vectors that are close.
+    """
     order = np.argsort(ids, kind="stable")
-    ids, found = ids[order], found[:, order]
-    best = np.argsort(found, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(qids)), best.shape[1])
-    flat = best.ravel()
-    out = pd.DataFrame({"query_id": qids[rows], "id": ids[flat], "distance": found[rows, flat]})
-    return out[np.isfinite(out["distance"])]
+    ids, base = ids[order], base[order]
+    square, parts = (base**2).sum(axis=1), []
+    for low in range(0, len(qids), AT_ONCE):
+        some = queries[low : low + AT_ONCE]
+        product = some @ base.T
+        if metric == "cosine":
+            size = np.sqrt((some**2).sum(axis=1))[:, None] * np.sqrt(square)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rough = np.where(size > 0, 1.0 - product / size, np.inf)
+        else:
+            rough = square - 2.0 * product
+        width = min(len(ids), k + SPARE)
+        # Equal rough distances at the cut all stay, so ties still go by id.
+        cut = np.partition(rough, width - 1, axis=1)[:, width - 1]
+        slack = 1e-9 * (1.0 + np.abs(cut)) if metric == "cosine" else 1e-12 * (square.max() + (some**2).sum(axis=1))
+        row, column = np.nonzero(rough <= (cut + slack)[:, None])
+        if metric == "cosine":
+            exact = rough[row, column]
+        else:
+            exact = np.sqrt(((base[column] - some[row]) ** 2).sum(axis=1))
+        exact = np.round(exact, PLACES) + 0.0
+        by = np.lexsort((column, exact, row))
+        row, column, exact = row[by], column[by], exact[by]
+        keep = (np.arange(len(row)) - np.searchsorted(row, row) < k) & np.isfinite(exact)
+        parts.append(pd.DataFrame({"query_id": qids[low + row[keep]], "id": ids[column[keep]], "distance": exact[keep]}))
+    return pd.concat(parts)
 
 
 def _stack(vectors: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
+def _sized(df: DataFrame, vec_col: str) -> DataFrame:
+    """``df`` with its non-NULL vectors, an error where they differ in size."""
+    rows = df.where(F.col(vec_col).isNotNull())
+    first = rows.select(F.size(vec_col)).first()
+    return rows if first is None else rows.withColumn(vec_col, same_size(F.col(vec_col), first[0]))
+
+
 def knn_join(
     queries: DataFrame,
     query_id: str,
@@ -76,68 +101,53 @@ def knn_join(
     vec_col: str,
     k: int,
     metric: str = "l2",
-    query_rows: int = QUERY_BLOCK,
+    query_block: int = QUERY_BLOCK,
+    base_block: int = BASE_BLOCK,
 ) -> DataFrame:
     """(query_id, rank, id, distance): the ``k`` nearest rows of every query vector.
 
-    Up to ``query_rows`` queries, counted first, go to every task, which compares
-    them with its own rows and passes on ``k`` per query. More queries are cut into
-    blocks of about that size, each of which meets each block of rows in a task.
+    Queries and rows are cut into blocks of a bounded size, and each block of queries
+    meets each block of rows in a task, which passes on ``k`` rows per query. All pairs
+    are compared: large tables of queries are better asked through ``ivf_knn_join``.
+    Vectors that differ in size are an error.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
-    asked = queries.where(F.col(query_vec).isNotNull()).select(
+    asked = _sized(queries, query_vec).select(
         F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("qvec")
     )
-    rows = df.where(F.col(vec_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")
-    )
-    types = {f.name: f.dataType.simpleString() for f in [*asked.schema, *rows.schema]}
-    schema = f"query_id {types['query_id']}, id {types['id']}, distance double"
-    if at_most(asked, query_rows):
-        held = asked.toPandas()
-        if held.empty:
-            return _ranked(rows.limit(0).select(
-                F.lit(None).cast(types["query_id"]).alias("query_id"), "id", F.lit(0.0).alias("distance")), k)
-        qids, qvecs = held["query_id"].to_numpy(), _stack(held["qvec"])
-
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield _block_top(batch["id"].to_numpy(), _stack(batch["vec"]), qids, qvecs, k, metric)
-
-        near = spread_rows(df, rows).mapInPandas(compare, schema)
-    else:
-        near = _blocked(asked, rows, k, metric, query_rows, schema)
-    return _ranked(near, k)
-
+    rows = _sized(df, vec_col).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    q_blocks = asked.count() // query_block + 1
+    b_blocks = rows.count() // base_block + 1
+    return _ranked(_met(asked, rows, [], q_blocks, b_blocks, k, metric), k)
 
-def spread_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores when ``df`` comes in few files."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = 0 < len(df.inputFiles()) < cores
-    return rows.repartition(cores, "id") if few else rows
 
+def _met(asked: DataFrame, rows: DataFrame, within: list[str], q_blocks, b_blocks, k: int, metric: str) -> DataFrame:
+    """(query_id, id, distance): each block of queries with each block of rows that agree on ``within``.
 
-def _blocked(asked: DataFrame, rows: DataFrame, k: int, metric: str, query_rows: int, schema: str) -> DataFrame:
-    """Each block of queries with each block of rows, one pair of blocks per task."""
-    q_blocks = asked.count() // query_rows + 1
-    b_blocks = rows.count() // BASE_BLOCK + 1
-    left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
-        "bb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b_blocks - 1).cast("long")))
+    The numbers of blocks are constants or columns of both sides.
+    """
+    q_count, b_count = (F.lit(n) if isinstance(n, int) else n for n in (q_blocks, b_blocks))
+    none = F.lit(0).cast("long")
+    left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), q_count)).withColumn(
+        "bb", F.explode(F.sequence(none, b_count.cast("long") - 1))
     )
-    right = rows.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(b_blocks))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))
+    right = rows.withColumn("bb", F.pmod(F.xxhash64("id"), b_count)).withColumn(
+        "qb", F.explode(F.sequence(none, q_count.cast("long") - 1))
     )
+    types = {f.name: f.dataType.simpleString() for f in [*asked.schema, *rows.schema]}
 
     def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if q.empty or b.empty:
             return pd.DataFrame({"query_id": q["query_id"][:0], "id": b["id"][:0], "distance": pd.Series(dtype=float)})
-        return _block_top(
-            b["id"].to_numpy(), _stack(b["vec"]), q["query_id"].to_numpy(), _stack(q["qvec"]), k, metric
-        )
+        queries, base = _stack(q["qvec"]), _stack(b["vec"])
+        if queries.shape[1] != base.shape[1]:
+            raise ValueError(f"queries have {queries.shape[1]} components, rows {base.shape[1]}")
+        return _block_top(b["id"].to_numpy(), base, q["query_id"].to_numpy(), queries, k, metric)
 
-    return left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(compare, schema)
+    keys = [*within, "qb", "bb"]
+    schema = f"query_id {types['query_id']}, id {types['id']}, distance double"
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
 
 
 def _ranked(near: DataFrame, k: int) -> DataFrame:
@@ -183,53 +193,99 @@ def build_ivf(
     lists: int,
     path: str | None = None,
     metric: str = "l2",
-    train_rows: int = 100_000,
+    centers: Sequence[Sequence[float]] | None = None,
+    splits: int = 8,
     seed: int = 42,
 ) -> IvfIndex:
-    """Cluster the vectors and store every row below its list.
+    """Store every row below the list of its nearest centre.
 
-    The centres are learnt on about ``train_rows`` rows; all rows are stored. Under
-    cosine the vectors are brought to length one for clustering.
+    The centres are learnt on all rows by k-means, or given. Under cosine the vectors are
+    brought to length one first. A list is written by up to ``splits`` tasks.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     spark = df.sparkSession
     path = path or work_path(spark, "ivf")
-    vec = F.col(vec_col).cast("array<double>")
-    rows = spread(df.select(id_col, vec_col), id_col).where(F.col(vec_col).isNotNull()).select(
-        F.col(id_col).alias("id"), vec.alias("vec")
+    rows = _sized(df.select(id_col, vec_col), vec_col).select(
+        F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")
     )
+    placed = F.col("vec")
     if metric == "cosine":
-        from rankweave.functions.vectors import norm
-
         rows = rows.withColumn("size", norm(F.col("vec"))).where("size > 0")
         placed = F.transform(F.col("vec"), lambda x: x / F.col("size"))
-    else:
-        placed = F.col("vec")
-    rows = rows.withColumn("features", array_to_vector(placed))
-    total = rows.count()
-    sample = rows.sample(min(1.0, train_rows / total), seed) if total > train_rows else rows
-    model = KMeans(k=lists, seed=seed, maxIter=20, featuresCol="features", predictionCol="list").fit(
-        sample.select("features")
-    )
+    rows = rows.withColumn("placed", placed)
+    if centers is None:
+        vectors = rows.withColumn("features", array_to_vector("placed"))
+        model = KMeans(k=lists, seed=seed, maxIter=20, featuresCol="features", predictionCol="list").fit(
+            vectors.select("features")
+        )
+        centers = model.clusterCenters()
+    known = [[float(x) for x in c] for c in centers]
+    points, sizes = np.asarray(known), (np.asarray(known) ** 2).sum(axis=1)
+
+    @F.pandas_udf("int")
+    def nearest_list(batch: pd.Series) -> pd.Series:
+        return pd.Series(np.argmin(sizes - 2 * _stack(batch) @ points.T, axis=1)) if len(batch) else pd.Series(dtype=int)
+
     (
-        model.transform(rows)
-        .select("id", "vec", "list")
-        .repartition("list", F.pmod(F.xxhash64("id"), F.lit(8)))
+        rows.select("id", "vec", nearest_list("placed").alias("list"))
+        .repartition("list", F.pmod(F.xxhash64("id"), F.lit(splits)))
         .write.mode("overwrite")
         .partitionBy("list")
         .parquet(f"{path}/rows")
     )
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]
-    body = json.dumps({"metric": metric, "centers": centers})
+    body = json.dumps({"metric": metric, "centers": known})
     spark.createDataFrame([(body,)], StructType([StructField("body", StringType())])).coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{path}/centers")
-    return IvfIndex(spark, path, metric, centers)
+    return IvfIndex(spark, path, metric, known)
 
 
 def ivf_knn(index: IvfIndex, query: Sequence[float], k: int, probes: int = 1) -> DataFrame:
     """(id, distance) from the ``probes`` nearest lists only, exactly ranked."""
     chosen = index.nearest_lists(check_vector(query), probes)
     return knn(index.rows().where(F.col("list").isin(*chosen)), "id", "vec", query, k, index.metric)
+
+
+def ivf_knn_join(
+    index: IvfIndex, queries: DataFrame, query_id: str, query_vec: str, k: int, probes: int = 1
+) -> DataFrame:
+    """(query_id, rank, id, distance): each query against the rows of its ``probes`` nearest lists.
+
+    Within a list, blocks of queries meet blocks of rows; their numbers follow from the
+    counted sizes, so neither a large list nor a popular one is one task's work.
+    """
+    points, metric = np.asarray(index.centers), index.metric
+    asked = _sized(queries, query_vec).select(
+        F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("qvec")
+    )
+
+    @F.pandas_udf("array<int>")
+    def lists_of(batch: pd.Series) -> pd.Series:
+        vectors = _stack(batch)
+        if metric == "cosine":
+            sizes = np.sqrt((vectors**2).sum(axis=1))[:, None]
+            vectors = vectors / np.where(sizes > 0, sizes, 1)
+        gap = ((vectors[:, None, :] - points[None]) ** 2).sum(axis=2)
+        return pd.Series(list(np.argsort(gap, axis=1, kind="stable")[:, :probes]))
+
+    asked = asked.withColumn("list", F.explode(lists_of("qvec")))
+    rows = index.rows().select("id", "vec", F.col("list").cast("int").alias("list"))
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("long").alias(name))
+
+    # One row for each list, whose number the index bounds.
+    counted = F.broadcast(blocks(asked, QUERY_BLOCK, "qn").join(blocks(rows, BASE_BLOCK, "bn"), "list"))
+
+    def with_counts(df: DataFrame) -> DataFrame:
+        # New names for the numbers, as both sides have them from one table.
+        return df.join(counted, "list").select(
+            *df.columns, (F.col("qn") + 0).alias("q_blocks"), (F.col("bn") + 0).alias("b_blocks")
+        )
+
+    near = _met(
+        with_counts(asked), with_counts(rows), ["list"], F.col("q_blocks"), F.col("b_blocks"), k, metric
+    )
+    return _ranked(near, k)

@@ -269,12 +269,19 @@ class VersionedTable:
         return lines
 
     def _fork(self, branch: str) -> list[Line]:
+        """Where the branch left its parent."""
         self._known(branch)
         parent = self._meta["branches"][branch]
         if parent is None:
             raise ValueError(f"{branch!r} has no parent")
         return self.ancestry(parent["from"], parent["at"])
 
+    def _merge_base(self, branch: str) -> list[Line]:
+        """What both sides had in common last: the branch as last merged, else the fork."""
+        fork = self._fork(branch)
+        merged = self._meta.get("bases", {}).get(branch)
+        return fork if merged is None else self.ancestry(branch, merged)
+
     def create_branch(self, name: str, source: str = "main") -> None:
         """Open a branch at the current version; nothing is copied."""
         self._known(source)
@@ -322,14 +329,16 @@ class VersionedTable:
         parent = self._meta["branches"][branch]["from"] if self._fork(branch) else "main"
         # Read by the test and by the commit, so it is worked out once.
         merge = durable(
-            merge_branches(self.base(), self.log(), self.key, self.ancestry(parent), self._fork(branch), branch)
+            merge_branches(self.base(), self.log(), self.key, self.ancestry(parent), self._merge_base(branch), branch)
         )
         conflicts = conflict_rows(merge, self.key)
         if conflicts.limit(1).collect():
             return None, conflicts
         merges = {**self._meta["merges"], str(self.version + 1): branch}
+        bases = {**self._meta.get("bases", {}), branch: self.version}
         columns = self.base().columns
-        version = self._append(parent, merge_changes(merge, self.key).select(*columns, "op"), merges=merges)
+        changes = merge_changes(merge, self.key).select(*columns, "op")
+        version = self._append(parent, changes, merges=merges, bases=bases)
         return version, conflicts
 
     def undo_merge(self, version: int) -> int:
@@ -337,11 +346,13 @@ class VersionedTable:
         if str(version) not in self._meta["merges"]:
             raise ValueError(f"version {version} is not a merge")
         branch = self._meta["commits"][str(version)]
-        return self._back_to(branch, version - 1, only=version)
+        # The merged branch may be merged again, so its merge base goes back to the fork.
+        kept = {b: at for b, at in self._meta.get("bases", {}).items() if b != self._meta["merges"][str(version)]}
+        return self._back_to(branch, version - 1, only=version, bases=kept)
 
-    def _back_to(self, branch: str, as_of: int, only: int | None = None) -> int:
+    def _back_to(self, branch: str, as_of: int, only: int | None = None, **changes) -> int:
         rows = self.inverse(branch, as_of, only)
-        return self._append(branch, rows.select(*self.base().columns, "op"))
+        return self._append(branch, rows.select(*self.base().columns, "op"), **changes)
 
     def inverse(self, branch: str, as_of: int, only: int | None = None) -> DataFrame:
         """(op, *columns) leading from the branch as it is back to a version of it."""

@@ -10,7 +10,7 @@ from rankweave.operators.hybrid import hybrid_many, hybrid_search
 from rankweave.operators.query import Or
 from rankweave.operators.text_index import FrameIndex
 from rankweave.operators.text_search import query_terms, search_many
-from rankweave.operators.vector import build_ivf, ivf_knn, knn, knn_join
+from rankweave.operators.vector import build_ivf, ivf_knn, ivf_knn_join, knn, knn_join
 from rankweave.plans.text import TOKENS, WHITESPACE, bm25_sql, many_sql
 from rankweave.sources import table
 
@@ -44,7 +44,7 @@ def knn_join_cosine(spark, folder):
 
 
 def knn_join_blocked(spark, folder):
-    return knn_join_all(spark, folder, query_rows=100)
+    return knn_join_all(spark, folder, query_block=100, base_block=128)
 
 
 def ivf_full_probe(spark, folder):
@@ -54,10 +54,24 @@ def ivf_full_probe(spark, folder):
     return near.withColumnRenamed("id", "vec_id")
 
 
+def _given_centers(spark, folder, unit: bool = False) -> list[list[float]]:
+    """The embeddings with the eight lowest ids, as stated centres."""
+    rows = _embeddings(spark, folder).orderBy("vec_id").limit(8).collect()
+    points = [[float(x) for x in r["embedding"]] for r in rows]
+    return [[x / sum(y * y for y in p) ** 0.5 for x in p] for p in points] if unit else points
+
+
+def ivf_join_probes(spark, folder):
+    """Every tenth vector against the rows of its two nearest lists."""
+    vectors = _embeddings(spark, folder)
+    index = build_ivf(vectors, "vec_id", "embedding", 8, centers=_given_centers(spark, folder))
+    return ivf_knn_join(index, vectors.where("vec_id % 10 = 0"), "vec_id", "embedding", 5, probes=2)
+
+
 def ivf_recall(spark, folder):
     """Share of the true 20 nearest found with 1, 2, 4 and 8 of 8 lists."""
     vectors, wanted = _embeddings(spark, folder), _first_vector(spark, folder)
-    index = build_ivf(vectors, "vec_id", "embedding", lists=8, metric="cosine")
+    index = build_ivf(vectors, "vec_id", "embedding", 8, metric="cosine", centers=_given_centers(spark, folder, True))
     truth = knn(vectors, "vec_id", "embedding", wanted, 20, "cosine").select("id")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     hits = None
@@ -70,10 +84,10 @@ def ivf_recall(spark, folder):
 
 
 def _joined(spark, folder) -> DataFrame:
-    """Documents that have an embedding under their id."""
+    """All documents, with the embedding under their id where there is one."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     vectors = _embeddings(spark, folder).withColumnRenamed("vec_id", "doc_id")
-    return docs.join(vectors, "doc_id")
+    return docs.join(vectors, "doc_id", "left")
 
 
 def hybrid_rrf(spark, folder):
@@ -81,7 +95,6 @@ def hybrid_rrf(spark, folder):
     index = FrameIndex(both, "doc_id", "text")
     hits = hybrid_search(
         index, both, Or("the", "of"), "embedding", _first_vector(spark, folder), limit=20, snippet="none",
-        scan_threshold=10**9,
     )
     return hits.drop("snippet").withColumnRenamed("id", "doc_id")
 
@@ -90,7 +103,7 @@ def hybrid_many_rrf(spark, folder):
     both = _joined(spark, folder)
     index = FrameIndex(both, "doc_id", "text")
     vectors = _embeddings(spark, folder).withColumnRenamed("vec_id", "item_id")
-    queries = table(spark, folder, "benchmark").join(vectors, "item_id")
+    queries = table(spark, folder, "benchmark").join(vectors, "item_id", "left")
     hits = hybrid_many(index, both, "embedding", queries, "item_id", "text", "embedding", limit=10)
     return hits.drop("snippet")
 
@@ -161,6 +174,7 @@ QUERIES = {
     "knn_join_blocked": knn_join_blocked,
     "ivf_full_probe": ivf_full_probe,
     "ivf_recall": ivf_recall,
+    "ivf_join_probes": ivf_join_probes,
     "hybrid_rrf": hybrid_rrf,
     "hybrid_many": hybrid_many_rrf,
     "containment_truth": containment,
@@ -190,7 +204,7 @@ SELECT query_id, rank::INT AS rank, id, distance FROM (
 WHERE rank <= 5"""
 
 
-_BOTH = "docs AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id)"
+_BOTH = "docs AS (SELECT doc_id, text, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"
 _RAREST = f"""
 words AS (SELECT doc_id AS id, unnest(list_distinct({TOKENS})) AS term FROM documents),
 freq AS (SELECT term, count(*) AS df FROM words GROUP BY 1),
@@ -201,6 +215,19 @@ truth AS (SELECT query_id, id FROM rarest JOIN words USING (term))"""
 _RBO_TOTAL = sum(0.9**d for d in range(10))
 
 
+def _lists_sql(unit: bool) -> str:
+    """Each vector's lists in order of distance, the centres being the eight lowest ids."""
+    point = "embedding::DOUBLE[]"
+    if unit:
+        point = f"list_transform({point}, lambda x: x / sqrt(list_inner_product({point}, {point})))"
+    return f"""
+placed AS (SELECT vec_id, embedding, {point} AS p FROM embeddings WHERE embedding IS NOT NULL),
+centres AS (SELECT row_number() OVER (ORDER BY vec_id) AS list, p AS c FROM placed ORDER BY vec_id LIMIT 8),
+looks AS (SELECT vec_id, list, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(p, c), list) AS nth
+  FROM placed, centres),
+homes AS (SELECT vec_id, embedding, list FROM placed JOIN looks USING (vec_id) WHERE nth = 1)"""
+
+
 def _fused_sql(text: str, near: str, keys: str) -> str:
     return f"""
 arms AS (SELECT {keys}, 0.4::DOUBLE / (60 + rank) AS c, rank AS bm25_rank, NULL::BIGINT AS vector_rank FROM {text}
@@ -227,20 +254,36 @@ ORACLES = {
     "knn_join_cosine": _knn_join_sql(_COSINE),
     "knn_join_blocked": _knn_join_sql(_L2),
     "ivf_full_probe": _knn_sql(_L2),
+    "ivf_join_probes": f"""
+WITH {_lists_sql(False)},
+found AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_L2} AS distance FROM placed a
+  JOIN looks USING (vec_id) JOIN homes b USING (list) WHERE a.vec_id % 10 = 0 AND nth <= 2)
+SELECT query_id, rank::INT AS rank, id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM found) WHERE rank <= 5""",
+    "ivf_recall": f"""
+WITH {_lists_sql(True)},
+q AS (SELECT * FROM placed ORDER BY vec_id LIMIT 1),
+truth AS (SELECT b.vec_id AS id, {_COSINE} AS distance FROM q a, placed b ORDER BY distance, id LIMIT 20),
+tried AS (SELECT unnest([1, 2, 4, 8]) AS probes),
+found AS (SELECT probes, b.vec_id AS id, row_number() OVER (PARTITION BY probes ORDER BY {_COSINE}, b.vec_id) AS rank
+  FROM q a JOIN looks USING (vec_id) JOIN homes b USING (list) JOIN tried ON nth <= probes)
+SELECT probes, round(count(truth.id) / 20, 6) AS recall FROM found LEFT JOIN truth ON found.id = truth.id AND rank <= 20
+GROUP BY 1""",
     "hybrid_rrf": f"""
 WITH {_BOTH}, {bm25_sql('docs')},
 t AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM
   (SELECT id, round(sum(s), 6) AS score FROM impact WHERE term IN ('the', 'of') GROUP BY 1) ORDER BY rank LIMIT 100),
 v AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS rank FROM
-  (SELECT b.doc_id AS id, {_COSINE} AS distance FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) a, docs b)
+  (SELECT b.doc_id AS id, {_COSINE} AS distance FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) a, docs b WHERE b.embedding IS NOT NULL)
   ORDER BY rank LIMIT 100),
 {_fused_sql('t', 'v', 'id')}
 SELECT id AS doc_id, score, bm25_rank, vector_rank FROM fused ORDER BY score DESC, id LIMIT 20""",
     "hybrid_many": f"""
-WITH {_BOTH}, asks AS (SELECT item_id, text, embedding FROM benchmark JOIN embeddings ON vec_id = item_id),
+WITH {_BOTH}, asks AS (SELECT item_id, text, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
 {many_sql(50, source='docs', queries='asks')},
 v AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM
-  (SELECT a.item_id AS query_id, b.doc_id AS id, {_COSINE} AS distance FROM asks a, docs b)) WHERE rank <= 50),
+  (SELECT a.item_id AS query_id, b.doc_id AS id, {_COSINE} AS distance FROM asks a, docs b
+   WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL)) WHERE rank <= 50),
 {_fused_sql('hits', 'v', 'query_id, id')}
 SELECT query_id, rank::INT AS rank, id, score, bm25_rank, vector_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused) WHERE rank <= 10""",

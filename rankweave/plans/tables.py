@@ -17,7 +17,7 @@ from rankweave.operators.text_search import search
 from rankweave.operators.timeseries import chunk_catalog, chunks, partition_plan, read_chunked, time_bucket, write_chunked
 from rankweave.operators.versioned import Line, conflict_rows, diff_branch, inverse_changes, merge_branches, merge_changes, read_branch
 from rankweave.plans.text import bm25_sql
-from rankweave.session import spread, work_path
+from rankweave.session import work_path
 from rankweave.sources import table
 from rankweave.streaming.streams import read_queue_state, stream_into_index, stream_queue_state, stream_time_bucket
 
@@ -319,7 +319,7 @@ def rollup(spark, folder):
 
 
 def unaccented(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", unaccent(F.col("text")).alias("plain"))
 
 
@@ -398,13 +398,13 @@ LABELS = {"short": "a few lines", "medium": "some paragraphs", "long": "more"}
 
 def classify_batch(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = predicates.classify(spread(docs, "doc_id"), "text", "How long is it?", LABELS, length_scorer)
+    out = predicates.classify(docs, "text", "How long is it?", LABELS, length_scorer)
     return out.select("doc_id", "choice", "confidence", "model", "input_tokens", "output_tokens")
 
 
 def classify_stats(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = predicates.classify(spread(docs, "doc_id"), "text", "How long is it?", LABELS, length_scorer)
+    out = predicates.classify(docs, "text", "How long is it?", LABELS, length_scorer)
     return predicates.eval_stats(out)
 
 
@@ -416,7 +416,7 @@ def row_filter_rows(spark, folder):
 
 def yes_no_scores(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = predicates.yes_no(spread(docs, "doc_id"), "text", "Is it long?", "long", "short", length_scorer)
+    out = predicates.yes_no(docs, "text", "Is it long?", "long", "short", length_scorer)
     return out.select("doc_id", F.round("number", 6).alias("number"))
 
 

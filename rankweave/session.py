@@ -83,16 +83,18 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute input that comes in fewer files than there are cores.
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns that may hold NULL, which here equals NULL.
 
-    One file with one row group is one task however many cores wait. Large inputs
-    have many files and pass through untouched.
+    Without keys ``right`` must be one row; it is then put beside every row.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if not 0 < len(df.inputFiles()) < cores:
-        return df
-    return df.repartition(cores * 2, *keys)
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") for c in keys], *[c for c in right.columns if c not in keys])
+    if not keys:
+        return left.join(F.broadcast(renamed.limit(1)))
+    condition = F.lit(True)
+    for c in keys:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(renamed, condition, how).drop(*[f"__r_{c}" for c in keys])
 
 
 def running_total(
@@ -129,7 +131,7 @@ def running_total(
     )
     local = ranged.withColumn("__local", F.sum(value).over(within))
     return (
-        local.join(offsets, part_keys)
+        null_safe_join(local, offsets, part_keys)
         .withColumn(out, F.col("__local") + F.col("__before"))
         .drop("__part", "__local", "__before")
     )

@@ -52,9 +52,9 @@ def test_rows_without_a_distance_are_left_out(spark):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-@pytest.mark.parametrize("query_rows", [100, 2])
-def test_join_agrees_with_single_searches(vectors, metric, query_rows):
-    joined = knn_join(vectors, "id", "emb", vectors, "id", "emb", 3, metric, query_rows).collect()
+@pytest.mark.parametrize("block", [100, 2])
+def test_join_agrees_with_single_searches(vectors, metric, block):
+    joined = knn_join(vectors, "id", "emb", vectors, "id", "emb", 3, metric, block, block).collect()
     for ident, vector in VECTORS:
         single = knn(vectors, "id", "emb", vector, 3, metric).orderBy("distance", "id").collect()
         mine = sorted((r for r in joined if r["query_id"] == ident), key=lambda r: r["rank"])
