@@ -10,7 +10,7 @@ the language with most letters is the text's.
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,15 +50,31 @@ NAMES = sorted({n for _, n in SCRIPTS})
 SCRIPT_OF = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
 
-def script(word: str) -> int:
-    """The script of a word's first letter, as a number in ``NAMES``."""
-    return int(SCRIPT_OF[np.searchsorted(STARTS, ord(word[0]), "right") - 1])
+def scripts_of(words: list[str]) -> np.ndarray:
+    """The script of each word's first letter, as a number in ``NAMES``."""
+    return SCRIPT_OF[np.searchsorted(STARTS, [ord(w[0]) for w in words], "right") - 1]
 
 
-def gram_slots(word: str) -> list[int]:
-    """The slots of a word's n-grams, its ends marked."""
-    data = f"<{word}>"
-    return [zlib.crc32(data[i : i + n].encode()) % SLOTS for n in GRAMS for i in range(len(data) - n + 1)]
+def grams_of(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n: the slots of all words' n-grams, their ends marked, and where each word's begin.
+
+    The n-grams of all words are hashed at once. Marked words have three characters at
+    least, so no word is without an n-gram of any length.
+    """
+    text = "".join([f"<{w}>" for w in words])
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words])
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    value = np.zeros(len(codes), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        rows = len(codes) - n + 1
+        value = value[:rows] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)
+        if n not in GRAMS:
+            continue
+        mixed = (value ^ value >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        inside = np.arange(n, rows + n) <= ends[:rows]
+        slots = (mixed >> np.uint64(40))[inside] % np.uint64(SLOTS)
+        yield slots.astype(np.int64), np.concatenate([[0], np.cumsum(sizes - n + 1)[:-1]])
 
 
 @dataclass
@@ -69,15 +85,17 @@ class Model:
     weights: np.ndarray
     scripts: np.ndarray
 
-    def score(self, word: str) -> np.ndarray:
-        """Log likelihoods; languages not written in the word's script have minus infinity."""
-        fits = self.scripts[script(word)]
-        if not fits.any():
-            fits = np.ones(len(self.languages), bool)
-        if fits.sum() == 1:
-            return np.where(fits, 0.0, -np.inf).astype(np.float32)
-        total = self.weights[gram_slots(word)].sum(axis=0)
-        return np.where(fits, total - total[fits].max(), -np.inf).astype(np.float32)
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log likelihoods, a row for each word, less the best of the row.
+
+        Languages not written in a word's script have minus infinity; where that leaves
+        none, all are candidates.
+        """
+        fits = self.scripts[scripts_of(words)]
+        fits[~fits.any(axis=1)] = True
+        total = sum(np.add.reduceat(self.weights[slots], starts) for slots, starts in grams_of(words))
+        total = np.where(fits, total, -np.inf)
+        return (total - total.max(axis=1, keepdims=True)).astype(np.float32)
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS) -> Model:
@@ -102,11 +120,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
         for batch in batches:
             for said, label in zip(batch["text"], batch["lang"]):
                 row = sums.setdefault(label, np.zeros(SLOTS + len(NAMES)))
-                words = WORD.findall(said.lower())
-                slots = [s for w in words for s in gram_slots(w)]
-                row[:SLOTS] += np.bincount(np.array(slots, int), minlength=SLOTS)
-                for w in words:
-                    row[SLOTS + script(w)] += len(w)
+                times = Counter(WORD.findall(said.lower()))
+                if not times:
+                    continue
+                words, often = list(times), np.array(list(times.values()))
+                for slots, starts in grams_of(words):
+                    each = np.repeat(often, np.diff(np.append(starts, len(slots))))
+                    row[:SLOTS] += np.bincount(slots, each, SLOTS)
+                row[SLOTS:] += np.bincount(scripts_of(words), often * [len(w) for w in words], len(NAMES))
         for label, row in sums.items():
             at = np.flatnonzero(row)
             yield pd.DataFrame({"lang": label, "slot": at, "n": row[at]})
@@ -135,27 +156,28 @@ def best_path(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     sums = scores.sum(axis=0, dtype=np.float64)
     home = int(sums.argmax())
     if states == 1:
-        return np.zeros(n, np.int8)
+        return np.zeros(n, np.int16)
     if np.isfinite(sums[home]):
         gain = np.delete(scores, home, 1).max(axis=1).astype(np.float64) - scores[:, home]
         run = np.concatenate([[0.0], np.cumsum(gain)])
         if (run - np.minimum.accumulate(run)).max() <= penalty and run[-1] <= 0:
-            return np.full(n, home, np.int8)
-    back = np.empty((n, states), np.int8)
-    own = np.arange(states)
-    value = scores[0].astype(np.float64)
-    back[0] = own
-    for t in range(1, n):
-        top = int(value.argmax())
-        moved = value[top] - penalty
-        stay = value >= moved
-        back[t] = np.where(stay, own, top)
-        value = np.where(stay, value, moved) + scores[t]
-    path = np.empty(n, np.int8)
-    state = int(value.argmax())
-    for t in range(n - 1, -1, -1):
+            return np.full(n, home, np.int16)
+    # Plain numbers: a step's few states are too short for array operations.
+    rows = scores.tolist()
+    value, back = rows[0], []
+    for row in rows[1:]:
+        best = max(value)
+        moved = best - penalty
+        back.append((value.index(best), [v >= moved for v in value]))
+        value = [(v if v >= moved else moved) + s for v, s in zip(value, row)]
+    path = np.empty(n, np.int16)
+    state = value.index(max(value))
+    path[n - 1] = state
+    for t in range(n - 2, -1, -1):
+        top, stay = back[t]
+        if not stay[state]:
+            state = top
         path[t] = state
-        state = back[t, state]
     return path
 
 
@@ -171,18 +193,14 @@ class Labeller:
         if len(self.rows) > CACHE_WORDS:
             self.rows.clear()
         known = self.rows
-        try:
-            at = [known[w] for w in words]
-        except KeyError:
-            at = [known[w] if w in known else self._add(w) for w in words]
-        return self.table[at]
-
-    def _add(self, word: str) -> int:
-        row = self.rows[word] = len(self.rows)
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[row] = self.model.score(word)
-        return row
+        fresh = list(set(words).difference(known))
+        if fresh:
+            begin, end = len(known), len(known) + len(fresh)
+            while end > len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            self.table[begin:end] = self.model.score(fresh)
+            known.update(zip(fresh, range(begin, end)))
+        return self.table[[known[w] for w in words]]
 
     def spans(self, text: str | None) -> list[tuple[str, int, int, int]]:
         """(language, start, end, letters) of each span, positions in code points."""

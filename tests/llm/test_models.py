@@ -26,8 +26,18 @@ def test_best_path_is_the_best(seed):
 
 
 def test_scripts():
-    named = {w: language.NAMES[language.script(w)] for w in ("abc", "éa", "привет", "λόγος", "漢字", "かな", "한글", "עברית")}
-    assert list(named.values()) == ["latin", "latin", "cyrillic", "greek", "han", "kana", "hangul", "hebrew"]
+    words = ["abc", "éa", "привет", "λόγος", "漢字", "かな", "한글", "עברית"]
+    named = [language.NAMES[i] for i in language.scripts_of(words)]
+    assert named == ["latin", "latin", "cyrillic", "greek", "han", "kana", "hangul", "hebrew"]
+
+
+def test_grams_of_many_words_are_those_of_each():
+    words = ["a", "été", "x" * 50, "漢字", "ab"]
+    for n, (slots, starts) in zip(language.GRAMS, language.grams_of(words)):
+        parts = np.split(slots, starts[1:])
+        for word, part in zip(words, parts):
+            alone = dict(zip(language.GRAMS, language.grams_of([word])))[n][0]
+            assert len(part) == len(word) + 3 - n and (part == alone).all()
 
 
 @pytest.fixture(scope="module")
