@@ -12,17 +12,18 @@ the lines of each row back.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
+from math import factorial
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.session import null_safe_join, running_total
+
 LINEAGE = ("mono", "coef")
-# Tokens of one row whose combinations are listed one by one.
-WORLD_TOKENS = 16
-PART_TERMS = 1_000
 
 
 def data_columns(relation: DataFrame) -> list[str]:
@@ -98,35 +99,19 @@ def _mapped(relation: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
-def sr_formula(relation: DataFrame, mapping: DataFrame, part_terms: int = PART_TERMS) -> DataFrame:
-    """(*columns, part, formula): the derivations of each row, written out.
+def sr_formula(relation: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(*columns, place, term): the formula of each row, a line for each of its terms.
 
-    Terms are sorted and joined with ⊕, tokens in a term with ⊗. A row of more than
-    ``part_terms`` terms comes in several numbered parts, all of them together being
-    its formula, so that no task writes an endless text.
+    Tokens in a term are joined with ⊗; the terms of a row, in their order from place 1,
+    are joined with ⊕ by whoever writes them out. A row may have any number of terms, and
+    the places are exact, without any task holding a row's whole formula.
     """
     columns = data_columns(relation)
     one = F.array_join(F.array_sort(F.transform("values", lambda v: v.cast("string"))), " ⊗ ")
     several = F.when(F.col("coef") > 1, F.concat(F.col("coef").cast("string"), F.lit("·"), one)).otherwise(one)
-    terms = _mapped(relation, mapping).select(*columns, several.alias("term"))
-    parts = terms.groupBy(*columns).agg(
-        F.ceil(F.count("*") / F.lit(part_terms)).cast("int").alias("__parts")
-    )
-    safe = _null_safe(terms, parts, columns)
-    return (
-        safe.withColumn("part", F.pmod(F.xxhash64("term"), F.col("__parts")).cast("int") + 1)
-        .groupBy(*columns, "part")
-        .agg(F.array_join(F.array_sort(F.collect_list("term")), " ⊕ ").alias("formula"))
-    )
-
-
-def _null_safe(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
-    """Join on columns that may hold NULL."""
-    renamed = right.select(*[F.col(c).alias(f"__r_{c}") for c in columns], *[c for c in right.columns if c not in columns])
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-    return left.join(renamed, condition).drop(*[f"__r_{c}" for c in columns])
+    terms = _mapped(relation, mapping).select(*columns, several.alias("term"), "mono", F.lit(1).alias("__one"))
+    placed = running_total(terms, columns, ["term", "mono"], "__one", "place")
+    return placed.select(*columns, F.col("place").cast("long").alias("place"), "term")
 
 
 def sr_counting(relation: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
@@ -152,14 +137,35 @@ def how(relation: DataFrame) -> DataFrame:
     return _combine(relation, data_columns(relation)).select(*data_columns(relation), "mono", "coef")
 
 
-def where(relation: DataFrame, table: str) -> DataFrame:
-    """(*columns, out_column, table, column, token): the cells each output field is copied from."""
+def where(relation: DataFrame, sources: str | dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """(*columns, out_column, table, column, token): the cells each output field is copied from.
+
+    For a relation of one table ``sources`` is its name. For a join it gives for each
+    output column the table that it comes from, and that table annotated, or any mapping of
+    it with a ``token`` column: of a row's tokens those of that table hold the cell.
+    """
     columns = data_columns(relation)
-    return relation.select(
-        *columns,
-        F.explode(F.array(*[F.lit(c) for c in columns])).alias("out_column"),
-        F.col("mono")[0].alias("token"),
-    ).select(*columns, "out_column", F.lit(table).alias("table"), F.col("out_column").alias("column"), "token").distinct()
+    if isinstance(sources, str):
+        alone = F.when(F.size("mono") == 1, F.col("mono")[0]).otherwise(
+            F.raise_error(F.lit("a row of several source rows needs the table of each column"))
+        )
+        cells = relation.select(*columns, F.explode(F.array(*map(F.lit, columns))).alias("out_column"), alone.alias("token"))
+        return cells.select(
+            *columns, "out_column", F.lit(sources).alias("table"), F.col("out_column").alias("column"), "token"
+        ).distinct()
+    unknown = set(columns) - set(sources)
+    if unknown:
+        raise ValueError(f"no table given for {sorted(unknown)}")
+    tokens = relation.select(*columns, F.explode("mono").alias("token"))
+    out = None
+    for table, own in {t: m for t, m in sources.values()}.items():
+        known = own.select("token") if "token" in own.columns else own.select(F.explode("mono").alias("token"))
+        mine = [F.lit(c) for c in columns if sources[c][0] == table]
+        part = tokens.join(known.distinct(), "token", "left_semi").select(
+            *columns, F.explode(F.array(*mine)).alias("out_column"), F.lit(table).alias("table"), "token"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out.select(*columns, "out_column", "table", F.col("out_column").alias("column"), "token").distinct()
 
 
 # -- probability and shares ----------------------------------------------------
@@ -175,59 +181,151 @@ def _independent(relation: DataFrame) -> tuple[DataFrame, DataFrame]:
     columns = data_columns(relation)
     lines = _lines(relation)
     widest = lines.groupBy(*columns).agg(F.max(F.size("mono")).alias("__w"))
-    marked = _null_safe(lines, widest, columns)
+    marked = null_safe_join(lines, widest, columns)
     return marked.where("__w <= 1").drop("__w"), marked.where("__w > 1").drop("__w")
 
 
 def _packed(lines: DataFrame, probs: DataFrame | None) -> DataFrame:
     """One line per row with its tokens, their probabilities and its terms.
 
-    Only rows of at most ``WORLD_TOKENS`` tokens may get here; the number of tokens
-    is counted before anything is brought together.
+    A row whose derivations share tokens is worked out in one task, so its terms come
+    together there.
     """
     columns = data_columns(lines)
     tokens = lines.select(*columns, F.explode("mono").alias("token")).distinct()
-    too_many = F.raise_error(
-        F.lit(f"a row depends on more than {WORLD_TOKENS} tokens that are not independent: "
-              "use probability(..., samples=n)")
-    )
-    size = (
-        tokens.groupBy(*columns)
-        .agg(F.count("*").alias("__n"))
-        .select(*columns, F.when(F.col("__n") > WORLD_TOKENS, too_many).cast("string").alias("__bad"))
-    )
-    lines = _null_safe(lines, size, columns).where("__bad is null").drop("__bad")
-    checked = lines.select(*columns, F.explode("mono").alias("token")).distinct()
-    if probs is not None:
-        checked = checked.join(probs, "token", "left")
-    else:
-        checked = checked.withColumn("p", F.lit(0.5))
-    listed = checked.groupBy(*columns).agg(
-        F.array_sort(F.collect_list(F.struct("token", "p"))).alias("tokens")
-    )
+    tokens = tokens.withColumn("p", F.lit(0.5)) if probs is None else tokens.join(probs, "token", "left")
+    listed = tokens.groupBy(*columns).agg(F.array_sort(F.collect_list(F.struct("token", "p"))).alias("tokens"))
     terms = lines.groupBy(*columns).agg(F.collect_set("mono").alias("terms"))
-    return _null_safe(listed, terms, columns)
+    return null_safe_join(listed, terms, columns)
+
+
+Term = frozenset[str]
+
 
+def _minimal(terms: set[Term]) -> frozenset[Term]:
+    """Without the terms that hold another whole: they make no difference."""
+    kept: list[Term] = []
+    for term in sorted(terms, key=len):
+        if not any(k <= term for k in kept):
+            kept.append(term)
+    return frozenset(kept)
 
-def _truth(tokens: list, terms: list) -> tuple[np.ndarray, np.ndarray]:
-    """All worlds of a row as bit masks, and whether the row is in each."""
-    number = {t["token"]: i for i, t in enumerate(tokens)}
-    worlds = np.arange(1 << len(tokens), dtype=np.int64)
-    holds = np.zeros(len(worlds), dtype=bool)
+
+def _parts(terms: frozenset[Term]) -> list[frozenset[Term]]:
+    """The terms in groups that share no token."""
+    groups: list[tuple[set, set]] = []
     for term in terms:
-        mask = 0
-        for t in term:
-            mask |= 1 << number[t]
-        holds |= (worlds & mask) == mask
-    return worlds, holds
+        tokens, members = set(term), {term}
+        apart = []
+        for group in groups:
+            if tokens.isdisjoint(group[0]):
+                apart.append(group)
+            else:
+                tokens |= group[0]
+                members |= group[1]
+        groups = [*apart, (tokens, members)]
+    return [frozenset(members) for _, members in groups]
+
+
+class _Absence:
+    """The total weight of the worlds in which no term of a row is whole.
+
+    A world's weight is the product of its tokens' weights, out and in. Groups of terms
+    without a common token multiply; else the token in most terms is tried out and in.
+    The work grows with how entangled the terms are, not with the number of tokens.
+    """
+
+    def __init__(self, weights: dict, zero, one, add, multiply) -> None:
+        self.weights, self.zero, self.one = weights, zero, one
+        self.add, self.multiply, self.known = add, multiply, {}
+
+    def free(self, tokens) -> object:
+        """Any state of tokens that decide nothing."""
+        out = self.one
+        for t in sorted(tokens):
+            out = self.multiply(out, self.add(*self.weights[t]))
+        return out
+
+    def of(self, terms: frozenset[Term]) -> object:
+        """Over the tokens of ``terms``, which are minimal."""
+        if not terms:
+            return self.one
+        if frozenset() in terms:
+            return self.zero
+        if terms not in self.known:
+            groups = _parts(terms)
+            if len(groups) > 1:
+                out = self.one
+                for group in groups:
+                    out = self.multiply(out, self.of(group))
+            else:
+                out = self._tried(terms)
+            self.known[terms] = out
+        return self.known[terms]
+
+    def _tried(self, terms: frozenset[Term]) -> object:
+        often = Counter(t for term in terms for t in term)
+        token = min(often, key=lambda t: (-often[t], t))
+        sides = (
+            frozenset(t for t in terms if token not in t),
+            _minimal({t - {token} for t in terms}),
+        )
+        total = self.zero
+        for weight, side in zip(self.weights[token], sides):
+            left = set(often) - {token} - {t for term in side for t in term}
+            total = self.add(total, self.multiply(weight, self.multiply(self.free(left), self.of(side))))
+        return total
+
+
+def _poly_add(a: list[int], b: list[int]) -> list[int]:
+    if len(a) < len(b):
+        a, b = b, a
+    return [x + (b[i] if i < len(b) else 0) for i, x in enumerate(a)]
+
+
+def _poly_multiply(a: list[int], b: list[int]) -> list[int]:
+    out = [0] * (len(a) + len(b) - 1)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            out[i + j] += x * y
+    return out
+
+
+def _chance(tokens: list, terms: list) -> float:
+    weights = {t["token"]: (1.0 - t["p"], t["p"]) for t in tokens}
+    absence = _Absence(weights, 0.0, 1.0, float.__add__, float.__mul__)
+    return 1.0 - absence.of(_minimal({frozenset(t) for t in terms}))
+
+
+def _worth(tokens: list, terms: list, index: str) -> dict[str, float]:
+    """Each token's share, from the numbers of worlds by size in which it decides."""
+    names = [t["token"] for t in tokens]
+    absence = _Absence(dict.fromkeys(names, ([1], [0, 1])), [0], [1], _poly_add, _poly_multiply)
+    whole, n = _minimal({frozenset(t) for t in terms}), len(names)
+    if index == "shapley":
+        table = [Fraction(factorial(k) * factorial(n - k - 1), factorial(n)) for k in range(n)]
+    else:
+        table = [Fraction(1, 2 ** (n - 1))] * n
+
+    def absent(side: frozenset[Term], token: str) -> list[int]:
+        left = set(names) - {token} - {t for term in side for t in term}
+        return _poly_multiply(absence.free(left), absence.of(side))
+
+    out = {}
+    for token in names:
+        without = absent(frozenset(t for t in whole if token not in t), token)
+        held = absent(_minimal({t - {token} for t in whole}), token)
+        gains = _poly_add(without, [-x for x in held])
+        out[token] = float(sum((g * w for g, w in zip(gains, table)), Fraction(0)))
+    return out
 
 
 def probability(relation: DataFrame, probs: DataFrame, samples: int | None = None, seed: int = 42) -> DataFrame:
     """(*columns, probability) with independent source rows of (token, p).
 
     Derivations of one token each have a closed form, for any number of them. Other
-    rows are worked out exactly over all worlds of their tokens, up to 16 tokens;
-    beyond that a caller may ask for ``samples`` seeded worlds.
+    rows are worked out exactly, by independent groups and by cases; the cases can become
+    many where terms are entangled, and a caller may ask for ``samples`` seeded worlds.
     """
     columns = data_columns(relation)
     single, several = _independent(relation)
@@ -248,13 +346,7 @@ def probability(relation: DataFrame, probs: DataFrame, samples: int | None = Non
 
         def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                out = []
-                for tokens, terms in zip(batch["tokens"], batch["terms"]):
-                    worlds, holds = _truth(tokens, terms)
-                    weight = np.ones(len(worlds))
-                    for i, t in enumerate(tokens):
-                        weight *= np.where(worlds >> i & 1, t["p"], 1.0 - t["p"])
-                    out.append(float(weight[holds].sum()))
+                out = [_chance(tokens, terms) for tokens, terms in zip(batch["tokens"], batch["terms"])]
                 yield batch[columns].assign(probability=out)
 
         rest = _packed(several, probs).mapInPandas(weigh, schema + ", probability double")
@@ -282,31 +374,19 @@ def _shares(relation: DataFrame, power_index: str) -> DataFrame:
     single, several = _independent(relation)
     count = single.groupBy(*columns).agg(F.count("*").alias("__n"))
     even = 1.0 / F.col("__n") if power_index == "shapley" else F.pow(F.lit(2.0), 1.0 - F.col("__n"))
-    closed = _null_safe(single, count, columns).select(
+    closed = null_safe_join(single, count, columns).select(
         *columns, F.col("mono")[0].alias("token"), even.alias(power_index)
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in relation.schema if f.name in columns)
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from math import factorial
-
         for batch in batches:
             keep, names, values = [], [], []
             for at, (tokens, terms) in enumerate(zip(batch["tokens"], batch["terms"])):
-                n = len(tokens)
-                worlds, holds = _truth(tokens, terms)
-                size = np.array([bin(w).count("1") for w in worlds])
-                if power_index == "shapley":
-                    table = [factorial(s) * factorial(n - s - 1) / factorial(n) if s < n else 0.0 for s in range(n + 1)]
-                else:
-                    table = [0.5 ** (n - 1)] * (n + 1)
-                weight = np.array(table)[size]
-                for i, t in enumerate(tokens):
-                    without = (worlds >> i & 1) == 0
-                    gain = holds[worlds[without] | (1 << i)].astype(float) - holds[without]
+                for name, value in _worth(tokens, terms, power_index).items():
                     keep.append(at)
-                    names.append(t["token"])
-                    values.append(float((gain * weight[without]).sum()))
+                    names.append(name)
+                    values.append(value)
             yield batch[columns].iloc[keep].assign(**{"token": names, power_index: values})
 
     rest = _packed(several, None).mapInPandas(weigh, f"{schema}, token string, {power_index} double")

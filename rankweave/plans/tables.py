@@ -212,6 +212,36 @@ def prov_join_probability(spark, folder):
     return provenance.probability(provenance.project(kept, "l_orderkey", "l_suppkey"), chances)
 
 
+def _order_suppliers(spark, folder):
+    """Orders with the suppliers of their items: a row for each order, derivations share its token."""
+    orders = provenance.add_provenance(
+        table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "orders", ["l_orderkey"]
+    )
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    suppliers = provenance.add_provenance(
+        table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey")), "supplier", ["l_suppkey"]
+    )
+    return orders, suppliers, provenance.join(orders.join(items, "l_orderkey"), suppliers, ["l_suppkey"])
+
+
+def prov_dependent_probability(spark, folder):
+    orders, suppliers, kept = _order_suppliers(spark, folder)
+    chances = provenance.provenance_mapping(orders.withColumn("p", F.lit(0.5)), "p").union(
+        provenance.provenance_mapping(suppliers.withColumn("p", F.lit(0.25)), "p")
+    ).withColumnRenamed("value", "p")
+    return provenance.probability(provenance.project(kept, "l_orderkey"), chances)
+
+
+def prov_dependent_shapley(spark, folder):
+    return provenance.shapley(provenance.project(_order_suppliers(spark, folder)[2], "l_orderkey"))
+
+
+def prov_where_join(spark, folder):
+    orders, suppliers, kept = _order_suppliers(spark, folder)
+    tables = {"l_orderkey": ("orders", orders), "l_suppkey": ("supplier", suppliers)}
+    return provenance.where(kept, tables)
+
+
 def prov_shapley(spark, folder):
     return provenance.shapley(provenance.project(_order_tokens(spark, folder), "o_custkey"))
 
@@ -509,6 +539,9 @@ QUERIES = {
     "prov_why": prov_why,
     "prov_probability": prov_probability,
     "prov_join_probability": prov_join_probability,
+    "prov_dependent_probability": prov_dependent_probability,
+    "prov_dependent_shapley": prov_dependent_shapley,
+    "prov_where_join": prov_where_join,
     "prov_shapley": prov_shapley,
     "prov_banzhaf": prov_banzhaf,
     "queue_visible": queue_visible,
@@ -623,6 +656,10 @@ _CHOICE = "CASE WHEN length(text) < 500 THEN 'short' WHEN length(text) < 3000 TH
 _RANKED = """
 SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, score FROM o ORDER BY score DESC, doc_id LIMIT 100"""
 
+def _token_sql(source: str, key: str) -> str:
+    return f"substr(sha256('{source}' || chr(31) || {key}), 1, 32)"
+
+
 ORACLES = {
     "time_bucket_agg": """
 SELECT time_bucket(INTERVAL '15 minutes', ts) AS bucket, event_type, count(*) AS n, round(sum(value), 6) AS total, max(value) AS high
@@ -653,7 +690,25 @@ SELECT part, part * 1000 AS range_start, (part + 1) * 1000 AS range_end, coalesc
     ) + f" FROM sides WHERE NOT ({_ANY_CLASH}) AND m IS NOT NULL",
     "version_undo": f"WITH {_STATES} SELECT 'upsert' AS op, * FROM (SELECT {_O} FROM forked EXCEPT SELECT {_O} FROM main)",
     "prov_distinct_formula": """
-SELECT c_nationkey, c_mktsegment, 1::INT AS part, string_agg(c_name, ' ⊕ ' ORDER BY c_name) AS formula FROM customer GROUP BY 1, 2""",
+SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_name) AS place,
+  c_name AS term FROM customer""",
+    "prov_dependent_probability": """
+SELECT l_orderkey, round(0.5::DOUBLE * (1 - pow(0.75::DOUBLE, count(DISTINCT l_suppkey))), 6) AS probability
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""",
+    "prov_dependent_shapley": f"""
+WITH pairs AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  JOIN supplier ON s_suppkey = l_suppkey),
+n AS (SELECT l_orderkey, count(*) AS n FROM pairs GROUP BY 1)
+SELECT l_orderkey, {_token_sql('orders', 'l_orderkey')} AS token, round(n / (n + 1), 6) AS shapley FROM n
+UNION ALL SELECT l_orderkey, {_token_sql('supplier', 'l_suppkey')}, round(1 / (n * (n + 1)), 6)
+FROM pairs JOIN n USING (l_orderkey)""",
+    "prov_where_join": f"""
+WITH pairs AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  JOIN supplier ON s_suppkey = l_suppkey)
+SELECT l_suppkey, l_orderkey, 'l_orderkey' AS out_column, 'orders' AS "table", 'l_orderkey' AS "column",
+  {_token_sql('orders', 'l_orderkey')} AS token FROM pairs
+UNION ALL SELECT l_suppkey, l_orderkey, 'l_suppkey', 'supplier', 'l_suppkey', {_token_sql('supplier', 'l_suppkey')}
+FROM pairs""",
     "prov_join_count": f"SELECT c_nationkey, o_orderstatus, count(*) AS count FROM {_CUST} GROUP BY 1, 2",
     "prov_weighted_count": f"SELECT c_nationkey, sum(CASE WHEN o_orderstatus = 'F' THEN 3 ELSE 1 END)::BIGINT AS count FROM {_CUST} GROUP BY 1",
     "prov_why": f"SELECT c_nationkey, o_orderstatus, count(*) AS n_witnesses, 2 * count(*) AS n_tokens FROM {_CUST} GROUP BY 1, 2",
