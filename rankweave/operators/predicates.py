@@ -1,18 +1,23 @@
-"""Model predicates: questions about texts and rows, answered by a given callable.
+"""Model predicates: questions about texts and rows, answered by a model.
 
-A scorer takes a list of requests (dicts) and returns as many answers (dicts). It is
-called in tasks, in batches, once per distinct input. No network is used here.
+The model is either a fitted :class:`NaiveBayes`, which is scored with joins and sums, or
+a callable: it takes a list of requests (dicts) and returns as many answers (dicts), and
+is called in tasks, in batches, once per distinct input. No network is used here.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.functions.text import tokens_of
+from rankweave.session import broadcast_if_small, durable
+
 Scorer = Callable[[list[dict]], list[dict]]
 ANSWER = (
     "choice string, confidence double, probabilities map<string,double>, number double, "
@@ -20,12 +25,91 @@ ANSWER = (
 )
 
 
-def _answers(df: DataFrame, text: Column, request: dict, scorer: Scorer, batch_size: int) -> DataFrame:
+@dataclass(frozen=True)
+class NaiveBayes:
+    """A multinomial model of labelled texts, as tables.
+
+    ``priors`` is (label, log_prior); ``weights`` is (term, label, log_weight) for every
+    known term with every label. ``yes`` is the label that yes-or-no questions ask for.
+    """
+
+    priors: DataFrame
+    weights: DataFrame
+    yes: str
+    analyzer: str = "unicode"
+    name: str = "naive-bayes"
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str, label: str, yes: str, analyzer: str = "unicode") -> "NaiveBayes":
+        """Counts of terms by label, each count one more than seen. NULL labels take no part."""
+        known = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("t"))
+        tokens = F.coalesce(tokens_of(F.col("t"), analyzer), F.array().cast("array<string>"))
+        counted = durable(known.select("label", F.explode(tokens).alias("term")).groupBy("label", "term").agg(F.count("*").alias("n")))
+        rows = known.groupBy("label").agg(F.count("*").alias("rows"))
+        total = Window.partitionBy()
+        # One row for each label.
+        priors = durable(rows.select("label", F.log(F.col("rows") / F.sum("rows").over(total)).alias("log_prior")))
+        terms = counted.select("term").distinct()
+        size = terms.agg(F.count("*").alias("size"))
+        sums = priors.select("label").join(counted.groupBy("label").agg(F.sum("n").alias("sum")), "label", "left")
+        each = sums.join(F.broadcast(size)).select("label", (F.coalesce("sum", F.lit(0)) + F.col("size")).alias("below"))
+        every = terms.join(F.broadcast(each))
+        weights = every.join(counted, ["term", "label"], "left").select(
+            "term", "label", F.log((F.coalesce("n", F.lit(0)) + 1) / F.col("below")).alias("log_weight")
+        )
+        return cls(priors, durable(weights), yes, analyzer)
+
+    def answers(self, texts: DataFrame) -> DataFrame:
+        """(__key, *ANSWER) of (__key, __text); terms never seen say nothing."""
+        tokens = F.coalesce(tokens_of(F.col("__text"), self.analyzer), F.array().cast("array<string>"))
+        read = texts.select("__key", tokens.alias("tokens"))
+        counted = read.select("__key", F.explode("tokens").alias("term")).groupBy("__key", "term").agg(F.count("*").alias("n"))
+        sums = counted.join(broadcast_if_small(self.weights), "term").groupBy("__key", "label").agg(
+            F.sum(F.col("n") * F.col("log_weight")).alias("sum")
+        )
+        # The labels are few and known beforehand, so every text meets every label in its row.
+        labels = F.broadcast(self.priors.agg(F.collect_list(F.struct("label", "log_prior")).alias("labels")))
+        found = sums.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("label", "sum"))).alias("sums"))
+        asked = read.select("__key", F.size("tokens").alias("size")).join(found, "__key", "left").join(labels)
+        logits = F.transform(
+            "labels",
+            lambda e: F.struct(
+                (e["log_prior"] + F.coalesce(F.element_at("sums", e["label"]), F.lit(0.0))).alias("logit"),
+                e["label"].alias("label"),
+            ),
+        )
+        scored = asked.withColumn("logits", logits)
+        chance = F.transform(
+            "logits",
+            lambda e: F.struct(
+                e["label"].alias("label"),
+                (1.0 / F.aggregate("logits", F.lit(0.0), lambda s, o: s + F.exp(o["logit"] - e["logit"]))).alias("p"),
+            ),
+        )
+        scored = scored.withColumn("chances", chance)
+        # Ties go to the label that sorts first.
+        best = F.element_at(F.array_sort(F.transform("chances", lambda e: F.struct((-e["p"]).alias("low"), e["label"].alias("label")))), 1)
+        odds = F.map_from_entries("chances")
+        return scored.select(
+            "__key",
+            best["label"].alias("choice"),
+            (-best["low"]).alias("confidence"),
+            odds.alias("probabilities"),
+            F.element_at(odds, self.yes).alias("number"),
+            F.lit(self.name).alias("model"),
+            F.col("size").cast("long").alias("input_tokens"),
+            F.lit(1).cast("long").alias("output_tokens"),
+        )
+
+
+def _answers(df: DataFrame, text: Column, request: dict, scorer: Scorer | NaiveBayes, batch_size: int) -> DataFrame:
     """``df`` with ``__answer`` for every row; equal inputs are asked once.
 
     Inputs are grouped by their digest, so long texts cross the network once for
-    asking and not at all for joining back.
+    asking and not at all for joining back. Rows without an input are not asked, and so
+    do not meet in the join.
     """
+    names = [c.split()[0] for c in ANSWER.split(", ")]
     keyed = df.withColumn("__text", text).withColumn("__key", F.sha2(F.col("__text"), 256))
     distinct = keyed.where("__key is not null").groupBy("__key").agg(F.first("__text").alias("__text"))
     body = json.dumps(request)
@@ -53,10 +137,16 @@ def _answers(df: DataFrame, text: Column, request: dict, scorer: Scorer, batch_s
                 ]
                 yield pd.DataFrame(rows).astype({"input_tokens": "Int64", "output_tokens": "Int64"})
 
-    asked = distinct.mapInPandas(ask, "__key string, " + ANSWER)
-    names = [c.split()[0] for c in ANSWER.split(", ")]
+    if isinstance(scorer, NaiveBayes):
+        asked = scorer.answers(distinct)
+    else:
+        # Slow scorers must not end in one task because the texts are short.
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        asked = distinct.repartition(cores * 2, "__key").mapInPandas(ask, "__key string, " + ANSWER)
     packed = asked.select("__key", F.struct(*names).alias("__answer"))
-    return keyed.join(packed, "__key", "left").drop("__text", "__key")
+    answered = keyed.where("__key is not null").join(packed, "__key", "left")
+    void = keyed.where("__key is null").withColumn("__answer", F.lit(None).cast(packed.schema["__answer"].dataType))
+    return answered.select(*keyed.columns, "__answer").unionByName(void).drop("__text", "__key")
 
 
 def _check_labels(labels: dict[str, str]) -> None:
@@ -65,7 +155,7 @@ def _check_labels(labels: dict[str, str]) -> None:
 
 
 def classify(
-    df: DataFrame, text: str, question: str, labels: dict[str, str], scorer: Scorer, batch_size: int = 64
+    df: DataFrame, text: str, question: str, labels: dict[str, str], scorer: Scorer | NaiveBayes, batch_size: int = 64
 ) -> DataFrame:
     """``df`` with choice, confidence, probabilities, model, input_tokens, output_tokens."""
     _check_labels(labels)
@@ -78,7 +168,7 @@ def classify(
 
 
 def yes_no(
-    df: DataFrame, text: str, question: str, yes: str, no: str, scorer: Scorer, batch_size: int = 64
+    df: DataFrame, text: str, question: str, yes: str, no: str, scorer: Scorer | NaiveBayes, batch_size: int = 64
 ) -> DataFrame:
     """``df`` with ``number``: how far the answer is yes, from 0 to 1."""
     out = _answers(df, F.col(text), {"kind": "yes_no", "question": question, "yes": yes, "no": no}, scorer, batch_size)
@@ -89,25 +179,25 @@ def _row_text() -> Column:
     return F.to_json(F.struct("*"))
 
 
-def row_prob(df: DataFrame, statement: str, scorer: Scorer, batch_size: int = 64) -> DataFrame:
+def row_prob(df: DataFrame, statement: str, scorer: Scorer | NaiveBayes, batch_size: int = 64) -> DataFrame:
     """``df`` with ``probability`` that the statement holds for the row."""
     out = _answers(df, _row_text(), {"kind": "row", "statement": statement}, scorer, batch_size)
     return out.select(*df.columns, F.col("__answer")["number"].alias("probability"))
 
 
-def row_filter(df: DataFrame, statement: str, scorer: Scorer, threshold: float = 0.5, batch_size: int = 64) -> DataFrame:
+def row_filter(df: DataFrame, statement: str, scorer: Scorer | NaiveBayes, threshold: float = 0.5, batch_size: int = 64) -> DataFrame:
     """Rows for which the statement holds with at least ``threshold``."""
     return row_prob(df, statement, scorer, batch_size).where(F.col("probability") >= threshold).select(*df.columns)
 
 
-def row_choice(df: DataFrame, question: str, options: list[str], scorer: Scorer, batch_size: int = 64) -> DataFrame:
+def row_choice(df: DataFrame, question: str, options: list[str], scorer: Scorer | NaiveBayes, batch_size: int = 64) -> DataFrame:
     """``df`` with ``choice``: one of the options."""
     _check_labels({o: o for o in options})
     out = _answers(df, _row_text(), {"kind": "row_choice", "question": question, "labels": options}, scorer, batch_size)
     return out.select(*df.columns, F.col("__answer")["choice"].alias("choice"))
 
 
-def row_score(df: DataFrame, question: str, scorer: Scorer, batch_size: int = 64) -> DataFrame:
+def row_score(df: DataFrame, question: str, scorer: Scorer | NaiveBayes, batch_size: int = 64) -> DataFrame:
     """``df`` with ``score``: the number given to the row."""
     out = _answers(df, _row_text(), {"kind": "row_score", "question": question}, scorer, batch_size)
     return out.select(*df.columns, F.col("__answer")["number"].alias("score"))

@@ -16,7 +16,7 @@ from rankweave.operators.text_index import FrameIndex, StoredIndex
 from rankweave.operators.text_search import search
 from rankweave.operators.timeseries import chunk_catalog, chunks, partition_plan, read_chunked, time_bucket, write_chunked
 from rankweave.operators.versioned import Line, conflict_rows, diff_branch, inverse_changes, merge_branches, merge_changes, read_branch
-from rankweave.plans.text import bm25_sql
+from rankweave.plans.text import TOKENS, bm25_sql
 from rankweave.session import work_path
 from rankweave.sources import table
 from rankweave.streaming.streams import read_queue_state, stream_into_index, stream_queue_state, stream_time_bucket
@@ -403,50 +403,44 @@ def path_query_rows(spark, folder):
 # -- predicates and assertions -----------------------------------------------------
 
 
-def length_scorer(requests: list[dict]) -> list[dict]:
-    """A fixed stand-in for a model: answers by the length of the text."""
-    out = []
-    for request in requests:
-        n = len(request["text"])
-        choice = "short" if n < 500 else "medium" if n < 3000 else "long"
-        out.append(
-            {
-                "choice": choice,
-                "confidence": 0.9 if choice == "medium" else 0.75,
-                "probabilities": {choice: 1.0},
-                "number": min(1.0, n / 4000),
-                "model": "by-length",
-                "input_tokens": n,
-                "output_tokens": 1,
-            }
-        )
-    return out
+LABELS = {"0": "nothing to object to", "1": "toxic"}
 
 
-LABELS = {"short": "a few lines", "medium": "some paragraphs", "long": "more"}
+def _toxic_model(spark, folder):
+    """Naive Bayes of the labelled documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labelled = docs.join(table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id")
+    return predicates.NaiveBayes.fit(labelled, "text", "toxic", yes="1")
 
 
-def classify_batch(spark, folder):
+def _classified(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = predicates.classify(docs, "text", "How long is it?", LABELS, length_scorer)
-    return out.select("doc_id", "choice", "confidence", "model", "input_tokens", "output_tokens")
+    return predicates.classify(docs, "text", "Is it toxic?", LABELS, _toxic_model(spark, folder))
+
+
+def classify_batch(spark, folder):
+    return _classified(spark, folder).select(
+        "doc_id", "choice", F.round("confidence", 6).alias("confidence"), "model", "input_tokens", "output_tokens"
+    )
 
 
 def classify_stats(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = predicates.classify(docs, "text", "How long is it?", LABELS, length_scorer)
-    return predicates.eval_stats(out)
+    return predicates.eval_stats(_classified(spark, folder))
 
 
 def row_filter_rows(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "n_chars", "lang")
-    kept = predicates.row_filter(docs, "the row is long to write", length_scorer, threshold=0.0102)
-    return kept.select("doc_id", "n_chars", "lang")
+    """Documents that their language and source alone make out to be long."""
+    docs = table(spark, folder, "documents").select("lang", "source", (F.col("n_chars") > 1000).cast("string").alias("long"))
+    rows = docs.select(F.to_json(F.struct("lang", "source")).alias("row"), "long")
+    model = predicates.NaiveBayes.fit(rows, "row", "long", yes="true")
+    plain = table(spark, folder, "documents").select("lang", "source")
+    kept = predicates.row_filter(plain, "the document is long", model, threshold=0.7)
+    return kept.groupBy("lang", "source").agg(F.count("*").alias("n"))
 
 
 def yes_no_scores(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = predicates.yes_no(docs, "text", "Is it long?", "long", "short", length_scorer)
+    out = predicates.yes_no(docs, "text", "Is it toxic?", "toxic", "harmless", _toxic_model(spark, folder))
     return out.select("doc_id", F.round("number", 6).alias("number"))
 
 
@@ -656,6 +650,24 @@ _CHOICE = "CASE WHEN length(text) < 500 THEN 'short' WHEN length(text) < 3000 TH
 _RANKED = """
 SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, score FROM o ORDER BY score DESC, doc_id LIMIT 100"""
 
+def _bayes_sql(yes: str, no: str) -> str:
+    """Naive Bayes over ``given`` (text, label) for the texts of ``asked`` (doc_id, text)."""
+    return f"""
+gtoks AS (SELECT label, unnest({TOKENS}) AS term FROM given),
+ns AS (SELECT term, count(*) FILTER (label = '{yes}') AS n1, count(*) FILTER (label = '{no}') AS n0 FROM gtoks GROUP BY 1),
+below AS (SELECT sum(n1) + count(*) AS b1, sum(n0) + count(*) AS b0 FROM ns),
+prior AS (SELECT ln(count(*) FILTER (label = '{yes}') / count(label)) AS l1, ln(count(*) FILTER (label = '{no}') / count(label)) AS l0 FROM given),
+terms AS (SELECT doc_id, unnest({TOKENS}) AS term FROM asked),
+sums AS (SELECT doc_id, sum(ln((n1 + 1) / b1)) AS s1, sum(ln((n0 + 1) / b0)) AS s0 FROM terms JOIN ns USING (term), below GROUP BY 1),
+chances AS (SELECT doc_id, len({TOKENS}) AS size, 1 / (1 + exp(l0 + coalesce(s0, 0) - l1 - coalesce(s1, 0))) AS p1,
+  1 / (1 + exp(l1 + coalesce(s1, 0) - l0 - coalesce(s0, 0))) AS p0 FROM asked LEFT JOIN sums USING (doc_id), prior)"""
+
+
+_BAYES = """asked AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+given AS (SELECT text, toxic::VARCHAR AS label FROM documents JOIN labels USING (doc_id))"""
+_TOXIC = _bayes_sql("1", "0")
+
+
 def _token_sql(source: str, key: str) -> str:
     return f"substr(sha256('{source}' || chr(31) || {key}), 1, 32)"
 
@@ -755,14 +767,24 @@ WHERE c_nationkey = 3 AND s_nationkey = 3""",
     + _walk_sql("SELECT 's' || s_suppkey AS id FROM supplier WHERE s_nationkey = 7", "u", 5),
     "path_query": "SELECT event_id, ts, user_id, value FROM events WHERE event_type = 'error' ORDER BY ts DESC LIMIT 25",
     "classify_batch": f"""
-SELECT doc_id, choice, CASE WHEN choice = 'medium' THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS confidence, 'by-length' AS model,
-  n AS input_tokens, 1::BIGINT AS output_tokens FROM (SELECT doc_id, {_CHOICE} AS choice, length(text) AS n FROM documents)""",
-    "classify_stats": """
-SELECT 'by-length' AS model, count(*) AS n_rows, count(*) AS n_answered, sum(length(text))::BIGINT AS input_tokens, count(*) AS output_tokens FROM documents""",
-    "yes_no": "SELECT doc_id, round(least(1.0::DOUBLE, length(text) / 4000), 6) AS number FROM documents",
-    "row_filter": """
-SELECT doc_id, n_chars, lang FROM documents
-WHERE length('{"doc_id":' || doc_id || ',"n_chars":' || n_chars || ',"lang":"' || lang || '"}') / 4000 >= 0.0102""",
+WITH {_BAYES}, {_TOXIC} SELECT doc_id, CASE WHEN p1 > p0 THEN '1' ELSE '0' END AS choice, round(greatest(p0, p1), 6) AS confidence,
+  'naive-bayes' AS model, size::BIGINT AS input_tokens, 1::BIGINT AS output_tokens FROM chances
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL FROM documents WHERE text IS NULL""",
+    "classify_stats": f"""
+WITH {_BAYES}, {_TOXIC} SELECT 'naive-bayes' AS model, count(*) AS n_rows, count(*) AS n_answered,
+  sum(size)::BIGINT AS input_tokens, count(*) AS output_tokens FROM chances HAVING count(*) > 0
+UNION ALL SELECT NULL, count(*), 0, NULL, NULL FROM documents WHERE text IS NULL HAVING count(*) > 0""",
+    "yes_no": f"""
+WITH {_BAYES}, {_TOXIC} SELECT doc_id, round(p1, 6) AS number FROM chances
+UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""",
+    "row_filter": f"""
+WITH asked AS (SELECT DISTINCT row_number() OVER (ORDER BY lang, source) AS doc_id, text, lang, source, n FROM (
+    SELECT lang, source, count(*) AS n, concat('{{', concat_ws(',', '"lang":"' || lang || '"', '"source":"' || source || '"'), '}}') AS text
+    FROM documents GROUP BY 1, 2)),
+given AS (SELECT a.text, (d.n_chars > 1000)::VARCHAR AS label FROM documents d JOIN asked a
+  ON a.lang IS NOT DISTINCT FROM d.lang AND a.source IS NOT DISTINCT FROM d.source),
+{_bayes_sql("true", "false")}
+SELECT lang, source, n FROM chances JOIN asked USING (doc_id) WHERE p1 >= 0.7""",
     "assert_tables": """
 WITH f AS (SELECT count(*) FILTER (o_orderstatus = 'F') AS n FROM orders),
 q AS (SELECT count(*) FILTER (l_quantity <= 0) AS z, count(*) FILTER (l_quantity <= 10) AS s FROM lineitem),
