@@ -139,7 +139,53 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    # The turns one by one; a state is the slots so far and where each shard looks next.
+    "op1_sharding": f"""
+        WITH RECURSIVE
+        names AS (SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS shard FROM range({len(SHARDS)}) r(i)),
+        size AS (SELECT {sharding.table_size(len(SHARDS))} AS m),
+        orders AS (
+            SELECT i, ('0x' || substr(md5('start:' || shard), 1, 15))::BIGINT % m AS first,
+                   ('0x' || substr(md5('stride:' || shard), 1, 15))::BIGINT % (m - 1) + 1 AS step
+            FROM names, size),
+        lists AS (SELECT list(first ORDER BY i) AS firsts, list(step ORDER BY i) AS steps FROM orders),
+        turns AS (
+            SELECT 0 AS turn, list_transform(range(m), lambda x: -1) AS slots,
+                   list_transform(range({len(SHARDS)}), lambda x: 0) AS looked FROM size
+            UNION ALL
+            SELECT turn + 1,
+                   list_transform(slots, lambda v, n: if(n - 1 = slot, shard, v)),
+                   list_transform(looked, lambda v, n: if(n - 1 = shard, place, v))
+            FROM (SELECT *, (firsts[shard + 1] + place * steps[shard + 1]) % m AS slot
+                  FROM (SELECT *, list_filter(range(looked[shard + 1], m),
+                                lambda j: slots[(firsts[shard + 1] + j * steps[shard + 1]) % m + 1] < 0)[1] AS place
+                        FROM (SELECT *, turn % {len(SHARDS)} AS shard FROM turns, lists, size WHERE turn < m)))),
+        filled AS (SELECT unnest(slots) AS i, unnest(range(m)) AS slot FROM turns, size WHERE turn = m)
+        SELECT doc_id, slot, shard FROM (
+            SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % m AS slot FROM documents, size)
+        JOIN filled USING (slot) JOIN names USING (i)
+    """,
+    "op8_near_duplicates": f"""
+        WITH RECURSIVE
+        words AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[ \\t-\\r]+'), lambda w: w <> '') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+                   ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+        nodes AS (SELECT min(doc_id) AS node, md5(list_sort(s)::VARCHAR) AS h, any_value(s) AS s, len(any_value(s)) AS n
+                  FROM sets WHERE len(s) > 0 GROUP BY 2),
+        flat AS (SELECT node, n, unnest(s) AS sh FROM nodes),
+        links AS (SELECT a.node AS x, b.node AS y FROM flat a JOIN flat b
+                    ON a.sh = b.sh AND a.node < b.node AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+                  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+        reach AS (SELECT node AS x, node AS y FROM nodes UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+        tops AS (SELECT x AS node, min(y) AS top FROM reach GROUP BY 1)
+        SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(top, doc_id) AS component_id,
+               doc_id = coalesce(top, doc_id) AS kept
+        FROM sets LEFT JOIN nodes ON len(sets.s) > 0 AND md5(list_sort(sets.s)::VARCHAR) = h LEFT JOIN tops USING (node)
+    """,
     "op3_url_filters": """
         WITH cut AS (
             SELECT page_id,
