@@ -78,8 +78,7 @@ def traverse(graph: Graph, start: DataFrame, max_depth: int, directed: bool = Tr
     without that the work would double from round to round.
     """
     edges = graph.edges.select("src", "dst")
-    if not directed:
-        edges = durable(edges.union(edges.select("dst", "src")).distinct())
+    edges = durable(edges if directed else edges.union(edges.select("dst", "src")).distinct())
     ids = start.select(F.col(start.columns[0]).alias("id")).distinct()
     seen = durable(ids.withColumn("depth", F.lit(0)))
     frontier = seen

@@ -15,7 +15,7 @@ from rankweave.operators.similar import trigram_join
 from rankweave.operators.text_index import FrameIndex, StoredIndex
 from rankweave.operators.text_search import search
 from rankweave.operators.timeseries import chunk_catalog, chunks, partition_plan, read_chunked, time_bucket, write_chunked
-from rankweave.operators.versioned import Line, conflict_rows, diff_branch, inverse_changes, merge_branches, merge_changes, read_branch
+from rankweave.operators.versioned import Line, VersionedTable, conflict_rows, diff_branch, inverse_changes, merge_branches, merge_changes, read_branch
 from rankweave.plans.text import TOKENS, bm25_sql
 from rankweave.session import work_path
 from rankweave.sources import table
@@ -467,6 +467,21 @@ def assert_table_results(spark, folder):
     )
 
 
+def version_cycle(spark, folder):
+    """Track, branch, commit, merge, change both sides, merge again, undo: two states of main."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    held = VersionedTable.track(orders, "o_orderkey", work_path(spark, "versions"))
+    held.create_branch("review")
+    held.commit("review", orders.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X")))
+    held.merge("review")
+    held.commit("main", held.read().where("o_orderkey % 7 = 0").withColumn("o_totalprice", F.lit(0) * F.col("o_totalprice")))
+    held.commit("review", held.read("review").where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("Y")))
+    merged, _ = held.merge("review")
+    held.undo_merge(merged)
+    states = held.read("main", merged).withColumn("state", F.lit("merged"))
+    return states.unionByName(held.read().withColumn("state", F.lit("undone")))
+
+
 # -- streams ---------------------------------------------------------------------
 
 
@@ -527,6 +542,7 @@ QUERIES = {
     "version_conflicts": version_conflicts,
     "version_merge": version_merge,
     "version_undo": version_undo,
+    "version_cycle": version_cycle,
     "prov_distinct_formula": prov_distinct_formula,
     "prov_join_count": prov_join_count,
     "prov_weighted_count": prov_weighted_count,
@@ -704,6 +720,10 @@ SELECT part, part * 1000 AS range_start, (part + 1) * 1000 AS range_end, coalesc
     "prov_distinct_formula": """
 SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_name) AS place,
   c_name AS term FROM customer""",
+    "version_cycle": """
+SELECT o_orderkey, state, o_totalprice * CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS o_totalprice,
+  CASE WHEN o_orderkey % 10 = 0 AND state = 'merged' THEN 'Y' WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus
+FROM orders, (VALUES ('merged'), ('undone')) s(state)""",
     "prov_dependent_probability": """
 SELECT l_orderkey, round(0.5::DOUBLE * (1 - pow(0.75::DOUBLE, count(DISTINCT l_suppkey))), 6) AS probability
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""",

@@ -243,8 +243,8 @@ def _stored(spark, folder, rows: DataFrame) -> StoredIndex:
 
 def _built_in_two_steps(spark, folder) -> StoredIndex:
     docs = _docs(spark, folder)
-    first = _stored(spark, folder, docs.where("lang in ('en', 'fr')"))
-    return append_segment(first, docs.where("lang not in ('en', 'fr')").select("doc_id", "text"))
+    first = _stored(spark, folder, docs.where("coalesce(lang, '') in ('en', 'fr')"))
+    return append_segment(first, docs.where("coalesce(lang, '') not in ('en', 'fr')").select("doc_id", "text"))
 
 
 def index_append(spark, folder):
@@ -261,6 +261,34 @@ def index_delete(spark, folder):
     return hits.select(F.col("id").alias("doc_id"), "rank", "score")
 
 
+def stored_bool_query(spark, folder):
+    return _as_doc(match(_built_in_two_steps(spark, folder), BOOL))
+
+
+def stored_phrase(spark, folder):
+    return _as_doc(match(_built_in_two_steps(spark, folder), Phrase("of", "the")))
+
+
+def stored_near(spark, folder):
+    return _as_doc(match(_built_in_two_steps(spark, folder), Near("of", "the", 3)))
+
+
+def stored_negative_score(spark, folder):
+    return _as_doc(negative_score(_built_in_two_steps(spark, folder), "of the la"))
+
+
+OR_NOT = Or("the", Not("of"))
+
+
+def stored_or_not(spark, folder):
+    """A query that matches without its terms, ranked."""
+    return _as_doc(search(_built_in_two_steps(spark, folder), OR_NOT, limit=50)).drop("snippet")
+
+
+def stored_score_all(spark, folder):
+    return _as_doc(score_all(_built_in_two_steps(spark, folder), OR_NOT))
+
+
 def _with_deletes(spark, folder) -> StoredIndex:
     docs = _docs(spark, folder)
     return delete_docs(_built_in_two_steps(spark, folder), docs.where("lang = 'de' or n_chars > 5000").select("doc_id"))
@@ -300,6 +328,12 @@ QUERIES = {
     "split_long_tokens": split_long_tokens,
     "match_term": match_term,
     "bool_query": bool_query,
+    "stored_bool_query": stored_bool_query,
+    "stored_phrase": stored_phrase,
+    "stored_near": stored_near,
+    "stored_negative_score": stored_negative_score,
+    "stored_or_not": stored_or_not,
+    "stored_score_all": stored_score_all,
     "phrase_query": phrase_query,
     "near_query": near_query,
     "then_query": then_query,
@@ -445,3 +479,18 @@ SELECT count(*) AS n_postings, sum(tf)::BIGINT AS n_tokens, 0::BIGINT AS n_findi
 FROM (SELECT id, term, count(*) AS tf FROM ({_POS}) GROUP BY 1, 2)""",
     "term_score_bounds": f"WITH {bm25_sql()} SELECT term, any_value(df) AS df, round(max(s), 6) AS max_score FROM impact GROUP BY 1",
 }
+
+_OR_NOT_SQL = f"""
+WITH {bm25_sql('documents')}, has_of AS (SELECT DISTINCT id FROM impact WHERE term = 'of'),
+scores AS (SELECT id, round(sum(s), 6) AS s FROM impact WHERE term = 'the' GROUP BY 1),
+found AS (SELECT doc_id, coalesce(s, 0) AS score FROM documents LEFT JOIN scores ON scores.id = doc_id
+  LEFT JOIN has_of ON has_of.id = doc_id WHERE s IS NOT NULL OR has_of.id IS NULL)"""
+# The stored form of a query has the rows of the other.
+ORACLES |= {
+    "stored_bool_query": ORACLES["bool_query"],
+    "stored_phrase": ORACLES["phrase_query"],
+    "stored_near": ORACLES["near_query"],
+    "stored_negative_score": ORACLES["negative_score"],
+    "stored_or_not": _OR_NOT_SQL + " SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, score FROM found ORDER BY rank LIMIT 50",
+    "stored_score_all": _OR_NOT_SQL + " SELECT doc_id, score, score AS full_score FROM found",
+}
