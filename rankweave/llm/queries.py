@@ -141,7 +141,101 @@ QUERIES = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _licenses_sql() -> str:
+    """Votes of equal word k-grams by diagonal, merged and verified by what they cover."""
+    rows = [(t, label, i < len(licenses.PHRASES)) for i, (t, label) in enumerate([*licenses.PHRASES, *licenses.TEMPLATES])]
+    values = ", ".join(f"({i}, '{t}', '{label}', {phrase})" for i, (t, label, phrase) in enumerate(rows))
+    short, long = licenses.SHORT, licenses.LONG
+    return f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        given AS (
+            SELECT template, label, phrase, string_split(body, ' ') AS w, len(string_split(body, ' ')) AS length,
+                   if(len(string_split(body, ' ')) <= {licenses.PHRASE_WORDS}, {short}, {long}) AS k
+            FROM (VALUES {values}) v(template, body, label, phrase)),
+        places AS (SELECT *, unnest(range(length - k + 1)) AS t FROM given),
+        grams AS (SELECT template, label, phrase, length, k, t, array_to_string(w[t + 1:t + k], ' ') AS g FROM places),
+        said AS (SELECT r, k, p, array_to_string(w[p + 1:p + k], ' ') AS g
+                 FROM (SELECT r, w, k, unnest(range(len(w) - k + 1)) AS p FROM docs, (VALUES ({short}), ({long})) s(k))),
+        votes AS (SELECT r, template, label, phrase, length, k, p - t AS d, t FROM said JOIN grams USING (k, g)),
+        diagonals AS (SELECT r, template, label, phrase, length, k, d, list(DISTINCT t) AS ts FROM votes GROUP BY ALL),
+        marked AS (
+            SELECT *, if(phrase OR coalesce(d - lag(d) OVER o > least({licenses.SLACK}, length // 4), true), 1, 0) AS fresh
+            FROM diagonals WINDOW o AS (PARTITION BY r, template ORDER BY d)),
+        grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY d) AS copy FROM marked),
+        covered AS (
+            SELECT r, template, label, phrase, length, copy, min(d + list_min(ts)) AS first,
+                   len(list_distinct(flatten(list(flatten(list_transform(ts, lambda t: range(t, t + k))))))) / length AS cover
+            FROM grouped GROUP BY r, template, label, phrase, length, copy),
+        spans AS (SELECT * FROM covered WHERE cover >= if(length <= {licenses.PHRASE_WORDS}, 1, {licenses.COVER}))
+        SELECT doc_id, len(any_value(w))::BIGINT AS n_words, count(*) FILTER (phrase) AS n_base,
+               (min(first) FILTER (phrase))::BIGINT AS first_word, (max(first) FILTER (phrase))::BIGINT AS last_word,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+               coalesce(max(cover), 0)::DOUBLE AS score
+        FROM docs LEFT JOIN spans USING (r) GROUP BY r, doc_id
+    """
+
+
+def _spans_sql() -> str:
+    """The spans of every kind, positions summed up as lengths; then links within the scope.
+
+    A key is a maximal run of its characters, which says the same as the look-around.
+    """
+    parts = []
+    for number, kind in enumerate(secrets.KINDS):
+        pattern, good = kind.pattern, f"length(g) >= {kind.least}"
+        if kind.name == "key":
+            pattern = "[A-Za-z0-9/+=]+"
+            good = "length(g) = 40 AND NOT contains(g, '=') AND " + " AND ".join(
+                f"regexp_matches(g, '[{c}]')" for c in ("a-z", "A-Z", "0-9")
+            )
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"SELECT r, {number} AS kind, regexp_extract_all(x, {quoted}) AS hits, string_split_regex(x, {quoted}) AS gaps, "
+            f"list_transform(regexp_extract_all(x, {quoted}, {kind.group}), lambda g: {good}) AS good FROM t"
+        )
+    needs = " ".join(
+        f"WHEN {i} THEN " + " AND ".join(f"{role}_near" for role in kind.needs)
+        for i, kind in enumerate(secrets.KINDS)
+        if kind.needs
+    )
+    names = ", ".join(f"'{k.name}'" for k in secrets.KINDS)
+    roles = ", ".join(f"'{k.role}'" for k in secrets.KINDS)
+    near = ", ".join(
+        f"bool_or(p.role = '{role}') AS {role}_near" for role in (secrets.IDENTIFIER, secrets.SECRET, secrets.ENDPOINT)
+    )
+    strong = len(secrets.STRONG)
+    union = " UNION ALL ".join(parts)
+    return f"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+        raw AS ({union}),
+        each AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM raw),
+        spans AS (
+            SELECT r, kind, [{names}][kind + 1] AS name, [{roles}][kind + 1] AS role, s, s + length(hits[i]) AS e
+            FROM (SELECT *, list_sum(list_transform(gaps[1:i], lambda g: length(g)))::BIGINT
+                         + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0)::BIGINT AS s
+                  FROM each WHERE good[i])),
+        met AS (SELECT w.r, w.kind, w.s, w.e, {near} FROM spans w JOIN spans p
+                  ON w.r = p.r AND w.kind >= {strong} AND p.s - w.e <= {secrets.SCOPE} AND w.s - p.e <= {secrets.SCOPE}
+                GROUP BY ALL),
+        kept AS (SELECT * FROM spans WHERE kind < {strong}
+                 UNION ALL SELECT spans.* FROM spans JOIN met USING (r, kind, s, e) WHERE CASE kind {needs} END)
+        SELECT doc_id,
+               count(*) FILTER (name = 'assign') AS n_assign,
+               count(*) FILTER (name = 'access') AS n_access,
+               count(*) FILTER (name = 'hex') AS n_hex,
+               sha256(coalesce(string_agg(concat_ws(':', name, s, e), ',' ORDER BY s, kind) FILTER (kind < {strong}), '')) AS base_sha256,
+               coalesce(string_agg(concat_ws(':', name, s, e), ',' ORDER BY s, kind) FILTER (name IS NOT NULL), '') AS spans
+        FROM t LEFT JOIN kept USING (r) GROUP BY r, doc_id
+    """
+
+
 ORACLES = {
+    "op5_licenses": _licenses_sql(),
+    "op10_secrets": _spans_sql(),
     # The turns one by one; a state is the slots so far and where each shard looks next.
     "op1_sharding": f"""
         WITH RECURSIVE
