@@ -19,6 +19,9 @@ ARROW = {
     "array<long>": pa.list_(pa.int64()),
 }
 
+# Rows of an Arrow batch whose texts and results are Python objects at one time.
+SLICE = 512
+
 # What a batch function returns: for each output row the number of its input row (None:
 # one output row for each input row, in order), and the output columns.
 Rows = tuple[Sequence[int] | None, Sequence[Sequence]]
@@ -39,14 +42,16 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            whole = work(batch.column(len(keys)).to_pylist())
-            for at, columns in [whole] if isinstance(whole, tuple) else whole:
-                held = [batch.column(i) for i in range(len(keys))]
-                if at is not None:
-                    rows = pa.array(at, pa.int64())
-                    held = [h.take(rows) for h in held]
-                made = [pa.array(c, t) for c, t in zip(columns, types)]
-                yield pa.RecordBatch.from_arrays(held + made, names)
+            for begin in range(0, max(batch.num_rows, 1), SLICE):
+                part = batch.slice(begin, SLICE)
+                whole = work(part.column(len(keys)).to_pylist())
+                for at, columns in [whole] if isinstance(whole, tuple) else whole:
+                    held = [part.column(i) for i in range(len(keys))]
+                    if at is not None:
+                        rows = pa.array(at, pa.int64())
+                        held = [h.take(rows) for h in held]
+                    made = [pa.array(c, t) for c, t in zip(columns, types)]
+                    yield pa.RecordBatch.from_arrays(held + made, names)
 
     schema = ", ".join(
         [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{k}` {t}" for k, t in fields.items()]

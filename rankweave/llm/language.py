@@ -31,7 +31,7 @@ SWITCH = 14.0
 # Share of a language's letters that a script needs to count as one of its scripts.
 SCRIPT_SHARE = 0.02
 # Words whose scores a task keeps; beyond it the store is emptied, at no loss.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 UNKNOWN = "und"
 
 WORD = re.compile(r"[^\W\d_]+")

@@ -12,7 +12,7 @@ import xxhash
 CHANCE = 2.0**-16
 # Shingles whose hashes are held at once; longer sets go through in pieces.
 PIECE = 1024
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # a published 64-bit mixer
 

@@ -35,7 +35,7 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 # Words whose codes a worker keeps; beyond it the store is emptied, at no loss.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 # Pairs of arcs whose weight a worker keeps, likewise.
 CACHE_PAIRS = 1_000_000
 # Longest word that is kept; longer ones are rarely met twice.

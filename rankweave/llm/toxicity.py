@@ -28,7 +28,7 @@ EPOCHS = 60
 SHRINK = 1e-6
 # Least chi-square of a word's presence and the label; the rest would be learnt by heart.
 TELLING = 20.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 # Log odds of a sentence without any telling word, to begin with.
 START_BIAS = -6.0
 
