@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.operators.analyze import dictionary_version
@@ -210,35 +210,37 @@ def verify_index(index: StoredIndex, df: DataFrame | None = None) -> DataFrame:
     at_doc = F.concat_ws("/", F.lit("doc"), F.col("id").cast("string"), F.col("field"))
     at_term = F.concat_ws("/", at_doc, F.col("term"))
 
-    def finding(rows: DataFrame, where, message: str) -> DataFrame:
-        return rows.select(F.lit("error").alias("severity"), where.alias("location"), F.lit(message).alias("message"))
+    def findings(rows: DataFrame, where: Column, message: Column) -> DataFrame:
+        """A row for each row that has a message; one pass whatever the number of messages."""
+        named = rows.select(F.lit("error").alias("severity"), where.alias("location"), message.alias("message"))
+        return named.where(F.col("message").isNotNull())
 
-    found = finding(
-        postings.where((F.col("tf") != F.size("positions")) | (F.col("tf") < 1)), at_term,
-        "frequency differs from the number of positions",
-    )
+    badly_counted = (F.col("tf") != F.size("positions")) | (F.col("tf") < 1)
+    found = findings(postings, at_term, F.when(badly_counted, "frequency differs from the number of positions"))
     totals = postings.groupBy("segment", "id", "field").agg(
         F.sum("tf").alias("held"), F.min("len").alias("low"), F.max("len").alias("high")
     )
-    joined = docs.join(totals, ["segment", "id", "field"], "full")
+    sizes = docs.join(totals, ["segment", "id", "field"], "full")
     wrong = (
-        F.col("len").isNotNull()
-        & ((F.coalesce("held", F.lit(0)) != F.col("len")) | (F.coalesce("low", "len") != F.col("len"))
-           | (F.coalesce("high", "len") != F.col("len")))
+        (F.coalesce("held", F.lit(0)) != F.col("len"))
+        | (F.coalesce("low", "len") != F.col("len"))
+        | (F.coalesce("high", "len") != F.col("len"))
+    )
+    about_size = F.when(F.col("len").isNull(), "postings without a document").when(
+        wrong, "length differs from the sum of frequencies"
     )
-    found = found.union(finding(joined.where(wrong), at_doc, "length differs from the sum of frequencies"))
-    found = found.union(finding(joined.where(F.col("len").isNull()), at_doc, "postings without a document"))
-    live = index.doc_stats()
-    twice = live.groupBy("id", "field").count().where("count > 1")
-    found = found.union(finding(twice, at_doc, "document is live more than once"))
+    found = found.union(findings(sizes, at_doc, about_size))
+    twice = index.doc_stats().groupBy("id", "field").count()
+    found = found.union(findings(twice, at_doc, F.when(F.col("count") > 1, "document is live more than once")))
     if df is not None:
         again = index.frame_index(df).postings().select("id", "field", "term", F.col("positions").alias("p"))
         both = index.postings().select("id", "field", "term", "positions").join(again, ["id", "field", "term"], "full")
-        found = found.union(finding(both.where("p is null"), at_term, "posting is not in the text"))
-        found = found.union(finding(both.where("positions is null"), at_term, "text is not in the index"))
-        found = found.union(
-            finding(both.where("p is not null and positions is not null and p != positions"), at_term, "positions differ from the text")
+        about_text = (
+            F.when(F.col("p").isNull(), "posting is not in the text")
+            .when(F.col("positions").isNull(), "text is not in the index")
+            .when(F.col("p") != F.col("positions"), "positions differ from the text")
         )
+        found = found.union(findings(both, at_term, about_text))
     return found
 
 
