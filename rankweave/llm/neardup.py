@@ -37,6 +37,8 @@ HASHES = BANDS * ROWS
 STEP, MISS = 36, 1e-5
 # Nodes of a block; two blocks meet in a task.
 BLOCK = 512
+# Parts that a component's nodes are dealt to when they meet its key.
+SALTS = 32
 # Columns of the indicator matrix that a task holds at once.
 COLUMNS = 4096
 
@@ -91,9 +93,12 @@ def near_duplicates(
     more = stored(_block_links(members, nodes, roots, source, width, percent), "links")
     again = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = stored(components(again, "a", "b"), "roots")
-    rooted = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = rooted.groupBy("root").agg(F.min("rep").alias("top"))
-    placed = rooted.join(groups, "root").select("node", "top")
+    # A component may hold a third of all nodes: its top has several copies to join with.
+    linked = roots.join(nodes.select("node", "rep"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    tops = linked.groupBy("root").agg(F.min("rep").alias("top")).withColumn("salt", copies)
+    topped = linked.join(tops, ["root", "salt"]).select("node", "top")
+    placed = nodes.select("node", "rep").join(topped, "node", "left").select("node", F.coalesce("top", "rep").alias("top"))
     return found.select("id", "text_hash", "n", "node").join(placed, "node", "left").select(
         F.col("id").alias(key),
         "text_hash",
