@@ -3,9 +3,11 @@
 Edit distance (over words) is mapped to Hamming distance by random walks: a walk reads
 the word it stands at, writes it down, and moves on or stays by a random bit that depends
 on the step and the word. Two texts walk together where they agree, and often find
-together again after an edit. Some written positions are sampled to make a key; many
-walks and samples make it near certain that a window close to an item has a key in
-common with it. Candidates are verified by their exact edit distance.
+together again after an edit. Some written positions are sampled to make a key, from the whole
+walk and from shorter and shorter beginnings of it: words left out or put in all along a
+passage part two walks for good, but seldom in their first steps. So longer classes have
+more keys, and a window within the allowed edits of an item has a key in common with it
+with probability ``RECALL`` or more. Candidates are verified by their exact edit distance.
 
 Windows are as long as the items, which are put into classes of similar length. The walk
 need not begin where no item can be. With d edits a window of n words keeps n - d words
@@ -31,8 +33,12 @@ WORD = re.compile(r"[^\W_]+")
 PERCENT = 20
 # Items with fewer words say nothing about contamination.
 LEAST_WORDS = 5
-# Walks, keys for each walk, and positions sampled for each key.
-WALKS, KEYS, SAMPLED = 16, 4, 3
+# Target share of the items with as many edits as allowed, of any kind, that are found.
+RECALL = 0.99
+# Walks, keys for each beginning of a walk, and positions sampled for each key.
+WALKS, KEYS, SAMPLED = 24, 6, 3
+# Steps of the shortest beginning, at least; each is half of the next.
+SHORTEST = 8
 # Steps of a walk for each word of a window: it should not walk out of the item.
 STEPS = 1.6
 # Ratio of the lengths of two neighbouring classes.
@@ -40,8 +46,11 @@ CLASS_RATIO = 1.12
 # Distinct words of all items that are sent to the tasks (about 100 bytes each); beyond,
 # words are hashed one by one and every window is walked.
 VOCABULARY = 500_000
-# Item keys up to this number are broadcast (about 40 bytes each).
+# Item keys up to this number are broadcast (about 40 bytes each), and windows' other keys
+# are left out where they are made; beyond, all keys of the windows are joined.
 BROADCAST_KEYS = 1_000_000
+# Slots, as bits of a key, of the table that tells most other keys at once.
+SLOT_BITS = 24
 # Texts, and windows, that are held at once.
 TEXTS, WINDOWS = 256, 2_048
 
@@ -91,26 +100,35 @@ def longest_of(base: int) -> int:
     return words
 
 
+def beginnings(base: int) -> list[int]:
+    """Steps of a walk of a class, then of its shorter beginnings."""
+    steps = [max(SAMPLED, int(base * STEPS))]
+    while steps[-1] // 2 >= SHORTEST:
+        steps.append(steps[-1] // 2)
+    return steps
+
+
 def walk_keys(stream: np.ndarray, starts: np.ndarray, base: int) -> np.ndarray:
     """The keys of the windows of a symbol stream that begin at ``starts``, a row for each.
 
     The stream must go on for the steps of a walk behind each start.
     """
-    steps = max(SAMPLED, int(base * STEPS))
+    parts = beginnings(base)
+    steps = parts[0]
     random = np.random.Generator(np.random.PCG64(base))
-    out = np.empty((len(starts), WALKS * KEYS), np.uint64)
+    out = np.empty((len(starts), WALKS * len(parts) * KEYS), np.uint64)
     for walk in range(WALKS):
         bits = random.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         at, written = starts.copy(), np.empty((steps, len(starts)), np.uint64)
         for step in range(steps):
             written[step] = stream[at]
             at += (written[step] * bits[step] >> np.uint64(63)).astype(np.int64)
-        for key in range(KEYS):
-            value = np.full(len(starts), base * 4096 + walk * KEYS + key, np.uint64)
-            for step in np.sort(random.choice(steps, SAMPLED, replace=False)):
+        for number, part in enumerate(np.repeat(parts, KEYS), walk * len(parts) * KEYS):
+            value = np.full(len(starts), base * 4096 + number, np.uint64)
+            for step in np.sort(random.choice(part, SAMPLED, replace=False)):
                 value = (value ^ written[step]) * np.uint64(0xD6E8FEB86659FD93)
                 value ^= value >> np.uint64(32)
-            out[:, walk * KEYS + key] = value
+            out[:, number] = value
     return out
 
 
@@ -168,7 +186,12 @@ def leaks(
         twos = twos.groupBy("two").agg(F.max("count").alias("times"), F.collect_set("base").alias("bases"))
         if at_most(twos, VOCABULARY):
             neighbours = pair_table([(r["two"], r["times"], r["bases"]) for r in twos.toLocalIterator()], bases)
-    shared = spark.sparkContext.broadcast((known, neighbours, bases))
+    keys = coded.select("item", "base", F.explode("keys").alias("k")).distinct()
+    few, asked_for = at_most(keys, BROADCAST_KEYS), None
+    if few:
+        rows = keys.select("k").distinct().toLocalIterator()
+        asked_for = np.sort(np.fromiter((r["k"] for r in rows), np.int64).view(np.uint64))
+    shared = spark.sparkContext.broadcast((known, neighbours, bases, asked_for))
 
     read = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     windows = map_texts(
@@ -179,9 +202,8 @@ def leaks(
         lambda: _windows(*shared.value),
     )
     windows = stored(windows, "windows")
-    keys = coded.select("item", "base", F.explode("keys").alias("k")).distinct()
     asked = windows.select("id", "text_hash", "base", "start", F.explode("keys").alias("k"))
-    side = F.broadcast(keys) if at_most(keys, BROADCAST_KEYS) else keys
+    side = F.broadcast(keys) if few else keys
     pairs = asked.join(side, ["base", "k"]).select("id", "text_hash", "base", "start", "item").distinct()
     place = windows.select(
         F.col("id").alias("w_id"), F.col("text_hash").alias("w_hash"), F.col("base").alias("w_base"), F.col("start").alias("w_start"), "region"
@@ -262,8 +284,15 @@ def _items(items: DataFrame, item: str, text: str) -> DataFrame:
     return map_texts(named, ["item"], "text", {"words": "string", "base": "int", "keys": "array<long>"}, start)
 
 
-def _windows(known: dict[str, int] | None, neighbours: tuple | None, bases: list[int]):
-    """A function that gives the windows of texts in which an item may begin, part by part."""
+def _windows(known: dict[str, int] | None, neighbours: tuple | None, bases: list[int], asked_for: np.ndarray | None):
+    """A function that gives the windows of texts in which an item may begin, part by part.
+
+    With ``asked_for``, the sorted keys of the items, only these keys and windows that have one.
+    """
+    slots = None
+    if asked_for is not None:
+        slots = np.zeros(1 << SLOT_BITS, bool)
+        slots[asked_for >> np.uint64(64 - SLOT_BITS)] = True
     reach = {base: longest_of(base) for base in bases}
     gap = int(max(bases, default=1) * STEPS) + SAMPLED
 
@@ -298,12 +327,28 @@ def _windows(known: dict[str, int] | None, neighbours: tuple | None, bases: list
                             regions.append(region)
                     if rows:
                         rows = np.array(rows)
-                        keys = walk_keys(stream, first[rows] + np.array(places), base).view(np.int64)
-                        yield rows + low, ([base] * len(places), places, regions, list(keys))
+                        keys = walk_keys(stream, first[rows] + np.array(places), base)
+                        if slots is None:
+                            yield rows + low, ([base] * len(places), places, regions, list(keys.view(np.int64)))
+                            continue
+                        having, mine = _asked(keys, slots, asked_for)
+                        yield rows[having] + low, (
+                            [base] * len(having), [places[h] for h in having], [regions[h] for h in having], mine
+                        )
 
     return work
 
 
+def _asked(keys: np.ndarray, slots: np.ndarray, asked_for: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows with a key of ``asked_for``, and such keys of each."""
+    row, column = np.nonzero(slots[keys >> np.uint64(64 - SLOT_BITS)])
+    value = keys[row, column]
+    at = np.minimum(np.searchsorted(asked_for, value), max(len(asked_for) - 1, 0))
+    real = asked_for[at] == value if len(asked_for) else np.zeros(len(value), bool)
+    having, begins = np.unique(row[real], return_index=True)
+    return having, np.split(value[real].view(np.int64), begins[1:]) if len(having) else []
+
+
 def _starts(stream: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None, known: bool, base: int, most: int, gap: int) -> np.ndarray:
     """The positions at which a window is within reach of some item, as far as counts tell."""
     begins = np.arange(len(stream) - gap)
