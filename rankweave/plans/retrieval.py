@@ -10,7 +10,7 @@ from rankweave.operators.hybrid import hybrid_many, hybrid_search
 from rankweave.operators.query import Or
 from rankweave.operators.text_index import FrameIndex
 from rankweave.operators.text_search import query_terms, search_many
-from rankweave.operators.vector import build_ivf, ivf_knn, ivf_knn_join, knn, knn_join
+from rankweave.operators.vector import IvfIndex, build_ivf, ivf_knn, ivf_knn_join, knn, knn_join
 from rankweave.plans.text import TOKENS, WHITESPACE, bm25_sql, many_sql
 from rankweave.sources import table
 
@@ -90,21 +90,36 @@ def _joined(spark, folder) -> DataFrame:
     return docs.join(vectors, "doc_id", "left")
 
 
+def _joined_lists(both: DataFrame) -> IvfIndex | None:
+    """The vectors of ``_joined`` in lists; all are to be probed, for the rows of the exact search."""
+    held = both.where("aggregate(embedding, 0D, (s, x) -> s + x * x) > 0")
+    rows = held.orderBy("doc_id").select("embedding").limit(8).collect()
+    points = [[float(x) for x in r["embedding"]] for r in rows]
+    units = [[x / sum(y * y for y in p) ** 0.5 for x in p] for p in points]
+    return build_ivf(both, "doc_id", "embedding", len(units), metric="cosine", centers=units) if units else None
+
+
 def hybrid_rrf(spark, folder):
     both = _joined(spark, folder)
+    lists = _joined_lists(both)
     index = FrameIndex(both, "doc_id", "text")
     hits = hybrid_search(
         index, both, Or("the", "of"), "embedding", _first_vector(spark, folder), limit=20, snippet="none",
+        vector_index=lists, probes=len(lists.centers) if lists else 1,
     )
     return hits.drop("snippet").withColumnRenamed("id", "doc_id")
 
 
 def hybrid_many_rrf(spark, folder):
     both = _joined(spark, folder)
+    lists = _joined_lists(both)
     index = FrameIndex(both, "doc_id", "text")
     vectors = _embeddings(spark, folder).withColumnRenamed("vec_id", "item_id")
     queries = table(spark, folder, "benchmark").join(vectors, "item_id", "left")
-    hits = hybrid_many(index, both, "embedding", queries, "item_id", "text", "embedding", limit=10)
+    hits = hybrid_many(
+        index, both, "embedding", queries, "item_id", "text", "embedding", limit=10,
+        vector_index=lists, probes=len(lists.centers) if lists else 1,
+    )
     return hits.drop("snippet")
 
 
