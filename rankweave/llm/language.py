@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import map_texts
+from rankweave.session import broadcast_if_small, stored
 
 # Bound of the sample that the model is fitted on: whole texts per language.
 TRAIN_DOCS = 3_000
@@ -98,22 +99,30 @@ class Model:
         return (total - total.max(axis=1, keepdims=True)).astype(np.float32)
 
 
+def _sample(docs: DataFrame, text: str, lang: str, per_language: int) -> tuple[DataFrame, list[str]]:
+    """(text, lang) of at most ``per_language`` distinct texts of each language, and the languages."""
+    labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("hash")).where(
+        F.col("lang").isNotNull() & F.col("text").isNotNull()
+    )
+    order = Window.partitionBy("lang").orderBy("hash")
+    numbered = labelled.select("lang", "hash").distinct().withColumn("n", F.row_number().over(order))
+    kept = stored(numbered.where(F.col("n") <= per_language).select("lang", "hash"), "language-sample")
+    languages = sorted(r["lang"] for r in kept.select("lang").distinct().collect())
+    drawn = labelled.join(broadcast_if_small(kept), ["lang", "hash"])
+    return drawn.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("text", "lang"), languages
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS) -> Model:
     """Fit the model on at most ``per_language`` whole texts of each non-null language.
 
-    The sample is the texts with the smallest hashes of their content. Counts are made
-    by Spark; the driver gets sums for each language, slot and script, whose number
-    does not grow with the rows.
+    The sample is the distinct texts with the smallest hashes of their content, up to the
+    bound exactly; copies of a text count once. Counts are made by Spark, which moves
+    hashes, and copies of the drawn texts once for each task; the driver gets sums for each
+    language, slot and script, whose number does not grow with the rows.
     """
-    labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull()
-    )
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    drawn, languages = _sample(docs, text, lang, per_language)
+    if not languages:
         return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
-    # A share of the hash range for each language: Spark picks the texts where they are.
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -134,7 +143,6 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
 
     counted = drawn.mapInPandas(count, "lang string, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     table = counted.toPandas()
-    languages = sorted(sizes)
     both = np.zeros((SLOTS + len(NAMES), len(languages)))
     both[table["slot"], [languages.index(x) for x in table["lang"]]] = table["n"]
     grams, letters = both[:SLOTS], both[SLOTS:]
