@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import decontaminate, language, licenses, nearest, neardup, pieces, secrets, sharding, toxicity, urls
+from rankweave.llm import (
+    collocations,
+    decontaminate,
+    fingerprints,
+    language,
+    licenses,
+    merkle,
+    nearest,
+    neardup,
+    pieces,
+    secrets,
+    sharding,
+    toxicity,
+    urls,
+)
 from rankweave.sources import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -126,6 +140,49 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf, roots and proof of every document; every seventh is verified as tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    more = {"n_chars": (F.col("n_chars").cast("decimal(21,0)") + 1)}
+    forged = merkle.digest(*[more.get(c, F.col(c)) for c in LEAF])
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    tree = merkle.manifest(docs, "doc_id", "lang", LEAF, carry={"forged": F.when(tampered, forged)})
+    shown = tree.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), merkle.folded(F.coalesce("forged", "leaf"), F.col("path")).alias("folded_root")
+    )
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they are."""
+    pairs = fingerprints.edited_by_next(table(spark, sf_dir, "documents"))
+    prints = pairs.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.fingerprint(F.col("text")).alias("own"),
+        fingerprints.fingerprint(F.col("edited")).alias("other"),
+        "next_print",
+    )
+    return prints.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.encoded(F.col("own")).alias("fingerprint"),
+        fingerprints.encoded(F.col("other")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        fingerprints.likeness(F.col("own"), F.coalesce("next_print", "own")).alias("near_next"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language": op2_language,
@@ -137,6 +194,9 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
+    "op11_manifest": op11_manifest,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -233,7 +293,121 @@ def _spans_sql() -> str:
     """
 
 
+def _tree_sql(levels: str, source: str) -> str:
+    """(grp, level, i, n, d): all nodes above the leaves of ``source``, level by level."""
+    return f"""
+        {levels} AS (
+            SELECT grp, 0 AS level, row_number() OVER (PARTITION BY grp ORDER BY place) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n, d FROM {source}
+            UNION ALL
+            SELECT grp, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM {levels} WHERE n > 1 GROUP BY grp, level, i // 2, n)"""
+
+
+def _manifest_sql() -> str:
+    """Trees level by level, siblings by their numbers, CRC-32 bit by bit."""
+
+    def leaf(**changed: str) -> str:
+        texts = [changed.get(c, f"{c}::VARCHAR") for c in LEAF]
+        return "sha256(" + " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in texts) + ")"
+
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda x: 0::BIGINT)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)"
+    return f"""
+        WITH RECURSIVE
+        docs AS (SELECT *, coalesce('=' || lang, '') AS grp, {leaf()} AS d, {leaf(n_chars="(n_chars::HUGEINT + 1)::VARCHAR")} AS forged,
+                        coalesce({crc} % 7 = 0, false) AS tampered FROM documents),
+        leaves AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, d) AS place FROM docs),
+        {_tree_sql("nodes", "leaves")},
+        subroots AS (SELECT '' AS grp, grp AS place, d FROM nodes WHERE n = 1),
+        {_tree_sql("tops", "subroots")},
+        places AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY place) - 1 AS i FROM leaves),
+        groups AS (SELECT place AS grp, d AS subroot, row_number() OVER (ORDER BY place) - 1 AS i FROM subroots),
+        steps AS (
+            SELECT p.place, up AS step, (p.i >> up) % 2 = 1 AS is_right, s.d
+            FROM places p JOIN (SELECT DISTINCT grp, level AS up FROM nodes WHERE n > 1) USING (grp)
+            LEFT JOIN nodes s ON s.grp = p.grp AND s.level = up AND s.i = xor(p.i >> up, 1)
+            UNION ALL
+            SELECT p.place, 1000 + up, (g.i >> up) % 2 = 1, s.d
+            FROM places p JOIN groups g USING (grp) CROSS JOIN (SELECT DISTINCT level AS up FROM tops WHERE n > 1)
+            LEFT JOIN tops s ON s.level = up AND s.i = xor(g.i >> up, 1)),
+        paths AS (
+            SELECT place, string_agg(d, '' ORDER BY step) AS said,
+                   list({{'l': if(is_right, d, ''), 'r': if(is_right, '', coalesce(d, '')), 'd': ''}} ORDER BY step) AS path
+            FROM steps GROUP BY place),
+        folded AS (
+            SELECT place, list_reduce(list_prepend({{'l': '', 'r': '', 'd': if(tampered, forged, p.d)}}, coalesce(path, [])),
+                                      lambda a, x: {{'l': '', 'r': '', 'd': sha256(x.l || a.d || x.r)}}).d AS folded_root,
+                   sha256(coalesce(said, '')) AS proof_sha256
+            FROM places p LEFT JOIN paths USING (place))
+        SELECT doc_id, places.d AS leaf, subroot, tops.d AS root, proof_sha256, folded_root, folded_root = tops.d AS verified
+        FROM places JOIN groups USING (grp) JOIN folded USING (place) JOIN tops ON n = 1
+    """
+
+
+def _fingerprints_sql() -> str:
+    """Sums of numbers and bits cut from SHA-256 digests of paragraphs and sentences."""
+    half = fingerprints.BITS // 2
+
+    def number(first: str, count: int) -> str:
+        return f"('0x' || substr(h, {first}, {count}))::BIGINT"
+
+    return f"""
+        WITH said AS (SELECT doc_id, coalesce(text, '') AS x, row_number() OVER () AS r FROM documents),
+        nexts AS (SELECT *, coalesce(lead(x) OVER w, first(x) OVER w) AS y, coalesce(lead(r) OVER w, first(r) OVER w) AS follows
+                  FROM said WINDOW w AS (ORDER BY doc_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        edits AS (SELECT *, substr(x, 1, length(x) - length(x) // 3) || substr(y, 1, length(x) // 3) AS z FROM nexts),
+        texts AS (SELECT r, false AS edited, x FROM edits UNION ALL SELECT r, true, z FROM edits),
+        cut AS (
+            SELECT r, edited,
+                   list_transform(list_filter(regexp_split_to_array(x, '[\n\r]'), lambda p: p <> ''), lambda p: sha256(p)) AS ps,
+                   list_transform(list_filter(list_transform(regexp_split_to_array(x, '[\n\r.!?]'), lambda s: trim(s, ' \t')), lambda s: s <> ''), lambda s: sha256(s)) AS ss
+            FROM texts),
+        prints AS (
+            SELECT r, edited,
+                   list_transform(range({fingerprints.WIDE}), lambda i: coalesce(list_sum(list_transform(ps, lambda h: {number("1 + 8 * i", 8)})), 0)::BIGINT % 4294967296) AS wide,
+                   list_transform(range({fingerprints.SIGNS}), lambda i: (2 * coalesce(list_sum(list_transform(ss, lambda h:
+                       ({number(f"1 + {fingerprints.BITS // 4} * (i // {fingerprints.BITS})", fingerprints.BITS // 4)} >> (i % {fingerprints.BITS} // 2 + {half} * (i % 2))) & 1)), 0)::BIGINT
+                       - len(ss) + 32768 & 65535) - 32768) AS signs
+            FROM cut),
+        shown AS (
+            SELECT *, array_to_string(list_concat(list_transform(wide, lambda v: printf('%08x', v)), list_transform(signs, lambda v: printf('%04x', v & 65535))), '') AS p,
+                   list_sum(list_transform(signs, lambda v: v * v)) AS own FROM prints)
+        SELECT doc_id, length(x)::BIGINT AS n_chars, sha256(z) AS edited_sha256, a.p AS fingerprint, b.p AS edited_fingerprint,
+               {_likeness_sql("a", "b")} AS near_edited, {_likeness_sql("a", "c")} AS near_next
+        FROM edits JOIN shown a ON a.r = edits.r AND NOT a.edited JOIN shown b ON b.r = edits.r AND b.edited JOIN shown c ON c.r = follows AND NOT c.edited
+    """
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    product = f"list_sum(list_transform(list_zip({a}.signs, {b}.signs), lambda v: v[1] * v[2]))"
+    return f"CASE WHEN {a}.p = {b}.p THEN 1.0::DOUBLE WHEN {a}.own + {b}.own = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, (2 * {product})::DOUBLE / ({a}.own + {b}.own)::DOUBLE) END"
+
+
+def _collocations_sql() -> str:
+    """All phrases of one to four words counted, every cut scored."""
+    return f"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\n-\r]')), '[^ \t]+') AS w FROM documents),
+        sizes AS (SELECT unnest([1, 2, 3, 4]) AS size),
+        places AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM pieces, sizes),
+        counts AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY 1),
+        candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= 30),
+        cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+        scored AS (
+            SELECT c.lang, c.phrase, c.size, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f // (x.f + y.f))::BIGINT AS score
+            FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+            JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+        least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        kept AS (SELECT * FROM least c WHERE NOT EXISTS (
+            SELECT 1 FROM candidates d WHERE d.lang = c.lang AND d.size > c.size AND 100 * d.f >= 80 * c.a
+                AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """
+
+
 ORACLES = {
+    "op11_manifest": _manifest_sql(),
+    "op12_fingerprints": _fingerprints_sql(),
+    "op13_collocations": _collocations_sql(),
     "op5_licenses": _licenses_sql(),
     "op10_secrets": _spans_sql(),
     # The turns one by one; a state is the slots so far and where each shard looks next.
