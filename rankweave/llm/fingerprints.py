@@ -21,13 +21,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.session import null_safe_join, running_total, stored
+from rankweave.session import running_total, stored
 
 WIDE, WORDS, BITS = 8, 4, 60
 SIGNS = WORDS * BITS
-# Two counters of 30 bits share a long while they are added up.
-_HALF = BITS // 2
-_BOTH = 1 | 1 << _HALF
+# Four counters of 15 bits share a long while the bits of so many sentences are added up.
+FIELD = BITS // 4
+CHUNK = (1 << FIELD) - 1
+_MASK = sum(1 << FIELD * i for i in range(4))
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -54,7 +55,7 @@ def fingerprint(text: Column) -> Column:
     Numbers are reduced: the first to [0, 2^32), the others to [-2^15, 2^15).
     """
     zero = F.lit(0).cast("long")
-    steps = F.sequence(F.lit(0), F.lit(_HALF - 1))
+    steps = F.sequence(F.lit(0), F.lit(FIELD - 1))
 
     def wide(rows: Column) -> Column:
         def total(i: int) -> Column:
@@ -67,12 +68,22 @@ def fingerprint(text: Column) -> Column:
 
         def of_word(word: int) -> Column:
             def sums(bits: Column) -> Column:
-                def pair(j: Column) -> Column:
-                    both = F.aggregate(bits, zero, lambda so_far, b: so_far + F.call_function("shiftright", b, j).bitwiseAND(F.lit(_BOTH)))
-                    ones = (lambda s: s.bitwiseAND(F.lit((1 << _HALF) - 1)), lambda s: F.shiftright(s, _HALF))
-                    return _with(both, lambda s: F.array(*[_signed(2 * f(s) - count) for f in ones]))
+                cuts = F.sequence(F.lit(0), F.floor(F.size(bits) / CHUNK).cast("int"))
+                chunks = F.transform(cuts, lambda c: F.slice(bits, c * CHUNK + 1, CHUNK))
 
-                return F.flatten(F.transform(steps, pair))
+                def four(j: Column) -> Column:
+                    def packed(chunk: Column) -> Column:
+                        return F.aggregate(chunk, zero, lambda so_far, b: so_far + F.call_function("shiftright", b, j).bitwiseAND(F.lit(_MASK)))
+
+                    def unpacked(sums: Column) -> Column:
+                        def ones(i: int) -> Column:
+                            return F.aggregate(sums, zero, lambda so_far, s: so_far + F.shiftright(s, FIELD * i).bitwiseAND(F.lit(CHUNK)))
+
+                        return F.array(*[_signed(2 * ones(i) - count) for i in range(4)])
+
+                    return _with(F.transform(chunks, packed), unpacked)
+
+                return F.flatten(F.transform(steps, four))
 
             return _with(F.transform(digests, lambda d: _number(d, 1 + 15 * word, BITS // 4)), sums)
 
@@ -158,28 +169,28 @@ def edited_by_next(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     itself. Only the borrowed beginnings and fingerprints move to another document's row.
     """
     said = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
-    names = ["__key", "__hash"]
-    ids = said.groupBy(*names).agg(F.max(F.length("__text")).cast("long").alias("__n"), F.count("*").alias("__copies"))
-    ids = ids.select(F.lit(0).alias("__all"), *names, "__n", "__copies", F.lit(1).alias("__one"))
-    order = stored(running_total(ids, ["__all"], names, "__one", "__pos").drop("__all", "__one"), "order")
+    # Names without NULL, so the texts are dealt once for all joins.
+    said = said.withColumns({"__id": F.coalesce(F.col("__key").cast("string"), F.lit("")), "__void": F.col("__key").isNull()})
+    names = ["__id", "__void", "__hash"]
+    ids = said.groupBy(*names).agg(F.first("__key").alias("__key"), F.max(F.length("__text")).cast("long").alias("__n"), F.count("*").alias("__copies"))
+    ids = ids.select(F.lit(0).alias("__all"), *names, "__key", "__n", "__copies", F.lit(1).alias("__one"))
+    order = stored(running_total(ids, ["__all"], ["__key", "__hash"], "__one", "__pos").drop("__all", "__one"), "order")
     last = order.count()
     # Each text gives its beginning to the one after it in ascending order.
     takers = order.select(
         F.when(F.col("__pos") == 1, F.lit(last)).otherwise(F.col("__pos") - 1).cast("long").alias("__pos"),
-        F.col("__key").alias("__to_key"),
-        F.col("__hash").alias("__to_hash"),
+        *[F.col(c).alias(f"__to{c}") for c in names],
         F.expr("__n div 3").alias("__want"),
     )
     links = order.join(takers, "__pos").drop("__pos")
     texts = said.groupBy(*names).agg(F.first("__text").alias("__text"))
-    full = null_safe_join(texts, links, names)
+    full = texts.join(links, names)
     given = full.select(
-        F.col("__to_key").alias("__key"),
-        F.col("__to_hash").alias("__hash"),
+        *[F.col(f"__to{c}").alias(c) for c in names],
         F.substring("__text", F.lit(1), F.col("__want").cast("int")).alias("__start"),
         fingerprint(F.col("__text")).alias("__next"),
     )
-    met = null_safe_join(full.select(*names, "__text", "__n", "__copies"), given, names)
+    met = full.select(*names, "__key", "__text", "__n", "__copies").join(given, names)
     # All copies but one are followed by a copy.
     each = met.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     cut = F.expr("__n div 3").cast("int")

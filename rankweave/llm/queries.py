@@ -344,8 +344,6 @@ def _manifest_sql() -> str:
 
 def _fingerprints_sql() -> str:
     """Sums of numbers and bits cut from SHA-256 digests of paragraphs and sentences."""
-    half = fingerprints.BITS // 2
-
     def number(first: str, count: int) -> str:
         return f"('0x' || substr(h, {first}, {count}))::BIGINT"
 
@@ -364,7 +362,7 @@ def _fingerprints_sql() -> str:
             SELECT r, edited,
                    list_transform(range({fingerprints.WIDE}), lambda i: coalesce(list_sum(list_transform(ps, lambda h: {number("1 + 8 * i", 8)})), 0)::BIGINT % 4294967296) AS wide,
                    list_transform(range({fingerprints.SIGNS}), lambda i: (2 * coalesce(list_sum(list_transform(ss, lambda h:
-                       ({number(f"1 + {fingerprints.BITS // 4} * (i // {fingerprints.BITS})", fingerprints.BITS // 4)} >> (i % {fingerprints.BITS} // 2 + {half} * (i % 2))) & 1)), 0)::BIGINT
+                       ({number(f"1 + {fingerprints.BITS // 4} * (i // {fingerprints.BITS})", fingerprints.BITS // 4)} >> (i % {fingerprints.BITS} // 4 + {fingerprints.FIELD} * (i % 4))) & 1)), 0)::BIGINT
                        - len(ss) + 32768 & 65535) - 32768) AS signs
             FROM cut),
         shown AS (

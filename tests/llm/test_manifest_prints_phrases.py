@@ -86,14 +86,16 @@ def numbers(text):
         for s in filter(None, (x.strip(" \t") for x in re.split(r"[.!?]", p))):
             for i in range(fingerprints.SIGNS):
                 word, j = divmod(i, fingerprints.BITS)
-                bit = int(sha(s)[15 * word : 15 * word + 15], 16) >> (j // 2 + fingerprints.BITS // 2 * (j % 2)) & 1
+                bit = int(sha(s)[15 * word : 15 * word + 15], 16) >> (j // 4 + fingerprints.FIELD * (j % 4)) & 1
                 at = fingerprints.WIDE + i
                 out[at] = (out[at] + 2 * bit - 1 + 2**15) % 2**16 - 2**15
     return out
 
 
-def test_fingerprints_add_up(spark):
-    texts = ["a b. c d!\ne f\n\ng", "g\na b. c d!\ne f", "one", "", None, "Ünï. cödé\r\nzwei", "x. " * 30_000 + "\nlast"]
+@pytest.mark.parametrize("chunk", [fingerprints.CHUNK, 3])
+def test_fingerprints_add_up(spark, monkeypatch, chunk):
+    monkeypatch.setattr(fingerprints, "CHUNK", chunk)
+    texts = ["a b. c d!\ne f\n\ng", "g\na b. c d!\ne f", "one", "", None, "Ünï. cödé\r\nzwei", "x. " * 3_000 + "\nlast"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, x int")
     got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(docs).collect()}
     assert got == {i: numbers(t) for i, t in enumerate(texts)}
