@@ -14,8 +14,9 @@ frequent parts only, so longer ones are counted where both parts are; a bitmap o
 size holds the hashes of the frequent parts. It has no false negatives, so counts of
 frequent phrases are exact, whatever it lets through.
 
-A stripe is cut into ``PARTS`` by its next words, so no task has to merge the whole stripe
-of a frequent prefix.
+The stripes of hot prefixes, those of one place in ``HOT`` or more, are cut into ``PARTS``
+by their next words, so no task has to merge the whole stripe of one. There are at most
+``HOT`` such prefixes of a length.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql.window import Window
 
 from rankweave.session import stored
 
-# Parts of a stripe, by its next words.
-PARTS = 16
+# Parts of a hot prefix's stripe, by its next words, and the bound on hot prefixes.
+PARTS, HOT = 16, 4096
 # Words that a task counts at once, and distinct words that it remembers meanwhile.
 SLICE_WORDS, VOCABULARY = 2_000_000, 1_000_000
 # Bits of the bitmap for each frequent phrase, and the bounds of its size (2^27: 16 MB).
@@ -86,8 +87,8 @@ class _Numbers(dict):
 class _Counter:
     """Counts the phrases of ``size`` words of a slice, and gives them as stripes."""
 
-    def __init__(self, size: int, bitmap: np.ndarray | None):
-        self.size, self.bitmap = size, bitmap
+    def __init__(self, size: int, bitmap: np.ndarray | None, hot: np.ndarray):
+        self.size, self.bitmap, self.hot = size, bitmap, hot
         self.forget()
 
     def forget(self) -> None:
@@ -118,18 +119,18 @@ class _Counter:
         at = np.concatenate(self.held)
         self.held, self.count = [], 0
         words = pa.array(self.words, pa.binary()).cast(pa.string())
-        code, parts_of, rows = self._prefixes(at)
+        code, known, rows, hot = self._prefixes(at)
         following = rows + self.size - 1
         # The word after a prefix counts if the phrase from the prefix's second word on is frequent.
         counted = at[following] if self.size == 1 else np.where(self._frequent(at, rows + 1), at[following], 0)
         part = np.array([xxhash.xxh3_64_intdigest(w) % PARTS for w in self.words], np.int64)
-        keys, counts = np.unique(code << 36 | part[counted] << 32 | counted, return_counts=True)
+        keys, counts = np.unique(code << 36 | np.where(hot, part[counted], 0) << 32 | counted, return_counts=True)
         if len(keys):
             begins = np.flatnonzero(np.diff(keys >> 32, prepend=-1))
             said = pa.array(np.where((keys & 0xFFFFFFFF) == 0, 0, keys & 0xFFFFFFFF))
             # Number 0 stands for "no counted word follows".
             nexts = pc.if_else(pc.equal(said, 0), "", words.take(said))
-            owner, prefix = self._named(keys[begins] >> 36, parts_of, words)
+            owner, prefix = self._named(keys[begins] >> 36, known, words)
             offsets = np.append(begins, len(keys)).astype(np.int32)
             batch = pa.RecordBatch.from_arrays(
                 [owner, prefix, pa.array(keys[begins] >> 32 & 15, pa.int32()), pa.ListArray.from_arrays(offsets, nexts), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))],
@@ -142,6 +143,11 @@ class _Counter:
 
     def _frequent(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Whether the ``size`` - 1 words from each row on are in one piece and may be frequent."""
+        inside, hashes = self._hashed(at, rows)
+        return inside & _has(self.bitmap, hashes)
+
+    def _hashed(self, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the ``size`` - 1 words from each row on are in one piece, and their hash."""
         width = self.size - 1
         inside = rows + width <= len(at)
         rows = np.where(inside, rows, 0)
@@ -149,21 +155,23 @@ class _Counter:
         for column in columns:
             inside &= column > 0
         hashes = np.array(self.hashes, np.uint64)
-        return inside & _has(self.bitmap, _phrase_hash([hashes[c] for c in columns]))
+        return inside, _phrase_hash([hashes[c] for c in columns])
 
-    def _prefixes(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """The code of the prefix at each place that has one, what codes stand for, the places."""
+    def _prefixes(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """The code of the prefix at each place that has one, what codes stand for, the places, hot ones."""
         if self.size == 1:
             rows = np.flatnonzero(at > 0)
-            return np.array(self.owners, np.int64)[at[rows]], [], rows
+            return np.array(self.owners, np.int64)[at[rows]], [], rows, np.ones(len(rows), bool)
         # A break ends the array, so each prefix has a next place.
         rows = np.arange(len(at) - self.size + 1)
-        rows = rows[self._frequent(at, rows)]
+        inside, hashes = self._hashed(at, rows)
+        inside &= _has(self.bitmap, hashes)
+        rows, hot = rows[inside], np.isin(hashes[inside], self.hot)
         code, known = at[rows], []
         for i in range(1, self.size - 1):
             values, code = np.unique(code << 32 | at[rows + i], return_inverse=True)
             known.append(values)
-        return code, known, rows
+        return code, known, rows, hot
 
     def _named(self, code: np.ndarray, known: list[np.ndarray], words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Groups and texts of prefix codes."""
@@ -192,6 +200,18 @@ def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
+def _hashes(rows: list[tuple[str, str]]) -> np.ndarray:
+    """Of (group, phrase) pairs with equal numbers of words."""
+    columns = zip(*[[_word_hash(g, w) for w in p.encode("utf-8", "surrogatepass").split(b" ")] for g, p in rows])
+    return _phrase_hash([np.array(c, np.uint64) for c in columns]) if rows else np.zeros(0, np.uint64)
+
+
+def _hot(phrases: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of the phrases at one of ``HOT`` places or more: at most ``HOT``."""
+    found = phrases.where(F.col("f") * HOT >= words).select("grp", "phrase").collect()
+    return np.sort(_hashes([tuple(r) for r in found]))
+
+
 def _bitmap(phrases: DataFrame) -> np.ndarray:
     """The bitmap of (grp, phrase) rows. The driver gets at most ``MOST_BITS`` / 64 numbers."""
     bits = LEAST_BITS
@@ -201,12 +221,8 @@ def _bitmap(phrases: DataFrame) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            rows = [(g, p.encode("utf-8", "surrogatepass").split(b" ")) for g, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            if not rows:
-                continue
-            columns = zip(*[[_word_hash(g, w) for w in words] for g, words in rows])
-            hashes = _phrase_hash([np.array(c, np.uint64) for c in columns])
-            place = np.concatenate(_places(hashes, bits))
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            place = np.concatenate(_places(_hashes(rows), bits))
             slot = (place >> np.uint64(6)).astype(np.int64)
             mask = (np.uint64(1) << (place & np.uint64(63))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(mask)], ["slot", "mask"])
@@ -217,17 +233,18 @@ def _bitmap(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def stripes(said: DataFrame, size: int, least: int, bitmap: np.ndarray | None = None) -> DataFrame:
+def stripes(said: DataFrame, size: int, least: int, bitmap: np.ndarray | None = None, hot: np.ndarray | None = None) -> DataFrame:
     """(grp, prefix, part, total, extensions, best) of (grp, text) rows: the merged stripes.
 
     ``extensions`` lists next words and counts of at least ``least``, ``total`` counts all
     places of the prefix whose next word falls to the part (or is none), ``best`` is the
-    largest count of an extension.
+    largest count of an extension. From two words on, ``bitmap`` tells which phrases of one
+    word less may be frequent, and the hashes ``hot`` whose stripes are cut into parts.
     """
-    held = said.sparkSession.sparkContext.broadcast(bitmap)
+    held = said.sparkSession.sparkContext.broadcast((bitmap, np.zeros(0, np.uint64) if hot is None else hot))
 
     def run(batches):
-        counter = _Counter(size, held.value)
+        counter = _Counter(size, *held.value)
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
@@ -279,12 +296,14 @@ def collocations(
     if longest < 2 or least < 1:
         raise ValueError("phrases have two words at least and are counted from one place on")
     said = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("grp"), F.col(text).alias("text"))
-    tables, bitmap = [], None
+    tables, bitmap, hot, words = [], None, None, None
     for size in range(1, longest + 1):
-        merged = stored(stripes(said, size, least, bitmap), "stripes")
+        merged = stored(stripes(said, size, least, bitmap, hot), "stripes")
         tables.append(merged)
+        if words is None:
+            words = merged.agg(F.sum("total")).first()[0] or 0
         if size < longest:
-            bitmap = _bitmap(_extensions(merged))
+            bitmap, hot = _bitmap(_extensions(merged)), _hot(_extensions(merged), words)
     counts = _extensions(tables[0])
     for merged in tables[1:-1]:
         counts = counts.unionByName(_extensions(merged))
