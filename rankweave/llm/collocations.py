@@ -21,6 +21,7 @@ by their next words, so no task has to merge the whole stripe of one. There are
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +46,9 @@ COPIES = 16
 
 _BREAK = b"."
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\v\f\r\t", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10 + b" ")
-_SCHEMA = "grp string, prefix string, part int, words array<string>, counts array<long>"
-_ARROW = pa.schema([("grp", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+# The next words of a stripe are one text, blanks between them.
+_SCHEMA = "grp string, prefix string, part int, words string, counts array<long>"
+_ARROW = pa.schema([("grp", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("words", pa.string()), ("counts", pa.list_(pa.int64()))])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -92,7 +94,7 @@ class _Counter:
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.hashes, self.owners = [_BREAK], [0], [0]
+        self.words, self.hashes, self.owners = [_BREAK], array("Q", [0]), array("q", [0])
         self.groups: list[str] = []
         self.group_number: dict[str, int] = {}
         self.numbers: dict[str, _Numbers] = {}
@@ -123,7 +125,7 @@ class _Counter:
         following = rows + self.size - 1
         # The word after a prefix counts if the phrase from the prefix's second word on is frequent.
         counted = at[following] if self.size == 1 else np.where(self._frequent(at, rows + 1), at[following], 0)
-        part = np.array([xxhash.xxh3_64_intdigest(w) % PARTS for w in self.words], np.int64)
+        part = (np.array(self.hashes) % np.uint64(PARTS)).astype(np.int64)
         keys, counts = np.unique(code << 36 | np.where(hot, part[counted], 0) << 32 | counted, return_counts=True)
         if len(keys):
             begins = np.flatnonzero(np.diff(keys >> 32, prepend=-1))
@@ -133,7 +135,7 @@ class _Counter:
             owner, prefix = self._named(keys[begins] >> 36, known, words)
             offsets = np.append(begins, len(keys)).astype(np.int32)
             batch = pa.RecordBatch.from_arrays(
-                [owner, prefix, pa.array(keys[begins] >> 32 & 15, pa.int32()), pa.ListArray.from_arrays(offsets, nexts), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))],
+                [owner, prefix, pa.array(keys[begins] >> 32 & 15, pa.int32()), pc.binary_join(pa.ListArray.from_arrays(offsets, nexts), " "), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))],
                 schema=_ARROW,
             )
             for begin in range(0, batch.num_rows, 20_000):
@@ -154,14 +156,14 @@ class _Counter:
         columns = [at[rows + i] for i in range(width)]
         for column in columns:
             inside &= column > 0
-        hashes = np.array(self.hashes, np.uint64)
+        hashes = np.array(self.hashes)
         return inside, _phrase_hash([hashes[c] for c in columns])
 
     def _prefixes(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
         """The code of the prefix at each place that has one, what codes stand for, the places, hot ones."""
         if self.size == 1:
             rows = np.flatnonzero(at > 0)
-            return np.array(self.owners, np.int64)[at[rows]], [], rows, np.ones(len(rows), bool)
+            return np.array(self.owners)[at[rows]], [], rows, np.ones(len(rows), bool)
         # A break ends the array, so each prefix has a next place.
         rows = np.arange(len(at) - self.size + 1)
         inside, hashes = self._hashed(at, rows)
@@ -184,7 +186,7 @@ class _Counter:
             code = values[code] >> 32
         columns.append(code)
         texts = [words.take(pa.array(c)) for c in reversed(columns)]
-        owner = groups.take(pa.array(np.array(self.owners, np.int64)[code]))
+        owner = groups.take(pa.array(np.array(self.owners)[code]))
         return owner, texts[0] if len(texts) == 1 else pc.binary_join_element_wise(*texts, " ")
 
 
@@ -256,7 +258,7 @@ def stripes(said: DataFrame, size: int, least: int, bitmap: np.ndarray | None =
 
     local = said.select("grp", "text").mapInArrow(run, _SCHEMA)
     keys = ["grp", "prefix", "part"]
-    entries = local.repartition(*keys).select(*keys, F.explode(F.arrays_zip("words", "counts")).alias("e"))
+    entries = local.repartition(*keys).select(*keys, F.explode(F.arrays_zip(F.split("words", " ").alias("words"), "counts")).alias("e"))
     merged = entries.groupBy(*keys, F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("f"))
     frequent = (F.col("word") != "") & (F.col("f") >= least)
     return merged.groupBy(*keys).agg(
