@@ -69,8 +69,9 @@ def fingerprint(text: Column) -> Column:
         def of_word(word: int) -> Column:
             def sums(bits: Column) -> Column:
                 cuts = F.sequence(F.lit(0), F.floor(F.size(bits) / CHUNK).cast("int"))
-                chunks = F.transform(cuts, lambda c: F.slice(bits, c * CHUNK + 1, CHUNK))
+                return _with(F.transform(cuts, lambda c: F.slice(bits, c * CHUNK + 1, CHUNK)), of_chunks)
 
+            def of_chunks(chunks: Column) -> Column:
                 def four(j: Column) -> Column:
                     def packed(chunk: Column) -> Column:
                         return F.aggregate(chunk, zero, lambda so_far, b: so_far + F.call_function("shiftright", b, j).bitwiseAND(F.lit(_MASK)))
