@@ -9,10 +9,14 @@ Groups of copies can be of any size, so pairs are not written out for them:
 
 * first every node of a bucket meets one node of it (another one in each band), and the
   links found are contracted to components;
-* then only buckets that still hold several components are looked at again. Their nodes
-  are dealt to blocks of bounded size, by the largest bucket that they are in; two blocks
-  that share a bucket meet in one task, which compares all pairs of different components
-  there and returns no more links than it has nodes.
+* buckets that still hold several components go on in rounds: the node that is in the most
+  crowded buckets, most often the text that the others were made from, meets the nodes of
+  other components, leaves the bucket, and components are contracted again, as long as
+  rounds pay;
+* the nodes of what is left are dealt to blocks of bounded size, by that node of the largest
+  bucket that they are in, so a crowd's nodes fill few blocks; two blocks that share a
+  bucket meet in one task, which compares all pairs of different components there and
+  returns no more links than it has nodes.
 
 So every candidate pair is compared, or lies within one component already. Components
 (not pairs) are the result.
@@ -35,6 +39,8 @@ BANDS, ROWS = 36, 5
 HASHES = BANDS * ROWS
 # Signature values compared before each decision, and the chosen miss probability.
 STEP, MISS = 36, 1e-5
+# A round is followed by another if it took off this share of what was left.
+PAYS = 0.1
 # Nodes of a block; two blocks meet in a task.
 BLOCK = 512
 # Parts that a component's nodes are dealt to when they meet its key.
@@ -90,9 +96,18 @@ def near_duplicates(
     source = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     links = stored(_star_links(members, nodes, source, width, percent), "links")
     roots = stored(components(links, "a", "b"), "roots")
-    more = stored(_block_links(members, nodes, roots, source, width, percent), "links")
-    again = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    roots = stored(components(again, "a", "b"), "roots")
+    # The hub of a bucket has met all its other nodes.
+    rest = stored(_mixed(members.where(F.col("hi") != F.col("hub")), nodes, roots), "rest")
+    left = rest.count()
+    while left:
+        central = stored(_central(rest), "central")
+        roots = _linked(roots, stored(_star_links(central.where(F.col("label") != F.col("hub_label")), nodes, source, width, percent), "links"))
+        rest = stored(_mixed(central.where(F.col("hi") != F.col("hub")), nodes, roots), "rest")
+        before, left = left, rest.count()
+        if left > (1 - PAYS) * before:
+            break
+    if left:
+        roots = _linked(roots, stored(_block_links(rest, nodes, source, width, percent), "links"))
     # A component may hold a third of all nodes: its top has several copies to join with.
     linked = roots.join(nodes.select("node", "rep"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
@@ -151,6 +166,33 @@ def _members(nodes: DataFrame) -> DataFrame:
     return rows.join(hubs, "bucket")
 
 
+def _linked(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """The components of known ones and more links."""
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stored(components(known.unionByName(more), "a", "b"), "roots")
+
+
+def _mixed(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, hi, hub, label, m): the buckets of several components, the nodes' labels, the bucket's size."""
+    short = nodes.select("hi", "node").join(roots, "node").select("hi", F.xxhash64("root").alias("label"))
+    named = members.select("bucket", "hi", "hub").join(short, "hi", "left").withColumn("label", F.coalesce("label", "hi"))
+    mixed = (
+        named.groupBy("bucket")
+        .agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .where(F.col("low") != F.col("high"))
+        .select("bucket", "m")
+    )
+    return named.join(mixed, "bucket")
+
+
+def _central(rest: DataFrame) -> DataFrame:
+    """(bucket, hi, label, hub, hub_label): each bucket's node that shares buckets with most nodes."""
+    weights = rest.groupBy("hi").agg(F.sum("m").alias("weight"))
+    weighed = rest.join(weights, "hi")
+    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "hi", "label")).alias("h"))
+    return rest.drop("hub").join(hubs, "bucket").select("bucket", "hi", "label", F.col("h.hi").alias("hub"), F.col("h.label").alias("hub_label"))
+
+
 def _star_links(members: DataFrame, nodes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) of the verified pairs of a bucket's hub and its other nodes."""
     pairs = (
@@ -224,25 +266,15 @@ def _sets(wanted: DataFrame, nodes: DataFrame, source: DataFrame, width: int) ->
     )
 
 
-def _block_links(
-    members: DataFrame, nodes: DataFrame, roots: DataFrame, source: DataFrame, width: int, percent: int
-) -> DataFrame:
-    """(a, b): links between nodes of different components that share a bucket."""
-    short = nodes.select("hi", "node").join(roots, "node").select(
-        "hi", F.xxhash64("root").alias("label")
-    )
-    named = members.select("bucket", "hi").join(short, "hi", "left").withColumn("label", F.coalesce("label", "hi"))
-    mixed = (
-        named.groupBy("bucket")
-        .agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
-        .where(F.col("low") != F.col("high"))
-        .select("bucket", "m")
-    )
-    rest = stored(named.join(mixed, "bucket"), "rest")
-    # A node's home is the largest bucket that it is in; homes are cut to blocks.
-    home = rest.groupBy("hi", "label").agg(F.max(F.struct("m", "bucket")).alias("home"))
-    part = F.pmod(F.xxhash64("hi", "label"), F.ceil(F.col("home.m") / BLOCK))
-    block = stored(home.select("hi", "label", F.xxhash64("home.bucket", part).alias("block")), "blocks")
+def _block_links(rest: DataFrame, nodes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links between nodes of different components that share a bucket of ``rest``."""
+    # A node's home is the hub of the largest bucket that it is in; homes are cut to blocks.
+    home = rest.groupBy("hi", "label").agg(F.max(F.struct("m", "bucket", "hub")).alias("home"))
+    home = home.select("hi", "label", F.col("home.hub").alias("home"), F.pmod(F.xxhash64("hi"), F.lit(SALTS)).alias("salt"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    crowds = home.groupBy("home").agg(F.count("*").alias("crowd")).withColumn("salt", copies)
+    part = F.pmod(F.xxhash64("hi", "label"), F.ceil(F.col("crowd") / BLOCK))
+    block = stored(home.join(crowds, ["home", "salt"]).select("hi", "label", F.xxhash64("home", part).alias("block")), "blocks")
     present = rest.select("bucket", "hi", "label").join(block, ["hi", "label"]).select("bucket", "block").distinct()
     meet = (
         present.withColumnRenamed("block", "x")
