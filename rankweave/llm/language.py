@@ -24,6 +24,8 @@ from rankweave.session import broadcast_if_small, stored
 
 # Bound of the sample that the model is fitted on: whole texts per language.
 TRAIN_DOCS = 3_000
+# Parts of a language in which the sample is drawn first.
+PARTS = 64
 # Slots of the n-gram table; the model has this many numbers per language.
 SLOTS = 1 << 16
 GRAMS = (1, 2, 3)
@@ -104,9 +106,12 @@ def _sample(docs: DataFrame, text: str, lang: str, per_language: int) -> tuple[D
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("hash")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    order = Window.partitionBy("lang").orderBy("hash")
-    numbered = labelled.select("lang", "hash").distinct().withColumn("n", F.row_number().over(order))
-    kept = stored(numbered.where(F.col("n") <= per_language).select("lang", "hash"), "language-sample")
+    # A language may have a third of all texts: the first of each part, then the first of those.
+    names = labelled.select("lang", "hash").distinct().withColumn("part", F.pmod("hash", F.lit(PARTS)))
+    for group in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*group).orderBy("hash")
+        names = names.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    kept = stored(names.select("lang", "hash"), "language-sample")
     languages = sorted(r["lang"] for r in kept.select("lang").distinct().collect())
     drawn = labelled.join(broadcast_if_small(kept), ["lang", "hash"])
     return drawn.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("text", "lang"), languages

@@ -62,7 +62,7 @@ def fill_slots(shards: list[str], size: int | None = None) -> list[int]:
 
 def slot_of(key: str | Column, size: int) -> Column:
     """The slot of a key: the first 60 bits of the MD5 of its text, modulo the size."""
-    text = F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")).cast("string")
+    text = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(size))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import map_texts
+from rankweave.session import stored
 
 # Bound of the labelled sample that the model is fitted on: whole texts of each class.
 TRAIN_DOCS = 5_000
@@ -74,11 +75,12 @@ def learn(
     per_class: int = TRAIN_DOCS,
     epochs: int = EPOCHS,
 ) -> Model:
-    """Fit on about ``per_class`` labelled whole texts of each class at most.
+    """Fit on ``per_class`` labelled whole texts of each class at most.
 
-    The sample is drawn from ``labels`` by a hash of the key, and is then small enough to be
-    broadcast to the texts, which are not moved. Labels other than 0 and 1, null keys and
-    null texts take no part. Classes are weighted back to their counted shares. The sample
+    Keys are drawn from ``labels`` by their hash, and are then few enough to be broadcast to
+    the texts. Of the texts that they have, repeated rows count once, and at most
+    ``per_class`` of a class by a hash of key and text are moved. A key with both labels
+    takes part with both. Labels other than 0 and 1, null keys and null texts take no part. Classes are weighted back to their counted shares. The sample
     is turned into slots on the executors; the driver fits full-batch (Adam).
     """
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where(
@@ -90,8 +92,13 @@ def learn(
     draw = F.when(F.col("label") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
     # A third of all labels on one key would still be drawn whole, so repeats go first.
     some = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < draw * (1 << 20)).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    drawn = texts.join(F.broadcast(some), "id").select("text", "label")
+    texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    named = texts.select("id", "hash").join(F.broadcast(some), "id").distinct()
+    order = F.xxhash64("id", "hash")
+    bounded = [named.where(F.col("label") == y).orderBy(order, "id", "hash").limit(per_class) for y in (0, 1)]
+    kept = stored(bounded[0].unionByName(bounded[1]), "toxicity-sample")
+    met = texts.join(F.broadcast(kept), ["id", "hash"])
+    drawn = met.groupBy("id", "hash", "label").agg(F.first("text").alias("text")).select("text", "label")
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
