@@ -154,11 +154,27 @@ def _check_labels(labels: dict[str, str]) -> None:
         raise ValueError("labels must map names to descriptions")
 
 
+def _check_model(scorer: Scorer | NaiveBayes, labels: list[str] | None) -> None:
+    """A fitted model answers the one question that it was fitted for, with its own labels.
+
+    ``labels`` are those asked for; None for a question of yes or no, which takes a model of
+    two labels, one of them its ``yes``.
+    """
+    if not isinstance(scorer, NaiveBayes):
+        return
+    known = {r["label"] for r in scorer.priors.select("label").collect()}
+    if labels is None and not (len(known) == 2 and scorer.yes in known):
+        raise ValueError(f"a question of yes or no needs a model of two labels, one of them {scorer.yes!r}; it has {sorted(known)}")
+    if labels is not None and set(labels) != known:
+        raise ValueError(f"the model's labels are {sorted(known)}, not {sorted(labels)}")
+
+
 def classify(
     df: DataFrame, text: str, question: str, labels: dict[str, str], scorer: Scorer | NaiveBayes, batch_size: int = 64
 ) -> DataFrame:
     """``df`` with choice, confidence, probabilities, model, input_tokens, output_tokens."""
     _check_labels(labels)
+    _check_model(scorer, list(labels))
     out = _answers(df, F.col(text), {"kind": "choice", "question": question, "labels": labels}, scorer, batch_size)
     a = F.col("__answer")
     return out.select(
@@ -171,6 +187,7 @@ def yes_no(
     df: DataFrame, text: str, question: str, yes: str, no: str, scorer: Scorer | NaiveBayes, batch_size: int = 64
 ) -> DataFrame:
     """``df`` with ``number``: how far the answer is yes, from 0 to 1."""
+    _check_model(scorer, None)
     out = _answers(df, F.col(text), {"kind": "yes_no", "question": question, "yes": yes, "no": no}, scorer, batch_size)
     return out.select(*df.columns, F.col("__answer")["number"].alias("number"))
 
@@ -181,6 +198,7 @@ def _row_text() -> Column:
 
 def row_prob(df: DataFrame, statement: str, scorer: Scorer | NaiveBayes, batch_size: int = 64) -> DataFrame:
     """``df`` with ``probability`` that the statement holds for the row."""
+    _check_model(scorer, None)
     out = _answers(df, _row_text(), {"kind": "row", "statement": statement}, scorer, batch_size)
     return out.select(*df.columns, F.col("__answer")["number"].alias("probability"))
 
@@ -193,12 +211,14 @@ def row_filter(df: DataFrame, statement: str, scorer: Scorer | NaiveBayes, thres
 def row_choice(df: DataFrame, question: str, options: list[str], scorer: Scorer | NaiveBayes, batch_size: int = 64) -> DataFrame:
     """``df`` with ``choice``: one of the options."""
     _check_labels({o: o for o in options})
+    _check_model(scorer, options)
     out = _answers(df, _row_text(), {"kind": "row_choice", "question": question, "labels": options}, scorer, batch_size)
     return out.select(*df.columns, F.col("__answer")["choice"].alias("choice"))
 
 
 def row_score(df: DataFrame, question: str, scorer: Scorer | NaiveBayes, batch_size: int = 64) -> DataFrame:
     """``df`` with ``score``: the number given to the row."""
+    _check_model(scorer, None)
     out = _answers(df, _row_text(), {"kind": "row_score", "question": question}, scorer, batch_size)
     return out.select(*df.columns, F.col("__answer")["number"].alias("score"))
 

@@ -12,17 +12,19 @@ the lines of each row back.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from fractions import Fraction
-from math import factorial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.operators.components import components
+from rankweave.operators.lineage_worlds import chance, worth
 from rankweave.session import null_safe_join, running_total
 
+# Lines of a row that are worked out together without looking for independent parts first.
+PACKED = 10_000
+
 LINEAGE = ("mono", "coef")
 
 
@@ -186,9 +188,9 @@ def _independent(relation: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _packed(lines: DataFrame, probs: DataFrame | None) -> DataFrame:
-    """One line per row with its tokens, their probabilities and its terms.
+    """One line per row, or part of one, with its tokens, their probabilities and its terms.
 
-    A row whose derivations share tokens is worked out in one task, so its terms come
+    A part whose derivations share tokens is worked out in one task, so its terms come
     together there.
     """
     columns = data_columns(lines)
@@ -199,158 +201,79 @@ def _packed(lines: DataFrame, probs: DataFrame | None) -> DataFrame:
     return null_safe_join(listed, terms, columns)
 
 
-Term = frozenset[str]
-
-
-def _minimal(terms: set[Term]) -> frozenset[Term]:
-    """Without the terms that hold another whole: they make no difference."""
-    kept: list[Term] = []
-    for term in sorted(terms, key=len):
-        if not any(k <= term for k in kept):
-            kept.append(term)
-    return frozenset(kept)
-
+def _parted(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``__part``: the token-disjoint part of its row that a line is in.
 
-def _parts(terms: frozenset[Term]) -> list[frozenset[Term]]:
-    """The terms in groups that share no token."""
-    groups: list[tuple[set, set]] = []
-    for term in terms:
-        tokens, members = set(term), {term}
-        apart = []
-        for group in groups:
-            if tokens.isdisjoint(group[0]):
-                apart.append(group)
-            else:
-                tokens |= group[0]
-                members |= group[1]
-        groups = [*apart, (tokens, members)]
-    return [frozenset(members) for _, members in groups]
-
-
-class _Absence:
-    """The total weight of the worlds in which no term of a row is whole.
-
-    A world's weight is the product of its tokens' weights, out and in. Groups of terms
-    without a common token multiply; else the token in most terms is tried out and in.
-    The work grows with how entangled the terms are, not with the number of tokens.
+    A row of more than ``PACKED`` lines is split into the connected parts of its tokens by
+    Spark, so a row of any number of lines, few of them wide, is not one task's work. A
+    line that shares its one token with no wide line has the part NULL.
     """
-
-    def __init__(self, weights: dict, zero, one, add, multiply) -> None:
-        self.weights, self.zero, self.one = weights, zero, one
-        self.add, self.multiply, self.known = add, multiply, {}
-
-    def free(self, tokens) -> object:
-        """Any state of tokens that decide nothing."""
-        out = self.one
-        for t in sorted(tokens):
-            out = self.multiply(out, self.add(*self.weights[t]))
-        return out
-
-    def of(self, terms: frozenset[Term]) -> object:
-        """Over the tokens of ``terms``, which are minimal."""
-        if not terms:
-            return self.one
-        if frozenset() in terms:
-            return self.zero
-        if terms not in self.known:
-            groups = _parts(terms)
-            if len(groups) > 1:
-                out = self.one
-                for group in groups:
-                    out = self.multiply(out, self.of(group))
-            else:
-                out = self._tried(terms)
-            self.known[terms] = out
-        return self.known[terms]
-
-    def _tried(self, terms: frozenset[Term]) -> object:
-        often = Counter(t for term in terms for t in term)
-        token = min(often, key=lambda t: (-often[t], t))
-        sides = (
-            frozenset(t for t in terms if token not in t),
-            _minimal({t - {token} for t in terms}),
-        )
-        total = self.zero
-        for weight, side in zip(self.weights[token], sides):
-            left = set(often) - {token} - {t for term in side for t in term}
-            total = self.add(total, self.multiply(weight, self.multiply(self.free(left), self.of(side))))
-        return total
-
-
-def _poly_add(a: list[int], b: list[int]) -> list[int]:
-    if len(a) < len(b):
-        a, b = b, a
-    return [x + (b[i] if i < len(b) else 0) for i, x in enumerate(a)]
-
-
-def _poly_multiply(a: list[int], b: list[int]) -> list[int]:
-    out = [0] * (len(a) + len(b) - 1)
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            out[i + j] += x * y
-    return out
-
-
-def _chance(tokens: list, terms: list) -> float:
-    weights = {t["token"]: (1.0 - t["p"], t["p"]) for t in tokens}
-    absence = _Absence(weights, 0.0, 1.0, float.__add__, float.__mul__)
-    return 1.0 - absence.of(_minimal({frozenset(t) for t in terms}))
-
-
-def _worth(tokens: list, terms: list, index: str) -> dict[str, float]:
-    """Each token's share, from the numbers of worlds by size in which it decides."""
-    names = [t["token"] for t in tokens]
-    absence = _Absence(dict.fromkeys(names, ([1], [0, 1])), [0], [1], _poly_add, _poly_multiply)
-    whole, n = _minimal({frozenset(t) for t in terms}), len(names)
-    if index == "shapley":
-        table = [Fraction(factorial(k) * factorial(n - k - 1), factorial(n)) for k in range(n)]
-    else:
-        table = [Fraction(1, 2 ** (n - 1))] * n
-
-    def absent(side: frozenset[Term], token: str) -> list[int]:
-        left = set(names) - {token} - {t for term in side for t in term}
-        return _poly_multiply(absence.free(left), absence.of(side))
-
-    out = {}
-    for token in names:
-        without = absent(frozenset(t for t in whole if token not in t), token)
-        held = absent(_minimal({t - {token} for t in whole}), token)
-        gains = _poly_add(without, [-x for x in held])
-        out[token] = float(sum((g * w for g, w in zip(gains, table)), Fraction(0)))
-    return out
+    columns = data_columns(lines)
+    large = lines.groupBy(*columns).agg(F.count("*").alias("__n")).where(F.col("__n") > PACKED).drop("__n")
+    if large.isEmpty():
+        return lines.withColumn("__part", F.lit(""))
+    marked = null_safe_join(lines, large.withColumn("__large", F.lit(True)), columns, "left")
+    row = F.sha2(F.to_json(F.struct(F.lit(0), *columns), {"ignoreNullFields": "false"}), 256)
+    named = marked.withColumn("__node", F.when(F.col("__large"), F.concat(row, F.col("mono")[0])))
+    wide = named.where("__large AND size(mono) > 1").select("__node", F.explode(F.slice("mono", 2, 2**30)).alias("t"), "mono")
+    other = F.concat(F.substring("__node", 1, 64), "t")
+    parts = components(wide.select(F.col("__node").alias("a"), other.alias("b")), "a", "b")
+    found = named.join(parts.select(F.col("node").alias("__node"), F.col("root").alias("__root")), "__node", "left")
+    part = F.when(F.col("__large"), F.col("__root")).otherwise("")
+    return found.withColumn("__part", part).select(*lines.columns, "__part")
 
 
 def probability(relation: DataFrame, probs: DataFrame, samples: int | None = None, seed: int = 42) -> DataFrame:
     """(*columns, probability) with independent source rows of (token, p).
 
     Derivations of one token each have a closed form, for any number of them. Other
-    rows are worked out exactly, by independent groups and by cases; the cases can become
-    many where terms are entangled, and a caller may ask for ``samples`` seeded worlds.
+    rows are worked out exactly: parts that share no token apart, each by elimination, whose
+    work grows with how entangled the derivations are, not with their number. Where that
+    is too much the error says so, and a caller may ask for ``samples`` seeded worlds.
     """
     columns = data_columns(relation)
     single, several = _independent(relation)
-    missing = (
-        single.select(*columns, F.col("mono")[0].alias("token"))
-        .join(probs, "token", "left")
-        .groupBy(*columns)
-        .agg(
-            F.max(F.when(F.col("p") >= 1, 1).otherwise(0)).alias("__sure"),
-            F.sum(F.when(F.col("p") < 1, F.log1p(-F.col("p"))).otherwise(0.0)).alias("__log"),
-        )
-        .select(*columns, F.when(F.col("__sure") == 1, 1.0).otherwise(1.0 - F.exp("__log")).alias("probability"))
-    )
+
+    def alone(lines: DataFrame) -> DataFrame:
+        found = lines.select(*columns, F.col("mono")[0].alias("token")).join(probs, "token", "left")
+        return found.select(*columns, F.col("p").alias("chance"))
+
     if samples is not None:
-        rest = _sampled(several, probs, samples, seed)
+        missing, rest = alone(single), _sampled(several, probs, samples, seed)
     else:
+        parted = _parted(several)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in relation.schema if f.name in columns)
 
         def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                out = [_chance(tokens, terms) for tokens, terms in zip(batch["tokens"], batch["terms"])]
-                yield batch[columns].assign(probability=out)
+                out = [chance(tokens, terms) for tokens, terms in zip(batch["tokens"], batch["terms"])]
+                yield batch[columns].assign(chance=out)
+
+        packed = _packed(parted.where("__part IS NOT NULL"), probs)
+        parts = packed.mapInPandas(weigh, schema + ", chance double")
+        missing = alone(single).unionByName(alone(parted.where("__part IS NULL"))).unionByName(parts)
+        rest = None
+    absent = missing.groupBy(*columns).agg(
+        F.max(F.when(F.col("chance") >= 1, 1).otherwise(0)).alias("__sure"),
+        F.sum(F.when(F.col("chance") < 1, F.log1p(-F.col("chance"))).otherwise(0.0)).alias("__log"),
+    )
+    out = absent.select(*columns, F.when(F.col("__sure") == 1, 1.0).otherwise(1.0 - F.exp("__log")).alias("probability"))
+    out = out if rest is None else out.unionByName(rest)
+    return out.withColumn("probability", F.round("probability", 6))
 
-        rest = _packed(several, probs).mapInPandas(weigh, schema + ", probability double")
-    return missing.unionByName(rest).withColumn("probability", F.round("probability", 6))
+
+def expected(relation: DataFrame, probs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(*keys, expected_count, expected_sum) of the rows of each group.
+
+    The sum over an uncertain relation is the sum of its values, each annotated with its
+    row's lineage; expectation is linear, so rows may share tokens. NULL values add nothing
+    to the sum. Groups without a row do not appear.
+    """
+    rows = probability(relation, probs)
+    held = rows.groupBy(*keys).agg(
+        F.sum("probability").alias("expected_count"), F.sum(F.col("probability") * F.coalesce(F.col(value).cast("double"), F.lit(0.0))).alias("expected_sum")
+    )
+    return held.select(*keys, F.round("expected_count", 6).alias("expected_count"), F.round("expected_sum", 2).alias("expected_sum"))
 
 
 def _sampled(lines: DataFrame, probs: DataFrame, samples: int, seed: int) -> DataFrame:
@@ -383,7 +306,7 @@ def _shares(relation: DataFrame, power_index: str) -> DataFrame:
         for batch in batches:
             keep, names, values = [], [], []
             for at, (tokens, terms) in enumerate(zip(batch["tokens"], batch["terms"])):
-                for name, value in _worth(tokens, terms, power_index).items():
+                for name, value in worth(tokens, terms, power_index).items():
                     keep.append(at)
                     names.append(name)
                     values.append(value)

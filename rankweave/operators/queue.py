@@ -147,7 +147,18 @@ def append(log_rows: DataFrame, path: str, width: int | None = None) -> None:
     log_rows.withColumn("part", part).write.mode("append").partitionBy("part").parquet(path)
 
 
-def open_log(spark: SparkSession, path: str) -> DataFrame:
-    """A stored log, partitioned or not."""
+def open_log(spark: SparkSession, path: str, width: int | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """A stored log, partitioned or not.
+
+    With the ``width`` that it was written with, ``first`` and ``last`` give the message
+    numbers wanted, ends included, and only the folders that hold them are read.
+    """
     names = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
-    return spark.read.parquet(path).select(*names)
+    log = spark.read.parquet(path)
+    if first is not None:
+        log = log.where(F.col("msg_id") >= first)
+        log = log if width is None else log.where(F.col("part") >= first // width)
+    if last is not None:
+        log = log.where(F.col("msg_id") <= last)
+        log = log if width is None else log.where(F.col("part") <= last // width)
+    return log.select(*names)

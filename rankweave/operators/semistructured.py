@@ -69,7 +69,11 @@ class _Stages:
 
 
 def _rules(node: _Node, schema: dict, path: str, child) -> list[tuple[str, str, Column]]:
-    """(rule, path, broken) for every keyword of a schema; ``child`` makes member nodes."""
+    """(rule, path, broken) for every keyword of a schema; ``child`` makes member nodes.
+
+    For the rules of an array's elements there is one entry with several (rule, path) names
+    and the array of those broken, so each rule is looked at once however deep it lies.
+    """
     if schema is True or schema == {}:
         return []
     if not isinstance(schema, dict):
@@ -108,7 +112,8 @@ def _rules(node: _Node, schema: dict, path: str, child) -> list[tuple[str, str,
     for name, inner in properties.items():
         member = child(F.element_at(node.members, F.lit(name)))
         for rule, where, broken in _rules(member, inner, f"{path}.{name}", child):
-            out.append((rule, where, is_object & node.has(name) & broken))
+            held = is_object & node.has(name)
+            out.append((rule, where, held & broken if isinstance(rule, str) else F.when(held, broken)))
     if "additionalProperties" in schema:
         if schema["additionalProperties"] is False:
             known = F.array(*[F.lit(n) for n in properties]).cast("array<string>")
@@ -117,23 +122,38 @@ def _rules(node: _Node, schema: dict, path: str, child) -> list[tuple[str, str,
         elif schema["additionalProperties"] is not True:
             raise ValueError(f"additionalProperties at {path} must be true or false")
     if "items" in schema:
-        nothing = _inline_node(F.lit(None).cast("variant"))
-        for rule, where, _ in _rules(nothing, schema["items"], f"{path}[]", _inline_node):
-            out.append((rule, where, (kind == "array") & _some_item(v, schema["items"], path, rule, where)))
+        names: list[tuple[str, str]] = []
+
+        def of_element(x: Column) -> Column:
+            inner = _rules(_inline_node(x), schema["items"], f"{path}[]", _inline_node)
+            names.extend(_names(inner))
+            return _found(inner)
+
+        elements = F.transform(F.try_variant_get(v, "$", "array<variant>"), of_element)
+        if names:
+            known = F.array(*[_violation(rule, where) for rule, where in names])
+            broken = F.transform(F.array(F.flatten(elements)), lambda held: F.filter(known, lambda name: F.array_contains(held, name)))[0]
+            out.append((tuple(names), path, F.when(kind == "array", broken)))
     return out
 
 
-def _some_item(v: Column, items: dict, path: str, rule: str, where: str) -> Column:
-    """Whether an element of an array breaks one rule of its schema."""
+def _violation(rule: str, path: str) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), F.lit(path).alias("path"))
+
 
-    def broken(x: Column) -> Column:
-        out = F.lit(False)
-        for r, w, b in _rules(_inline_node(x), items, f"{path}[]", _inline_node):
-            if (r, w) == (rule, where):
-                out = out | F.coalesce(b, F.lit(False))
-        return out
+def _names(rules: list) -> list[tuple[str, str]]:
+    """The (rule, path) names of rules, in their order."""
+    return [name for rule, path, _ in rules for name in ([(rule, path)] if isinstance(rule, str) else rule)]
 
-    return F.exists(F.try_variant_get(v, "$", "array<variant>"), broken)
+
+def _found(rules: list) -> Column:
+    """The broken ones of rules as an array of (rule, path)."""
+    none = F.array().cast("array<struct<rule:string,path:string>>")
+    parts = [
+        F.array_compact(F.array(F.when(broken, _violation(rule, path)))) if isinstance(rule, str) else F.coalesce(broken, none)
+        for rule, path, broken in rules
+    ]
+    return F.concat(none, *parts)
 
 
 def json_schema_check(df: DataFrame, col: str, schema: dict) -> DataFrame:
@@ -144,17 +164,15 @@ def json_schema_check(df: DataFrame, col: str, schema: dict) -> DataFrame:
     """
     stages = _Stages()
     root = stages.node(F.try_parse_json(F.col(col)))
+    present = root.value.isNotNull()
     rules = [("json", "$", root.value.isNull() & F.col(col).isNotNull())] + [
-        (rule, path, root.value.isNotNull() & F.coalesce(broken, F.lit(False)))
+        (rule, path, present & F.coalesce(broken, F.lit(False)) if isinstance(rule, str) else F.when(present, broken))
         for rule, path, broken in _rules(root, schema, "$", stages.node)
     ]
-    listed = F.array(
-        *[F.when(broken, F.struct(F.lit(rule).alias("rule"), F.lit(path).alias("path"))) for rule, path, broken in rules]
-    )
     out = df
     for step in stages.steps:
         out = out.select("*", *step)
-    out = out.select(*df.columns, F.filter(listed, lambda x: x.isNotNull()).alias("__found"))
+    out = out.select(*df.columns, _found(rules).alias("__found"))
     # inline keeps a later filter on the result from repeating the check inside it
     valid = F.when(F.col(col).isNotNull(), F.size("__found") == 0)
     return out.select(

@@ -28,7 +28,8 @@ def knn(
 ) -> DataFrame:
     """(id, distance) of the ``k`` nearest rows; equal distances go by id.
 
-    Rows with no distance (NULL vectors, zero vectors under cosine) are left out; a vector
+    Rows with no finite distance (NULL vectors, components that are no finite numbers, zero
+    vectors under cosine) are left out, as ``knn_join`` does; a vector
     of another size than the query's is an error. Every task keeps its best ``k``, so no
     more than that is merged.
     """
@@ -36,9 +37,9 @@ def knn(
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
     own = same_size(F.col(vec_col), len(wanted))
-    measured = df.select(
-        F.col(id_col).alias("id"), F.round(distance(own, literal(wanted), metric), PLACES).alias("distance")
-    )
+    far = distance(own, literal(wanted), metric)
+    finite = F.when(~F.isnan(far) & (far < float("inf")), far)
+    measured = df.select(F.col(id_col).alias("id"), F.round(finite, PLACES).alias("distance"))
     # Filtering after the limit keeps the distance from being worked out twice.
     top = measured.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k)
     return top.where("distance is not null")
@@ -52,6 +53,11 @@ def _block_top(
     Products find somewhat more than ``k`` rows; their distances are then worked out from
     differences, as the products cancel for long vectors that are close.
     """
+    # A component that is no number would spoil the bounds of the whole block.
+    finite = np.isfinite(base).all(axis=1)
+    ids, base = ids[finite], base[finite]
+    if not len(ids):
+        return pd.DataFrame({"query_id": qids[:0], "id": ids, "distance": np.zeros(0)})
     order = np.argsort(ids, kind="stable")
     ids, base = ids[order], base[order]
     square, parts = (base**2).sum(axis=1), []
@@ -267,8 +273,12 @@ def ivf_knn_join(
         if metric == "cosine":
             sizes = np.sqrt((vectors**2).sum(axis=1))[:, None]
             vectors = vectors / np.where(sizes > 0, sizes, 1)
-        gap = ((vectors[:, None, :] - points[None]) ** 2).sum(axis=2)
-        return pd.Series(list(np.argsort(gap, axis=1, kind="stable")[:, :probes]))
+        # A query's own square changes no order; slices keep batch x lists small.
+        squares, found = (points**2).sum(axis=1), []
+        for low in range(0, len(vectors), AT_ONCE):
+            gap = squares - 2.0 * vectors[low : low + AT_ONCE] @ points.T
+            found += list(np.argsort(gap, axis=1, kind="stable")[:, :probes])
+        return pd.Series(found)
 
     asked = asked.withColumn("list", F.explode(lists_of("qvec")))
     rows = index.rows().select("id", "vec", F.col("list").cast("int").alias("list"))

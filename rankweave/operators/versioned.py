@@ -280,7 +280,7 @@ class VersionedTable:
         """What both sides had in common last: the branch as last merged, else the fork."""
         fork = self._fork(branch)
         merged = self._meta.get("bases", {}).get(branch)
-        return fork if merged is None else self.ancestry(branch, merged)
+        return self.ancestry(branch, merged[-1][1]) if merged else fork
 
     def create_branch(self, name: str, source: str = "main") -> None:
         """Open a branch at the current version; nothing is copied."""
@@ -335,7 +335,8 @@ class VersionedTable:
         if conflicts.limit(1).collect():
             return None, conflicts
         merges = {**self._meta["merges"], str(self.version + 1): branch}
-        bases = {**self._meta.get("bases", {}), branch: self.version}
+        bases = self._meta.get("bases", {})
+        bases = {**bases, branch: [*bases.get(branch, []), [self.version + 1, self.version]]}
         columns = self.base().columns
         changes = merge_changes(merge, self.key).select(*columns, "op")
         version = self._append(parent, changes, merges=merges, bases=bases)
@@ -346,8 +347,8 @@ class VersionedTable:
         if str(version) not in self._meta["merges"]:
             raise ValueError(f"version {version} is not a merge")
         branch = self._meta["commits"][str(version)]
-        # The merged branch may be merged again, so its merge base goes back to the fork.
-        kept = {b: at for b, at in self._meta.get("bases", {}).items() if b != self._meta["merges"][str(version)]}
+        # The merged branch may be merged again, so its base is that of the merges that still hold.
+        kept = {b: [m for m in merged if m[0] != version] for b, merged in self._meta.get("bases", {}).items()}
         return self._back_to(branch, version - 1, only=version, bases=kept)
 
     def _back_to(self, branch: str, as_of: int, only: int | None = None, **changes) -> int:

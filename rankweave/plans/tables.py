@@ -236,6 +236,17 @@ def prov_dependent_shapley(spark, folder):
     return provenance.shapley(provenance.project(_order_suppliers(spark, folder)[2], "l_orderkey"))
 
 
+def prov_expected_sum(spark, folder):
+    """Orders and their worth that each customer may expect, where an order needs itself and one of its suppliers."""
+    orders, suppliers, kept = _order_suppliers(spark, folder)
+    chances = provenance.provenance_mapping(orders.withColumn("p", F.lit(0.5)), "p").union(
+        provenance.provenance_mapping(suppliers.withColumn("p", F.lit(0.25)), "p")
+    ).withColumnRenamed("value", "p")
+    worth = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_totalprice")
+    rows = provenance.project(kept.join(worth, "l_orderkey"), "l_orderkey", "o_custkey", "o_totalprice")
+    return provenance.expected(rows, chances, ["o_custkey"], "o_totalprice")
+
+
 def prov_where_join(spark, folder):
     orders, suppliers, kept = _order_suppliers(spark, folder)
     tables = {"l_orderkey": ("orders", orders), "l_suppkey": ("supplier", suppliers)}
@@ -310,6 +321,40 @@ def json_summary(spark, folder):
     return violation_summary(json_schema_check(_events(spark, folder).select("props"), "props", SCHEMA))
 
 
+LINES = {
+    "type": "object",
+    "required": ["lines"],
+    "properties": {
+        "lines": {
+            "type": "array",
+            "items": {
+                "type": "object",
+                "required": ["flag"],
+                "properties": {
+                    "q": {"type": "integer", "maximum": 45},
+                    "flag": {"enum": ["N", "A"]},
+                    "parts": {"type": "array", "items": {"type": "integer", "minimum": 20}},
+                },
+            },
+        }
+    },
+}
+
+
+def json_items(spark, folder):
+    """Orders written as nested JSON: rules of their lines and of the numbers in a line."""
+    items = table(spark, folder, "lineitem")
+    line = F.struct(
+        (F.col("l_quantity").cast("double") + F.when(F.col("l_linenumber") == 3, 0.5).otherwise(0.0)).alias("q"),
+        F.when(F.col("l_linenumber") != 5, F.col("l_returnflag")).alias("flag"),
+        F.array("l_partkey", "l_suppkey").alias("parts"),
+    )
+    orders = items.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(line).alias("lines"))).alias("doc"))
+    checked = json_schema_check(orders, "doc", LINES)
+    said = F.transform("violations", lambda v: F.concat_ws(" ", v["rule"], v["path"]))
+    return checked.select("l_orderkey", "valid", F.array_join(said, ",").alias("rules"))
+
+
 def xml_rows(spark, folder):
     """Customers written as XML and read back as a table."""
     customers = table(spark, folder, "customer")
@@ -550,6 +595,7 @@ QUERIES = {
     "prov_probability": prov_probability,
     "prov_join_probability": prov_join_probability,
     "prov_dependent_probability": prov_dependent_probability,
+    "prov_expected_sum": prov_expected_sum,
     "prov_dependent_shapley": prov_dependent_shapley,
     "prov_where_join": prov_where_join,
     "prov_shapley": prov_shapley,
@@ -559,6 +605,7 @@ QUERIES = {
     "queue_archive": queue_archive,
     "json_schema_check": json_check,
     "json_schema_summary": json_summary,
+    "json_schema_items": json_items,
     "xml_table": xml_rows,
     "trigram_similarity": trigram_scores,
     "trigram_join": trigram_pairs,
@@ -662,7 +709,6 @@ def _walk_sql(start: str, edges: str, depth: int) -> str:
     return ", ".join(ctes) + " " + out
 
 
-_CHOICE = "CASE WHEN length(text) < 500 THEN 'short' WHEN length(text) < 3000 THEN 'medium' ELSE 'long' END"
 _RANKED = """
 SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, score FROM o ORDER BY score DESC, doc_id LIMIT 100"""
 
@@ -727,6 +773,10 @@ FROM orders, (VALUES ('merged'), ('undone')) s(state)""",
     "prov_dependent_probability": """
 SELECT l_orderkey, round(0.5::DOUBLE * (1 - pow(0.75::DOUBLE, count(DISTINCT l_suppkey))), 6) AS probability
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""",
+    "prov_expected_sum": """
+WITH p AS (SELECT o_custkey, o_orderkey, o_totalprice, 0.5::DOUBLE * (1 - pow(0.75::DOUBLE, count(DISTINCT l_suppkey))) AS p
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
+SELECT o_custkey, round(sum(round(p, 6)), 6) AS expected_count, round(sum(round(p, 6) * o_totalprice::DOUBLE), 2) AS expected_sum FROM p GROUP BY 1""",
     "prov_dependent_shapley": f"""
 WITH pairs AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey
   JOIN supplier ON s_suppkey = l_suppkey),
@@ -763,6 +813,14 @@ FROM (SELECT event_id, (props->>'k')::INT AS k FROM events)""",
     "json_schema_summary": """
 SELECT rule, '$.k' AS path, count(*) AS n_rows FROM (SELECT CASE WHEN k < 10 THEN 'minimum' WHEN k > 90 THEN 'maximum' END AS rule
 FROM (SELECT (props->>'k')::INT AS k FROM events)) WHERE rule IS NOT NULL GROUP BY 1""",
+    "json_schema_items": """
+WITH l AS (SELECT l_orderkey, l_quantity::DOUBLE + if(l_linenumber = 3, 0.5, 0) AS q,
+  if(l_linenumber <> 5, l_returnflag, NULL) AS flag, least(l_partkey, l_suppkey) AS low FROM lineitem),
+v AS (SELECT l_orderkey, concat_ws(',', if(bool_or(flag IS NULL), 'required $.lines[].flag', NULL),
+  if(bool_or(q <> floor(q)), 'type $.lines[].q', NULL), if(bool_or(q > 45), 'maximum $.lines[].q', NULL),
+  if(bool_or(flag NOT IN ('N', 'A')), 'enum $.lines[].flag', NULL), if(bool_or(low < 20), 'minimum $.lines[].parts[]', NULL)) AS rules
+  FROM l GROUP BY 1)
+SELECT l_orderkey, rules = '' AS valid, rules FROM v""",
     "xml_table": """
 SELECT c_custkey, c_mktsegment AS seg, c_name AS name FROM customer
 UNION ALL SELECT c_custkey, 'n', c_nationkey::VARCHAR FROM customer""",

@@ -200,8 +200,8 @@ def test_dependent_lineage_against_all_worlds():
         names = sorted({t for term in terms for t in term})
         tokens = [{"token": t, "p": 0.5} for t in names]
         held = sum(brute_force(terms)) / 2 ** len(names)
-        assert P._chance(tokens, terms) == pytest.approx(held)
-        assert sum(P._worth(tokens, terms, "shapley").values()) == pytest.approx(1.0)
+        assert P.chance(tokens, terms) == pytest.approx(held)
+        assert sum(P.worth(tokens, terms, "shapley").values()) == pytest.approx(1.0)
         for t in names:
             with_t = [[x for x in term if x != t] for term in terms] + [[n] * 0 for n in ()]
             others = [n for n in names if n != t]
@@ -209,7 +209,7 @@ def test_dependent_lineage_against_all_worlds():
             for world in range(1 << len(others)):
                 held = {n for i, n in enumerate(others) if world >> i & 1}
                 gain += any(set(x) <= held for x in with_t) and not any(set(x) <= held for x in terms)
-            assert P._worth(tokens, terms, "banzhaf")[t] == pytest.approx(gain / 2 ** len(others))
+            assert P.worth(tokens, terms, "banzhaf")[t] == pytest.approx(gain / 2 ** len(others))
 
 
 def test_many_dependent_tokens(spark):
