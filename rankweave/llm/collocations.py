@@ -9,10 +9,11 @@ sums, and the merged table answers everything that is asked of phrases of one le
   the prefix's own count;
 * the largest entry is the most frequent longer phrase that begins with the prefix.
 
-Lengths go up from one word (the empty prefix). A phrase as frequent as asked for has
-frequent parts only, so longer ones are counted where both parts are; a bitmap of bounded
-size holds the hashes of the frequent parts. It has no false negatives, so counts of
-frequent phrases are exact, whatever it lets through.
+Three passes count words (the empty prefix), pairs, and all longer phrases. A phrase as
+frequent as asked for has frequent parts only, so pairs are counted where both words are
+frequent, longer phrases where all their pairs are; a bitmap of bounded size holds the
+hashes of the frequent parts. It has no false negatives, so counts of frequent phrases are
+exact, whatever it lets through.
 
 The stripes of hot prefixes, those of one place in ``HOT`` or more, are cut into ``PARTS``
 by their next words, so no task has to merge the whole stripe of one. There are at most
@@ -37,7 +38,7 @@ from rankweave.session import stored
 # Parts of a hot prefix's stripe, by its next words, and the bound on hot prefixes.
 PARTS, HOT = 16, 4096
 # Words that a task counts at once, and distinct words that it remembers meanwhile.
-SLICE_WORDS, VOCABULARY = 2_000_000, 1_000_000
+SLICE_WORDS, VOCABULARY = 1_500_000, 600_000
 # Bits of the bitmap for each frequent phrase, and the bounds of its size (2^27: 16 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 # Candidates ranked in one task before the last ranking.
@@ -87,10 +88,13 @@ class _Numbers(dict):
 
 
 class _Counter:
-    """Counts the phrases of ``size`` words of a slice, and gives them as stripes."""
+    """Counts the phrases of ``sizes`` words of a slice, and gives them as stripes.
 
-    def __init__(self, size: int, bitmap: np.ndarray | None, hot: np.ndarray):
-        self.size, self.bitmap, self.hot = size, bitmap, hot
+    ``bitmap`` has the frequent phrases of ``width`` words; sizes are larger.
+    """
+
+    def __init__(self, sizes: list[int], width: int, bitmap: np.ndarray | None, hot: np.ndarray):
+        self.sizes, self.width, self.bitmap, self.hot = sizes, width, bitmap, hot
         self.forget()
 
     def forget(self) -> None:
@@ -118,67 +122,71 @@ class _Counter:
         """The stripes of what was added; then nothing is held but known words."""
         if not self.held:
             return
-        at = np.concatenate(self.held)
+        # Breaks at the end, so that every place has as many next ones as are looked at.
+        at = np.concatenate([*self.held, np.zeros(max(self.sizes), np.int64)])
         self.held, self.count = [], 0
         words = pa.array(self.words, pa.binary()).cast(pa.string())
-        code, known, rows, hot = self._prefixes(at)
-        following = rows + self.size - 1
-        # The word after a prefix counts if the phrase from the prefix's second word on is frequent.
-        counted = at[following] if self.size == 1 else np.where(self._frequent(at, rows + 1), at[following], 0)
-        part = (np.array(self.hashes) % np.uint64(PARTS)).astype(np.int64)
-        keys, counts = np.unique(code << 36 | np.where(hot, part[counted], 0) << 32 | counted, return_counts=True)
-        if len(keys):
-            begins = np.flatnonzero(np.diff(keys >> 32, prepend=-1))
-            said = pa.array(np.where((keys & 0xFFFFFFFF) == 0, 0, keys & 0xFFFFFFFF))
-            # Number 0 stands for "no counted word follows".
-            nexts = pc.if_else(pc.equal(said, 0), "", words.take(said))
-            owner, prefix = self._named(keys[begins] >> 36, known, words)
-            offsets = np.append(begins, len(keys)).astype(np.int32)
-            batch = pa.RecordBatch.from_arrays(
-                [owner, prefix, pa.array(keys[begins] >> 32 & 15, pa.int32()), pc.binary_join(pa.ListArray.from_arrays(offsets, nexts), " "), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))],
-                schema=_ARROW,
-            )
+        frequent, hot = self._frequent(at) if self.width else (None, None)
+        for size in self.sizes:
+            batch = self._of_size(at, size, frequent, hot, words)
             for begin in range(0, batch.num_rows, 20_000):
                 yield batch.slice(begin, 20_000)
         if len(self.words) > VOCABULARY:
             self.forget()
 
-    def _frequent(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Whether the ``size`` - 1 words from each row on are in one piece and may be frequent."""
-        inside, hashes = self._hashed(at, rows)
-        return inside & _has(self.bitmap, hashes)
-
-    def _hashed(self, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether the ``size`` - 1 words from each row on are in one piece, and their hash."""
-        width = self.size - 1
-        inside = rows + width <= len(at)
-        rows = np.where(inside, rows, 0)
-        columns = [at[rows + i] for i in range(width)]
-        for column in columns:
-            inside &= column > 0
-        hashes = np.array(self.hashes)
-        return inside, _phrase_hash([hashes[c] for c in columns])
-
-    def _prefixes(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """The code of the prefix at each place that has one, what codes stand for, the places, hot ones."""
-        if self.size == 1:
+    def _of_size(self, at: np.ndarray, size: int, frequent: np.ndarray | None, hot: np.ndarray | None, words: pa.Array) -> pa.RecordBatch:
+        if size == 1:
             rows = np.flatnonzero(at > 0)
-            return np.array(self.owners)[at[rows]], [], rows, np.ones(len(rows), bool)
-        # A break ends the array, so each prefix has a next place.
-        rows = np.arange(len(at) - self.size + 1)
-        inside, hashes = self._hashed(at, rows)
+            code, known, counted = np.array(self.owners)[at[rows]], [], at[rows]
+            part = (np.array(self.hashes) % np.uint64(PARTS)).astype(np.int64)[counted]
+        else:
+            after = size - self.width
+            ends = len(at) - size
+            whole = frequent[:ends].copy()
+            for i in range(1, after):
+                whole &= frequent[i : i + ends]
+            rows = np.flatnonzero(whole)
+            code, known = at[rows], []
+            for i in range(1, size - 1):
+                values, code = np.unique(code << 32 | at[rows + i], return_inverse=True)
+                known.append(values)
+            # The word after a prefix counts if the last words with it are frequent.
+            counted = np.where(frequent[rows + after], at[rows + size - 1], 0)
+            part = np.where(hot[rows], (np.array(self.hashes) % np.uint64(PARTS)).astype(np.int64)[counted], 0)
+        keys, counts = np.unique(code << 36 | part << 32 | counted, return_counts=True)
+        begins = np.flatnonzero(np.diff(keys >> 32, prepend=-1))
+        said = pa.array(keys & 0xFFFFFFFF)
+        # Number 0 stands for "no counted word follows".
+        nexts = pc.if_else(pc.equal(said, 0), "", words.take(said))
+        owner, prefix = self._named(keys[begins] >> 36, known, words, size)
+        offsets = np.append(begins, len(keys)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                owner,
+                prefix,
+                pa.array(keys[begins] >> 32 & 15, pa.int32()),
+                pc.binary_join(pa.ListArray.from_arrays(offsets, nexts), " "),
+                pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
+            ],
+            schema=_ARROW,
+        )
+
+    def _frequent(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the ``width`` words from each place on are in one piece and may be frequent; whether they are hot."""
+        ends = len(at) - self.width
+        columns = [at[i : i + ends] for i in range(self.width)]
+        inside = np.logical_and.reduce([c > 0 for c in columns])
+        hashes = np.array(self.hashes)
+        hashes = _phrase_hash([hashes[c] for c in columns])
         inside &= _has(self.bitmap, hashes)
-        rows, hot = rows[inside], np.isin(hashes[inside], self.hot)
-        code, known = at[rows], []
-        for i in range(1, self.size - 1):
-            values, code = np.unique(code << 32 | at[rows + i], return_inverse=True)
-            known.append(values)
-        return code, known, rows, hot
-
-    def _named(self, code: np.ndarray, known: list[np.ndarray], words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        hot = np.isin(hashes, self.hot)
+        rest = np.zeros(self.width, bool)
+        return np.concatenate([inside, rest]), np.concatenate([hot, rest])
+
+    def _named(self, code: np.ndarray, known: list[np.ndarray], words: pa.Array, size: int) -> tuple[pa.Array, pa.Array]:
         """Groups and texts of prefix codes."""
         groups = pa.array(self.groups, pa.string())
-        if self.size == 1:
+        if size == 1:
             return groups.take(pa.array(code)), pa.array([""] * len(code), pa.string())
         columns = []
         for values in reversed(known):
@@ -235,18 +243,19 @@ def _bitmap(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def stripes(said: DataFrame, size: int, least: int, bitmap: np.ndarray | None = None, hot: np.ndarray | None = None) -> DataFrame:
-    """(grp, prefix, part, total, extensions, best) of (grp, text) rows: the merged stripes.
+def stripes(said: DataFrame, sizes: list[int], least: int, width: int = 0, bitmap: np.ndarray | None = None, hot: np.ndarray | None = None) -> DataFrame:
+    """(grp, prefix, part, total, extensions, best) of (grp, text) rows: the merged stripes of ``sizes`` words.
 
     ``extensions`` lists next words and counts of at least ``least``, ``total`` counts all
     places of the prefix whose next word falls to the part (or is none), ``best`` is the
-    largest count of an extension. From two words on, ``bitmap`` tells which phrases of one
-    word less may be frequent, and the hashes ``hot`` whose stripes are cut into parts.
+    largest count of an extension. From two words on, ``bitmap`` tells which phrases of
+    ``width`` words may be frequent, and the hashes ``hot`` whose stripes, and those of what
+    they begin, are cut into parts.
     """
     held = said.sparkSession.sparkContext.broadcast((bitmap, np.zeros(0, np.uint64) if hot is None else hot))
 
     def run(batches):
-        counter = _Counter(size, *held.value)
+        counter = _Counter(sizes, width, *held.value)
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
@@ -298,14 +307,15 @@ def collocations(
     if longest < 2 or least < 1:
         raise ValueError("phrases have two words at least and are counted from one place on")
     said = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("grp"), F.col(text).alias("text"))
-    tables, bitmap, hot, words = [], None, None, None
-    for size in range(1, longest + 1):
-        merged = stored(stripes(said, size, least, bitmap, hot), "stripes")
-        tables.append(merged)
-        if words is None:
-            words = merged.agg(F.sum("total")).first()[0] or 0
-        if size < longest:
-            bitmap, hot = _bitmap(_extensions(merged)), _hot(_extensions(merged), words)
+    first = stored(stripes(said, [1], least), "stripes")
+    words = first.agg(F.sum("total")).first()[0] or 0
+    singles = _extensions(first)
+    second = stored(stripes(said, [2], least, 1, _bitmap(singles), _hot(singles, words)), "stripes")
+    tables = [first, second]
+    if longest > 2:
+        pairs = _extensions(second)
+        longer = stored(stripes(said, list(range(3, longest + 1)), least, 2, _bitmap(pairs), _hot(pairs, words)), "stripes")
+        tables += [longer.where(F.size(F.split("prefix", " ")) == size - 1) for size in range(3, longest + 1)]
     counts = _extensions(tables[0])
     for merged in tables[1:-1]:
         counts = counts.unionByName(_extensions(merged))
