@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from rankweave.operators.analyze import dictionary_version
 from rankweave.operators.text_index import (
-    Manifest, StoredIndex, TextIndex, check_unique_ids, table_schema, write_manifest, write_segment,
+    Manifest, StoredIndex, TextIndex, bucket_of, check_unique_ids, levels_of, table_schema, write_levels,
+    write_manifest, write_segment,
 )
-from rankweave.operators.text_search import _idf, term_impacts
+from rankweave.operators.text_search import _idf, term_impacts, term_tops
+from rankweave.session import broadcast_if_small
 
 
 def _stored(index: TextIndex) -> StoredIndex:
@@ -44,7 +46,7 @@ def append_segment(
 
     ``batch`` is the name of a stream and the number of its batch; numbers only grow,
     so a batch not above the last one added is a repetition and is passed over.
-    Document frequencies are counted from postings, so nothing has to be adjusted. An id
+    The segment has term levels of its own, so nothing else has to be adjusted. An id
     that is NULL, comes twice, or is live already is refused.
     """
     index = _writable(index)
@@ -68,7 +70,11 @@ def append_segment(
 
 
 def delete_docs(index: StoredIndex, ids: DataFrame) -> StoredIndex:
-    """Mark documents dead in the segments that hold them."""
+    """Mark documents dead in the segments that hold them.
+
+    Their postings are looked up once, without positions, for the frequencies of their
+    terms; a table of many ids at once costs no more than one id.
+    """
     index = _writable(index)
     following = index.manifest.next(tombstones=[*index.manifest.tombstones, index.manifest.version + 1])
     wanted = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
@@ -77,10 +83,17 @@ def delete_docs(index: StoredIndex, ids: DataFrame) -> StoredIndex:
     dead = live.join(wanted, "id", "left_semi").select("id", "segment", "field", "len")
     target = f"{index.path}/tombstones/version={following.version}"
     dead.write.mode("overwrite").parquet(target)
+    marked = index.spark.read.schema(table_schema("tombstones", following.id_type)).parquet(target)
+    lost = index.stored_postings().select("segment", "id", "term", "field", "tf", "len").join(
+        broadcast_if_small(marked.select("id", "segment").distinct()), ["id", "segment"], "left_semi"
+    )
+    gone_levels = levels_of(lost, ["segment"], index.multi_field).drop("shortest")
+    write_levels(
+        gone_levels.withColumn("bucket", bucket_of(F.col("term"), following.buckets)),
+        f"{index.path}/gone_levels/version={following.version}",
+    )
     # A row per live segment and field.
-    counted = index.spark.read.schema(table_schema("tombstones", following.id_type)).parquet(target).groupBy(
-        "segment", "field"
-    ).agg(F.count("*").alias("n"), F.sum("len").alias("len"))
+    counted = marked.groupBy("segment", "field").agg(F.count("*").alias("n"), F.sum("len").alias("len"))
     gone = {s: dict(fields) for s, fields in following.dead.items()}
     for row in counted.collect():
         fields = gone.setdefault(str(row["segment"]), {})
@@ -202,7 +215,8 @@ def verify_index(index: StoredIndex, df: DataFrame | None = None) -> DataFrame:
     """(severity, location, message) of everything wrong; empty when all is well.
 
     Looks at the stored tables alone: counts against positions, lengths against
-    counts, postings without a document, a document twice. With ``df`` the texts are
+    counts, postings without a document, a document twice, term levels against the
+    postings. With ``df`` the texts are
     analysed again and compared posting by posting.
     """
     index = _stored(index)
@@ -232,6 +246,20 @@ def verify_index(index: StoredIndex, df: DataFrame | None = None) -> DataFrame:
     found = found.union(findings(sizes, at_doc, about_size))
     twice = index.doc_stats().groupBy("id", "field").count()
     found = found.union(findings(twice, at_doc, F.when(F.col("count") > 1, "document is live more than once")))
+    keys = ["segment", "term", "field", "tf"]
+    live = index._live(postings.select("segment", "id", "term", "field", "tf", "len"))
+    counted = levels_of(live, ["segment"], index.multi_field)
+    none = F.lit(None).cast("int")
+    levels = index.term_levels().select(*keys, "n", "shortest", none.alias("least")).unionByName(
+        counted.select(*keys, (-F.col("n")).alias("n"), none.alias("shortest"), F.col("shortest").alias("least"))
+    )
+    compared = levels.groupBy(*keys).agg(
+        F.sum("n").alias("off"), F.min("shortest").alias("shortest"), F.min("least").alias("least")
+    )
+    # A dead document may be the shortest until the index is compacted.
+    badly_kept = (F.col("off") != 0) | (F.col("shortest") > F.col("least"))
+    at_level = F.concat_ws("/", F.lit("term"), "field", "term")
+    found = found.union(findings(compared, at_level, F.when(badly_kept, "term levels differ from the postings")))
     if df is not None:
         again = index.frame_index(df).postings().select("id", "field", "term", F.col("positions").alias("p"))
         both = index.postings().select("id", "field", "term", "positions").join(again, ["id", "field", "term"], "full")
@@ -245,7 +273,14 @@ def verify_index(index: StoredIndex, df: DataFrame | None = None) -> DataFrame:
 
 
 def term_score_bounds(index: TextIndex, terms: DataFrame | None = None) -> DataFrame:
-    """(term, df, max_score): the most any document can get from a term."""
-    weights = term_impacts(index, terms)
-    bounds = weights.groupBy("term").agg(F.count("*").alias("df"), F.max("tfn").alias("top"))
+    """(term, df, max_score): the most any document can get from a term.
+
+    A stored index over one field without dead documents has it in its levels; else the
+    postings are looked through.
+    """
+    if isinstance(index, StoredIndex) and not index.multi_field and not index.manifest.tombstones:
+        bounds = term_tops(index, terms)
+    else:
+        weights = term_impacts(index, terms)
+        bounds = weights.groupBy("term").agg(F.count("*").alias("df"), F.max("tfn").alias("top"))
     return _idf(index, bounds).select("term", "df", F.round(F.col("idf") * F.col("top"), 6).alias("max_score"))

@@ -10,7 +10,12 @@ Tables of a stored index, below one path:
 
 * ``postings/segment=n/bucket=b`` - id, field, term, tf, len, positions
 * ``doc_stats/segment=n`` - id, field, len
+* ``term_levels/segment=n/bucket=b`` - term, field, tf, n, shortest: how many documents hold
+  the term so often, and the least length among them. A row without field and tf counts
+  the documents with the term in any of several fields
 * ``tombstones/version=v`` - id, segment, field, len
+* ``gone_levels/version=v/bucket=b`` - segment, term, field, tf, n of the documents that
+  became dead with that version
 * ``manifest/version=v`` - one JSON row; the highest version is the current one. It
   also holds the document counts and total lengths, so a search needs no job for them.
 """
@@ -174,13 +179,37 @@ class TextIndex:
     def all_ids(self) -> DataFrame:
         return self.doc_stats().select("id").distinct() if self.multi_field else self.doc_stats().select("id")
 
-    def collection_row(self, candidates: DataFrame, present: list[Column]) -> DataFrame:
+    def term_stats_among(self, terms: DataFrame) -> DataFrame:
+        """``term_stats`` of the terms of a table (term)."""
+        return self.term_stats().join(terms, "term", "left_semi")
+
+    def collection_row(self, candidates: DataFrame, leaves: list[Leaf], present: list[Column]) -> DataFrame:
         """One row: n, avg (array by field) and df (array by leaf)."""
         raise NotImplementedError
 
 
-def _df_columns(present: list[Column]) -> Column:
-    return F.array(*[F.count(F.when(p, 1)) for p in present]).alias("df")
+def levels_of(postings: DataFrame, keys: list[str], multi_field: bool) -> DataFrame:
+    """(keys, term, field, tf, n, shortest) of postings (keys, id, term, field, tf, len).
+
+    Levels of several tables can be added up: n by sum, shortest by minimum.
+    """
+    levels = postings.groupBy(*keys, "term", "field", "tf").agg(
+        F.count("*").alias("n"), F.min("len").alias("shortest")
+    )
+    if not multi_field:
+        return levels
+    anywhere = postings.select(*keys, "term", "id").distinct().groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    return levels.unionByName(
+        anywhere.select(
+            *keys, "term", F.lit(None).cast("string").alias("field"), F.lit(None).cast("int").alias("tf"), "n",
+            F.lit(None).cast("int").alias("shortest"),
+        )
+    )
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    """The bucket that the postings of a term are in."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def _hits_of(hits: Column, term: str) -> Column:
@@ -296,11 +325,11 @@ class FrameIndex(TextIndex):
                     )
         return out.select(*columns)
 
-    def collection_row(self, candidates: DataFrame, present: list[Column]) -> DataFrame:
+    def collection_row(self, candidates: DataFrame, leaves: list[Leaf], present: list[Column]) -> DataFrame:
         return candidates.agg(
             F.count("*").alias("n"),
             F.array(*[F.avg(f"len_{f}") for f in self.fields]).alias("avg"),
-            _df_columns(present),
+            F.array(*[F.count(F.when(p, 1)) for p in present]).alias("df"),
         )
 
     def write(self, path: str, *, buckets: int = 16, splits: int = 1, check_ids: bool = True) -> "StoredIndex":
@@ -338,6 +367,8 @@ def table_schema(name: str, id_type: str, segment: bool = False) -> str:
     columns = {
         "postings": f"id {id_type}, field string, term string, tf int, len int, positions array<int>, bucket int",
         "doc_stats": f"id {id_type}, field string, len int",
+        "term_levels": "term string, field string, tf int, n bigint, shortest int, bucket int",
+        "gone_levels": "segment int, term string, field string, tf int, n bigint, bucket int",
         "tombstones": f"id {id_type}, segment int, field string, len int",
     }[name]
     return columns + (", segment int" if segment else "")
@@ -378,9 +409,10 @@ def write_segment(index: TextIndex, path: str, manifest: Manifest, segment: int)
     """Write the rows of ``index`` as one segment; returns its totals by field.
 
     Postings move once, by bucket and document hash: a term in a third of all
-    documents is spread over ``splits`` files of its bucket.
+    documents is spread over ``splits`` files of its bucket. The levels of the terms are
+    counted from the written postings, without their positions.
     """
-    bucket = F.pmod(F.xxhash64("term"), F.lit(manifest.buckets)).cast("int")
+    bucket = bucket_of(F.col("term"), manifest.buckets)
     split = F.pmod(F.xxhash64("id"), F.lit(manifest.splits)).cast("int")
     laid_out = (
         index.postings()
@@ -391,13 +423,23 @@ def write_segment(index: TextIndex, path: str, manifest: Manifest, segment: int)
     laid_out.write.mode("overwrite").partitionBy("bucket").parquet(
         f"{path}/postings/segment={segment}"
     )
+    spark = index.source_spark()
+    postings = spark.read.schema(table_schema("postings", manifest.id_type)).parquet(f"{path}/postings/segment={segment}")
+    levels = levels_of(postings, ["bucket"], len(manifest.weights) > 1)
+    write_levels(levels, f"{path}/term_levels/segment={segment}")
     stats = f"{path}/doc_stats/segment={segment}"
     index.doc_stats().write.mode("overwrite").parquet(stats)
-    written = index.source_spark().read.schema(table_schema("doc_stats", manifest.id_type)).parquet(stats)
+    written = spark.read.schema(table_schema("doc_stats", manifest.id_type)).parquet(stats)
     # At most one row per field; an empty segment has none.
     return {r["field"]: [r["n_docs"], r["total_len"]] for r in TextIndex.totals(written).collect()}
 
 
+def write_levels(levels: DataFrame, target: str) -> None:
+    """Store a table of levels by its ``bucket``: as many rows as terms have frequencies."""
+    laid_out = levels.repartition(F.col("bucket")).sortWithinPartitions("bucket", "term")
+    laid_out.write.mode("overwrite").partitionBy("bucket").parquet(target)
+
+
 class StoredIndex(TextIndex):
     """An index read from Parquet tables."""
 
@@ -475,28 +517,72 @@ class StoredIndex(TextIndex):
 
     def stored_postings(self, terms: list[str] | None = None) -> DataFrame:
         """Postings with dead documents, with the segment column."""
-        rows = self._segments("postings")
-        if terms is not None:
-            rows = rows.where(F.col("term").isin(*terms))
-            # Folded to numbers before planning, so only these folders are listed.
-            buckets = [F.pmod(F.xxhash64(F.lit(t)), F.lit(self.manifest.buckets)) for t in terms]
-            rows = rows.where(F.col("bucket").isin(*buckets))
-        return rows
+        return self._of_terms(self._segments("postings"), terms)
+
+    def _of_terms(self, rows: DataFrame, terms: list[str] | None) -> DataFrame:
+        if terms is None:
+            return rows
+        # Folded to numbers before planning, so only these folders are listed.
+        buckets = [bucket_of(F.lit(t), self.manifest.buckets) for t in terms]
+        return rows.where(F.col("term").isin(*terms)).where(F.col("bucket").isin(*buckets))
+
+    def _among(self, rows: DataFrame, terms: DataFrame) -> DataFrame:
+        """The rows of the buckets that the terms of a table are in.
+
+        The bucket numbers come to the driver first, at most one for each bucket.
+        """
+        number = bucket_of(F.col("term"), self.manifest.buckets)
+        asked = [r["b"] for r in terms.select(number.alias("b")).distinct().collect()]
+        return rows.where(F.col("bucket").isin(*asked)) if asked else rows.limit(0)
+
+    def term_levels(self) -> DataFrame:
+        """(segment, bucket, term, field, tf, n, shortest); rows of dead documents have a negative n."""
+        held = self._segments("term_levels")
+        if not self.manifest.tombstones:
+            return held
+        reader = self.spark.read.schema(table_schema("gone_levels", self.manifest.id_type))
+        gone = reader.option("basePath", f"{self.path}/gone_levels").parquet(
+            *[f"{self.path}/gone_levels/version={v}" for v in self.manifest.tombstones]
+        )
+        gone = gone.where(F.col("segment").isin(*self.manifest.segments)).withColumn("n", -F.col("n"))
+        return held.unionByName(gone.withColumn("shortest", F.lit(None).cast("int")).select(*held.columns))
+
+    def _df(self, levels: DataFrame) -> DataFrame:
+        if self.multi_field:
+            levels = levels.where(F.col("field").isNull())
+        return levels.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") > 0)
+
+    def term_stats(self, terms: list[str] | None = None) -> DataFrame:
+        """(term, df) out of the stored levels; no postings are read."""
+        return self._df(self._of_terms(self.term_levels(), terms))
+
+    def term_stats_among(self, terms: DataFrame) -> DataFrame:
+        return self._df(self._among(self.term_levels(), terms)).join(terms, "term", "left_semi")
+
+    def live_levels(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, field, tf, n, shortest) over the live documents of all segments.
+
+        ``shortest`` may be that of a dead document until the index is compacted, so it
+        is a lower bound then.
+        """
+        levels = self.term_levels() if terms is None else self._among(self.term_levels(), terms)
+        live = (
+            levels.groupBy("term", "field", "tf")
+            .agg(F.sum("n").alias("n"), F.min("shortest").alias("shortest"))
+            .where(F.col("n") > 0)
+        )
+        return live if terms is None else live.join(terms, "term", "left_semi")
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         return self._live(self.stored_postings(terms)).select(*POSTING_COLUMNS)
 
     def postings_among(self, terms: DataFrame | None) -> DataFrame:
-        """Postings of the terms of a table; only the folders that they are in are opened.
-
-        The folder numbers come to the driver first, at most one for each bucket.
-        """
+        """Postings of the terms of a table; only the folders that they are in are opened."""
         if terms is None:
             return self.postings()
-        number = F.pmod(F.xxhash64("term"), F.lit(self.manifest.buckets)).cast("int")
-        asked = [r["b"] for r in terms.select(number.alias("b")).distinct().collect()]
-        rows = self.stored_postings().where(F.col("bucket").isin(*asked)) if asked else self.stored_postings().limit(0)
-        return self._live(rows).select(*POSTING_COLUMNS).join(terms, "term", "left_semi")
+        return self._live(self._among(self.stored_postings(), terms)).select(*POSTING_COLUMNS).join(
+            terms, "term", "left_semi"
+        )
 
     def stored_doc_stats(self) -> DataFrame:
         return self._segments("doc_stats")
@@ -525,11 +611,13 @@ class StoredIndex(TextIndex):
                     )
         return self.postings(terms).groupBy("id").agg(*columns)
 
-    def collection_row(self, candidates: DataFrame, present: list[Column]) -> DataFrame:
+    def collection_row(self, candidates: DataFrame, leaves: list[Leaf], present: list[Column]) -> DataFrame:
         means = [self.mean_len(f) for f in self.fields]
-        return candidates.agg(_df_columns(present)).select(
-            self.n_docs().alias("n"), F.array(*means).alias("avg"), "df"
+        found = [F.max(F.when(F.col("term") == leaf.term, F.col("df"))) for leaf in leaves]
+        counted = self.term_stats([leaf.term for leaf in leaves]).agg(
+            F.array(*[F.coalesce(f, F.lit(0)) for f in found]).alias("df")
         )
+        return counted.select(self.n_docs().alias("n"), F.array(*means).alias("avg"), "df")
 
     def frame_index(self, rows: DataFrame, dictionary: DataFrame | None = None) -> FrameIndex:
         """A frame index over ``rows`` with this index's settings."""

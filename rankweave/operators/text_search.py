@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankweave.functions.text import highlight, literal_replacement, token_pattern
 from rankweave.operators.analyze import segment_runs
 from rankweave.operators.query import B, K1, Or, Query, Scope, analyze_query, analyze_text, plain_terms
-from rankweave.operators.text_index import FrameIndex, Leaf, TextIndex
+from rankweave.operators.text_index import FrameIndex, Leaf, StoredIndex, TextIndex
 from rankweave.session import BROADCAST_ROWS, at_most, durable
 
 # The modes that a caller can name.
@@ -54,7 +54,7 @@ class _Plan:
 
     def stats(self) -> Column:
         present = [self.scope.present(leaf.term) for leaf in self.leaves]
-        one = self.index.collection_row(self.rows, present)
+        one = self.index.collection_row(self.rows, self.leaves, present)
         return one.select(F.struct("n", "avg", "df")).scalar()
 
     def scored(self, skip: frozenset = frozenset(), extra: list[Column] | None = None) -> DataFrame:
@@ -274,6 +274,25 @@ def query_terms(queries: DataFrame, query_id: str, text: str, analyzer: str = "u
     return arrays.select(F.col("id").alias("query_id"), F.explode(F.array_distinct("tokens")).alias("term"))
 
 
+def field_weight(index: TextIndex, name: str, tf: Column, length: Column) -> Column:
+    """The length-normalised weight of ``tf`` hits in a field of ``length`` tokens."""
+    mean = index.mean_len(name)
+    return index.weights[name] * tf / ((1 - B) + B * F.when(mean > 0, length / mean).otherwise(1.0))
+
+
+def _weights(index: TextIndex, rows: DataFrame, length: str) -> Column:
+    """``field_weight`` of rows that name their field."""
+    weighted = None
+    for f in index.fields:
+        part = field_weight(index, f, F.col("tf"), F.col(length))
+        weighted = part if weighted is None else F.when(F.col("field") == f, part).otherwise(weighted)
+    return weighted
+
+
+def _saturated(weight: Column) -> Column:
+    return weight * (K1 + 1) / (K1 + weight)
+
+
 def term_impacts(index: TextIndex, terms: DataFrame | None = None) -> DataFrame:
     """(id, term, tfn): the length-normalised weight of each posting, before idf.
 
@@ -281,15 +300,31 @@ def term_impacts(index: TextIndex, terms: DataFrame | None = None) -> DataFrame:
     the document table is needed.
     """
     postings = index.postings_among(terms).select("id", "field", "term", "tf", "len")
-    weighted = None
-    for f in index.fields:
-        mean = index.mean_len(f)
-        part = index.weights[f] * F.col("tf") / ((1 - B) + B * F.when(mean > 0, F.col("len") / mean).otherwise(1.0))
-        weighted = part if weighted is None else F.when(F.col("field") == f, part).otherwise(weighted)
-    rows = postings.select("id", "term", weighted.alias("w"))
+    rows = postings.select("id", "term", _weights(index, postings, "len").alias("w"))
     if index.multi_field:
         rows = rows.groupBy("id", "term").agg(F.sum("w").alias("w"))
-    return rows.select("id", "term", (F.col("w") * (K1 + 1) / (K1 + F.col("w"))).alias("tfn"))
+    return rows.select("id", "term", _saturated(F.col("w")).alias("tfn"))
+
+
+def term_tops(index: StoredIndex, terms: DataFrame | None = None) -> DataFrame:
+    """(term, df, top): no posting of the term has a higher weight than ``top``.
+
+    Read from the stored levels: a weight grows with the hits and falls with the length,
+    so the shortest document of each number of hits is enough, whatever the mean length
+    has become since. ``top`` is the highest weight itself, but for an index over several
+    fields, where it is reached only if one document is the best in all, and after a
+    delete, until the index is compacted.
+    """
+    levels = index.live_levels(terms)
+    held = levels.where(F.col("field").isNotNull())
+    best = held.withColumn("w", _weights(index, held, "shortest")).groupBy("term", "field").agg(
+        F.max("w").alias("w"), F.sum("n").alias("n")
+    )
+    if not index.multi_field:
+        return best.select("term", F.col("n").alias("df"), _saturated(F.col("w")).alias("top"))
+    tops = best.groupBy("term").agg(F.sum("w").alias("w"))
+    df = levels.where(F.col("field").isNull()).select("term", F.col("n").alias("df"))
+    return tops.join(df, "term").select("term", "df", _saturated(F.col("w")).alias("top"))
 
 
 def _idf(index: TextIndex, frequency: DataFrame) -> DataFrame:
@@ -346,7 +381,11 @@ def search_many(
     if prune:
         ranked = _search_pruned(index, weights, qterms, k, salts)
     else:
-        idf = _idf(index, weights.groupBy("term").agg(F.count("*").alias("df"))).select("term", "idf")
+        if isinstance(index, StoredIndex):
+            frequency = index.term_stats_among(distinct)
+        else:
+            frequency = weights.groupBy("term").agg(F.count("*").alias("df"))
+        idf = _idf(index, frequency).select("term", "idf")
         scored = (
             _join_terms(weights, qterms.join(idf, "term"), salts)
             .groupBy("query_id", "id")
@@ -392,7 +431,8 @@ def _many_snippets(index: TextIndex, hits: DataFrame, qterms: DataFrame, mode: s
 def _search_pruned(index: TextIndex, weights: DataFrame, qterms: DataFrame, k: int, salts: int) -> DataFrame:
     """Top ``k`` per query with common terms looked up for candidates only.
 
-    1. Each term's highest possible contribution is idf times its largest weight.
+    1. Each term's highest possible contribution is idf times its largest weight, which a
+       stored index knows from its levels.
     2. The rarest terms of a query that together fill ``k`` places give a score
        that the ``k``-th hit has at least.
     3. Terms whose highest contributions together stay below that score cannot
@@ -400,9 +440,11 @@ def _search_pruned(index: TextIndex, weights: DataFrame, qterms: DataFrame, k: i
        counts has another term, so the others name the candidates.
     4. Optional terms are joined by (term, id) for the candidates.
     """
-    bounds = _idf(
-        index, weights.groupBy("term").agg(F.count("*").alias("df"), F.max("tfn").alias("top"))
-    ).select("term", "df", "idf", (F.col("idf") * F.col("top")).alias("bound"))
+    if isinstance(index, StoredIndex):
+        tops = term_tops(index, qterms.select("term").distinct())
+    else:
+        tops = weights.groupBy("term").agg(F.count("*").alias("df"), F.max("tfn").alias("top"))
+    bounds = _idf(index, tops).select("term", "df", "idf", (F.col("idf") * F.col("top")).alias("bound"))
     # One row per query and term, used by all the steps below.
     plan = durable(qterms.join(bounds, "term"))
     rare = Window.partitionBy("query_id").orderBy("df", "term")

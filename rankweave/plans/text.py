@@ -203,9 +203,11 @@ def bm25f_weighted(spark, folder):
     return search(_weighted(spark, folder), Or("user", "the", "la"), limit=100).drop("snippet")
 
 
+FIELD_SCOPED = And(Field("role", "assistant"), Field("text", Or("the", "la")))
+
+
 def field_scoped(spark, folder):
-    query = And(Field("role", "assistant"), Field("text", Or("the", "la")))
-    return search(_weighted(spark, folder), query, limit=100).drop("snippet")
+    return search(_weighted(spark, folder), FIELD_SCOPED, limit=100).drop("snippet")
 
 
 def drop_stop_search(spark, folder):
@@ -294,6 +296,34 @@ def _with_deletes(spark, folder) -> StoredIndex:
     return delete_docs(_built_in_two_steps(spark, folder), docs.where("lang = 'de' or n_chars > 5000").select("doc_id"))
 
 
+def stored_term_stats(spark, folder):
+    """Document frequencies after an append and a delete, out of the term levels."""
+    return _with_deletes(spark, folder).term_stats()
+
+
+def stored_score_bounds(spark, folder):
+    return term_score_bounds(_built_in_two_steps(spark, folder))
+
+
+def stored_bounds_after_delete(spark, folder):
+    return term_score_bounds(_with_deletes(spark, folder))
+
+
+def stored_many(spark, folder):
+    index = _with_deletes(spark, folder)
+    return search_many(index, _benchmark(spark, folder), "item_id", "text", 10).drop("snippet")
+
+
+def stored_many_pruned(spark, folder):
+    index = _with_deletes(spark, folder)
+    return search_many(index, _benchmark(spark, folder), "item_id", "text", 10, prune=True).drop("snippet")
+
+
+def stored_field_scoped(spark, folder):
+    index = _weighted(spark, folder).write(work_path(spark, "index"), buckets=8, splits=2)
+    return search(index, FIELD_SCOPED, limit=100).drop("snippet")
+
+
 def index_stats(spark, folder):
     return index_health(_with_deletes(spark, folder)).drop("analysis_matches", "analysis_detail")
 
@@ -334,6 +364,12 @@ QUERIES = {
     "stored_negative_score": stored_negative_score,
     "stored_or_not": stored_or_not,
     "stored_score_all": stored_score_all,
+    "stored_term_stats": stored_term_stats,
+    "stored_term_bounds": stored_score_bounds,
+    "stored_bounds_after_delete": stored_bounds_after_delete,
+    "stored_search_many": stored_many,
+    "stored_search_many_pruned": stored_many_pruned,
+    "stored_field_scoped": stored_field_scoped,
     "phrase_query": phrase_query,
     "near_query": near_query,
     "then_query": then_query,
@@ -494,3 +530,14 @@ ORACLES |= {
     "stored_or_not": _OR_NOT_SQL + " SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, score FROM found ORDER BY rank LIMIT 50",
     "stored_score_all": _OR_NOT_SQL + " SELECT doc_id, score, score AS full_score FROM found",
 }
+
+_LIVE = "live AS (SELECT * FROM documents WHERE NOT coalesce(lang = 'de' OR n_chars > 5000, false))"
+_LIVE_MANY = f"WITH {_LIVE}, {many_sql(10, source='live')} SELECT query_id, rank::INT AS rank, id, score FROM hits"
+ORACLES |= {
+    "stored_term_stats": f"WITH {_LIVE}, {bm25_sql('live')} SELECT term, df FROM dfs",
+    "stored_term_bounds": ORACLES["term_score_bounds"],
+    "stored_bounds_after_delete": f"WITH {_LIVE}, " + ORACLES["term_score_bounds"].removeprefix("WITH ").replace("FROM documents", "FROM live"),
+    "stored_search_many": _LIVE_MANY,
+    "stored_search_many_pruned": _LIVE_MANY,
+    "stored_field_scoped": ORACLES["field_scoped"],
+}

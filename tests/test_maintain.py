@@ -8,7 +8,7 @@ from rankweave.operators.maintain import (
 )
 from rankweave.operators.query import Or
 from rankweave.operators.text_index import FrameIndex, StoredIndex
-from rankweave.operators.text_search import match, search, search_count
+from rankweave.operators.text_search import match, search, search_count, search_many, term_impacts, term_tops
 
 
 def texts(spark, rows):
@@ -116,3 +116,63 @@ def test_bounds_hold(base):
     bounds = {r["term"]: r["max_score"] for r in term_score_bounds(base).collect()}
     best = search(base, "kernel", 1).first()["score"]
     assert bounds["kernel"] == best
+
+
+def levels(index):
+    return {(r["field"], r["term"], r["tf"]): (r["n"], r["shortest"]) for r in index.live_levels().collect()}
+
+
+def test_levels_follow_appends_deletes_and_compaction(spark, base):
+    more = append_segment(base, texts(spark, [(5, "kernel kernel"), (6, "kernel one two three four five six seven")]))
+    held = levels(more)
+    assert held["body", "kernel", 1] == (4, 3) and held["body", "kernel", 2] == (1, 2)
+    less = delete_docs(more, spark.createDataFrame([(5,), (4,), (99,)], "id int"))
+    held = levels(less)
+    assert ("body", "kernel", 2) not in held and ("body", "scheduler", 1) not in held
+    # A dead document's length stays until the index is compacted.
+    assert held["body", "kernel", 1] == (3, 3)
+    df = {r["term"]: r["df"] for r in less.term_stats().collect()}
+    assert df == {r["term"]: r["df"] for r in FrameIndex(less.source, "id", "body").term_stats().collect()}
+    assert less.term_stats(["kernel", "scheduler", "absent"]).collect() == [("kernel", 3)]
+    exact = {r["term"]: r["max_score"] for r in term_score_bounds(less).collect()}
+    assert exact["kernel"] == search(less, "kernel", 1).first()["score"]
+    packed = compact(less)
+    assert levels(packed)["body", "kernel", 1] == (3, 4)
+    assert {r["term"]: r["max_score"] for r in term_score_bounds(packed).collect()} == exact
+    for index in (more, less, packed):
+        assert verify_index(index).count() == 0
+    back = append_segment(delete_docs(less, spark.createDataFrame([(6,)], "id int")), texts(spark, [(6, "kernel")]))
+    assert back.term_stats(["kernel", "seven"]).collect() == [("kernel", 3)]
+
+
+def test_levels_of_several_fields(spark, tmp_path):
+    rows = [(1, "alpha beta", "alpha"), (2, "beta", "gamma alpha alpha"), (3, None, "alpha"), (4, "", "")]
+    df = spark.createDataFrame(rows, "id int, title string, body string")
+    frame = FrameIndex(df, "id", [], field_weights={"title": 2.0, "body": 1.0})
+    index = frame.write(str(tmp_path / "f"), buckets=3)
+    assert {r["term"]: r["df"] for r in index.term_stats().collect()} == {"alpha": 3, "beta": 2, "gamma": 1}
+    tops = {r["term"]: (r["df"], r["top"]) for r in term_tops(index).collect()}
+    for row in term_impacts(index).collect():
+        assert row["tfn"] <= tops[row["term"]][1] + 1e-12
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "absent")], "q int, text string")
+    for prune in (False, True):
+        found = search_many(index, asked, "q", "text", 2, prune=prune).orderBy("query_id", "rank").collect()
+        assert found == search_many(frame, asked, "q", "text", 2).orderBy("query_id", "rank").collect()
+    less = delete_docs(index, spark.createDataFrame([(1,)], "id int"))
+    assert {r["term"]: r["df"] for r in less.term_stats().collect()} == {"alpha": 2, "beta": 1, "gamma": 1}
+    assert verify_index(less).count() == 0
+
+
+def test_an_empty_index_has_no_levels(spark, tmp_path):
+    index = FrameIndex(texts(spark, []), "id", "body").write(str(tmp_path / "e"), buckets=2)
+    assert index.term_stats().count() == 0 and term_score_bounds(index).count() == 0
+    assert search(index, Or("kernel"), 3).count() == 0
+    more = append_segment(index, texts(spark, [(1, "kernel"), (2, None)]))
+    assert more.term_stats().collect() == [("kernel", 1)]
+
+
+def test_damaged_levels_are_found(spark, base):
+    path = f"{base.path}/term_levels/segment=1"
+    extra = spark.read.parquet(path).where("term = 'kernel'").limit(1)
+    extra.write.mode("append").partitionBy("bucket").parquet(path)
+    assert [r["message"] for r in verify_index(base).collect()] == ["term levels differ from the postings"]
