@@ -141,7 +141,7 @@ def test_levels_follow_appends_deletes_and_compaction(spark, base):
     assert {r["term"]: r["max_score"] for r in term_score_bounds(packed).collect()} == exact
     for index in (more, less, packed):
         assert verify_index(index).count() == 0
-    back = append_segment(delete_docs(less, spark.createDataFrame([(6,)], "id int")), texts(spark, [(6, "kernel")]))
+    back = append_segment(delete_docs(packed, spark.createDataFrame([(6,)], "id int")), texts(spark, [(6, "kernel")]))
     assert back.term_stats(["kernel", "seven"]).collect() == [("kernel", 3)]
 
 
