@@ -30,6 +30,16 @@ def stream_time_bucket(
     return _start(writer.option("path", sink).option("checkpointLocation", checkpoint), once)
 
 
+def late_groups(query: StreamingQuery) -> int:
+    """How many rows the watermark has refused in the batches that Spark still reports.
+
+    Rows of a batch that share a key are counted once: they are added up before they
+    reach the state. Spark reports the last ``spark.sql.streaming.numRecentProgressUpdates``
+    batches.
+    """
+    return sum(state.numRowsDroppedByWatermark for batch in query.recentProgress for state in batch.stateOperators)
+
+
 def stream_into_index(stream: DataFrame, spark: SparkSession, path: str, name: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Add every micro-batch to a stored text index as a segment.
 
