@@ -95,6 +95,9 @@ def main() -> None:
             seconds[f"stored_{name}"] = latency[name] = statistics.median(times)
         asked = table(spark, folder, "benchmark")
         seconds["stored_search_many"] = timed(lambda: drain(search_many(index, asked, "item_id", "text", 10)))
+        seconds["stored_search_many_pruned"] = timed(
+            lambda: drain(search_many(index, asked, "item_id", "text", 10, prune=True))
+        )
         seconds["index_ingest"] = timed(lambda: append_segment(index, more))
 
     for name in ONLY or REGISTERED:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.functions.scalars import accent_map, LETTER_PAIRS, trigram_similarity, unaccent
+from rankweave.functions.scalars import accent_map, LETTER_PAIRS, parse_hstore, trigram_similarity, unaccent, uuidv7
 from rankweave.operators import assertions, predicates, provenance, queue
 from rankweave.operators.graph import Graph, Hop, match_path, path_query, traverse
 from rankweave.operators.hierarchy import hierarchy_rollup
@@ -302,6 +302,35 @@ def queue_archive(spark, folder):
     return queue.archived(_queue_log(spark, folder)).select("queue", "msg_id", "message", "archived_at")
 
 
+def queue_log_range(spark, folder):
+    """The log of message numbers 100 to 299, out of a log with a folder for each 100 numbers."""
+    path = work_path(spark, "queue-log")
+    queue.append(_queue_log(spark, folder), path, width=100)
+    return queue.open_log(spark, path, 100, first=100, last=299).select("queue", "msg_id", "op", "event_ts")
+
+
+def time_ordered_ids(spark, folder):
+    """Version 7 ids of the events; the variant digit is checked and masked."""
+    events = _events(spark, folder).select("event_id", uuidv7(F.col("ts").cast("timestamp"), F.col("event_id")).alias("u"))
+    return events.select(
+        "event_id", F.overlay("u", F.lit("?"), 20).alias("stem"), F.substring("u", 20, 1).isin(*"89ab").alias("variant_ok")
+    )
+
+
+def hstore_maps(spark, folder):
+    """Sources and languages out of key-value text with quotes, commas, escapes and NULL."""
+    quoted = F.concat(F.lit('"'), F.regexp_replace("source", r'(["\\\\])', r"\\$1"), F.lit(', \\"=>\\\\"'))
+    said = F.concat(
+        F.lit("id=>"), F.col("doc_id").cast("string"), F.lit(', "the source"=>'), F.coalesce(quoted, F.lit("NULL")),
+        F.lit(",lang => "), F.coalesce("lang", F.lit("null")),
+    )
+    docs = table(spark, folder, "documents").select("doc_id", parse_hstore(said).alias("m"))
+    return docs.select(
+        "doc_id", F.col("m")["id"].alias("id"), F.col("m")["the source"].alias("source"), F.col("m")["lang"].alias("lang"),
+        F.size("m").cast("long").alias("n_keys"),
+    )
+
+
 # -- JSON, XML, similarity, paths --------------------------------------------------
 
 SCHEMA = {
@@ -527,6 +556,21 @@ def version_cycle(spark, folder):
     return states.unionByName(held.read().withColumn("state", F.lit("undone")))
 
 
+def version_savepoint(spark, folder):
+    """What going back to a savepoint does, and how many rows differ from it afterwards."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    held = VersionedTable.track(orders, "o_orderkey", work_path(spark, "versions"))
+    held.savepoint("before")
+    changed = orders.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X"))
+    added = orders.where("o_orderkey % 7 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
+    held.commit("main", changed.unionByName(added))
+    summary = held.undo_summary("before")
+    held.undo_to("before")
+    now = held.read().select(*orders.columns)
+    off = now.exceptAll(orders).unionByName(orders.exceptAll(now))
+    return summary.select("op", "n").unionByName(off.agg(F.lit("differs").alias("op"), F.count("*").alias("n")))
+
+
 # -- streams ---------------------------------------------------------------------
 
 
@@ -621,6 +665,10 @@ QUERIES = {
     "row_filter": row_filter_rows,
     "assert_tables": assert_table_results,
     "stream_time_bucket": stream_time_bucket_rows,
+    "version_savepoint": version_savepoint,
+    "queue_log_range": queue_log_range,
+    "time_ordered_ids": time_ordered_ids,
+    "hstore_maps": hstore_maps,
     "stream_index_append": stream_index_append,
     "stream_queue": stream_queue,
 }
@@ -875,6 +923,21 @@ UNION ALL SELECT s = 0, 5, 'quantities are large', CASE WHEN s > 0 THEN 'broken
 UNION ALL SELECT true, 6, 'order keys are unique', NULL
 UNION ALL SELECT n = 0, 7, 'one order per customer', CASE WHEN n > 0 THEN 'repeated keys: ' || n END FROM k
 UNION ALL SELECT false, 8, 'orders have their columns', 'missing: o_nothing'""",
+    "version_savepoint": """
+SELECT 'upsert' AS op, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT 'delete', count(*) FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT 'differs', 0""",
+    "queue_log_range": f"""
+WITH {_QUEUE}, r AS (SELECT * FROM q WHERE msg_id BETWEEN 100 AND 299)
+SELECT queue, msg_id, 'send' AS op, sent_at AS event_ts FROM r
+UNION ALL SELECT queue, msg_id, 'read', read_at FROM r WHERE was_read
+UNION ALL SELECT queue, msg_id, 'archive', archived_at FROM r WHERE k < 20""",
+    "time_ordered_ids": """
+WITH e AS (SELECT event_id, lpad(to_hex(epoch_us(ts) // 1000), 12, '0') AS t, sha256(event_id::VARCHAR) AS b FROM events)
+SELECT event_id, lower(t[1:8]) || '-' || lower(t[9:12]) || '-7' || b[1:3] || '-?' || b[4:6] || '-' || b[7:18] AS stem,
+  true AS variant_ok FROM e""",
+    "hstore_maps": """
+SELECT doc_id, doc_id::VARCHAR AS id, source || ', "=>\\' AS source, lang, 3::BIGINT AS n_keys FROM documents""",
     "stream_time_bucket": """
 SELECT time_bucket(INTERVAL '6 hours', ts) AS bucket, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2
 HAVING time_bucket(INTERVAL '6 hours', any_value(ts)) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
