@@ -31,7 +31,7 @@ from rankweave.session import at_most, broadcast_if_small, stored
 WORD = re.compile(r"[^\W_]+")
 # Edits allowed for each hundred words of an item.
 PERCENT = 20
-# Items with fewer words say nothing about contamination.
+# Items with fewer words have no edits and are found by one key of all their words.
 LEAST_WORDS = 5
 # Target share of the items with as many edits as allowed, of any kind, that are found.
 RECALL = 0.99
@@ -82,6 +82,8 @@ def pair_table(twos: list[tuple[list[str], int, list[int]]], bases: list[int]) -
 
 def class_of(words: int) -> int:
     """Words of the windows that items of this many words are compared with."""
+    if words < LEAST_WORDS:
+        return words
     base = float(LEAST_WORDS)
     while base * CLASS_RATIO <= words:
         base *= CLASS_RATIO
@@ -108,11 +110,21 @@ def beginnings(base: int) -> list[int]:
     return steps
 
 
+def mixed(value: np.ndarray, word: np.ndarray) -> np.ndarray:
+    value = (value ^ word) * np.uint64(0xD6E8FEB86659FD93)
+    return value ^ value >> np.uint64(32)
+
+
 def walk_keys(stream: np.ndarray, starts: np.ndarray, base: int) -> np.ndarray:
     """The keys of the windows of a symbol stream that begin at ``starts``, a row for each.
 
     The stream must go on for the steps of a walk behind each start.
     """
+    if base < LEAST_WORDS:
+        value = np.full(len(starts), base * 4096, np.uint64)
+        for step in range(base):
+            value = mixed(value, stream[starts + step])
+        return value[:, None]
     parts = beginnings(base)
     steps = parts[0]
     random = np.random.Generator(np.random.PCG64(base))
@@ -126,8 +138,7 @@ def walk_keys(stream: np.ndarray, starts: np.ndarray, base: int) -> np.ndarray:
         for number, part in enumerate(np.repeat(parts, KEYS), walk * len(parts) * KEYS):
             value = np.full(len(starts), base * 4096 + number, np.uint64)
             for step in np.sort(random.choice(part, SAMPLED, replace=False)):
-                value = (value ^ written[step]) * np.uint64(0xD6E8FEB86659FD93)
-                value ^= value >> np.uint64(32)
+                value = mixed(value, written[step])
             out[:, number] = value
     return out
 
@@ -169,7 +180,8 @@ def leaks(
     An item of n words leaks into a text if some run of the text's words is within
     n * ``PERCENT`` / 100 word edits of it. There is one row for each (key, text, item) that
     does: the place with the least distance, then the first; repeated rows give it once.
-    Null texts hold nothing; null items and those under ``LEAST_WORDS`` words take no part;
+    Null texts hold nothing; null items and those without words take no part; items under
+    ``LEAST_WORDS`` words have no edits, so only their exact words are found;
     null keys are kept. Clean texts have no row, and neither has an empty table.
     """
     spark = docs.sparkSession
@@ -182,7 +194,7 @@ def leaks(
         words = F.split("words", " ")
         twos = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.slice(words, i, 2))
         # Of each pair, the most times that an item has it, and the classes of its items.
-        twos = coded.select("item", "words", "base", F.explode(twos).alias("two")).groupBy("item", "words", "base", "two").count()
+        twos = coded.where(F.size(words) > 1).select("item", "words", "base", F.explode(twos).alias("two")).groupBy("item", "words", "base", "two").count()
         twos = twos.groupBy("two").agg(F.max("count").alias("times"), F.collect_set("base").alias("bases"))
         if at_most(twos, VOCABULARY):
             neighbours = pair_table([(r["two"], r["times"], r["bases"]) for r in twos.toLocalIterator()], bases)
@@ -267,7 +279,7 @@ def _items(items: DataFrame, item: str, text: str) -> DataFrame:
             at, joined, bases, keys = [], [], [], []
             for row, said in enumerate(texts):
                 words = words_of(said)
-                if len(words) < LEAST_WORDS:
+                if not words:
                     continue
                 base = class_of(len(words))
                 stream = np.full(len(words) + int(base * STEPS) + SAMPLED, STRANGER)
@@ -311,6 +323,9 @@ def _windows(known: dict[str, int] | None, neighbours: tuple | None, bases: list
                 owner = np.searchsorted(first, starts, "right") - 1
                 inside = starts - first[owner] < first[owner + 1] - first[owner] - gap
                 starts, owner = starts[inside], owner[inside]
+                if slots is not None and base < LEAST_WORDS:
+                    exact, _ = _asked(walk_keys(stream, starts, base), slots, asked_for)
+                    starts, owner = starts[exact], owner[exact]
                 span = reach[base] + edits(reach[base])
                 # Equal windows of a text have equal keys and distances: the first stands for all.
                 seen: set[tuple[int, int]] = set()
