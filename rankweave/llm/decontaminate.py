@@ -53,6 +53,8 @@ BROADCAST_KEYS = 1_000_000
 SLOT_BITS = 24
 # Texts, and windows, that are held at once.
 TEXTS, WINDOWS = 256, 2_048
+# Bytes of the words that walks have written, held at once.
+WRITTEN = 8 << 20
 
 STRANGER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,21 +127,29 @@ def walk_keys(stream: np.ndarray, starts: np.ndarray, base: int) -> np.ndarray:
         for step in range(base):
             value = mixed(value, stream[starts + step])
         return value[:, None]
-    parts = beginnings(base)
+    parts = np.repeat(beginnings(base), KEYS)
     steps = parts[0]
     random = np.random.Generator(np.random.PCG64(base))
-    out = np.empty((len(starts), WALKS * len(parts) * KEYS), np.uint64)
+    bits, sampled = np.empty((steps, WALKS, 1), np.uint64), np.empty((WALKS, len(parts), SAMPLED), np.int64)
     for walk in range(WALKS):
-        bits = random.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        at, written = starts.copy(), np.empty((steps, len(starts)), np.uint64)
+        bits[:, walk, 0] = random.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for number, part in enumerate(parts):
+            sampled[walk, number] = np.sort(random.choice(part, SAMPLED, replace=False))
+    numbers = np.arange(base * 4096, base * 4096 + WALKS * len(parts), dtype=np.uint64)
+    out = np.empty((len(starts), len(numbers)), np.uint64)
+    walks = np.arange(WALKS)[:, None]
+    # All walks of some windows at once.
+    some = max(1, WRITTEN // (8 * steps * WALKS))
+    for low in range(0, len(starts), some):
+        own = starts[low : low + some]
+        at, written = np.tile(own, (WALKS, 1)), np.empty((steps, WALKS, len(own)), np.uint64)
         for step in range(steps):
-            written[step] = stream[at]
-            at += (written[step] * bits[step] >> np.uint64(63)).astype(np.int64)
-        for number, part in enumerate(np.repeat(parts, KEYS), walk * len(parts) * KEYS):
-            value = np.full(len(starts), base * 4096 + number, np.uint64)
-            for step in np.sort(random.choice(part, SAMPLED, replace=False)):
-                value = mixed(value, written[step])
-            out[:, number] = value
+            word = np.take(stream, at, out=written[step])
+            at += (word * bits[step] >> np.uint64(63)).view(np.int64)
+        value = np.broadcast_to(numbers.reshape(WALKS, -1, 1), (*sampled.shape[:2], len(own)))
+        for nth in range(SAMPLED):
+            value = mixed(value, written[sampled[:, :, nth], walks])
+        out[low : low + some] = value.reshape(len(numbers), -1).T
     return out
 
 
@@ -317,9 +327,10 @@ def _windows(known: dict[str, int] | None, neighbours: tuple | None, bases: list
                 coded = [symbol(w) for w in own] if known is None else list(map(known.get, own, [int(STRANGER)] * len(own)))
                 stream[begin : begin + len(own)] = coded
             pairs = None if neighbours is None else _paired(stream, *neighbours[:2])
+            sums = None if known is None else np.concatenate([[0], np.cumsum(stream != STRANGER)])
             for number, base in enumerate(bases):
                 mine = None if pairs is None else tuple(x[neighbours[2][pairs[2], number]] for x in pairs[:2])
-                starts = _starts(stream, mine, known is not None, base, edits(reach[base]), gap)
+                starts = _starts(len(stream), mine, sums, base, edits(reach[base]), gap)
                 owner = np.searchsorted(first, starts, "right") - 1
                 inside = starts - first[owner] < first[owner + 1] - first[owner] - gap
                 starts, owner = starts[inside], owner[inside]
@@ -364,22 +375,24 @@ def _asked(keys: np.ndarray, slots: np.ndarray, asked_for: np.ndarray) -> tuple[
     return having, np.split(value[real].view(np.int64), begins[1:]) if len(having) else []
 
 
-def _starts(stream: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None, known: bool, base: int, most: int, gap: int) -> np.ndarray:
-    """The positions at which a window is within reach of some item, as far as counts tell."""
-    begins = np.arange(len(stream) - gap)
-    if not known:
-        return begins
-    ours = stream != STRANGER
-    sums = np.concatenate([[0], np.cumsum(ours)])
-    begins = begins[sums[begins + base] - sums[begins] >= base - most]
+def _starts(
+    length: int, pairs: tuple[np.ndarray, np.ndarray] | None, sums: np.ndarray | None, base: int, most: int, gap: int
+) -> np.ndarray:
+    """The positions at which a window is within reach of some item, as far as counts tell.
+
+    ``sums`` counts the known words before each position of a stream of this length.
+    """
+    size = length - gap
+    if sums is None:
+        return np.arange(size)
+    near = sums[base : base + size] - sums[:size] >= base - most
     if pairs is not None:
         # A pair at j counts in the windows that have it, but not its like of before.
         at, before = pairs
         low = np.maximum(np.maximum(before + 1, at - base + 2), 0)
-        size = len(stream) + 1
-        counts = np.cumsum(np.bincount(low, minlength=size) - np.bincount(at + 1, minlength=size))
-        begins = begins[counts[begins] >= base - 1 - 2 * most]
-    return begins
+        counts = np.cumsum(np.bincount(low, minlength=length + 1) - np.bincount(at + 1, minlength=length + 1))
+        near &= counts[:size] >= base - 1 - 2 * most
+    return np.flatnonzero(near)
 
 
 def _paired(stream: np.ndarray, codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
