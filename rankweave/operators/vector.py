@@ -21,6 +21,8 @@ BASE_BLOCK = 8_192
 AT_ONCE = 128
 # Rows kept beyond k before distances are measured again without cancellation.
 SPARE = 8
+# Parts of a list whose nearest rows are found apart.
+SALTS = 32
 
 
 def knn(
@@ -255,14 +257,18 @@ def ivf_knn(index: IvfIndex, query: Sequence[float], k: int, probes: int = 1) ->
 
 
 def ivf_knn_join(
-    index: IvfIndex, queries: DataFrame, query_id: str, query_vec: str, k: int, probes: int = 1
+    index: IvfIndex, queries: DataFrame, query_id: str, query_vec: str, k: int, probes: int | None = 1
 ) -> DataFrame:
     """(query_id, rank, id, distance): each query against the rows of its ``probes`` nearest lists.
 
+    With ``probes`` None the result is exact: a query goes to every list that may hold one
+    of its ``k`` nearest rows by the triangle inequality, and to no other.
+
     Within a list, blocks of queries meet blocks of rows; their numbers follow from the
     counted sizes, so neither a large list nor a popular one is one task's work.
     """
     points, metric = np.asarray(index.centers), index.metric
+    bounds = _list_bounds(index, k) if probes is None else None
     asked = _sized(queries, query_vec).select(
         F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("qvec")
     )
@@ -273,6 +279,8 @@ def ivf_knn_join(
         if metric == "cosine":
             sizes = np.sqrt((vectors**2).sum(axis=1))[:, None]
             vectors = vectors / np.where(sizes > 0, sizes, 1)
+        if bounds is not None:
+            return pd.Series(_lists_in_reach(vectors, points, *bounds, metric))
         # A query's own square changes no order; slices keep batch x lists small.
         squares, found = (points**2).sum(axis=1), []
         for low in range(0, len(vectors), AT_ONCE):
@@ -299,3 +307,55 @@ def ivf_knn_join(
         with_counts(asked), with_counts(rows), ["list"], F.col("q_blocks"), F.col("b_blocks"), k, metric
     )
     return _ranked(near, k)
+
+
+def _list_bounds(index: IvfIndex, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each list, the greatest distance of a row to its centre, and the ``k``-th least.
+
+    The first is below zero for an empty list, the second infinite for one of fewer rows.
+    """
+    points, unit = np.asarray(index.centers), index.metric == "cosine"
+
+    @F.pandas_udf("double")
+    def to_center(vectors: pd.Series, lists: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series(dtype=float)
+        placed = _stack(vectors)
+        if unit:
+            placed = placed / np.sqrt((placed**2).sum(axis=1))[:, None]
+        gap = np.sqrt(((placed - points[lists.to_numpy()]) ** 2).sum(axis=1))
+        return pd.Series(np.where(np.isfinite(gap), gap, np.nan))
+
+    gaps = index.rows().select(F.col("list").cast("int").alias("list"), to_center("vec", F.col("list").cast("int")).alias("gap"))
+    gaps = gaps.where(~F.isnan("gap"))
+    # A list may hold a third of all rows: its first are found in salted parts, then of those.
+    salted = gaps.withColumn("salt", F.pmod(F.xxhash64("gap"), F.lit(SALTS)))
+    for keys in (["list", "salt"], ["list"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("gap"))
+        salted = salted.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+    first = salted
+    inner = first.groupBy("list").agg(F.count("*").alias("n"), F.max("gap").alias("kth"))
+    radius, kth = np.full(len(points), -1.0), np.full(len(points), np.inf)
+    # One row for each list, whose number the index bounds.
+    for r in gaps.groupBy("list").agg(F.max("gap").alias("radius")).join(inner, "list").toLocalIterator():
+        radius[r["list"]] = r["radius"]
+        if r["n"] == k:
+            kth[r["list"]] = r["kth"]
+    return radius, kth
+
+
+def _lists_in_reach(vectors: np.ndarray, points: np.ndarray, radius: np.ndarray, kth: np.ndarray, metric: str) -> list[np.ndarray]:
+    """The lists of each query whose nearest possible row is no further than ``k`` rows surely are."""
+    found = []
+    for vector in vectors:
+        gap = np.sqrt(((points - vector) ** 2).sum(axis=1))
+        least, most = np.maximum(gap - radius, 0.0), (gap + kth).min()
+        # Distances are rounded, and those that are equal then go by id.
+        slack = 2 * 10.0**-PLACES
+        if metric == "cosine":
+            # Of vectors of length one: half the square of their distance.
+            near = least**2 / 2 <= most**2 / 2 + slack
+        else:
+            near = least <= most + slack + 1e-9 * gap
+        found.append(np.flatnonzero(near & (radius >= 0)).astype(np.int32))
+    return found

@@ -12,6 +12,7 @@ from rankweave.operators.text_index import FrameIndex
 from rankweave.operators.text_search import query_terms, search_many
 from rankweave.operators.vector import IvfIndex, build_ivf, ivf_knn, ivf_knn_join, knn, knn_join
 from rankweave.plans.text import TOKENS, WHITESPACE, bm25_sql, many_sql
+from rankweave.session import stored
 from rankweave.sources import table
 
 
@@ -62,25 +63,31 @@ def _given_centers(spark, folder, unit: bool = False) -> list[list[float]]:
 
 
 def ivf_join_probes(spark, folder):
-    """Every tenth vector against the rows of its two nearest lists."""
+    """Every vector whose id 20 divides against the rows of its two nearest lists."""
     vectors = _embeddings(spark, folder)
     index = build_ivf(vectors, "vec_id", "embedding", 8, centers=_given_centers(spark, folder))
-    return ivf_knn_join(index, vectors.where("vec_id % 10 = 0"), "vec_id", "embedding", 5, probes=2)
+    return ivf_knn_join(index, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, probes=2)
+
+
+def knn_join_pivots(spark, folder):
+    """The exact join through lists, each query only where the triangle inequality sends it."""
+    vectors = _embeddings(spark, folder)
+    index = build_ivf(vectors, "vec_id", "embedding", 8, centers=_given_centers(spark, folder))
+    return ivf_knn_join(index, vectors, "vec_id", "embedding", 5, probes=None)
 
 
 def ivf_recall(spark, folder):
-    """Share of the true 20 nearest found with 1, 2, 4 and 8 of 8 lists."""
-    vectors, wanted = _embeddings(spark, folder), _first_vector(spark, folder)
+    """Mean share of the true 20 nearest found with 1, 2, 4 and 8 of 8 lists, by every vector whose id 20 divides."""
+    vectors = _embeddings(spark, folder)
+    asked = vectors.where("vec_id % 20 = 0")
     index = build_ivf(vectors, "vec_id", "embedding", 8, metric="cosine", centers=_given_centers(spark, folder, True))
-    truth = knn(vectors, "vec_id", "embedding", wanted, 20, "cosine").select("id")
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    hits = None
+    truth = stored(knn_join(asked, "vec_id", "embedding", vectors, "vec_id", "embedding", 20, "cosine").select("query_id", "id"), "truth")
+    rows = None
     for probes in (1, 2, 4, 8):
-        one = ivf_knn(index, wanted, 20, probes).withColumn("query_id", F.lit(probes))
-        hits = one if hits is None else hits.unionByName(one)
-    ranked = hits.withColumn("rank", F.row_number().over(order))
-    each = truth.withColumn("query_id", F.explode(F.array(*[F.lit(p) for p in (1, 2, 4, 8)])))
-    return evaluate.recall_at_k(ranked, each, 20).withColumnRenamed("query_id", "probes")
+        each = evaluate.recall_at_k(ivf_knn_join(index, asked, "vec_id", "embedding", 20, probes), truth, 20)
+        one = each.agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(probes).alias("probes"), "recall")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 def _joined(spark, folder) -> DataFrame:
@@ -187,6 +194,7 @@ QUERIES = {
     "knn_join": knn_join_all,
     "knn_join_cosine": knn_join_cosine,
     "knn_join_blocked": knn_join_blocked,
+    "knn_join_pivots": knn_join_pivots,
     "ivf_full_probe": ivf_full_probe,
     "ivf_recall": ivf_recall,
     "ivf_join_probes": ivf_join_probes,
@@ -268,21 +276,25 @@ ORACLES = {
     "knn_join": _knn_join_sql(_L2),
     "knn_join_cosine": _knn_join_sql(_COSINE),
     "knn_join_blocked": _knn_join_sql(_L2),
+    "knn_join_pivots": _knn_join_sql(_L2),
     "ivf_full_probe": _knn_sql(_L2),
     "ivf_join_probes": f"""
 WITH {_lists_sql(False)},
 found AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_L2} AS distance FROM placed a
-  JOIN looks USING (vec_id) JOIN homes b USING (list) WHERE a.vec_id % 10 = 0 AND nth <= 2)
+  JOIN looks USING (vec_id) JOIN homes b USING (list) WHERE a.vec_id % 20 = 0 AND nth <= 2)
 SELECT query_id, rank::INT AS rank, id, distance FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM found) WHERE rank <= 5""",
     "ivf_recall": f"""
 WITH {_lists_sql(True)},
-q AS (SELECT * FROM placed ORDER BY vec_id LIMIT 1),
-truth AS (SELECT b.vec_id AS id, {_COSINE} AS distance FROM q a, placed b ORDER BY distance, id LIMIT 20),
+q AS (SELECT * FROM placed WHERE vec_id % 20 = 0),
+truth AS (SELECT query_id, id FROM (SELECT a.vec_id AS query_id, b.vec_id AS id,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE}, b.vec_id) AS rank FROM q a, placed b) WHERE rank <= 20),
 tried AS (SELECT unnest([1, 2, 4, 8]) AS probes),
-found AS (SELECT probes, b.vec_id AS id, row_number() OVER (PARTITION BY probes ORDER BY {_COSINE}, b.vec_id) AS rank
+found AS (SELECT probes, a.vec_id AS query_id, b.vec_id AS id,
+  row_number() OVER (PARTITION BY a.vec_id, probes ORDER BY {_COSINE}, b.vec_id) AS rank
   FROM q a JOIN looks USING (vec_id) JOIN homes b USING (list) JOIN tried ON nth <= probes)
-SELECT probes, round(count(truth.id) / 20, 6) AS recall FROM found LEFT JOIN truth ON found.id = truth.id AND rank <= 20
+SELECT probes, round(count(truth.id) / (20.0 * (SELECT count(*) FROM q)), 6) AS recall
+FROM found LEFT JOIN truth ON found.query_id = truth.query_id AND found.id = truth.id AND rank <= 20
 GROUP BY 1""",
     "hybrid_rrf": f"""
 WITH {_BOTH}, {bm25_sql('docs')},

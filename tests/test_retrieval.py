@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from rankweave.operators import evaluate as E
 from rankweave.operators.hybrid import check_fusion, hybrid_many, hybrid_search
 from rankweave.operators.text_index import FrameIndex
 from rankweave.operators.text_search import search
-from rankweave.operators.vector import IvfIndex, build_ivf, ivf_knn, knn, knn_join
+from rankweave.operators.vector import IvfIndex, _list_bounds, _lists_in_reach, build_ivf, ivf_knn, ivf_knn_join, knn, knn_join
 from rankweave.session import running_total
 
 VECTORS = [
@@ -176,3 +177,24 @@ def test_term_picks(spark):
     assert picks == ["t03", "t06", "t09"]
     with pytest.raises(ValueError):
         E.pick_terms_by_df(stats, 0, 1, 3, min_df=100)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_exact_join_through_lists(spark, metric):
+    """Clustered vectors with ties: the rows of the join of all pairs, from few lists for each query."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(12, 6)) * 20
+    rows = [(i, (centers[i % 12] + rng.normal(size=6)).round(1).tolist()) for i in range(600)]
+    rows += [(600 + i, rows[0][1]) for i in range(9)] + [(700, None), (701, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    index = build_ivf(df, "id", "v", 12, metric=metric, centers=centers / (np.linalg.norm(centers, axis=1)[:, None] if metric == "cosine" else 1))
+    exact = ivf_knn_join(index, df, "id", "v", 7, probes=None)
+    every = knn_join(df, "id", "v", df, "id", "v", 7, metric)
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, every.collect()))
+    held = np.array([v for _, v in rows[:600]])
+    if metric == "cosine":
+        held = held / np.linalg.norm(held, axis=1)[:, None]
+    reach = _lists_in_reach(held, np.asarray(index.centers), *_list_bounds(index, 7), metric)
+    assert np.mean([len(r) for r in reach]) < 4
+    few = ivf_knn_join(index, df, "id", "v", 1_000, probes=None)
+    assert few.count() == knn_join(df, "id", "v", df, "id", "v", 1_000, metric).count()
