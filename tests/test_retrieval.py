@@ -198,3 +198,14 @@ def test_exact_join_through_lists(spark, metric):
     assert np.mean([len(r) for r in reach]) < 4
     few = ivf_knn_join(index, df, "id", "v", 1_000, probes=None)
     assert few.count() == knn_join(df, "id", "v", df, "id", "v", 1_000, metric).count()
+
+
+def test_every_vector_asks_its_lists(spark, tmp_path):
+    """The list join of the plans leaves no vector out, whatever its id."""
+    from rankweave.plans.retrieval import ivf_join_probes
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = [r["query_id"] for r in ivf_join_probes(spark, str(tmp_path)).collect()]
+    assert sorted(set(asked)) == list(range(40))
