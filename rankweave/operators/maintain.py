@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from rankweave.operators.analyze import dictionary_version
 from rankweave.operators.text_index import (
-    Manifest, StoredIndex, TextIndex, bucket_of, check_unique_ids, levels_of, table_schema, write_levels,
-    write_manifest, write_segment,
+    Manifest, StoredIndex, TextIndex, bucket_of, check_unique_ids, levels_of, splits_for, table_schema,
+    write_levels, write_manifest, write_segment,
 )
 from rankweave.operators.text_search import _idf, term_impacts, term_tops
 from rankweave.session import broadcast_if_small
@@ -91,6 +91,8 @@ def delete_docs(index: StoredIndex, ids: DataFrame) -> StoredIndex:
     write_levels(
         gone_levels.withColumn("bucket", bucket_of(F.col("term"), following.buckets)),
         f"{index.path}/gone_levels/version={following.version}",
+        following.buckets,
+        splits_for(following, *following.totals.values()),
     )
     # A row per live segment and field.
     counted = marked.groupBy("segment", "field").agg(F.count("*").alias("n"), F.sum("len").alias("len"))

@@ -34,6 +34,8 @@ from rankweave.operators.analyze import check_analyzer, dictionary_version, spli
 from rankweave.functions.text import group_tokens, tokens_of
 
 POSTING_COLUMNS = ["id", "field", "term", "tf", "len", "positions"]
+# Tokens behind one file of postings, about: the files of a bucket grow in number, not in size.
+FILE_TOKENS = 4_000_000
 
 
 # Fixed values of the field syntax: how many fields, and characters their names exclude.
@@ -409,34 +411,47 @@ def write_segment(index: TextIndex, path: str, manifest: Manifest, segment: int)
     """Write the rows of ``index`` as one segment; returns its totals by field.
 
     Postings move once, by bucket and document hash: a term in a third of all
-    documents is spread over ``splits`` files of its bucket. The levels of the terms are
-    counted from the written postings, without their positions.
+    documents is spread over ``splits`` files of its bucket, or more where the segment has
+    many tokens. The levels of the terms are counted from the written postings, without
+    their positions.
     """
+    spark = index.source_spark()
+    stats = f"{path}/doc_stats/segment={segment}"
+    index.doc_stats().write.mode("overwrite").parquet(stats)
+    written = spark.read.schema(table_schema("doc_stats", manifest.id_type)).parquet(stats)
+    # At most one row per field; an empty segment has none.
+    totals = {r["field"]: [r["n_docs"], r["total_len"]] for r in TextIndex.totals(written).collect()}
+    splits = splits_for(manifest, totals)
     bucket = bucket_of(F.col("term"), manifest.buckets)
-    split = F.pmod(F.xxhash64("id"), F.lit(manifest.splits)).cast("int")
+    split = F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int")
     laid_out = (
         index.postings()
         .withColumn("bucket", bucket)
-        .repartition(manifest.buckets * manifest.splits, F.col("bucket"), split)
+        .repartition(manifest.buckets * splits, F.col("bucket"), split)
         .sortWithinPartitions("bucket", "term", "id")
     )
     laid_out.write.mode("overwrite").partitionBy("bucket").parquet(
         f"{path}/postings/segment={segment}"
     )
-    spark = index.source_spark()
     postings = spark.read.schema(table_schema("postings", manifest.id_type)).parquet(f"{path}/postings/segment={segment}")
     levels = levels_of(postings, ["bucket"], len(manifest.weights) > 1)
-    write_levels(levels, f"{path}/term_levels/segment={segment}")
-    stats = f"{path}/doc_stats/segment={segment}"
-    index.doc_stats().write.mode("overwrite").parquet(stats)
-    written = spark.read.schema(table_schema("doc_stats", manifest.id_type)).parquet(stats)
-    # At most one row per field; an empty segment has none.
-    return {r["field"]: [r["n_docs"], r["total_len"]] for r in TextIndex.totals(written).collect()}
+    write_levels(levels, f"{path}/term_levels/segment={segment}", manifest.buckets, splits)
+    return totals
+
 
+def splits_for(manifest: Manifest, *totals: dict[str, list[int]]) -> int:
+    """Parts of a bucket, so that about ``FILE_TOKENS`` tokens of ``totals`` come to one."""
+    tokens = sum(length or 0 for held in totals for _, length in held.values())
+    return max(manifest.splits, -(-tokens // (manifest.buckets * FILE_TOKENS)))
 
-def write_levels(levels: DataFrame, target: str) -> None:
-    """Store a table of levels by its ``bucket``: as many rows as terms have frequencies."""
-    laid_out = levels.repartition(F.col("bucket")).sortWithinPartitions("bucket", "term")
+
+def write_levels(levels: DataFrame, target: str, buckets: int, splits: int) -> None:
+    """Store a table of levels by its ``bucket``: as many rows as terms have frequencies.
+
+    A bucket is written by up to ``splits`` tasks, a term by one.
+    """
+    split = F.pmod(F.xxhash64("term", F.lit("levels")), F.lit(splits)).cast("int")
+    laid_out = levels.repartition(buckets * splits, F.col("bucket"), split).sortWithinPartitions("bucket", "term")
     laid_out.write.mode("overwrite").partitionBy("bucket").parquet(target)
 
 

@@ -176,3 +176,21 @@ def test_damaged_levels_are_found(spark, base):
     extra = spark.read.parquet(path).where("term = 'kernel'").limit(1)
     extra.write.mode("append").partitionBy("bucket").parquet(path)
     assert [r["message"] for r in verify_index(base).collect()] == ["term levels differ from the postings"]
+
+
+def test_files_of_a_bucket_grow_in_number(spark, tmp_path, monkeypatch):
+    """A segment of many tokens is written in more parts, and reads the same."""
+    from rankweave.operators import text_index
+
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(20))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    small = FrameIndex(docs, "id", "text").write(f"{tmp_path}/small", buckets=2)
+    monkeypatch.setattr(text_index, "FILE_TOKENS", 300)
+    large = FrameIndex(docs, "id", "text").write(f"{tmp_path}/large", buckets=2)
+    for name in ("postings", "term_levels"):
+        files = [sum(1 for _ in tmp_path.glob(f"{kind}/{name}/segment=1/bucket=0/*.parquet")) for kind in ("small", "large")]
+        assert files[0] == 1 and files[1] > 3
+    assert sorted(map(tuple, small.postings().collect())) == sorted(map(tuple, large.postings().collect()))
+    assert sorted(map(tuple, small.term_stats().collect())) == sorted(map(tuple, large.term_stats().collect()))
+    gone = delete_docs(large, docs.where("id < 5").select("id"))
+    assert verify_index(gone).count() == 0
