@@ -194,8 +194,11 @@ def _packed(lines: DataFrame, probs: DataFrame | None) -> DataFrame:
     together there.
     """
     columns = data_columns(lines)
-    tokens = lines.select(*columns, F.explode("mono").alias("token")).distinct()
-    tokens = tokens.withColumn("p", F.lit(0.5)) if probs is None else tokens.join(probs, "token", "left")
+    if probs is None:
+        held = lines.groupBy(*columns).agg(F.collect_set("mono").alias("terms"))
+        names = F.array_sort(F.array_distinct(F.flatten("terms")))
+        return held.select(*columns, F.transform(names, lambda t: F.struct(t.alias("token"), F.lit(0.5).alias("p"))).alias("tokens"), "terms")
+    tokens = lines.select(*columns, F.explode("mono").alias("token")).distinct().join(probs, "token", "left")
     listed = tokens.groupBy(*columns).agg(F.array_sort(F.collect_list(F.struct("token", "p"))).alias("tokens"))
     terms = lines.groupBy(*columns).agg(F.collect_set("mono").alias("terms"))
     return null_safe_join(listed, terms, columns)
