@@ -15,13 +15,17 @@ KEYWORDS = (
 )
 
 
-def _kind(v: Column) -> Column:
+def _described(v: Column, members: Column, elements: Column) -> Column:
+    """Schema of a variant that is neither object nor array: the schema of those takes a walk through all they hold."""
+    return F.when(members.isNull() & elements.isNull(), F.schema_of_variant(v))
+
+
+def _kind(v: Column, members: Column, elements: Column, described: Column) -> Column:
     """JSON type of a variant; a whole number is an integer however it is written."""
-    described = F.schema_of_variant(v)
     number = F.try_variant_get(v, "$", "double")
     return (
-        F.when(described.startswith("OBJECT"), "object")
-        .when(described.startswith("ARRAY"), "array")
+        F.when(members.isNotNull(), "object")
+        .when(elements.isNotNull(), "array")
         .when(described == "STRING", "string")
         .when(described == "BOOLEAN", "boolean")
         .when(described == "VOID", "null")
@@ -35,17 +39,44 @@ def _text(value: object) -> Column:
 
 
 class _Node:
-    """A place in the instance: its value, type and members as columns."""
+    """A place in the instance: its value, type, members and elements as columns."""
 
-    def __init__(self, value: Column, kind: Column, members: Column) -> None:
-        self.value, self.kind, self.members = value, kind, members
+    def __init__(self, value: Column, kind: Column, members: Column, elements: Column) -> None:
+        self.value, self.kind, self.members, self.elements = value, kind, members, elements
 
     def has(self, name: str) -> Column:
         return F.coalesce(F.map_contains_key(self.members, F.lit(name)), F.lit(False))
 
 
-def _inline_node(value: Column) -> _Node:
-    return _Node(value, _kind(value), F.try_variant_get(value, "$", "map<string,variant>"))
+def _members(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _elements(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _element_rules(value: Column, schema: dict, path: str) -> list:
+    """The rules of a value inside an array, as one entry of ``_rules``.
+
+    The value is taken apart once: a transform of an array of one element gives its type and
+    members names that all its rules share.
+    """
+    names: list[tuple[str, str]] = []
+
+    def broken(e: Column) -> Column:
+        inner = _rules(_Node(e["v"], e["k"], e["m"], e["a"]), schema, path, _element_rules)
+        names.extend(_names(inner))
+        return _found(inner)
+
+    def kept(e: Column) -> list[Column]:
+        return [e[name].alias(name) for name in ("v", "m", "a")]
+
+    parts = F.transform(F.array(value), lambda v: F.struct(v.alias("v"), _members(v).alias("m"), _elements(v).alias("a")))
+    parts = F.transform(parts, lambda e: F.struct(*kept(e), _described(e["v"], e["m"], e["a"]).alias("d")))
+    parts = F.transform(parts, lambda e: F.struct(*kept(e), _kind(e["v"], e["m"], e["a"], e["d"]).alias("k")))
+    found = F.transform(parts, broken)[0]
+    return [(tuple(names), path, found)] if names else []
 
 
 class _Stages:
@@ -55,21 +86,25 @@ class _Stages:
         self.steps: list[list[Column]] = []
         self.count = 0
 
-    def node(self, value: Column) -> _Node:
+    def node(self, given: Column) -> _Node:
         n = self.count
         self.count += 1
-        names = f"__v{n}", f"__k{n}", f"__m{n}"
-        self.steps.append([value.alias(names[0])])
-        held = _inline_node(F.col(names[0]))
-        self.steps.append([held.kind.alias(names[1]), held.members.alias(names[2])])
-        return _Node(*[F.col(name) for name in names])
+        value, kind, members, elements, described = (F.col(f"__{c}{n}") for c in "vkmad")
+        self.steps.append([given.alias(f"__v{n}")])
+        self.steps.append([_members(value).alias(f"__m{n}"), _elements(value).alias(f"__a{n}")])
+        self.steps.append([_described(value, members, elements).alias(f"__d{n}")])
+        self.steps.append([_kind(value, members, elements, described).alias(f"__k{n}")])
+        return _Node(value, kind, members, elements)
+
+    def rules(self, value: Column, schema: dict, path: str) -> list:
+        return _rules(self.node(value), schema, path, self.rules)
 
     def added(self) -> list[str]:
-        return [f"__{c}{n}" for n in range(self.count) for c in "vkm"]
+        return [f"__{c}{n}" for n in range(self.count) for c in "vkmad"]
 
 
 def _rules(node: _Node, schema: dict, path: str, child) -> list[tuple[str, str, Column]]:
-    """(rule, path, broken) for every keyword of a schema; ``child`` makes member nodes.
+    """(rule, path, broken) for every keyword of a schema; ``child`` gives those of a member.
 
     For the rules of an array's elements there is one entry with several (rule, path) names
     and the array of those broken, so each rule is looked at once however deep it lies.
@@ -110,8 +145,7 @@ def _rules(node: _Node, schema: dict, path: str, child) -> list[tuple[str, str,
         out.append(("required", f"{path}.{name}", is_object & ~node.has(name)))
     properties = schema.get("properties", {})
     for name, inner in properties.items():
-        member = child(F.element_at(node.members, F.lit(name)))
-        for rule, where, broken in _rules(member, inner, f"{path}.{name}", child):
+        for rule, where, broken in child(F.element_at(node.members, F.lit(name)), inner, f"{path}.{name}"):
             held = is_object & node.has(name)
             out.append((rule, where, held & broken if isinstance(rule, str) else F.when(held, broken)))
     if "additionalProperties" in schema:
@@ -125,11 +159,11 @@ def _rules(node: _Node, schema: dict, path: str, child) -> list[tuple[str, str,
         names: list[tuple[str, str]] = []
 
         def of_element(x: Column) -> Column:
-            inner = _rules(_inline_node(x), schema["items"], f"{path}[]", _inline_node)
+            inner = _element_rules(x, schema["items"], f"{path}[]")
             names.extend(_names(inner))
             return _found(inner)
 
-        elements = F.transform(F.try_variant_get(v, "$", "array<variant>"), of_element)
+        elements = F.transform(node.elements, of_element)
         if names:
             known = F.array(*[_violation(rule, where) for rule, where in names])
             broken = F.transform(F.array(F.flatten(elements)), lambda held: F.filter(known, lambda name: F.array_contains(held, name)))[0]
@@ -167,7 +201,7 @@ def json_schema_check(df: DataFrame, col: str, schema: dict) -> DataFrame:
     present = root.value.isNotNull()
     rules = [("json", "$", root.value.isNull() & F.col(col).isNotNull())] + [
         (rule, path, present & F.coalesce(broken, F.lit(False)) if isinstance(rule, str) else F.when(present, broken))
-        for rule, path, broken in _rules(root, schema, "$", stages.node)
+        for rule, path, broken in _rules(root, schema, "$", stages.rules)
     ]
     out = df
     for step in stages.steps:

@@ -152,3 +152,28 @@ def test_a_range_of_a_log_opens_its_folders_only(spark, tmp_path):
     assert len(found.inputFiles()) <= 100 and "part" not in found.columns
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(part" in plan
+
+
+def test_shares_of_one_form_are_worked_out_once():
+    """Rows that differ in their tokens' names only share one elimination."""
+    from rankweave.operators import lineage_worlds as W
+
+    W._shares_of_form.cache_clear()
+    for center in ("a", "m", "z"):
+        terms = [[center, f"{leaf}{center}"] for leaf in "bnq"]
+        tokens = [{"token": t, "p": 0.5} for t in sorted({t for term in terms for t in term})]
+        shares = W.worth(tokens, terms, "shapley")
+        assert shares[center] == pytest.approx(0.75) and sum(shares.values()) == pytest.approx(1.0)
+    assert W._shares_of_form.cache_info().misses == 1
+
+
+def test_schema_of_an_array_is_not_taken_to_find_its_type(spark):
+    """An object or array is known without describing all it holds."""
+    from rankweave.operators.semistructured import json_schema_check
+
+    df = spark.createDataFrame([('[{"q": 1.0}, {"q": "x"}, 3, null, [true]]',)], "doc string")
+    schema = {"type": "array", "items": {"type": "object", "properties": {"q": {"type": "integer"}}}}
+    checked = json_schema_check(df, "doc", schema)
+    plan = checked._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("schema_of_variant(") <= 3
+    assert [(v["rule"], v["path"]) for v in checked.first()["violations"]] == [("type", "$[]"), ("type", "$[].q")]
