@@ -89,6 +89,12 @@ def _block_top(
     return pd.concat(parts)
 
 
+def _best(near: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of each query out of those of several blocks."""
+    near = near.sort_values(["query_id", "distance", "id"], kind="stable")
+    return near[near.groupby("query_id", dropna=False).cumcount() < k]
+
+
 def _stack(vectors: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
 
@@ -115,7 +121,9 @@ def knn_join(
     """(query_id, rank, id, distance): the ``k`` nearest rows of every query vector.
 
     Queries and rows are cut into blocks of a bounded size, and each block of queries
-    meets each block of rows in a task, which passes on ``k`` rows per query. All pairs
+    meets each block of rows in a task, which passes on ``k`` rows per query. Blocks
+    smaller than ``QUERY_BLOCK`` and ``BASE_BLOCK`` are dealt several to a task, as every
+    task more is a copy more of the vectors. All pairs
     are compared: large tables of queries are better asked through ``ivf_knn_join``.
     Vectors that differ in size are an error.
     """
@@ -125,15 +133,19 @@ def knn_join(
         F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("qvec")
     )
     rows = _sized(df, vec_col).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    q_blocks = asked.count() // query_block + 1
-    b_blocks = rows.count() // base_block + 1
-    return _ranked(_met(asked, rows, [], q_blocks, b_blocks, k, metric), k)
+    q_blocks = asked.count() // max(query_block, QUERY_BLOCK) + 1
+    b_blocks = rows.count() // max(base_block, BASE_BLOCK) + 1
+    return _ranked(_met(asked, rows, [], q_blocks, b_blocks, k, metric, query_block, base_block), k)
 
 
-def _met(asked: DataFrame, rows: DataFrame, within: list[str], q_blocks, b_blocks, k: int, metric: str) -> DataFrame:
+def _met(
+    asked: DataFrame, rows: DataFrame, within: list[str], q_blocks, b_blocks, k: int, metric: str,
+    query_block: int = QUERY_BLOCK, base_block: int = BASE_BLOCK,
+) -> DataFrame:
     """(query_id, id, distance): each block of queries with each block of rows that agree on ``within``.
 
-    The numbers of blocks are constants or columns of both sides.
+    The numbers of blocks are constants or columns of both sides. In a task up to
+    ``query_block`` queries and ``base_block`` rows are compared at a time.
     """
     q_count, b_count = (F.lit(n) if isinstance(n, int) else n for n in (q_blocks, b_blocks))
     none = F.lit(0).cast("long")
@@ -151,7 +163,15 @@ def _met(asked: DataFrame, rows: DataFrame, within: list[str], q_blocks, b_block
         queries, base = _stack(q["qvec"]), _stack(b["vec"])
         if queries.shape[1] != base.shape[1]:
             raise ValueError(f"queries have {queries.shape[1]} components, rows {base.shape[1]}")
-        return _block_top(b["id"].to_numpy(), base, q["query_id"].to_numpy(), queries, k, metric)
+        ids, qids, parts = b["id"].to_numpy(), q["query_id"].to_numpy(), []
+        for at in range(0, len(qids), query_block):
+            some = slice(at, at + query_block)
+            best = [
+                _block_top(ids[low : low + base_block], base[low : low + base_block], qids[some], queries[some], k, metric)
+                for low in range(0, len(ids), base_block)
+            ]
+            parts += best if len(best) == 1 else [_best(pd.concat(best), k)]
+        return pd.concat(parts)
 
     keys = [*within, "qb", "bb"]
     schema = f"query_id {types['query_id']}, id {types['id']}, distance double"

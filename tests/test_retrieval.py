@@ -209,3 +209,17 @@ def test_every_vector_asks_its_lists(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     asked = [r["query_id"] for r in ivf_join_probes(spark, str(tmp_path)).collect()]
     assert sorted(set(asked)) == list(range(40))
+
+
+def test_small_blocks_share_a_task(spark, monkeypatch):
+    """Blocks far below the bounds of a task make no more copies of the vectors, and the same rows."""
+    from rankweave.operators import vector
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3).round(1).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    met, dealt = vector._met, []
+    monkeypatch.setattr(vector, "_met", lambda *args: dealt.append(args[3:5]) or met(*args))
+    small = knn_join(df, "id", "v", df, "id", "v", 4, query_block=7, base_block=9)
+    assert dealt == [(1, 1)]
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, knn_join(df, "id", "v", df, "id", "v", 4).collect()))
