@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from rankweave.session import durable
+from rankweave.session import BROADCAST_ROWS, at_most, durable, stored
 
 LOG_COLUMNS = ("version", "branch", "op")
 FOREVER = 2**62
+# Rows of a table and its log that one task of a merge compares, about.
+MERGE_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -159,14 +161,25 @@ def conflict_rows(merge: DataFrame, key: list[str]) -> DataFrame:
 def merge_branches(
     base: DataFrame, log: DataFrame, key: list[str], parent: list[Line], fork: list[Line], branch: str
 ) -> DataFrame:
-    """:func:`merge_fields` of a branch into its parent, over the branch's keys only."""
-    own = changes_in(log, [Line(branch)])
-    keys = own.select(*key).distinct()
-    near_base = base.join(keys, key, "left_semi")
-    near_log = log.join(keys, key, "left_semi")
-    at_fork = read_branch(near_base, near_log, key, fork)
-    ours = read_branch(near_base, near_log, key, parent)
-    theirs = read_branch(at_fork, own, key, [Line(branch)])
+    """:func:`merge_fields` of a branch into its parent, over the branch's keys only.
+
+    What is near those keys is written once, as it is read from several sides, and then
+    dealt by key to as many tasks as ``MERGE_ROWS`` asks for: a task sorts several tables
+    side by side, so the sizes that Spark aims at are too large.
+    """
+    own = stored(changes_in(log, [Line(branch)]), "own")
+    keys = stored(own.select(*key).distinct(), "keys")
+    if at_most(keys, BROADCAST_ROWS):
+        near = [df.join(F.broadcast(keys), key, "left_semi") for df in (base, log)]
+    else:
+        parts = (base.count() + own.count()) // MERGE_ROWS + 1
+        near = [df.repartition(parts, *key).join(keys.repartition(parts, *key), key, "left_semi") for df in (base, log)]
+    near_base, near_log = stored(near[0], "near-base"), stored(near[1], "near-log")
+    parts = (near_base.count() + near_log.count()) // MERGE_ROWS + 1
+    near_base, near_log, own = (df.repartition(parts, *key) for df in (near_base, near_log, own))
+    at_fork = read_branch(near_base, near_log, key, fork).repartition(parts, *key)
+    ours = read_branch(near_base, near_log, key, parent).repartition(parts, *key)
+    theirs = read_branch(at_fork, own, key, [Line(branch)]).repartition(parts, *key)
     return merge_fields(at_fork, ours, theirs, key)
 
 
