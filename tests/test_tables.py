@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -401,3 +402,45 @@ def test_assertions(spark):
     ).orderBy("n").collect()
     assert [r["ok"] for r in out] == [True, False, True, False, False, True]
     assert out[1]["detail"] == "extra rows: 1 missing rows: 0" and out[0]["detail"] is None
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.75, 1.0])
+def test_trigram_join_by_pairs_of_grams(spark, threshold):
+    """Short and long numbered names: the pairs of a comparison of all."""
+    from rankweave.operators import similar
+
+    names = [f"Customer#{i:05d}" for i in range(0, 400, 7)] + ["a", "ab", "ab c", "b a", ""]
+    names += [" ".join(f"{w}{i % 3}" for w in ("lorem", "ipsum", "dolor", "amet", "sit", "tempor", "magna"))[: 20 + i] for i in range(25)]
+    df = spark.createDataFrame([(n,) for n in names], "t string")
+    found = {(r[0], r[1], r[2]) for r in similar.trigram_join(df, "t", df, "t", threshold, same_table=True).collect()}
+
+    def grams(text):
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        return {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
+
+    held = {n: grams(n) for n in names}
+    expected = set()
+    for a in held:
+        for b in held:
+            both = len(held[a] | held[b])
+            if a < b and both and round(len(held[a] & held[b]) / both, 6) >= threshold:
+                expected.add((a, b, round(len(held[a] & held[b]) / both, 6)))
+    assert found == expected
+    if threshold == 0.75:
+        rows = similar._keyed(spark.createDataFrame([("x", 1, 20, list(range(20)), 6)], "value string, n_rows long, size int, grams array<long>, length int"), 0.75)
+        assert rows.where("second < 0").count() == 0 and rows.count() == 21
+
+
+def test_merge_is_dealt_by_rows(spark, monkeypatch):
+    from rankweave.operators import versioned
+
+    monkeypatch.setattr(versioned, "MERGE_ROWS", 20)
+    base = spark.range(200).select("id", F.lit("old").alias("v"))
+    log = base.where("id % 2 = 0").select("id", F.lit("new").alias("v"), F.lit(1).cast("long").alias("version"), F.lit("b").alias("branch"), F.lit("upsert").alias("op"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        merged = versioned.merge_branches(base, log, ["id"], [versioned.Line("main")], [versioned.Line("main", 0)], "b")
+        assert merged.rdd.getNumPartitions() >= 10
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert merged.count() == 100
