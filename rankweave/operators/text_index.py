@@ -412,7 +412,8 @@ def write_segment(index: TextIndex, path: str, manifest: Manifest, segment: int)
 
     Postings move once, by bucket and document hash: a term in a third of all
     documents is spread over ``splits`` files of its bucket, or more where the segment has
-    many tokens. The levels of the terms are counted from the written postings, without
+    many tokens. Every part is a task's own: dealt by a hash of its numbers, several would
+    meet in one task. The levels of the terms are counted from the written postings, without
     their positions.
     """
     spark = index.source_spark()
@@ -427,7 +428,7 @@ def write_segment(index: TextIndex, path: str, manifest: Manifest, segment: int)
     laid_out = (
         index.postings()
         .withColumn("bucket", bucket)
-        .repartition(manifest.buckets * splits, F.col("bucket"), split)
+        .repartitionById(manifest.buckets * splits, F.col("bucket") * splits + split)
         .sortWithinPartitions("bucket", "term", "id")
     )
     laid_out.write.mode("overwrite").partitionBy("bucket").parquet(
@@ -451,7 +452,8 @@ def write_levels(levels: DataFrame, target: str, buckets: int, splits: int) -> N
     A bucket is written by up to ``splits`` tasks, a term by one.
     """
     split = F.pmod(F.xxhash64("term", F.lit("levels")), F.lit(splits)).cast("int")
-    laid_out = levels.repartition(buckets * splits, F.col("bucket"), split).sortWithinPartitions("bucket", "term")
+    dealt = levels.repartitionById(buckets * splits, F.col("bucket") * splits + split)
+    laid_out = dealt.sortWithinPartitions("bucket", "term")
     laid_out.write.mode("overwrite").partitionBy("bucket").parquet(target)
 
 

@@ -194,3 +194,15 @@ def test_files_of_a_bucket_grow_in_number(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, small.term_stats().collect())) == sorted(map(tuple, large.term_stats().collect()))
     gone = delete_docs(large, docs.where("id < 5").select("id"))
     assert verify_index(gone).count() == 0
+
+
+def test_every_part_of_a_bucket_is_a_task_of_its_own(spark, tmp_path):
+    """Parts dealt by a hash of their numbers meet in one task, which then reads several."""
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(20))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    index = FrameIndex(docs, "id", "text").write(f"{tmp_path}/index", buckets=5, splits=7)
+    for name in ("postings", "term_levels"):
+        files = [sum(1 for _ in tmp_path.glob(f"index/{name}/segment=1/bucket={b}/*.parquet")) for b in range(5)]
+        tasks = {f.name.split("-")[1] for f in tmp_path.glob(f"index/{name}/segment=1/bucket=*/*.parquet")}
+        assert sum(files) == len(tasks) and (name == "term_levels" or files == [7] * 5)
+    assert verify_index(index, docs).count() == 0
