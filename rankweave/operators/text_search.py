@@ -9,7 +9,7 @@ from rankweave.functions.text import highlight, literal_replacement, token_patte
 from rankweave.operators.analyze import segment_runs
 from rankweave.operators.query import B, K1, Or, Query, Scope, analyze_query, analyze_text, plain_terms
 from rankweave.operators.text_index import FrameIndex, Leaf, StoredIndex, TextIndex
-from rankweave.session import BROADCAST_ROWS, at_most, durable
+from rankweave.session import BROADCAST_ROWS, at_most, broadcast_if_small, durable, null_safe_join
 
 # The modes that a caller can name.
 SNIPPET_MODES = ("none", "html", "ansi")
@@ -428,25 +428,63 @@ def _many_snippets(index: TextIndex, hits: DataFrame, qterms: DataFrame, mode: s
     return out.select("query_id", "rank", "id", "score", "snippet")
 
 
+def _scores_of(weights: DataFrame, hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, id, score): what ``terms`` (query_id, term, idf) add to each of ``hits`` (query_id, id).
+
+    Postings are looked up by term and document, so their number is that of ``hits`` times
+    the terms of a query, whatever the number of documents with the terms. ``hits`` is a
+    table that is at hand, as its size is asked for first.
+    """
+    lookups = broadcast_if_small(hits.select("query_id", "id").join(terms.select("query_id", "term", "idf"), "query_id"))
+    return (
+        null_safe_join(weights, lookups, ["term", "id"])
+        .groupBy("query_id", "id")
+        .agg(F.sum(F.col("idf") * F.col("tfn")).alias("score"))
+    )
+
+
+def _floor_of(weights: DataFrame, partial: DataFrame, plan: DataFrame, k: int) -> DataFrame:
+    """(query_id, floor): a score that the ``k``-th hit of a query has at least.
+
+    It is the least whole score of the ``k`` documents that are best in ``partial``.
+    """
+    probes = durable(_top_per_query(partial, k).select("query_id", "id"))
+    return (
+        _scores_of(weights, probes, plan)
+        .groupBy("query_id")
+        .agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("floor"))
+    )
+
+
 def _search_pruned(index: TextIndex, weights: DataFrame, qterms: DataFrame, k: int, salts: int) -> DataFrame:
-    """Top ``k`` per query with common terms looked up for candidates only.
+    """Top ``k`` per query with common terms looked up for few candidates only.
 
     1. Each term's highest possible contribution is idf times its largest weight, which a
        stored index knows from its levels.
-    2. The rarest terms of a query that together fill ``k`` places give a score
-       that the ``k``-th hit has at least.
+    2. The rarest terms of a query that together fill ``k`` places name ``k`` documents.
+       The least of their whole scores is one that the ``k``-th hit has at least.
     3. Terms whose highest contributions together stay below that score cannot
        bring in a document by themselves: they are optional. Every document that
        counts has another term, so the others name the candidates.
-    4. Optional terms are joined by (term, id) for the candidates.
+    4. The whole scores of the ``k`` candidates that are best without optional terms give a
+       higher least score. A candidate that does not reach it with the highest
+       contributions of all optional terms is out.
+    5. Optional terms are joined by (term, id) for the candidates that are left.
     """
     if isinstance(index, StoredIndex):
         tops = term_tops(index, qterms.select("term").distinct())
     else:
-        tops = weights.groupBy("term").agg(F.count("*").alias("df"), F.max("tfn").alias("top"))
+        # Rows that repeat an id add up to one hit.
+        held = weights.groupBy("term", "id").agg(F.count("*").alias("n"), F.sum("tfn").alias("tfn"))
+        tops = held.groupBy("term").agg(F.sum("n").alias("df"), F.max("tfn").alias("top"))
     bounds = _idf(index, tops).select("term", "df", "idf", (F.col("idf") * F.col("top")).alias("bound"))
     # One row per query and term, used by all the steps below.
     plan = durable(qterms.join(bounds, "term"))
+
+    def beside(of_queries: DataFrame) -> DataFrame:
+        # At most a row per query term: counted to be few if there are no salts.
+        return of_queries if salts else F.broadcast(of_queries)
+
     rare = Window.partitionBy("query_id").orderBy("df", "term")
     before = F.coalesce(
         F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -457,33 +495,34 @@ def _search_pruned(index: TextIndex, weights: DataFrame, qterms: DataFrame, k: i
         .groupBy("query_id", "id")
         .agg(F.sum(F.col("idf") * F.col("tfn")).alias("score"))
     )
-    floor = (
-        _top_per_query(partial, k)
-        .groupBy("query_id")
-        .agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("floor"))
-    )
     weak = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     # The slack covers rounding of the published score and its tie on the id.
     slack = 10.0 ** (1 - SCORE_PLACES)
-    sorted_plan = plan.join(floor, "query_id", "left").withColumn(
-        "optional", F.sum("bound").over(weak) < F.coalesce("floor", F.lit(0.0)) - slack
+    sorted_plan = durable(
+        plan.join(_floor_of(weights, partial, plan, k), "query_id", "left").withColumn(
+            "optional", F.sum("bound").over(weak) < F.coalesce("floor", F.lit(0.0)) - slack
+        )
     )
     required = sorted_plan.where(~F.col("optional")).select("query_id", "term", "idf")
-    optional = sorted_plan.where(F.col("optional")).select("query_id", "term", "idf")
+    optional = sorted_plan.where(F.col("optional"))
     main = durable(
         _join_terms(weights, required, salts)
         .groupBy("query_id", "id")
         .agg(F.sum(F.col("idf") * F.col("tfn")).alias("part"))
     )
-    wanted = main.select("query_id", "id").join(optional, "query_id")
-    extra = (
-        wanted.join(weights, ["term", "id"])
-        .groupBy("query_id", "id")
-        .agg(F.sum(F.col("idf") * F.col("tfn")).alias("more"))
+    floor = _floor_of(weights, main.withColumnRenamed("part", "score"), plan, k)
+    open_still = optional.groupBy("query_id").agg(F.sum("bound").alias("rest")).join(floor, "query_id")
+    # A query without optional terms is done and has no row there.
+    reach = F.col("part") + F.col("rest") >= F.col("floor") - slack
+    left = durable(
+        main.join(beside(open_still), "query_id", "left")
+        .where(F.coalesce(reach, F.lit(True)))
+        .select("query_id", "id", "part")
     )
-    scored = main.join(extra, ["query_id", "id"], "left").select(
+    extra = _scores_of(weights, left, beside(optional)).withColumnRenamed("score", "more")
+    scored = null_safe_join(left, extra, ["query_id", "id"], "left").select(
         "query_id",
         "id",
         F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), SCORE_PLACES).alias("score"),

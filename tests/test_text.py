@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from rankweave.operators import analyze as A
 from rankweave.operators.query import And, Boost, Field, Near, Not, Or, Phrase, Term, Then, analyze_query
 from rankweave.operators.text_index import FrameIndex, StoredIndex, build_index, check_field_weights, check_unique_ids
+from rankweave.operators import text_search
 from rankweave.operators.text_search import (
     bm25_query, headline, lexeme_filter, match, negative_score, score_all, score_inspect, search,
     search_count, search_many,
@@ -330,6 +331,37 @@ def test_many_queries_agree_with_single_ones(spark, en_docs, tmp_path):
         assert hits["snippet"] == "postgres <mark>kernel</mark> <mark>buffer</mark> manager"
 
 
+def test_pruned_search_looks_up_few_candidates(spark, tmp_path, monkeypatch):
+    """Of 150 documents with the rare word, the long ones cannot reach the short ones."""
+    rows = [(i, "the " * (i > 9) + ("gem " * 4 if i < 12 else "gem " + "filler " * 40) * (i % 2 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, body string")
+    asked = spark.createDataFrame([(1, "the gem")], "qid long, q string")
+    hits, scores_of = [], text_search._scores_of
+
+    def counted(weights, of, terms):
+        hits.append(of.count())
+        return scores_of(weights, of, terms)
+
+    monkeypatch.setattr(text_search, "_scores_of", counted)
+    index = FrameIndex(docs, "id", "body").write(str(tmp_path), buckets=2)
+    want = sorted(search_many(index, asked, "qid", "q", 5).collect())
+    for rows in (text_search.BROADCAST_ROWS, 1):
+        monkeypatch.setattr(text_search, "BROADCAST_ROWS", rows)
+        hits.clear()
+        assert sorted(search_many(index, asked, "qid", "q", 5, prune=True).collect()) == want
+        assert hits[:2] == [5, 5] and hits[2] < 10
+
+
+def test_pruned_search_adds_up_repeated_and_null_ids(spark):
+    rows = [(i, "the " * (i % 7 > 0) + "gem " * (i % 3) + "filler " * (i * 13 % 11)) for i in range(40)]
+    rows += rows[::9] * 2 + [(None, "gem the the"), (None, "the")]
+    docs = spark.createDataFrame(rows, "id long, body string")
+    asked = spark.createDataFrame([(1, "the gem"), (2, "gem filler")], "qid long, q string")
+    index = FrameIndex(docs, "id", "body")
+    want = set(search_many(index, asked, "qid", "q", 8).collect())
+    assert set(search_many(index, asked, "qid", "q", 8, prune=True).collect()) == want
+
+
 def test_query_analysis(spark, dictionary):
     assert analyze_query(spark, "a b").parts == (Term("a"), Term("b"))
     assert analyze_query(spark, "a-b").words == ("a", "b")
