@@ -4,9 +4,10 @@ A prefix keys an associative counter of next words. Tasks count the phrases of a
 their texts and send stripes: prefix, next words, counts. Stripes are merged elementwise by
 sums, and the merged table answers everything that is asked of phrases of one length:
 
-* an entry is an extension of the prefix with its count;
-* the sum of a stripe, with the empty word for places where no counted word follows, is
-  the prefix's own count;
+* an entry is an extension of the prefix with its count, a row of its own: whole stripes are
+  never gathered, and entries that are not frequent are left out as soon as they are merged;
+* the sum of the empty prefix's stripe, with the empty word for all words that are not
+  frequent, is the number of words;
 * the largest entry is the most frequent longer phrase that begins with the prefix.
 
 Three passes count words (the empty prefix), pairs, and all longer phrases. A phrase as
@@ -37,8 +38,9 @@ from rankweave.session import stored
 
 # Parts of a hot prefix's stripe, by its next words, and the bound on hot prefixes.
 PARTS, HOT = 16, 4096
-# Words that a task counts at once, and distinct words that it remembers meanwhile.
-SLICE_WORDS, VOCABULARY = 1_500_000, 600_000
+# Words that a task counts at once, and distinct words that it remembers meanwhile: what a
+# Python worker holds grows with both.
+SLICE_WORDS, VOCABULARY = 1_000_000, 400_000
 # Bits of the bitmap for each frequent phrase, and the bounds of its size (2^27: 16 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 # Candidates ranked in one task before the last ranking.
@@ -133,6 +135,8 @@ class _Counter:
                 yield batch.slice(begin, 20_000)
         if len(self.words) > VOCABULARY:
             self.forget()
+        # Else the pool keeps what the largest slice took, for each of an executor's workers.
+        pa.default_memory_pool().release_unused()
 
     def _of_size(self, at: np.ndarray, size: int, frequent: np.ndarray | None, hot: np.ndarray | None, words: pa.Array) -> pa.RecordBatch:
         if size == 1:
@@ -143,21 +147,19 @@ class _Counter:
             after = size - self.width
             ends = len(at) - size
             whole = frequent[:ends].copy()
-            for i in range(1, after):
+            # The word after a prefix counts if the last words with it are frequent.
+            for i in range(1, after + 1):
                 whole &= frequent[i : i + ends]
             rows = np.flatnonzero(whole)
             code, known = at[rows], []
             for i in range(1, size - 1):
                 values, code = np.unique(code << 32 | at[rows + i], return_inverse=True)
                 known.append(values)
-            # The word after a prefix counts if the last words with it are frequent.
-            counted = np.where(frequent[rows + after], at[rows + size - 1], 0)
+            counted = at[rows + size - 1]
             part = np.where(hot[rows], (np.array(self.hashes) % np.uint64(PARTS)).astype(np.int64)[counted], 0)
         keys, counts = np.unique(code << 36 | part << 32 | counted, return_counts=True)
         begins = np.flatnonzero(np.diff(keys >> 32, prepend=-1))
-        said = pa.array(keys & 0xFFFFFFFF)
-        # Number 0 stands for "no counted word follows".
-        nexts = pc.if_else(pc.equal(said, 0), "", words.take(said))
+        nexts = words.take(pa.array(keys & 0xFFFFFFFF))
         owner, prefix = self._named(keys[begins] >> 36, known, words, size)
         offsets = np.append(begins, len(keys)).astype(np.int32)
         return pa.RecordBatch.from_arrays(
@@ -244,13 +246,12 @@ def _bitmap(phrases: DataFrame) -> np.ndarray:
 
 
 def stripes(said: DataFrame, sizes: list[int], least: int, width: int = 0, bitmap: np.ndarray | None = None, hot: np.ndarray | None = None) -> DataFrame:
-    """(grp, prefix, part, total, extensions, best) of (grp, text) rows: the merged stripes of ``sizes`` words.
+    """(grp, prefix, word, f) of (grp, text) rows: entries of the merged stripes of ``sizes`` words.
 
-    ``extensions`` lists next words and counts of at least ``least``, ``total`` counts all
-    places of the prefix whose next word falls to the part (or is none), ``best`` is the
-    largest count of an extension. From two words on, ``bitmap`` tells which phrases of
-    ``width`` words may be frequent, and the hashes ``hot`` whose stripes, and those of what
-    they begin, are cut into parts.
+    They are next words with counts of at least ``least``; those of single words have the sum
+    of the others under the empty word, in up to ``PARTS`` rows a group. From two words on,
+    ``bitmap`` tells which phrases of ``width`` words may be frequent, and the hashes ``hot``
+    whose stripes, and those of what they begin, are cut into parts.
     """
     held = said.sparkSession.sparkContext.broadcast((bitmap, np.zeros(0, np.uint64) if hot is None else hot))
 
@@ -269,19 +270,17 @@ def stripes(said: DataFrame, sizes: list[int], least: int, width: int = 0, bitma
     keys = ["grp", "prefix", "part"]
     entries = local.repartition(*keys).select(*keys, F.explode(F.arrays_zip(F.split("words", " ").alias("words"), "counts")).alias("e"))
     merged = entries.groupBy(*keys, F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("f"))
-    frequent = (F.col("word") != "") & (F.col("f") >= least)
-    return merged.groupBy(*keys).agg(
-        F.sum("f").alias("total"),
-        F.collect_list(F.when(frequent, F.struct("word", "f"))).alias("extensions"),
-        F.max(F.when(frequent, F.col("f"))).alias("best"),
-    )
+    frequent = F.col("f") >= least
+    if width:
+        return merged.where(frequent).select("grp", "prefix", "word", "f")
+    named = merged.withColumn("word", F.when(frequent, F.col("word")).otherwise(""))
+    return named.groupBy(*keys, "word").agg(F.sum("f").alias("f")).select("grp", "prefix", "word", "f")
 
 
 def _extensions(merged: DataFrame) -> DataFrame:
-    """(grp, prefix, phrase, f): the entries of stripes as phrases."""
-    each = merged.select("grp", "prefix", F.explode("extensions").alias("e"))
-    whole = F.when(F.col("prefix") == "", F.col("e.word")).otherwise(F.concat_ws(" ", "prefix", "e.word"))
-    return each.select("grp", "prefix", whole.alias("phrase"), F.col("e.f").alias("f"))
+    """(grp, prefix, phrase, f): the frequent entries of stripes as phrases."""
+    whole = F.when(F.col("prefix") == "", F.col("word")).otherwise(F.concat_ws(" ", "prefix", "word"))
+    return merged.where(F.col("word") != "").select("grp", "prefix", whole.alias("phrase"), "f")
 
 
 def _words(first: Column, last: Column) -> Column:
@@ -308,7 +307,7 @@ def collocations(
         raise ValueError("phrases have two words at least and are counted from one place on")
     said = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("grp"), F.col(text).alias("text"))
     first = stored(stripes(said, [1], least), "stripes")
-    words = first.agg(F.sum("total")).first()[0] or 0
+    words = first.agg(F.sum("f")).first()[0] or 0
     singles = _extensions(first)
     second = stored(stripes(said, [2], least, 1, _bitmap(singles), _hot(singles, words)), "stripes")
     tables = [first, second]
@@ -322,7 +321,7 @@ def collocations(
     counts = counts.select("grp", F.col("phrase").alias("part"), "f")
     scored = _scored(tables[1:], counts)
     kept = _without_subsumed(scored, tables, percent)
-    totals = tables[0].groupBy("grp").agg(F.sum("total").alias("n"))
+    totals = tables[0].groupBy("grp").agg(F.sum("f").alias("n"))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     kept = stored(kept, "candidates")
     salts = kept.count() // RANKED + 1
@@ -372,7 +371,7 @@ def _without_subsumed(scored: DataFrame, tables: list[DataFrame], percent: int)
     """
     longer = None
     for merged in tables[2:]:
-        after = merged.where("best IS NOT NULL").select("grp", F.col("prefix").alias("phrase"), F.col("best").alias("over"))
+        after = merged.select("grp", F.col("prefix").alias("phrase"), F.col("f").alias("over"))
         before = _extensions(merged).select("grp", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase"), F.col("f").alias("over"))
         both = after.unionByName(before)
         longer = both if longer is None else longer.unionByName(both)

@@ -164,6 +164,19 @@ def test_collocations_are_the_brute_force_ones(spark, monkeypatch, parts):
     assert two == brute_phrases(rows, 2, 20, 80, 2000)
 
 
+def test_stripes_hold_counted_entries_only(spark):
+    said = spark.createDataFrame([("en", "a b c. a b d. a b c")] * 3, "grp string, text string")
+    first = collocations.stripes(said, [1], 4)
+    assert sorted(map(tuple, first.groupBy("word").sum("f").collect())) == [("", 3), ("a", 9), ("b", 9), ("c", 6)]
+    bitmap = collocations._bitmap(collocations._extensions(first))
+    second = collocations.stripes(said, [2], 4, 1, bitmap)
+    assert sorted(map(tuple, second.collect())) == [("en", "a", "b", 9), ("en", "b", "c", 6)]
+    counter = collocations._Counter([2], 1, bitmap, collocations._hashes([]))
+    counter.add("en", "a b. d a")
+    # No stripe for prefixes that no frequent word follows.
+    assert [(r["prefix"], r["words"]) for b in counter.stripes() for r in b.to_pylist()] == [("a", "b")]
+
+
 @pytest.mark.parametrize("name", ["op11_manifest", "op12_fingerprints", "op13_collocations"])
 def test_query_equals_its_sql(spark, name):
     if not os.path.isdir(FOLDER):
