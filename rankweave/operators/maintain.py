@@ -263,8 +263,16 @@ def verify_index(index: StoredIndex, df: DataFrame | None = None) -> DataFrame:
     at_level = F.concat_ws("/", F.lit("term"), "field", "term")
     found = found.union(findings(compared, at_level, F.when(badly_kept, "term levels differ from the postings")))
     if df is not None:
-        again = index.frame_index(df).postings().select("id", "field", "term", F.col("positions").alias("p"))
-        both = index.postings().select("id", "field", "term", "positions").join(again, ["id", "field", "term"], "full")
+        # Field and term are one key of one type: a constant field would be taken out of the keys
+        # that rows are dealt by, and they would be dealt again for the join.
+        key = ["id", F.struct("field", "term").cast("struct<field: string, term: string>").alias("at")]
+        again = index.frame_index(df).postings().select(*key, F.col("positions").alias("p"))
+        held = index.postings().select(*key, "positions")
+        # All positions move, of the index and of the texts, so the tasks grow in number with the tokens.
+        tasks = index.manifest.buckets * splits_for(index.manifest, *index.manifest.totals.values())
+        if tasks > int(index.spark.conf.get("spark.sql.shuffle.partitions")):
+            held, again = held.repartition(tasks, "id", "at"), again.repartition(tasks, "id", "at")
+        both = held.join(again, ["id", "at"], "full").select("id", "at.*", "positions", "p")
         about_text = (
             F.when(F.col("p").isNull(), "posting is not in the text")
             .when(F.col("positions").isNull(), "text is not in the index")

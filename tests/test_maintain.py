@@ -206,3 +206,22 @@ def test_every_part_of_a_bucket_is_a_task_of_its_own(spark, tmp_path):
         tasks = {f.name.split("-")[1] for f in tmp_path.glob(f"index/{name}/segment=1/bucket=*/*.parquet")}
         assert sum(files) == len(tasks) and (name == "term_levels" or files == [7] * 5)
     assert verify_index(index, docs).count() == 0
+
+
+def test_texts_are_compared_in_tasks_that_grow_in_number(spark, tmp_path, monkeypatch):
+    """Positions of index and texts meet in a task for about ``FILE_TOKENS`` tokens, not in a fixed number."""
+    from rankweave.operators import text_index
+
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(20))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    index = FrameIndex(docs, "id", "text").write(f"{tmp_path}/index", buckets=1)
+    monkeypatch.setattr(text_index, "FILE_TOKENS", 60)
+    changed = docs.where("id <> 5").withColumn("text", F.when(F.col("id") == 7, "w0 w7 other").otherwise(F.col("text")))
+    findings = verify_index(index, changed)
+    plan = findings._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(id" in line and "at#" in line]
+    assert len(dealt) == 2 and all(", 20), REPARTITION_BY_NUM" in line for line in dealt)
+    found = {(r["location"], r["message"]) for r in findings.collect()}
+    assert ("doc/7/text/other", "text is not in the index") in found
+    assert {m for at, m in found if at.startswith("doc/5/")} == {"posting is not in the text"}
+    assert {at.split("/")[1] for at, _ in found} == {"5", "7"}
