@@ -446,6 +446,11 @@ def splits_for(manifest: Manifest, *totals: dict[str, list[int]]) -> int:
     return max(manifest.splits, -(-tokens // (manifest.buckets * FILE_TOKENS)))
 
 
+def tasks_for(tokens: int) -> int:
+    """Tasks, so that about ``FILE_TOKENS`` tokens or postings come to one."""
+    return max(1, -(-tokens // FILE_TOKENS))
+
+
 def write_levels(levels: DataFrame, target: str, buckets: int, splits: int) -> None:
     """Store a table of levels by its ``bucket``: as many rows as terms have frequencies.
 
@@ -521,6 +526,10 @@ class StoredIndex(TextIndex):
                 n, length = n + sign * held[0], length + sign * held[1]
         return n, length
 
+    def live_tokens(self) -> int:
+        """Tokens of the live documents, all fields together."""
+        return sum(self._live_totals(f)[1] for f in self.fields)
+
     def n_docs(self) -> Column:
         return F.lit(max(self._live_totals(f)[0] for f in self.fields)).cast("long")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankweave.functions.text import highlight, literal_replacement, token_pattern
 from rankweave.operators.analyze import segment_runs
 from rankweave.operators.query import B, K1, Or, Query, Scope, analyze_query, analyze_text, plain_terms
-from rankweave.operators.text_index import FrameIndex, Leaf, StoredIndex, TextIndex
+from rankweave.operators.text_index import FrameIndex, Leaf, StoredIndex, TextIndex, tasks_for
 from rankweave.session import BROADCAST_ROWS, at_most, broadcast_if_small, durable, null_safe_join
 
 # The modes that a caller can name.
@@ -352,6 +352,37 @@ def _join_terms(weights: DataFrame, qterms: DataFrame, salts: int) -> DataFrame:
     return spread_out.join(salted, ["term", "salt"]).drop("salt")
 
 
+def _tasks_of(index: TextIndex, weights: DataFrame) -> int | None:
+    """Tasks that the documents of ``weights`` are dealt to, None if they are not dealt by id.
+
+    The ids of a stored index are unique and its manifest holds its tokens. Those of a
+    DataFrame may repeat or be NULL: an id with more postings than a task should
+    read is not for one task, and is left to partial sums.
+    """
+    if isinstance(index, StoredIndex):
+        return tasks_for(index.live_tokens())
+    each = weights.groupBy("id").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    return tasks_for(each["n"] or 0) if tasks_for(each["most"] or 0) == 1 else None
+
+
+def _add_up(weights: DataFrame, asked: DataFrame, salts: int, tasks: int | None) -> DataFrame:
+    """(query_id, id, score): what the terms of ``asked`` (query_id, term, idf) add up to.
+
+    Few query terms go to the postings, which are dealt by document: a posting moves once
+    however many queries ask for it, a document's scores are added up where its postings
+    are, and the tasks grow in number with the postings.
+    """
+    if not salts and tasks is not None:
+        partitions = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # Without a number the session's holds, and small partitions may be put together.
+        weights = weights.repartition(tasks, "id") if tasks > partitions else weights.repartition("id")
+    return (
+        _join_terms(weights, asked, salts)
+        .groupBy("query_id", "id")
+        .agg(F.sum(F.col("idf") * F.col("tfn")).alias("score"))
+    )
+
+
 def search_many(
     index: TextIndex,
     queries: DataFrame,
@@ -378,20 +409,17 @@ def search_many(
         # Used for the frequencies and the scores: the texts are analysed once, and
         # only the postings of the asked terms are kept.
         weights = durable(weights)
+    tasks = None if salts else _tasks_of(index, weights)
     if prune:
-        ranked = _search_pruned(index, weights, qterms, k, salts)
+        ranked = _search_pruned(index, weights, qterms, k, salts, tasks)
     else:
         if isinstance(index, StoredIndex):
             frequency = index.term_stats_among(distinct)
         else:
             frequency = weights.groupBy("term").agg(F.count("*").alias("df"))
         idf = _idf(index, frequency).select("term", "idf")
-        scored = (
-            _join_terms(weights, qterms.join(idf, "term"), salts)
-            .groupBy("query_id", "id")
-            .agg(F.round(F.sum(F.col("idf") * F.col("tfn")), SCORE_PLACES).alias("score"))
-        )
-        ranked = _top_per_query(scored, k)
+        scored = _add_up(weights, qterms.join(idf, "term"), salts, tasks)
+        ranked = _top_per_query(scored.withColumn("score", F.round("score", SCORE_PLACES)), k)
     out = ranked.select("query_id", "rank", "id", "score")
     if snippet == "none" or index.source is None:
         return out.withColumn("snippet", F.lit(None).cast("string"))
@@ -456,7 +484,9 @@ def _floor_of(weights: DataFrame, partial: DataFrame, plan: DataFrame, k: int) -
     )
 
 
-def _search_pruned(index: TextIndex, weights: DataFrame, qterms: DataFrame, k: int, salts: int) -> DataFrame:
+def _search_pruned(
+    index: TextIndex, weights: DataFrame, qterms: DataFrame, k: int, salts: int, tasks: int | None
+) -> DataFrame:
     """Top ``k`` per query with common terms looked up for few candidates only.
 
     1. Each term's highest possible contribution is idf times its largest weight, which a
@@ -485,16 +515,18 @@ def _search_pruned(index: TextIndex, weights: DataFrame, qterms: DataFrame, k: i
         # At most a row per query term: counted to be few if there are no salts.
         return of_queries if salts else F.broadcast(of_queries)
 
+    def added_up(of_queries: DataFrame) -> DataFrame:
+        asked = of_queries.select("query_id", "term", "idf")
+        # Only the postings of these terms move.
+        held = weights if salts else weights.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+        return _add_up(held, asked, salts, tasks)
+
     rare = Window.partitionBy("query_id").orderBy("df", "term")
     before = F.coalesce(
         F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     seeds = plan.withColumn("before", before).where(F.col("before") < k)
-    partial = (
-        _join_terms(weights, seeds.select("query_id", "term", "idf"), salts)
-        .groupBy("query_id", "id")
-        .agg(F.sum(F.col("idf") * F.col("tfn")).alias("score"))
-    )
+    partial = added_up(seeds)
     weak = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -505,13 +537,9 @@ def _search_pruned(index: TextIndex, weights: DataFrame, qterms: DataFrame, k: i
             "optional", F.sum("bound").over(weak) < F.coalesce("floor", F.lit(0.0)) - slack
         )
     )
-    required = sorted_plan.where(~F.col("optional")).select("query_id", "term", "idf")
+    required = sorted_plan.where(~F.col("optional"))
     optional = sorted_plan.where(F.col("optional"))
-    main = durable(
-        _join_terms(weights, required, salts)
-        .groupBy("query_id", "id")
-        .agg(F.sum(F.col("idf") * F.col("tfn")).alias("part"))
-    )
+    main = durable(added_up(required).withColumnRenamed("score", "part"))
     floor = _floor_of(weights, main.withColumnRenamed("part", "score"), plan, k)
     open_still = optional.groupBy("query_id").agg(F.sum("bound").alias("rest")).join(floor, "query_id")
     # A query without optional terms is done and has no row there.

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,6 +354,45 @@ def test_pruned_search_looks_up_few_candidates(spark, tmp_path, monkeypatch):
         assert hits[:2] == [5, 5] and hits[2] < 10
 
 
+def test_scores_are_added_up_in_tasks_that_grow_in_number(spark, tmp_path, monkeypatch):
+    """Postings are dealt by document to a task for about ``FILE_TOKENS`` tokens, not to a fixed number."""
+    from rankweave.operators import text_index
+
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(20))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, body string")
+    asked = spark.createDataFrame([(n, f"w0 w{n} w{n * 7}") for n in range(1, 9)], "qid long, q string")
+    frame = FrameIndex(docs, "id", "body")
+    index = frame.write(str(tmp_path), buckets=1)
+    plain = search_many(index, asked, "qid", "q", 5)
+    want = sorted(plain.collect())
+    assert len(want) == 40
+    monkeypatch.setattr(text_index, "FILE_TOKENS", 60)
+    for held, tasks in ((index, 20), (frame, None)):
+        found = search_many(held, asked, "qid", "q", 5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan)
+        dealt = re.findall(r"hashpartitioning\(id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)
+        assert dealt and (tasks is None or dealt == [str(tasks)]) and int(dealt[0]) > 2
+        assert sorted(found.collect()) == want
+        assert sorted(search_many(held, asked, "qid", "q", 5, prune=True).collect()) == want
+
+
+def test_an_id_with_many_postings_is_not_dealt_to_one_task(spark, monkeypatch):
+    """A DataFrame may hold an id, or NULL, often: its scores are added up before they move."""
+    from rankweave.operators import text_index
+
+    rows = [(None if i % 2 else i, f"gem w{i % 7} the") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, body string")
+    asked = spark.createDataFrame([(1, "gem the w1"), (2, "w2 w4")], "qid long, q string")
+    index = FrameIndex(docs, "id", "body")
+    want = set(search_many(index, asked, "qid", "q", 8).collect())
+    monkeypatch.setattr(text_index, "FILE_TOKENS", 20)
+    found = search_many(index, asked, "qid", "q", 8)
+    assert "REPARTITION_BY_NUM" not in found._jdf.queryExecution().executedPlan().toString()
+    assert set(found.collect()) == want
+    assert set(search_many(index, asked, "qid", "q", 8, prune=True).collect()) == want
+
+
 def test_pruned_search_adds_up_repeated_and_null_ids(spark):
     rows = [(i, "the " * (i % 7 > 0) + "gem " * (i % 3) + "filler " * (i * 13 % 11)) for i in range(40)]
     rows += rows[::9] * 2 + [(None, "gem the the"), (None, "the")]
