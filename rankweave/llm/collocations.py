@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankweave.session import stored
+from rankweave.session import BROADCAST_ROWS, at_most, stored
 
 # Parts of a hot prefix's stripe, by its next words, and the bound on hot prefixes.
 PARTS, HOT = 16, 4096
@@ -45,7 +45,6 @@ SLICE_WORDS, VOCABULARY = 1_000_000, 400_000
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 # Candidates ranked in one task before the last ranking.
 RANKED = 50_000
-COPIES = 16
 
 _BREAK = b"."
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\v\f\r\t", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10 + b" ")
@@ -319,7 +318,7 @@ def collocations(
     for merged in tables[1:-1]:
         counts = counts.unionByName(_extensions(merged))
     counts = counts.select("grp", F.col("phrase").alias("part"), "f")
-    scored = _scored(tables[1:], counts)
+    scored = _scored(tables[1:], counts, words)
     kept = _without_subsumed(scored, tables, percent)
     totals = tables[0].groupBy("grp").agg(F.sum("f").alias("n"))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
@@ -337,8 +336,12 @@ def collocations(
     return ranked.join(totals, "grp").select(F.col("grp").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def _scored(tables: list[DataFrame], counts: DataFrame) -> DataFrame:
-    """(grp, phrase, a, l, r, score, size) of all candidates, by their least cut."""
+def _scored(tables: list[DataFrame], counts: DataFrame, words: int) -> DataFrame:
+    """(grp, phrase, a, l, r, score, size) of all candidates, by their least cut.
+
+    ``counts`` are those of their parts, of which at most ``HOT`` of a length hold one of
+    ``HOT`` of all ``words`` or more.
+    """
     found = None
     for merged in tables:
         own = _extensions(merged).select("grp", "phrase", F.col("f").alias("a"))
@@ -349,10 +352,13 @@ def _scored(tables: list[DataFrame], counts: DataFrame) -> DataFrame:
         F.struct(F.lit(False).alias("left"), _words(F.col("k") + 1, F.size("w")).alias("part")),
     )
     sides = cut.select("grp", "phrase", "a", F.size("w").alias("size"), "k", F.explode(parts).alias("p")).select("grp", "phrase", "a", "size", "k", "p.*")
-    # A frequent word is a part of many candidates: counts have several copies to join with.
-    sides = sides.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(COPIES)))
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long")))
-    met = sides.join(counts.withColumn("salt", copies), ["grp", "part", "salt"])
+    # A frequent word is a part of many candidates, so the few hot parts are met where the
+    # candidates are. Spark's estimate of the others is that of packed files: they are counted.
+    hot = counts.where(F.col("f") * HOT >= words)
+    cold = counts.where(F.col("f") * HOT < words)
+    cold = F.broadcast(cold) if at_most(cold, BROADCAST_ROWS) else cold.hint("merge")
+    known = sides.join(F.broadcast(hot), ["grp", "part"], "left")
+    met = known.where("f IS NOT NULL").unionByName(known.where("f IS NULL").drop("f").join(cold, ["grp", "part"]))
     cuts = met.groupBy("grp", "phrase", "k").agg(
         F.first("a").alias("a"), F.first("size").alias("size"), F.sum(F.when(F.col("left"), F.col("f"))).alias("l"), F.sum(F.when(~F.col("left"), F.col("f"))).alias("r")
     )
@@ -379,5 +385,6 @@ def _without_subsumed(scored: DataFrame, tables: list[DataFrame], percent: int)
         return scored
     most = longer.groupBy("grp", "phrase").agg(F.max("over").alias("over"))
     exact = "cast({} as decimal(5, 0)) * cast({} as decimal(19, 0))"
-    held = scored.join(most, ["grp", "phrase"], "left")
+    # Both sides are already dealt by these columns.
+    held = scored.join(most.hint("merge"), ["grp", "phrase"], "left")
     return held.where(f"over IS NULL OR {exact.format(100, 'over')} < {exact.format(percent, 'a')}").drop("over")

@@ -177,6 +177,22 @@ def test_stripes_hold_counted_entries_only(spark):
     assert [(r["prefix"], r["words"]) for b in counter.stripes() for r in b.to_pylist()] == [("a", "b")]
 
 
+def test_counts_of_parts_are_broadcast_only_where_counted(spark, monkeypatch):
+    """Spark sees neither copies made in a plan nor how large packed rows are in memory."""
+    merged = spark.createDataFrame([("en", "a", "b", 9), ("en", "b", "c", 6)], "grp string, prefix string, word string, f long")
+    counts = spark.createDataFrame([("en", w, n) for w, n in (("a", 9), ("b", 90_000), ("c", 9))], "grp string, part string, f long")
+    rows = []
+    for most in (0, 10):
+        monkeypatch.setattr(collocations, "BROADCAST_ROWS", most, raising=False)
+        scored = collocations._scored([merged], counts, 100_000)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (most == 0)
+        rows.append(sorted(map(tuple, scored.collect())))
+    assert rows[0] == rows[1] == [("en", "a b", 9, 9, 90_000, 199, 2), ("en", "b c", 6, 90_000, 9, 133, 2)]
+    kept = collocations._without_subsumed(scored, [merged.limit(0), merged.limit(0), merged], 80)
+    assert "rightHint=(strategy=merge)" in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["op11_manifest", "op12_fingerprints", "op13_collocations"])
 def test_query_equals_its_sql(spark, name):
     if not os.path.isdir(FOLDER):
