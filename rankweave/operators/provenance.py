@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 
 from rankweave.operators.components import components
 from rankweave.operators.lineage_worlds import chance, worth
-from rankweave.session import null_safe_join, running_total
+from rankweave.session import at_most, broadcast_if_small, null_safe_join, running_total, stored
 
 # Lines of a row that are worked out together without looking for independent parts first.
 PACKED = 10_000
+# Tokens of a row that are numbered by their places; more have digests for numbers.
+PLACED = 64
+# Rows of a lineage, some 130 bytes each, that a join broadcasts.
+LINEAGE_ROWS = 500_000
 
 LINEAGE = ("mono", "coef")
 
@@ -69,9 +73,12 @@ def select_rows(relation: DataFrame, condition: Column | str) -> DataFrame:
 
 
 def join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Equi-join: a joined row needs a derivation of both sides."""
+    """Equi-join: a joined row needs a derivation of both sides.
+
+    Where ``b`` is counted to be small, ``a`` stays where it is, with its tokens.
+    """
     right = b.withColumnRenamed("mono", "__mono").withColumnRenamed("coef", "__coef")
-    both = a.join(right, on)
+    both = a.join(broadcast_if_small(right, LINEAGE_ROWS), on)
     keep = [c for c in both.columns if c not in (*LINEAGE, "__mono", "__coef")]
     return both.select(
         *keep,
@@ -205,63 +212,171 @@ def _packed(lines: DataFrame, probs: DataFrame | None) -> DataFrame:
 
 
 def _parted(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``__part``: the token-disjoint part of its row that a line is in.
+    """Lines of large rows with ``__part``: the token-disjoint part of its row that a line is in.
 
-    A row of more than ``PACKED`` lines is split into the connected parts of its tokens by
-    Spark, so a row of any number of lines, few of them wide, is not one task's work. A
+    Such a row is split into the connected parts of its tokens by Spark, so a row of any
+    number of lines, few of them wide, is not one task's work. A
     line that shares its one token with no wide line has the part NULL.
     """
     columns = data_columns(lines)
-    large = lines.groupBy(*columns).agg(F.count("*").alias("__n")).where(F.col("__n") > PACKED).drop("__n")
-    if large.isEmpty():
-        return lines.withColumn("__part", F.lit(""))
-    marked = null_safe_join(lines, large.withColumn("__large", F.lit(True)), columns, "left")
     row = F.sha2(F.to_json(F.struct(F.lit(0), *columns), {"ignoreNullFields": "false"}), 256)
-    named = marked.withColumn("__node", F.when(F.col("__large"), F.concat(row, F.col("mono")[0])))
-    wide = named.where("__large AND size(mono) > 1").select("__node", F.explode(F.slice("mono", 2, 2**30)).alias("t"), "mono")
+    named = lines.withColumn("__node", F.concat(row, F.col("mono")[0]))
+    wide = named.where("size(mono) > 1").select("__node", F.explode(F.slice("mono", 2, 2**30)).alias("t"), "mono")
     other = F.concat(F.substring("__node", 1, 64), "t")
     parts = components(wide.select(F.col("__node").alias("a"), other.alias("b")), "a", "b")
-    found = named.join(parts.select(F.col("node").alias("__node"), F.col("root").alias("__root")), "__node", "left")
-    part = F.when(F.col("__large"), F.col("__root")).otherwise("")
-    return found.withColumn("__part", part).select(*lines.columns, "__part")
+    found = named.join(parts.select(F.col("node").alias("__node"), F.col("root").alias("__part")), "__node", "left")
+    return found.select(*lines.columns, "__part")
+
+
+def _digest(token: Column) -> Column:
+    return F.unhex(F.md5(token.cast("binary")))
+
+
+def _large(lines: DataFrame) -> DataFrame:
+    """The rows of more than ``PACKED`` lines: fewer than lines by that factor."""
+    columns = data_columns(lines)
+    counted = lines.groupBy(*columns).agg(F.count("*").alias("__n")).where(F.col("__n") > PACKED)
+    return F.broadcast(counted.select(*[F.col(c).alias(f"__r_{c}") for c in columns]))
+
+
+def _is_row(columns: list[str]) -> Column:
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return same
+
+
+# How a row is worked out: split first, by its closed form, by elimination.
+LARGE, CLOSED, OPEN = 0, 1, 2
+
+
+def _forms(lines: DataFrame) -> DataFrame:
+    """(*columns, tokens, placed, terms, alone, common, rest) of rows of a bounded number of lines.
+
+    Where terms share no token but those that all of them hold, ``common``, the row has a
+    closed form, ``rest`` being what else each of them holds.
+    """
+    columns = data_columns(lines)
+    held = lines.groupBy(*columns).agg(F.collect_set("mono").alias("terms"))
+    held = held.withColumn("tokens", F.array_distinct(F.flatten("terms")))
+    digests = F.transform("tokens", lambda t: F.xxhash64(t))
+    # Digests of a row's tokens that meet are no numbers.
+    held = held.withColumn("placed", (F.size("tokens") <= PLACED) | (F.size(F.array_distinct(digests)) < F.size("tokens")))
+    number = lambda t: F.when(F.col("placed"), F.array_position(F.col("tokens"), t)).otherwise(F.xxhash64(t))
+    held = held.withColumn("terms", F.transform("terms", lambda m: F.transform(m, number)))
+    held = held.withColumn("alone", F.coalesce(F.array_max(F.transform("terms", F.size)), F.lit(0)) <= 1)
+    shared = F.aggregate(F.slice("terms", 2, 2**30), F.element_at("terms", 1), lambda s, t: F.array_intersect(s, t))
+    held = held.withColumn("common", F.when(F.col("placed") & ~F.col("alone"), shared))
+    held = held.withColumn("rest", F.transform("terms", lambda t: F.array_except(t, F.col("common"))))
+    several = F.aggregate("rest", F.lit(0), lambda s, t: s + F.size(t))
+    apart = F.coalesce(F.size(F.array_distinct(F.flatten("rest"))) == several, F.lit(False))
+    return held.withColumn("common", F.when(apart, F.col("common"))).withColumn("rest", F.when(apart, F.col("rest")))
+
+
+def _weighed(lines: DataFrame, probs: DataFrame) -> DataFrame:
+    """(*columns, kind, sure, log, terms, chances) of rows of a bounded number of lines.
+
+    A row's terms stay where its lines meet. Only numbers of tokens, with the digests by which
+    they look their probabilities up, are dealt to these, and come back to the terms as
+    numbers with probabilities.
+    """
+    columns = data_columns(lines)
+    held = _forms(lines)
+    number = lambda t, i: F.when(F.col("placed"), (i + 1).cast("long")).otherwise(F.xxhash64(t))
+    asked = held.select(*columns, F.inline(F.transform("tokens", lambda t, i: F.struct(number(t, i).alias("n"), _digest(t).alias("key")))))
+    known = probs.select(_digest(F.col("token")).alias("key"), F.col("p").cast("double").alias("p"))
+    # What a row is, from its terms; NULL beside its tokens.
+    is_open = ~F.col("alone") & F.col("common").isNull()
+    form = F.struct("alone", "common", "rest", F.when(is_open, F.col("terms")).alias("terms")).alias("form")
+    terms = held.select(*columns, form, F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("p"))
+    # Spark would take packed files for small tables.
+    known = F.broadcast(known) if at_most(known, LINEAGE_ROWS) else known.hint("merge")
+    found = asked.join(known, "key", "left").select(*columns, F.lit(None).cast(terms.schema["form"].dataType).alias("form"), "n", "p")
+    both = terms.unionByName(found)
+    # Lists begun before this would only be longer rows: a row's tokens come from many tasks.
+    dealt = both.repartition(*columns) if columns else both
+    met = dealt.groupBy(*columns).agg(
+        F.first("form", ignorenulls=True).alias("form"),
+        F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "p")))).alias("chances"),
+    )
+    met = met.withColumn("ps", F.transform("chances", lambda e: e["p"]))
+    # Numbers of closed forms are places from 1, each once if each token has one probability.
+    once = F.size("chances") == F.coalesce(F.element_at("chances", -1)["n"], F.lit(0))
+    most = lambda n: F.array_max(F.transform(F.filter("chances", lambda e: e["n"] == n), lambda e: e["p"]))
+    places = F.sequence(F.lit(1).cast("long"), F.element_at("chances", -1)["n"])
+    met = met.withColumn("own", F.when(F.col("form.common").isNotNull(), F.when(once, F.col("ps")).otherwise(F.transform(places, most))))
+    product = lambda names: F.aggregate(names, F.lit(1.0), lambda s, n: s * F.element_at(F.col("own"), n.cast("int")))
+    absent = F.aggregate("form.rest", F.lit(1.0), lambda s, t: s * (1.0 - product(t)))
+    chance_of = F.coalesce(product("form.common") * (1.0 - absent), F.raise_error(F.lit("a token has no probability")).cast("double"))
+    met = met.withColumn("chance", F.when(F.col("form.common").isNotNull(), chance_of))
+    kind = F.when(F.col("form.alone") | F.col("form.common").isNotNull(), CLOSED).otherwise(OPEN)
+    logs = F.aggregate("ps", F.lit(0.0), lambda s, x: s + F.when(x < 1, F.log1p(-x)).otherwise(0.0))
+    return met.select(
+        *columns,
+        kind.alias("kind"),
+        F.when(F.col("form.alone"), F.coalesce(F.exists("ps", lambda x: x >= 1), F.lit(False))).otherwise(F.col("chance") >= 1).alias("sure"),
+        F.when(F.col("form.alone"), logs).otherwise(F.when(F.col("chance") < 1, F.log1p(-F.col("chance"))).otherwise(0.0)).alias("log"),
+        F.col("form.terms").alias("terms"),
+        F.when(kind == OPEN, F.col("chances")).alias("chances"),
+    )
+
+
+def _alone(lines: DataFrame, probs: DataFrame) -> DataFrame:
+    """(*columns, chance) of lines of one token."""
+    columns = data_columns(lines)
+    found = lines.select(*columns, F.col("mono")[0].alias("token")).join(probs, "token", "left")
+    return found.select(*columns, F.col("p").alias("chance"))
+
+
+def _present(columns: list[str], parts: DataFrame) -> DataFrame:
+    """(*columns, probability) of independent parts of rows, each with its ``chance``."""
+    absent = parts.groupBy(*columns).agg(
+        F.max(F.when(F.col("chance") >= 1, 1).otherwise(0)).alias("__sure"),
+        F.sum(F.when(F.col("chance") < 1, F.log1p(-F.col("chance"))).otherwise(0.0)).alias("__log"),
+    )
+    return absent.select(*columns, F.when(F.col("__sure") == 1, 1.0).otherwise(1.0 - F.exp("__log")).alias("probability"))
 
 
 def probability(relation: DataFrame, probs: DataFrame, samples: int | None = None, seed: int = 42) -> DataFrame:
     """(*columns, probability) with independent source rows of (token, p).
 
-    Derivations of one token each have a closed form, for any number of them. Other
+    Derivations of one token each have a closed form, for any number of them, and so have
+    derivations that share no token but those that all of the row's hold. Other
     rows are worked out exactly: parts that share no token apart, each by elimination, whose
     work grows with how entangled the derivations are, not with their number. Where that
     is too much the error says so, and a caller may ask for ``samples`` seeded worlds.
     """
     columns = data_columns(relation)
-    single, several = _independent(relation)
-
-    def alone(lines: DataFrame) -> DataFrame:
-        found = lines.select(*columns, F.col("mono")[0].alias("token")).join(probs, "token", "left")
-        return found.select(*columns, F.col("p").alias("chance"))
-
     if samples is not None:
-        missing, rest = alone(single), _sampled(several, probs, samples, seed)
-    else:
-        parted = _parted(several)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in relation.schema if f.name in columns)
-
-        def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = [chance(tokens, terms) for tokens, terms in zip(batch["tokens"], batch["terms"])]
-                yield batch[columns].assign(chance=out)
+        single, several = _independent(relation)
+        out = _present(columns, _alone(single, probs)).unionByName(_sampled(several, probs, samples, seed))
+        return out.withColumn("probability", F.round("probability", 6))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in relation.schema if f.name in columns)
 
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [chance(tokens, terms) for tokens, terms in zip(batch["tokens"], batch["terms"])]
+            yield batch[columns].assign(chance=out)
+
+    lines = relation.select(*columns, F.array_distinct("mono").alias("mono"))
+    large = _large(lines)
+    few = _weighed(lines.join(large, _is_row(columns), "left_anti"), probs)
+    marks = large.select(*[F.col(f"__r_{c}").alias(c) for c in columns], F.lit(LARGE).alias("kind"))
+    # Kept, so that what the relation is made of is read and dealt once.
+    rows = stored(few.unionByName(marks, allowMissingColumns=True), "rows")
+    kinds = {r["kind"] for r in rows.select("kind").distinct().collect()}
+    out = rows.where(F.col("kind") == CLOSED).select(*columns, F.when(F.col("sure"), 1.0).otherwise(1.0 - F.exp("log")).alias("probability"))
+    if OPEN in kinds:
+        numbered = F.transform("chances", lambda e: F.struct(e["n"].alias("token"), e["p"].alias("p")))
+        ways = rows.where(F.col("kind") == OPEN).select(*columns, numbered.alias("tokens"), "terms")
+        out = out.unionByName(_present(columns, ways.mapInPandas(weigh, schema + ", chance double")))
+    if LARGE in kinds:
+        named = rows.where(F.col("kind") == LARGE).select(*[F.col(c).alias(f"__r_{c}") for c in columns])
+        single, several = _independent(relation.join(F.broadcast(named), _is_row(columns), "left_semi"))
+        parted = _parted(several)
         packed = _packed(parted.where("__part IS NOT NULL"), probs)
-        parts = packed.mapInPandas(weigh, schema + ", chance double")
-        missing = alone(single).unionByName(alone(parted.where("__part IS NULL"))).unionByName(parts)
-        rest = None
-    absent = missing.groupBy(*columns).agg(
-        F.max(F.when(F.col("chance") >= 1, 1).otherwise(0)).alias("__sure"),
-        F.sum(F.when(F.col("chance") < 1, F.log1p(-F.col("chance"))).otherwise(0.0)).alias("__log"),
-    )
-    out = absent.select(*columns, F.when(F.col("__sure") == 1, 1.0).otherwise(1.0 - F.exp("__log")).alias("probability"))
-    out = out if rest is None else out.unionByName(rest)
+        missing = _alone(single, probs).unionByName(_alone(parted.where("__part IS NULL").drop("__part"), probs))
+        out = out.unionByName(_present(columns, missing.unionByName(packed.mapInPandas(weigh, schema + ", chance double"))))
     return out.withColumn("probability", F.round("probability", 6))
 
 

@@ -201,7 +201,8 @@ def prov_probability(spark, folder):
 def prov_join_probability(spark, folder):
     """A line item is there when its order and its supplier are."""
     orders = _order_tokens(spark, folder).withColumnRenamed("o_orderkey", "l_orderkey")
-    items = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    # Dealt once, as the join needs them; orders with tokens are larger than Spark's estimate.
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct().hint("merge")
     suppliers = provenance.add_provenance(
         table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey")), "supplier", ["l_suppkey"]
     )
@@ -217,7 +218,8 @@ def _order_suppliers(spark, folder):
     orders = provenance.add_provenance(
         table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "orders", ["l_orderkey"]
     )
-    items = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    # Dealt once, as the join needs them; orders with tokens are larger than Spark's estimate.
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct().hint("merge")
     suppliers = provenance.add_provenance(
         table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey")), "supplier", ["l_suppkey"]
     )

@@ -76,6 +76,38 @@ def test_large_rows_are_split_into_parts(spark, monkeypatch):
     assert {r["r"]: r["expected_sum"] for r in sums} == pytest.approx({k: 10 * v for k, v in want.items()}, abs=0.01)
 
 
+def test_rows_with_and_without_a_closed_form(spark, monkeypatch):
+    random.seed(5)
+    rows = [("one", ["a"]), ("one", ["a", "b"]), ("star", ["a", "b"]), ("star", ["a", "c"]), ("star", ["a", "d", "e"])]
+    rows += [("many", ["c", f"m{i}"]) for i in range(6)] + [("chain", ["a", "b"]), ("chain", ["b", "c"]), ("chain", ["c", "d"]), (None, ["b", "e"])]
+    p = {t: random.random() for _, term in rows for t in term}
+    relation = spark.createDataFrame([(r, t, 1) for r, t in rows], "r string, mono array<string>, coef long")
+    # A token may be listed twice.
+    probs = spark.createDataFrame(list(p.items()) + [("a", p["a"])], "token string, p double")
+    want = {r: brute([t for x, t in rows if x == r], {n: p[n] for x, t in rows if x == r for n in t}) for r in {x for x, _ in rows}}
+    for placed in (provenance.PLACED, 3):
+        monkeypatch.setattr(provenance, "PLACED", placed)
+        got = {r["r"]: r["probability"] for r in provenance.probability(relation, probs).collect()}
+        assert got == pytest.approx({k: round(v, 6) for k, v in want.items()}, abs=2e-6)
+        kinds = {r["r"]: r["kind"] for r in provenance._weighed(relation.drop("coef"), probs).collect()}
+        assert kinds["chain"] == provenance.OPEN and kinds["star"] == (provenance.CLOSED if placed > 3 else provenance.OPEN)
+
+
+def test_lineages_stay_where_they_are(spark):
+    """A small side is broadcast by its count; tokens are not dealt again by their row."""
+    a = provenance.add_provenance(spark.range(50).selectExpr("id AS k", "id % 5 AS s"), "a", ["k"])
+    b = provenance.add_provenance(spark.range(5).withColumnRenamed("id", "s"), "b", ["s"])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = provenance.join(a.repartition("k"), b, ["s"])
+        relation = provenance.project(joined, "k")
+        plan = relation._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("hub", f"s{i}") for i in range(30)] + [("x", "x"), (None, "y")]
     found = components.components(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()
