@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import tokens_of
-from rankweave.session import broadcast_if_small, durable
+from rankweave.session import BROADCAST_ROWS, at_most, durable, stored
 
 Scorer = Callable[[list[dict]], list[dict]]
 ANSWER = (
@@ -44,7 +44,7 @@ class NaiveBayes:
         """Counts of terms by label, each count one more than seen. NULL labels take no part."""
         known = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("t"))
         tokens = F.coalesce(tokens_of(F.col("t"), analyzer), F.array().cast("array<string>"))
-        counted = durable(known.select("label", F.explode(tokens).alias("term")).groupBy("label", "term").agg(F.count("*").alias("n")))
+        counted = stored(known.select("label", F.explode(tokens).alias("term")).groupBy("label", "term").agg(F.count("*").alias("n")), "counts")
         rows = known.groupBy("label").agg(F.count("*").alias("rows"))
         total = Window.partitionBy()
         # One row for each label.
@@ -54,31 +54,51 @@ class NaiveBayes:
         sums = priors.select("label").join(counted.groupBy("label").agg(F.sum("n").alias("sum")), "label", "left")
         each = sums.join(F.broadcast(size)).select("label", (F.coalesce("sum", F.lit(0)) + F.col("size")).alias("below"))
         every = terms.join(F.broadcast(each))
-        weights = every.join(counted, ["term", "label"], "left").select(
+        # Spark would take packed files for small tables.
+        weights = every.join(counted.hint("merge"), ["term", "label"], "left").select(
             "term", "label", F.log((F.coalesce("n", F.lit(0)) + 1) / F.col("below")).alias("log_weight")
         )
-        return cls(priors, durable(weights), yes, analyzer)
+        return cls(priors, stored(weights, "weights"), yes, analyzer)
 
     def answers(self, texts: DataFrame) -> DataFrame:
-        """(__key, *ANSWER) of (__key, __text); terms never seen say nothing."""
+        """(__key, *ANSWER) of (__key, __text), one row a key; terms never seen say nothing.
+
+        A text is read where it lies, and rows may repeat it: each is added up on its own, and
+        any of equal ones answers. Its tokens meet the model's most frequent terms there, which
+        are broadcast; only the others are dealt by their terms.
+        """
+        labels = sorted((r["label"], r["log_prior"]) for r in self.priors.collect())
         tokens = F.coalesce(tokens_of(F.col("__text"), self.analyzer), F.array().cast("array<string>"))
-        read = texts.select("__key", tokens.alias("tokens"))
-        counted = read.select("__key", F.explode("tokens").alias("term")).groupBy("__key", "term").agg(F.count("*").alias("n"))
-        sums = counted.join(broadcast_if_small(self.weights), "term").groupBy("__key", "label").agg(
-            F.sum(F.col("n") * F.col("log_weight")).alias("sum")
+        read = texts.select("__key", F.monotonically_increasing_id().alias("row"), tokens.alias("tokens"))
+        read = read.withColumn("size", F.size("tokens"))
+        known = self.weights.groupBy("term").agg(
+            *[F.max(F.when(F.col("label") == label, F.col("log_weight"))).alias(f"w{i}") for i, (label, _) in enumerate(labels)],
+            F.sum(F.exp("log_weight")).alias("often"),
         )
-        # The labels are few and known beforehand, so every text meets every label in its row.
-        labels = F.broadcast(self.priors.agg(F.collect_list(F.struct("label", "log_prior")).alias("labels")))
-        found = sums.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("label", "sum"))).alias("sums"))
-        asked = read.select("__key", F.size("tokens").alias("size")).join(found, "__key", "left").join(labels)
-        logits = F.transform(
-            "labels",
-            lambda e: F.struct(
-                (e["log_prior"] + F.coalesce(F.element_at("sums", e["label"]), F.lit(0.0))).alias("logit"),
-                e["label"].alias("label"),
-            ),
+        known = stored(known, "terms")
+        head, tail = known, None
+        if not at_most(known, BROADCAST_ROWS):
+            least = known.approxQuantile("often", [1.0 - BROADCAST_ROWS / known.count()], 1e-4)[0]
+            head, tail = known.where(F.col("often") > least), known.where(F.col("often") <= least)
+        head = F.broadcast(head.drop("often"))
+        added = lambda prefix: [F.sum(f"w{i}").alias(f"{prefix}{i}") for i in range(len(labels))]
+        one = lambda *names: [F.first(n).alias(n) for n in names]
+        met = read.select("__key", "row", "size", F.explode_outer("tokens").alias("term")).join(head, "term", "left")
+        scored = met.groupBy("__key", "row").agg(F.first("size").alias("size"), *added("a"))
+        scored = scored.groupBy("__key").agg(*one("size", *[f"a{i}" for i in range(len(labels))]))
+        if tail is not None:
+            rest = read.select("__key", "row", F.explode("tokens").alias("term")).join(head.select("term"), "term", "left_anti")
+            sums = rest.join(tail.drop("often").hint("merge"), "term").groupBy("__key", "row").agg(*added("b"))
+            scored = scored.join(sums.groupBy("__key").agg(*one(*[f"b{i}" for i in range(len(labels))])), "__key", "left")
+        else:
+            scored = scored.select("*", *[F.lit(0.0).alias(f"b{i}") for i in range(len(labels))])
+        logits = F.array(
+            *[
+                F.struct((F.lit(prior) + F.coalesce(f"a{i}", F.lit(0.0)) + F.coalesce(f"b{i}", F.lit(0.0))).alias("logit"), F.lit(label).alias("label"))
+                for i, (label, prior) in enumerate(labels)
+            ]
         )
-        scored = asked.withColumn("logits", logits)
+        scored = scored.withColumn("logits", logits)
         chance = F.transform(
             "logits",
             lambda e: F.struct(
@@ -105,13 +125,13 @@ class NaiveBayes:
 def _answers(df: DataFrame, text: Column, request: dict, scorer: Scorer | NaiveBayes, batch_size: int) -> DataFrame:
     """``df`` with ``__answer`` for every row; equal inputs are asked once.
 
-    Inputs are grouped by their digest, so long texts cross the network once for
-    asking and not at all for joining back. Rows without an input are not asked, and so
-    do not meet in the join.
+    For a callable, inputs are grouped by their digest, so long texts cross the network once
+    for asking and not at all for joining back; a fitted model reads them where they lie.
+    Rows without an input are not asked, and so do not meet in the join.
     """
     names = [c.split()[0] for c in ANSWER.split(", ")]
-    keyed = df.withColumn("__text", text).withColumn("__key", F.sha2(F.col("__text"), 256))
-    distinct = keyed.where("__key is not null").groupBy("__key").agg(F.first("__text").alias("__text"))
+    keyed = df.withColumn("__text", text).withColumn("__key", F.unhex(F.sha2(F.col("__text"), 256)))
+    inputs = keyed.where("__key is not null").select("__key", "__text")
     body = json.dumps(request)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,11 +158,12 @@ def _answers(df: DataFrame, text: Column, request: dict, scorer: Scorer | NaiveB
                 yield pd.DataFrame(rows).astype({"input_tokens": "Int64", "output_tokens": "Int64"})
 
     if isinstance(scorer, NaiveBayes):
-        asked = scorer.answers(distinct)
+        asked = scorer.answers(inputs)
     else:
         # Slow scorers must not end in one task because the texts are short.
         cores = df.sparkSession.sparkContext.defaultParallelism
-        asked = distinct.repartition(cores * 2, "__key").mapInPandas(ask, "__key string, " + ANSWER)
+        distinct = inputs.groupBy("__key").agg(F.first("__text").alias("__text"))
+        asked = distinct.repartition(cores * 2, "__key").mapInPandas(ask, "__key binary, " + ANSWER)
     packed = asked.select("__key", F.struct(*names).alias("__answer"))
     answered = keyed.where("__key is not null").join(packed, "__key", "left")
     void = keyed.where("__key is null").withColumn("__answer", F.lit(None).cast(packed.schema["__answer"].dataType))

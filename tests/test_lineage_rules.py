@@ -1,8 +1,10 @@
 """Exact lineage by elimination, nested JSON rules, merge bases, model labels, vectors that are no numbers."""
 
 import itertools
+import math
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,37 @@ def test_lineages_stay_where_they_are(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_frequent_terms_are_met_where_the_texts_lie(spark, monkeypatch):
+    """Terms that are broadcast, dealt or unknown; texts that come twice, are empty or NULL."""
+    random.seed(4)
+    words = [f"w{i}" for i in range(12)]
+    said = [(" ".join(random.choice(words[: 3 + i % 10]) for _ in range(i % 9)), str(random.randrange(2))) for i in range(40)]
+    model = predicates.NaiveBayes.fit(spark.createDataFrame(said, "t string, y string"), "t", "y", yes="1")
+    asked = spark.createDataFrame([(t + " new",) for t, _ in said[:12]] * 2 + [("",), (None,)], "t string")
+    out = []
+    for most in (100, 4):
+        monkeypatch.setattr(predicates, "BROADCAST_ROWS", most, raising=False)
+        found = predicates.classify(asked, "t", "?", {"0": "", "1": ""}, model)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "sha2" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(__key" in x and "__text" in x]
+        assert "partial_first(__text" not in plan
+        out.append(sorted((str(r["t"]), str(r["choice"]), round(r["confidence"] or 0, 6), r["input_tokens"] or -1) for r in found.collect()))
+    counts = {y: Counter(w for t, z in said if z == y for w in t.split()) for y in "01"}
+    size = len(set(counts["0"]) | set(counts["1"]))
+    want = []
+    for (t,) in [tuple(r) for r in asked.collect()]:
+        if t is None:
+            want.append(("None", "None", 0, -1))
+            continue
+        logit = {y: math.log(sum(z == y for _, z in said) / len(said)) for y in "01"}
+        for y in "01":
+            known = [w for w in t.split() if counts["0"][w] + counts["1"][w]]
+            logit[y] += sum(math.log((counts[y][w] + 1) / (sum(counts[y].values()) + size)) for w in known)
+        best = max("01", key=lambda y: (logit[y], y == "0"))
+        want.append((t, best, round(1 / sum(math.exp(v - logit[best]) for v in logit.values()), 6), len(t.split()) or -1))
+    assert out[0] == out[1] == sorted(want)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("hub", f"s{i}") for i in range(30)] + [("x", "x"), (None, "y")]
     found = components.components(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()
@@ -186,6 +219,22 @@ def test_a_range_of_a_log_opens_its_folders_only(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(part" in plan
 
 
+def test_a_folder_of_a_log_has_one_file_and_others_are_not_listed(spark, tmp_path):
+    names = [c.split() for c in queue.LOG_SCHEMA.split(", ")]
+    log = spark.range(0, 100, 1, 7).select(*[(F.col("id") if n == "msg_id" else F.lit(None)).cast(t).alias(n) for n, t in names])
+    log = log.unionByName(log).unionByName(log.withColumn("msg_id", F.lit(None).cast("long")))
+    path = str(tmp_path / "log")
+    queue.append(log, path, width=10)
+    assert len(list((tmp_path / "log").glob("part=[0-9]*/*.parquet"))) == 10
+    # A folder that no reader may open is passed over.
+    (tmp_path / "log" / "part=9" / "broken.parquet").write_text("no table")
+    found = queue.open_log(spark, path, width=10, first=25, last=38)
+    assert sorted(r["msg_id"] for r in found.collect()) == sorted([*range(25, 39)] * 2)
+    assert len(found._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths().mkString(" ").split()) == 2
+    assert queue.open_log(spark, path, width=10, first=500, last=620).count() == 0
+    assert queue.open_log(spark, path, width=10, first=95, last=None).schema == found.schema
+
+
 def test_shares_of_one_form_are_worked_out_once():
     """Rows that differ in their tokens' names only share one elimination."""
     from rankweave.operators import lineage_worlds as W
