@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from rankweave.session import running_total
 
 LOG_SCHEMA = "queue string, event_ts timestamp, op string, msg_id long, message string, vt timestamp"
+# Folders of a log that are looked for one by one; for more the log's folder is listed.
+LISTED = 1_000
 
 
 def create_queue(spark: SparkSession, queue: str, now: str) -> DataFrame:
@@ -139,22 +141,47 @@ def archived(log: DataFrame) -> DataFrame:
 
 
 def append(log_rows: DataFrame, path: str, width: int | None = None) -> None:
-    """Append log rows to a stored log, one folder per ``width`` message numbers if given."""
+    """Append log rows to a stored log, one folder per ``width`` message numbers if given.
+
+    Rows are dealt by folder first, so that a folder gets one file, whatever the number of
+    tasks that give the rows; rows without a number stay in many.
+    """
     if width is None:
         log_rows.write.mode("append").parquet(path)
         return
     part = F.coalesce(F.floor(F.col("msg_id") / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    log_rows.withColumn("part", part).write.mode("append").partitionBy("part").parquet(path)
+    spark = log_rows.sparkSession
+    # Files take more time than bytes, so tasks are not joined by their bytes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    spread = F.when(F.col("part") < 0, F.pmod(F.xxhash64(*log_rows.columns), F.lit(tasks))).otherwise(0)
+    dealt = log_rows.withColumn("part", part).repartition(tasks, "part", spread)
+    dealt.write.mode("append").partitionBy("part").parquet(path)
+
+
+def _folders(spark: SparkSession, path: str, first: int, last: int) -> list[str]:
+    """The folders of parts ``first`` to ``last`` that are there."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = [f"{path}/part={n}" for n in range(first, last + 1)]
+    return [name for name in named if files.exists(jvm.org.apache.hadoop.fs.Path(name))]
 
 
 def open_log(spark: SparkSession, path: str, width: int | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
     """A stored log, partitioned or not.
 
     With the ``width`` that it was written with, ``first`` and ``last`` give the message
-    numbers wanted, ends included, and only the folders that hold them are read.
+    numbers wanted, ends included, and only the folders that hold them are read; where these
+    are at most ``LISTED``, no others are even listed.
     """
     names = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
-    log = spark.read.parquet(path)
+    reader, paths = spark.read, [path]
+    if width is not None:
+        reader = reader.schema(f"{LOG_SCHEMA}, part long")
+        if first is not None and last is not None and last // width - first // width < LISTED:
+            reader = reader.option("basePath", path)
+            paths = _folders(spark, path, first // width, last // width)
+    log = reader.parquet(*paths) if paths else spark.createDataFrame([], f"{LOG_SCHEMA}, part long")
     if first is not None:
         log = log.where(F.col("msg_id") >= first)
         log = log if width is None else log.where(F.col("part") >= first // width)
