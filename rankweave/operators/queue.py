@@ -175,13 +175,11 @@ def open_log(spark: SparkSession, path: str, width: int | None = None, first: in
     are at most ``LISTED``, no others are even listed.
     """
     names = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
-    reader, paths = spark.read, [path]
-    if width is not None:
-        reader = reader.schema(f"{LOG_SCHEMA}, part long")
-        if first is not None and last is not None and last // width - first // width < LISTED:
-            reader = reader.option("basePath", path)
-            paths = _folders(spark, path, first // width, last // width)
-    log = reader.parquet(*paths) if paths else spark.createDataFrame([], f"{LOG_SCHEMA}, part long")
+    paths = []
+    if width is not None and first is not None and last is not None and last // width - first // width < LISTED:
+        paths = _folders(spark, path, first // width, last // width)
+    # The types are those that were written.
+    log = spark.read.option("basePath", path).parquet(*(paths or [path]))
     if first is not None:
         log = log.where(F.col("msg_id") >= first)
         log = log if width is None else log.where(F.col("part") >= first // width)

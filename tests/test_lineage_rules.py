@@ -231,8 +231,13 @@ def test_a_folder_of_a_log_has_one_file_and_others_are_not_listed(spark, tmp_pat
     found = queue.open_log(spark, path, width=10, first=25, last=38)
     assert sorted(r["msg_id"] for r in found.collect()) == sorted([*range(25, 39)] * 2)
     assert len(found._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths().mkString(" ").split()) == 2
+    (tmp_path / "log" / "part=9" / "broken.parquet").unlink()
     assert queue.open_log(spark, path, width=10, first=500, last=620).count() == 0
-    assert queue.open_log(spark, path, width=10, first=95, last=None).schema == found.schema
+    plain = str(tmp_path / "plain")
+    queue.append(log.withColumn("event_ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")), plain, width=10)
+    for last in (None, 99, 5):
+        kept = queue.open_log(spark, plain, width=10, first=0, last=last)
+        assert kept.schema["event_ts"].dataType.simpleString() == "timestamp_ntz" and "part" not in kept.columns
 
 
 def test_shares_of_one_form_are_worked_out_once():
